@@ -301,7 +301,7 @@ def bottleneck_quadrant(event_logs: DataFrame) -> DataFrame:
     """
     stats = tool_stats(tool_calls(event_logs))
     medians = stats.agg(
-        F.expr("percentile_disc(0.5) within group (order by call_count desc)").alias("median_calls"),
+        F.expr("percentile_disc(0.5) within group (order by call_count desc)").cast("bigint").alias("median_calls"),
         F.expr("percentile_disc(0.5) within group (order by avg_duration_ms desc)").alias("median_ms"),
     )
     packed = medians.select(F.lit(1).alias("one"), "median_calls", "median_ms")
