@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_oracles() -> dict[str, str]:
-    from oracle import dashboards
+    from oracle import dashboards, mining
 
-    return {**dashboards.ORACLES}
+    return {**dashboards.ORACLES, **mining.ORACLES}

@@ -155,7 +155,7 @@ CTES["moves_by_time"] = CTES["moves"].replace(
 )
 
 CTES["last_calls"] = """
-SELECT workflow_id, tool_name, duration_ms, CAST(cost_usd AS DOUBLE) AS cost_usd FROM event_logs WHERE tool_name IS NOT NULL
+SELECT workflow_id, tool_name, duration_ms, cost_usd FROM event_logs WHERE tool_name IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY workflow_id, tool_name ORDER BY step_number DESC, timestamp DESC, event_id DESC) = 1"""
 
 # Clusters of the mining oracles: the label of a run's embedding.
@@ -165,7 +165,7 @@ SELECT 'cluster_' || label AS task_cluster, * EXCLUDE (label) FROM labelled"""
 CTES["edges"] = """
 SELECT c.task_cluster, m.source, m.target, count(*) AS frequency,
   avg(CASE WHEN c.success THEN 1.0 ELSE 0.0 END) AS success_rate,
-  avg(coalesce(l.duration_ms, 0)) AS avg_duration_ms, avg(coalesce(l.cost_usd, 0)) AS avg_cost_usd
+  avg(coalesce(l.duration_ms, 0)) AS avg_duration_ms, CAST(sum(coalesce(l.cost_usd, 0)) AS DOUBLE) / count(*) AS avg_cost_usd
 FROM moves m JOIN clustered c USING (workflow_id)
 LEFT JOIN last_calls l ON l.workflow_id = m.workflow_id AND l.tool_name = m.target
 GROUP BY ALL"""
@@ -179,15 +179,16 @@ def needed(text: str, extra: dict[str, str]) -> list[str]:
     known = {**CTES, **extra}
     found: list[str] = []
 
-    def visit(body: str) -> None:
-        for name in known:
-            if name not in found and re.search(rf"\b{name}\b", body):
-                if known[name] is not body:
-                    visit(known[name])
-                    if name not in found:
-                        found.append(name)
+    def visit(body: str, names: dict[str, str], open_names: tuple[str, ...]) -> None:
+        plain = re.sub(r"'[^']*'", "''", body)
+        for name in names:
+            if name in found or name in open_names or not re.search(rf"\b{name}\b", plain):
+                continue
+            inner = known if name in extra else CTES
+            visit(known[name], inner, (*open_names, name))
+            found.append(name)
 
-    visit(text)
+    visit(text, known, ())
     return found
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trailmetrics.functions.sequences import has_loop
 from trailmetrics.operators.graphs import model_deviations
-from trailmetrics.operators.ordering import step_block, with_next
+from trailmetrics.operators.ordering import step_block, with_borrowed_rows, with_next
 
 TRACE_ORDER = ["step_number", "timestamp", "event_id"]
 
@@ -155,7 +155,7 @@ def loop_steps(
 ) -> DataFrame:
     """Steps at which some tool makes up ``threshold`` of the last ``width`` tool calls.
 
-    Windows run per block of steps; each block borrows the last ``width - 1`` calls
+    Windows run per block of steps; a block borrows the last ``width - 1`` calls
     before it, so a very long run is looked at by many tasks.
     """
     rows = (
@@ -163,17 +163,13 @@ def loop_steps(
         .select("workflow_id", *TRACE_ORDER, "tool_name")
         .withColumn("block", step_block())
     )
-    # Calls at the end of a block, by distance in steps, also serve the next block.
-    overlap = rows.withColumn("home", F.lit(False)).withColumn("block", F.col("block") + 1).filter(
-        F.col("step_number") >= F.col("block") * F.lit(4096) - F.lit(width * 4)
-    )
-    together = rows.withColumn("home", F.lit(True)).unionByName(overlap)
+    together = with_borrowed_rows(rows, ["workflow_id"], "block", TRACE_ORDER, ["tool_name"], width)
     frame = (
         Window.partitionBy("workflow_id", "block").orderBy(*TRACE_ORDER).rowsBetween(-(width - 1), 0)
     )
     return (
         together.withColumn("recent", F.collect_list("tool_name").over(frame))
-        .filter("home")
+        .filter("own")
         .filter(has_loop(F.col("recent"), threshold))
         .select("workflow_id", "step_number", "tool_name", F.array_join("recent", ">").alias("recent"))
     )

@@ -102,12 +102,12 @@ def directly_follows_graph(
     per_workflow = moves(event_logs).join(members, "workflow_id")
     measured = per_workflow.join(last_call_metrics(event_logs), ["workflow_id", "target"], "left")
     ms = F.coalesce("duration_ms", F.lit(0.0)) * F.col("n")
-    usd = F.coalesce(F.col("cost_usd").cast("double"), F.lit(0.0)) * F.col("n")
+    usd = F.coalesce(F.col("cost_usd"), F.lit(0).cast("decimal(10,6)")) * F.col("n")
     return measured.groupBy(key, "source", "target").agg(
         F.sum("n").alias("frequency"),
         (F.sum(F.when(F.col("success"), F.col("n")).otherwise(0)) / F.sum("n")).alias("success_rate"),
         (F.sum(ms) / F.sum("n")).alias("avg_duration_ms"),
-        (F.sum(usd) / F.sum("n")).alias("avg_cost_usd"),
+        (F.sum(usd).cast("double") / F.sum("n")).alias("avg_cost_usd"),
     )
 
 

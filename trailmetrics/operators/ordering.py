@@ -89,36 +89,51 @@ def running_total(
     )
 
 
-def trailing_mean(
-    rows: DataFrame, keys: list[str], order: list[str], value: str, width: int, name: str
+def with_borrowed_rows(
+    blocked: DataFrame, keys: list[str], block: str, order: list[str], fields: list[str], width: int
 ) -> DataFrame:
-    """Mean of the last ``width`` values of the key up to the row (fewer at the start).
+    """Add the last ``width - 1`` rows before each block to that block (``own`` false).
 
-    The head of a range chunk borrows the last ``width - 1`` rows of the chunks
-    before it; those tails are at most ``width - 1`` rows per key and chunk.
+    Only blocks with a later block of the same key lend rows, so ordinary keys with
+    one block cost nothing; a block borrows at most ``width - 1`` rows.
     """
-    chunked = range_chunks(rows.withColumn("_own", F.lit(True)), keys, order)
-    needed = [*keys, *order, value]
-    newest_first = Window.partitionBy(*keys, "_chunk").orderBy(*[F.desc(c) for c in order])
+    n = width - 1
+    used = list(dict.fromkeys([*order, *fields]))
+    in_order = Window.partitionBy(*keys).orderBy(block)
+    lenders = (
+        blocked.select(*keys, block).distinct()
+        .withColumn("_later", F.lead(block).over(in_order))
+        .filter(F.col("_later").isNotNull())
+        .select(*keys, block)
+    )
+    newest = Window.partitionBy(*keys, block).orderBy(*[F.desc(c) for c in order])
     tails = (
-        chunked.withColumn("_back", F.row_number().over(newest_first))
-        .filter(F.col("_back") < width)
-        .groupBy(*keys, "_chunk")
-        .agg(F.collect_list(F.struct(*order, value)).alias("_tail"))
+        blocked.join(lenders, [*keys, block], "left_semi")
+        .withColumn("_back", F.row_number().over(newest))
+        .filter(F.col("_back") <= n)
+        .groupBy(*keys, block)
+        .agg(F.collect_list(F.struct(*used)).alias("_tail"))
     )
-    # Tails of all earlier chunks, trimmed to what the next chunk can use.
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(-(width - 1), -1)
+    # Every lender gives at least one row, so the n blocks before are enough.
+    receivers = blocked.select(*keys, block).distinct().join(
+        lenders.select(*keys).distinct(), keys, "left_semi"
+    )
+    seen = F.flatten(F.collect_list("_tail").over(in_order.rowsBetween(-n, -1)))
     borrowed = (
-        tails.withColumn("_seen", F.flatten(F.collect_list("_tail").over(earlier)))
-        .select(
-            *keys, "_chunk",
-            F.explode(F.slice(F.reverse(F.array_sort("_seen")), 1, width - 1)).alias("_row"),
-        )
-        .select(*keys, "_chunk", *[F.col(f"_row.{c}").alias(c) for c in [*order, value]])
-        .withColumn("_own", F.lit(False))
+        receivers.join(tails, [*keys, block], "left")
+        .withColumn("_seen", seen)
+        .select(*keys, block, F.explode(F.slice(F.reverse(F.array_sort("_seen")), 1, n)).alias("_row"))
+        .select(*keys, block, *[F.col(f"_row.{c}").alias(c) for c in used])
+        .withColumn("own", F.lit(False))
     )
-    together = chunked.unionByName(borrowed.select(*needed, "_chunk", "_own"), allowMissingColumns=True)
+    return blocked.withColumn("own", F.lit(True)).unionByName(borrowed, allowMissingColumns=True)
+
+
+def trailing_mean(
+    rows: DataFrame, keys: list[str], order: list[str], value: str, width: int, name: str
+) -> DataFrame:
+    """Mean of the last ``width`` values of the key up to the row (fewer at the start)."""
+    chunked = range_chunks(rows, keys, order)
+    together = with_borrowed_rows(chunked, keys, "_chunk", order, [value], width)
     frame = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(-(width - 1), 0)
-    return (
-        together.withColumn(name, F.avg(value).over(frame)).filter("_own").drop("_own", "_chunk")
-    )
+    return together.withColumn(name, F.avg(value).over(frame)).filter("own").drop("own", "_chunk")

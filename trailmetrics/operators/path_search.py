@@ -157,10 +157,11 @@ def path_metrics(
 
 
 def supported_paths(
-    metrics: DataFrame, sizes: DataFrame, min_success_rate: float, key: str = "task_cluster"
+    metrics: DataFrame, sizes: DataFrame, min_success_rate: float, key: str = "task_cluster",
+    share: float = 0.10,
 ) -> DataFrame:
-    """Paths reliable enough and followed by at least 2 runs and 10 % of the cluster."""
-    support = F.greatest(F.lit(2), F.floor(F.col("n_traces") * 0.10))
+    """Paths reliable enough and followed by at least 2 runs and a share of the cluster."""
+    support = F.greatest(F.lit(2), F.floor(F.col("n_traces") * share))
     return (
         metrics.filter(F.col("success_rate") >= min_success_rate)
         .join(sizes.select(key, "n_traces"), key)
@@ -210,7 +211,8 @@ def scored_front(front: DataFrame, key: str = "task_cluster") -> DataFrame:
 
 
 def find_pareto_paths(
-    edges: DataFrame, traces: DataFrame, key: str = "task_cluster", min_success_rate: float = 0.85
+    edges: DataFrame, traces: DataFrame, key: str = "task_cluster", min_success_rate: float = 0.85,
+    support_share: float = 0.10,
 ) -> DataFrame:
     """Search from edges and traces to the ranked Pareto front of every cluster."""
     sizes = group_sizes(traces, key)
@@ -220,7 +222,7 @@ def find_pareto_paths(
         with_fallback(covering_paths(found, sizes, key), traces, key), "candidate-paths"
     )
     metrics = path_metrics(variants(traces, key), candidates, key)
-    supported = materialize(supported_paths(metrics, sizes, min_success_rate, key), "supported-paths")
+    supported = materialize(supported_paths(metrics, sizes, min_success_rate, key, support_share), "supported-paths")
     return scored_front(pareto_front(supported, key), key)
 
 

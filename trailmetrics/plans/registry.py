@@ -12,8 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trailmetrics.operators import (
+    anomalies, decision_tree, failure_warnings, graphs, path_search, significance, suggestions,
+)
+from trailmetrics.operators.traces import build_traces, most_frequent_sequence, variants
 from trailmetrics.plans import clusters, dashboards, guidance
-from trailmetrics.operators.traces import build_traces
+from trailmetrics.session import materialize
 from trailmetrics.sources.driver_tables import Tables, load_tables
 
 Query = Callable[[Tables], DataFrame]
@@ -132,9 +136,123 @@ def cluster_queries() -> dict[str, Query]:
     return out
 
 
+def evidence_text(df: DataFrame) -> DataFrame:
+    """Evidence map as sorted ``name=value`` text."""
+    pairs = F.transform(
+        F.map_entries("evidence"), lambda e: F.concat(e["key"], F.lit("="), e["value"])
+    )
+    return df.withColumn("evidence", F.array_join(F.array_sort(pairs), ","))
+
+
+def optimal_by_cluster(t: Tables) -> DataFrame:
+    """Most frequent sequence and mean duration of every planted cluster."""
+    means = t.traces.groupBy("task_cluster").agg(F.avg("total_duration_ms").alias("avg_duration_ms"))
+    return most_frequent_sequence(t.traces, "task_cluster").join(means, "task_cluster")
+
+
+def by_first_band(t: Tables) -> DataFrame:
+    """Runs clustered by first tool, sub-clustered by the value band of their first call."""
+    first = t.event_logs.filter((F.col("step_number") == 1) & F.col("tool_name").isNotNull()).select(
+        "workflow_id", F.get_json_object("tool_response", "$.band").alias("band"))
+    return t.traces.join(first, "workflow_id").select(
+        "workflow_id", "tool_sequence", "success",
+        F.concat(F.lit("starts "), F.get("tool_sequence", F.lit(0))).alias("task_cluster"),
+        F.concat(F.lit("band "), "band").alias("subcluster"))
+
+
+def by_second_tool(t: Tables) -> DataFrame:
+    """Runs clustered by first tool, sub-clustered by second tool."""
+    return t.traces.filter(F.size("tool_sequence") > 0).select(
+        "workflow_id", "tool_sequence", "success",
+        F.concat(F.lit("starts "), F.get("tool_sequence", F.lit(0))).alias("task_cluster"),
+        F.coalesce(F.concat(F.lit("then "), F.get("tool_sequence", F.lit(1))), F.lit("ends"))
+        .alias("subcluster"))
+
+
+def mining_queries() -> dict[str, Query]:
+    def dfg(t: Tables) -> DataFrame:
+        return graphs.directly_follows_graph(t.event_logs, t.traces.select("workflow_id", "task_cluster", "success"))
+
+    def model(t: Tables) -> DataFrame:
+        return graphs.process_model(t.event_logs, t.traces, min_frequency=10)
+
+    def patterns(t: Tables, with_model: bool) -> DataFrame:
+        return anomalies.detect_patterns(
+            t.event_logs, t.traces, model(t) if with_model else None, bottleneck_share=0.24)
+
+    def found(t: Tables) -> DataFrame:
+        longest = t.traces.agg(F.max("total_steps").alias("m")).first()["m"]
+        return path_search.enumerate_paths(path_search.keep_reliable_edges(dfg(t), 0.5), longest + 1)
+
+    def covering(t: Tables) -> DataFrame:
+        return path_search.covering_paths(found(t), path_search.group_sizes(t.traces))
+
+    def metrics(t: Tables) -> DataFrame:
+        candidates = materialize(path_search.with_fallback(covering(t), t.traces), "candidate-paths")
+        return path_search.path_metrics(variants(t.traces, "task_cluster"), candidates)
+
+    def supported(t: Tables) -> DataFrame:
+        return path_search.supported_paths(metrics(t), path_search.group_sizes(t.traces), 0.5, share=0.005)
+
+    def pareto(t: Tables) -> DataFrame:
+        return path_search.find_pareto_paths(dfg(t), t.traces, min_success_rate=0.5, support_share=0.005)
+
+    def fields(t: Tables) -> DataFrame:
+        members = by_first_band(t)
+        split = decision_tree.branching(decision_tree.representatives(members))
+        responses = decision_tree.branch_responses(t.event_logs, members, split)
+        return decision_tree.discriminating_fields(decision_tree.value_profiles(responses))
+
+    return {
+        "traces": lambda t: build_traces(t.event_logs).select(
+            "workflow_id", "tool_sequence", "total_duration_ms", "total_cost_usd", "total_steps", "success"),
+        "directly_follows_graph": dfg,
+        "graph_totals": lambda t: t.traces.groupBy("task_cluster").agg(F.count("*").alias("total_traces")).join(
+            dfg(t).select("task_cluster", F.explode(F.array("source", "target")).alias("node"))
+            .groupBy("task_cluster").agg(F.countDistinct("node").alias("nodes")), "task_cluster"),
+        "process_model": model,
+        "model_quality": lambda t: graphs.model_quality(t.event_logs, t.traces, model(t)),
+        "conformance_deviations": lambda t: evidence_text(
+            anomalies.conformance_deviations(t.event_logs, t.traces, model(t))),
+        "redundant_steps": lambda t: evidence_text(anomalies.redundant_steps(t.event_logs, t.traces)),
+        "retry_loops": lambda t: evidence_text(anomalies.retry_loops(t.event_logs, t.traces)),
+        "bottleneck_tools": lambda t: evidence_text(
+            anomalies.bottleneck_tools(t.event_logs, t.traces, threshold=0.24)),
+        "detect_patterns": lambda t: evidence_text(patterns(t, True)),
+        "loop_steps": lambda t: anomalies.loop_steps(t.event_logs),
+        "reliable_edges": lambda t: path_search.keep_reliable_edges(dfg(t), 0.7).select(
+            "task_cluster", "source", "target", "frequency"),
+        "enumerate_paths": found,
+        "covering_paths": covering,
+        "most_frequent_sequences": lambda t: most_frequent_sequence(t.traces, "task_cluster"),
+        "path_metrics": metrics,
+        "supported_paths": supported,
+        "pareto_front": lambda t: path_search.pareto_front(supported(t)),
+        "find_pareto_paths": pareto,
+        "knee_points": lambda t: path_search.knee_points(pareto(t)),
+        "missing_step_warnings": lambda t: failure_warnings.missing_step_warnings(
+            t.event_logs, t.traces, optimal_by_cluster(t), in_success=0.2, missing_in_failed=0.2),
+        "parameter_warnings": lambda t: failure_warnings.parameter_warnings(
+            t.event_logs, t.traces, optimal_by_cluster(t), success_share=0.0, failed_share=0.0),
+        "failure_warnings": lambda t: failure_warnings.failure_warnings(
+            t.event_logs, t.traces, optimal_by_cluster(t), success_share=0.0, failed_share=0.0),
+        "discriminating_fields": fields,
+        "decision_tree_by_band": lambda t: decision_tree.branch_rows(t.event_logs, by_first_band(t)),
+        "decision_tree_by_second_tool": lambda t: decision_tree.branch_rows(t.event_logs, by_second_tool(t)),
+        "pattern_suggestions": lambda t: suggestions.from_patterns(patterns(t, True)),
+        "reorder_suggestions": lambda t: suggestions.reorderings(t.traces, optimal_by_cluster(t)),
+        "skip_suggestions": lambda t: suggestions.skippable_steps(
+            t.event_logs, t.traces, optimal_by_cluster(t),
+            anomalies.retry_loops(t.event_logs, t.traces)),
+        "generate_suggestions": lambda t: suggestions.generate_suggestions(
+            t.event_logs, t.traces, optimal_by_cluster(t), patterns(t, False)),
+        "mode_significance": lambda t: significance.mode_significance(t.event_logs),
+    }
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     collected: dict[str, Query] = {}
-    for part in (dashboard_queries(), cluster_queries()):
+    for part in (dashboard_queries(), cluster_queries(), mining_queries()):
         collected.update(part)
     return {
         name: (lambda spark, sf_dir, f=function: tidy(f(load_tables(spark, sf_dir))))

@@ -10,6 +10,7 @@ them with column pruning and filter pushdown.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,14 @@ class Tables:
     spark: SparkSession
     sf_dir: str
 
+    @cached_property
+    def traces(self) -> DataFrame:
+        """Traces with their planted cluster, stored on first use."""
+        built = build_traces(self.event_logs).join(self.labels, "workflow_id")
+        return materialize(
+            built.withColumn("task_cluster", F.concat(F.lit("cluster_"), "label")).drop("label"), "traces"
+        )
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
