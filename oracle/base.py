@@ -192,11 +192,31 @@ def needed(text: str, extra: dict[str, str]) -> list[str]:
     return found
 
 
+def settle_ties(text: str) -> str:
+    """``round(x, 4)`` -> ``round(x + 1e-9, 4)``: exact ties round up in every engine.
+
+    The Spark side does the same when it prepares its output.
+    """
+    out, at = "", 0
+    for call in re.finditer(r"\bround\(", text):
+        depth, end = 1, call.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            end += 1
+        tail = re.search(r",\s*4$", text[call.end(): end - 1])
+        if tail:
+            cut = call.end() + tail.start()
+            out += text[at:cut] + " + 1e-9"
+            at = cut
+    return out + text[at:]
+
+
 def query(body: str, **extra: str) -> str:
     """Full query text; ``extra`` adds expressions local to this query.
 
     A local expression that refers to itself makes the query recursive.
     """
+    body = settle_ties(body)
     known = {**CTES, **extra}
     recursive = any(re.search(rf"\b{n}\b", t) for n, t in extra.items())
     parts = []

@@ -1,7 +1,7 @@
 """Every registered query as a function of (spark, sf_dir).
 
-``tidy`` gives results a plain shape: doubles and decimals rounded to 4 places,
-whole numbers as bigint, times as text, arrays joined with ``>``.
+``tidy`` gives results a plain shape: doubles and decimals rounded to 4 places
+(after adding 1e-9, so that exact ties round up on every engine), whole numbers as bigint, times as text, arrays joined with ``>``.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def tidy(df: DataFrame) -> DataFrame:
     for field in df.schema.fields:
         c, t = F.col(f"`{field.name}`"), field.dataType
         if isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), 4)
+            c = F.round(c.cast("double") + 1e-9, 4)
         elif isinstance(t, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
