@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_oracles() -> dict[str, str]:
-    from oracle import dashboards, mining
+    from oracle import dashboards, mining, operators, shop
 
-    return {**dashboards.ORACLES, **mining.ORACLES}
+    return {**dashboards.ORACLES, **mining.ORACLES, **operators.ORACLES, **shop.ORACLES}

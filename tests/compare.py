@@ -45,6 +45,11 @@ def compare(spark, con, sf_dir, query, sql):
     names = [d[0] for d in result.description]
     want = rows_of(names, result.fetchall())
     problems = []
+    described = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    same = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+    odd = {c: (t, described.get(c)) for c, t in df.dtypes if same.get(described.get(c)) != t}
+    if odd:
+        problems.append(f"types {odd}")
     if sorted(df.columns) != sorted(names):
         problems.append(f"columns {sorted(df.columns)} / {sorted(names)}")
     if len(got) != len(want):

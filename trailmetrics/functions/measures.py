@@ -86,3 +86,9 @@ def stroke_width(weight: Column, heaviest: Column) -> Column:
 
 def dot_radius(size: Column) -> Column:
     return F.greatest(F.lit(4.0), F.least(F.lit(18.0), F.sqrt(size) * 0.4))
+
+
+def money(amount: Column) -> Column:
+    """Amount rounded to cents; the small addend makes half cents round up whatever
+    the last bit of the product was."""
+    return F.round(amount.cast("double") + 1e-9, 2)

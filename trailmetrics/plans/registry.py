@@ -12,13 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trailmetrics.functions import measures, sequences, text
+from trailmetrics.functions.measures import money
 from trailmetrics.operators import (
-    anomalies, decision_tree, failure_warnings, graphs, path_search, significance, suggestions,
+    anomalies, clustering, decision_tree, failure_warnings, graphs, path_search, reports, rules,
+    significance, similarity, suggestions,
 )
-from trailmetrics.operators.traces import build_traces, most_frequent_sequence, variants
-from trailmetrics.plans import clusters, dashboards, guidance
-from trailmetrics.session import materialize
+from trailmetrics.operators.events import cost_map, terminal_events, tool_calls, tool_stats
+from trailmetrics.operators.traces import (
+    build_traces, common_prefix_length, most_frequent_sequence, variants,
+)
+from trailmetrics.plans import analysis, clusters, dashboards, guidance
+from trailmetrics.session import fresh_path, location, materialize
+from trailmetrics.sources import derived, ingest
 from trailmetrics.sources.driver_tables import Tables, load_tables
+from trailmetrics.sources.schemas import EVENT_COLUMNS
+from trailmetrics.sources.shop_tables import Shop
+from trailmetrics.streaming import jobs
 
 Query = Callable[[Tables], DataFrame]
 
@@ -250,9 +260,339 @@ def mining_queries() -> dict[str, Query]:
     }
 
 
+def operator_queries() -> dict[str, Query]:
+    def per_event(t: Tables) -> DataFrame:
+        """Source events with their number ``k``, one row per tool call."""
+        return t.raw("events").select(
+            F.col("event_id").cast("string").alias("event_id"),
+            F.get_json_object("props", "$.k").cast("int").alias("k"), "event_type", "value", "ts", "user_id")
+
+    def raw_events(t: Tables) -> DataFrame:
+        """Events as a client might send them: text fields, some missing, some wrong."""
+        shape = F.col("event_id").cast("bigint") % 5
+        e = per_event(t)
+        given = {
+            "event_id": F.col("event_id"), "workflow_id": F.concat(F.lit("wf-"), "user_id"),
+            "timestamp": F.col("ts").cast("string"),
+            "activity": F.when(shape == 2, "  ").otherwise(F.concat(F.lit("tool_call:"), "event_type")),
+            "agent_name": F.lit("a"), "agent_role": F.lit("r"), "tool_name": F.col("event_type"),
+            "duration_ms": F.when(shape != 3, F.col("value").cast("string")),
+            "status": F.when(shape == 1, "nonsense").when(shape != 4, "success"),
+        }
+        return e.select(*[given.get(c, F.lit(None).cast("string")).alias(c) for c in EVENT_COLUMNS])
+
+    def half_null(t: Tables) -> DataFrame:
+        """Text vectors, some missing."""
+        text_vector = F.concat(F.lit("["), F.array_join(F.col("embedding").cast("array<string>"), ","), F.lit("]"))
+        return t.raw("embeddings").select("vec_id", F.when(F.col("label") != 3, text_vector).alias("embedding"))
+
+    def upserted(t: Tables) -> DataFrame:
+        even = F.substring_index("workflow_id", "-", 1).cast("bigint") % 2 == 0
+        again = t.workflow_embeddings.filter(even).select(
+            "workflow_id", F.lit("changed").alias("task_description"), "embedding",
+            F.lit("second").alias("model_version"), "created_at")
+        new = again.withColumn("workflow_id", F.concat(F.lit("new-"), "workflow_id")).withColumn(
+            "task_description", F.lit("fresh"))
+        return derived.upsert_embeddings(t.workflow_embeddings, again.unionByName(new)).select(
+            "workflow_id", "task_description", "model_version")
+
+    def replaced(t: Tables) -> DataFrame:
+        new = t.optimal_paths.filter(F.col("execution_count") >= 200).withColumn(
+            "execution_count", F.lit(0).cast("bigint"))
+        return derived.replace_paths(t.optimal_paths, new).select("task_cluster", "execution_count")
+
+    def outcomes(t: Tables) -> DataFrame:
+        k = F.col("k")
+        answer = F.when(k < 10, F.concat(F.lit('{"error":"bad '), k, F.lit('"}'))).when(
+            k < 50, F.concat(F.lit("plain "), k)).otherwise(F.concat(F.lit('{"k":'), k, F.lit("}")))
+        return ingest.with_step_outcome(per_event(t).select("event_id", answer.alias("tool_response")))
+
+    def cascade(t: Tables) -> DataFrame:
+        k = F.col("k")
+        step = F.when(k % 3 == 0, F.concat(F.lit("step-"), k)).when(k % 3 == 1, "")
+        trace = F.when(k % 2 == 0, F.concat(F.lit("trace-"), k)).otherwise("")
+        return per_event(t).select("event_id", ingest.effective_agent(step, trace, "default-agent").alias("agent"))
+
+    def merged_list(t: Tables) -> DataFrame:
+        active = dashboards.list_active_workflows(t.event_logs, t.workflow_embeddings)
+        finished = dashboards.terminal_events(t.event_logs).withColumnRenamed("step_number", "steps")
+        return reports.merged_workflow_list(active, finished)
+
+    def live_and_stored(t: Tables) -> DataFrame:
+        late = t.event_logs.filter(F.col("timestamp") >= F.lit("2024-01-20").cast("timestamp_ntz"))
+        early = t.event_logs.filter(F.col("timestamp") < F.lit("2024-01-25").cast("timestamp_ntz"))
+        both = reports.merged_events(early, late.unionByName(late))
+        return both.groupBy("activity").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+
+    def edit_to_path(t: Tables) -> DataFrame:
+        names = t.event_logs.filter(F.col("tool_name").isNotNull()).agg(
+            F.array_sort(F.collect_set("tool_name")).alias("names")).first()["names"]
+        book = F.array(*[F.lit(n) for n in names])
+        best = optimal_by_cluster(t).select("task_cluster", sequences.as_symbols(F.col("tool_sequence"), book).alias("b"))
+        return t.traces.join(best, "task_cluster").withColumn(
+            "a", sequences.as_symbols(F.col("tool_sequence"), book)
+        ).select("workflow_id", F.levenshtein("a", "b").alias("edits"),
+                 sequences.normalised_edit_distance(F.col("a"), F.col("b")).alias("ned"))
+
+    def labels(t: Tables) -> DataFrame:
+        name = F.concat(F.col("tool_name"), F.lit("_of_"), F.col("agent_name"))
+        return t.event_logs.filter(F.col("tool_name").isNotNull()).select(
+            "event_id", text.humanise(name).alias("humanised"), text.title_case(name).alias("titled"),
+            text.truncate(F.col("activity"), 12, "…").alias("short"))
+
+    def formatted(t: Tables) -> DataFrame:
+        cost = F.col("total_cost_usd").cast("double") + 1e-9
+        ms = F.col("duration_ms")
+        return terminal_events(t.event_logs).join(cost_map(t.event_logs), "workflow_id").select(
+            "workflow_id",
+            F.when(ms < 1000, text.format_duration(ms)).otherwise(text.format_duration(ms + 1e-6)).alias("duration"),
+            text.format_cost(cost).alias("cost"), text.format_timestamp(F.col("timestamp")).alias("at"),
+            text.format_count(F.floor(ms).cast("double")).alias("whole_ms"),
+            measures.latency_band(ms).alias("band"), measures.delta_label(ms, F.lit(1000.0)).alias("delta"),
+            measures.verdict(ms - 1000, True).alias("verdict"))
+
+    def primaries(t: Tables) -> DataFrame:
+        members = by_second_tool(t).withColumnRenamed("task_cluster", "cluster_label").withColumn(
+            "task_cluster", F.col("cluster_label"))
+        best = most_frequent_sequence(members, "cluster_label", "subcluster").select(
+            F.concat_ws("/", "cluster_label", "subcluster").alias("task_key"), "tool_sequence",
+            F.lit(0.0).alias("avg_duration_ms"), F.lit(0.0).alias("avg_steps"), F.lit(1.0).alias("success_rate"))
+        sizes = members.groupBy("cluster_label").agg(F.count("*").alias("runs"))
+        rest = F.aggregate("alternative_paths", F.lit(0).cast("bigint"), lambda s, p: s + p["execution_count"])
+        return analysis.primary_and_alternatives(members, best).join(sizes, "cluster_label").select(
+            "task_cluster", "tool_sequence", (F.col("runs") - rest).alias("primary_runs"),
+            F.size("alternative_paths").alias("alternatives"), rest.alias("alternative_runs"))
+
+    def embedding_clusters(t: Tables) -> DataFrame:
+        return clustering.cluster_by_embedding(t.workflow_embeddings, 0.78, 5).groupBy("cluster_label").agg(
+            F.min("workflow_id").alias("first_workflow"), F.count("*").alias("workflows"),
+            F.min("task_description").alias("first_description")).drop("cluster_label")
+
+    def prefixes(t: Tables) -> DataFrame:
+        return common_prefix_length(by_second_tool(t), "task_cluster")
+
+    def first_responses(t: Tables) -> DataFrame:
+        place = F.struct("step_number", "timestamp", "event_id")
+        return tool_calls(t.event_logs).groupBy("workflow_id", "tool_name").agg(
+            F.min_by("tool_response", place).alias("tool_response"))
+
+    def parameter_values(t: Tables) -> DataFrame:
+        return tool_calls(t.event_logs).select(
+            "tool_name", F.explode(F.from_json("tool_parameters", "map<string,string>")).alias("param", "value")
+        ).groupBy("tool_name", "param", "value").agg(F.count("*").alias("n"))
+
+    return {
+        "normalised_events": lambda t: ingest.validate(raw_events(t), strict_ids=False)[0].select(
+            "event_id", "activity", "tool_name", "status", "duration_ms", "step_number", "tool_response", "llm_model"),
+        "rejected_events": lambda t: ingest.validate(raw_events(t), strict_ids=False)[1].select("event_id", "reason"),
+        "workflow_ids": lambda t: ingest.workflow_ids(t.event_logs),
+        "workflow_events": lambda t: ingest.workflow_events(t.event_logs, first_workflow(t)).select(
+            "event_id", "activity", "step_number"),
+        "task_lookup": lambda t: ingest.task_of(t.workflow_embeddings, first_workflow(t)).select(
+            "workflow_id", "task_description", F.size("embedding").alias("dimensions")),
+        "embedding_scan": lambda t: derived.read_embeddings(half_null(t)).select(
+            "vec_id", F.size("embedding").alias("dimensions"),
+            F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("total")),
+        "upserted_embeddings": upserted,
+        "replaced_paths": replaced,
+        "cleared_paths": lambda t: derived.cleared(t.optimal_paths).select("path_id", "task_cluster"),
+        "purged_events": lambda t: derived.without_guided(t.event_logs, t.workflow_embeddings)[0]
+        .groupBy("activity").agg(F.count("*").alias("n")),
+        "purged_embeddings": lambda t: derived.without_guided(t.event_logs, t.workflow_embeddings)[1]
+        .select("workflow_id"),
+        "event_log_frame": lambda t: ingest.event_log_frame(t.event_logs),
+        "step_outcomes": outcomes,
+        "agent_cascade": cascade,
+        "tool_call_filter": lambda t: tool_calls(t.event_logs).agg(
+            F.count("*").alias("n"), F.sum("duration_ms").alias("total_ms")),
+        "trace_headers": lambda t: reports.trace_headers(t.event_logs),
+        "mode_by_role": lambda t: reports.mode_by_role(t.event_logs),
+        "merged_workflow_list": merged_list,
+        "merged_events": live_and_stored,
+        "parent_links": lambda t: ingest.steps_with_parent(t.event_logs).groupBy("parent_activity").agg(
+            F.count("*").alias("steps")),
+        "round_summary": lambda t: reports.round_summary(t.event_logs, F.to_date("timestamp").cast("string")),
+        "drawn_edges": lambda t: reports.drawn_edges(t.event_logs, t.optimal_paths),
+        "optimal_edges": lambda t: graphs.optimal_edges(t.optimal_paths),
+        "tool_differences": lambda t: reports.tool_differences(t.traces, optimal_by_cluster(t)),
+        "mode_success_rates": lambda t: analysis.mode_success_rates(t.traces, "task_cluster"),
+        "centroids": lambda t: similarity.centroid(t.raw("embeddings"), "label").select(
+            "label", F.posexplode("centroid").alias("pos", "x")),
+        "cosine_to_centroid": lambda t: reports.pair_similarity(
+            t.raw("embeddings").join(similarity.centroid(t.raw("embeddings"), "label"), "label").select(
+                "vec_id", F.col("embedding").alias("a"), F.col("centroid").alias("b"))
+        ).select("vec_id", "similarity"),
+        "similar_workflow_pairs": lambda t: similarity.match_paths(t.workflow_embeddings, t.optimal_paths, THRESHOLD),
+        "edit_distance_to_path": edit_to_path,
+        "common_prefixes": prefixes,
+        "collapsed_sequences": lambda t: t.traces.select(
+            "workflow_id", sequences.collapse_repeats(F.col("tool_sequence")).alias("collapsed")),
+        "first_responses": first_responses,
+        "parameter_values": parameter_values,
+        "retries": lambda t: anomalies.retries(t.event_logs).select("workflow_id", "step_number", "tool_name"),
+        "guidance_blocks": lambda t: t.event_logs.filter(F.col("activity") == "optimize:guided").select(
+            "workflow_id", text.guidance_block(F.col("llm_prompt")).alias("block")),
+        "cluster_labels": lambda t: t.optimal_paths.select(
+            "task_cluster", text.parent_group(F.col("task_cluster")).alias("parent"),
+            text.variant_display_name(F.col("task_cluster"), F.lit("")).alias("variant"),
+            text.truncate(F.col("task_cluster"), 5).alias("head")),
+        "tool_labels": labels,
+        "formatted_runs": formatted,
+        "node_sizes": lambda t: tool_stats(tool_calls(t.event_logs)).select(
+            "tool_name", measures.dot_radius(F.col("total_cost_usd").cast("double") * 10000).alias("radius")),
+        "primary_paths": primaries,
+        "cluster_by_embedding": embedding_clusters,
+        "cluster_names": lambda t: clustering.cluster_names(
+            t.workflow_embeddings.join(t.labels, "workflow_id").withColumn(
+                "cluster_label", F.concat(F.lit("cluster_"), "label"))),
+        "subcluster_by_trace": lambda t: clustering.subcluster_by_trace(t.traces, "task_cluster"),
+        "run_analysis": lambda t: analysis.run_analysis(t.event_logs, t.workflow_embeddings).optimal_paths.select(
+            "task_cluster", "tool_sequence", "avg_duration_ms", "avg_steps", "success_rate", "execution_count",
+            "failure_warnings", F.size("alternative_paths").alias("alternatives"),
+            F.col("decision_tree.branch_tool").alias("branch_tool")),
+    }
+
+
+def streaming_queries() -> dict[str, Query]:
+    """Streams over the stored log, run to its end; results are read from the sink."""
+    wide = "60 days"  # stored files are not in time order
+
+    def stream(t: Tables) -> DataFrame:
+        return jobs.event_stream(t.spark, location(t.event_logs), files_per_batch=3)
+
+    def finished(t: Tables, df: DataFrame) -> DataFrame:
+        path = fresh_path(t.spark, "stream")
+        jobs.append_to(df, f"{path}/out", f"{path}/checkpoint", once=True).awaitTermination()
+        return t.spark.read.schema(df.schema).parquet(f"{path}/out")
+
+    def updated(t: Tables, df: DataFrame, mode: str) -> DataFrame:
+        path = fresh_path(t.spark, "stream")
+        jobs.update_tables(df, f"{path}/out", f"{path}/checkpoint", mode, once=True).awaitTermination()
+        return t.spark.read.parquet(f"{path}/out/*")
+
+    def timeline(t: Tables) -> DataFrame:
+        rows = updated(t, jobs.daily_timeline(stream(t), wide), "update")
+        return jobs.current_states(rows, ["day"]).drop("batch_id")
+
+    def active(t: Tables) -> DataFrame:
+        rows = updated(t, jobs.workflow_states(stream(t), wide, idle_ms=90 * 86_400_000), "update")
+        latest = jobs.current_states(rows, ["workflow_id"])
+        return latest.filter(F.col("state") == "active").select("workflow_id", "steps")
+
+    def by_activity(df: DataFrame) -> DataFrame:
+        return df.groupBy("activity").agg(F.count("*").alias("n"))
+
+    return {
+        "streamed_append": lambda t: by_activity(finished(t, stream(t))),
+        "streamed_tail": lambda t: finished(t, jobs.live_tail(stream(t), first_workflow(t))).select(
+            "event_id", "activity"),
+        "streamed_deduplicated": lambda t: by_activity(
+            finished(t, jobs.without_duplicates(stream(t).union(stream(t)), wide))),
+        "streamed_active": active,
+        "streamed_timeline": timeline,
+        "streamed_completions": lambda t: finished(
+            t, jobs.completions_with_task(stream(t), t.workflow_embeddings)
+        ).select("workflow_id", "task_description", "status"),
+    }
+
+
+def shop_queries() -> dict[str, Query]:
+    def shop(t: Tables) -> Shop:
+        return Shop(t.spark, t.sf_dir)
+
+    def quotes(s: Shop) -> DataFrame:
+        return rules.shipping_quotes(s.orders, s.products, s.customers, s.warehouses, s.shipping_rates)
+
+    def totals(s: Shop) -> DataFrame:
+        oid = F.col("order_id")
+        rows = quotes(s).select(
+            "order_id", "status", "loyalty_tier", (F.col("price") * F.col("quantity")).alias("subtotal"),
+            F.when(oid % 11 == 0, 7.0).otherwise(rules.tier_discount(F.col("loyalty_tier"))).alias("discount_pct"),
+            (oid % 3 * 5).cast("double").alias("promotion_discount"), "shipping_cost")
+        right = money(F.col("subtotal") * (1 - F.col("discount_pct") / 100) - F.col("promotion_discount") + F.col("shipping_cost"))
+        return rules.reconcile_totals(rows.withColumn("total", right + F.when(oid % 10 == 0, 0.5).otherwise(0.0)))
+
+    def discounts(s: Shop) -> DataFrame:
+        key = F.col("o_orderkey")
+        asks = s.raw("orders").select(key, F.explode(F.array(F.lit(0), F.lit(1))).alias("s")).select(
+            (key * 2 + F.col("s")).alias("request_id"), F.expr("o_orderkey div 2").alias("order_id"),
+            ((key * 3 + F.col("s") * 5) % 60).alias("discount_percent"))
+        return rules.apply_discounts(asks, s.orders)
+
+    def risk(s: Shop) -> DataFrame:
+        return rules.order_risk(s.orders, s.products, s.customer_flags)
+
+    def assessments(s: Shop) -> DataFrame:
+        first = risk(s).select("order_id", (F.col("order_id") * 2).alias("assessment_id"), "decision")
+        overridden = first.filter(F.col("decision") == "review").select(
+            "order_id", (F.col("assessment_id") + 1).alias("assessment_id"), F.lit("approve").alias("decision"))
+        return rules.latest_assessments(first.unionByName(overridden))
+
+    def history(s: Shop) -> DataFrame:
+        tickets = s.raw("conversations").filter(F.col("role") == "user").select(
+            F.col("conv_id").alias("customer_id"), F.col("turn").alias("ticket_id"),
+            F.substring("text", 1, 30).alias("subject"))
+        return rules.customer_history(s.orders, s.products, tickets)
+
+    def search(s: Shop) -> DataFrame:
+        articles = s.raw("documents").select(
+            F.col("doc_id").alias("article_id"), F.substring("text", 1, 40).alias("title"),
+            F.array("lang", "source").alias("keywords"), F.col("text").alias("content"))
+        return rules.keyword_search(articles, ["the tion fr", "und der src3", "les des src1"])
+
+    def verified(s: Shop) -> DataFrame:
+        oid = F.col("order_id")
+        scenarios = s.orders.select(
+            "order_id", F.when(oid % 2 == 0, "fulfilled").otherwise("pending").alias("expected_status"),
+            F.when(oid % 5 == 0, oid + 1).alias("replacement_order_id"),
+            F.when(oid % 5 == 0, "fulfilled").alias("expected_replacement"))
+        return rules.verify_outcomes(scenarios, s.orders)
+
+    def reach(s: Shop) -> DataFrame:
+        wanted = s.orders.select(
+            "order_id", "customer_id", F.when(F.col("order_id") % 2 == 0, "sms").otherwise("email").alias("channel"))
+        return rules.reachability(wanted, s.customers)
+
+    jobs_by_name: dict[str, Callable[[Shop], DataFrame]] = {
+        "stock_locations": lambda s: rules.stock_locations(s.inventory, s.warehouses),
+        "stock_checks": lambda s: rules.stock_checks(s.orders, s.inventory),
+        "shipping_quotes": lambda s: quotes(s).select("order_id", "shipping_cost", "delivery_days"),
+        "reconcile_totals": totals,
+        "loyalty_discounts": lambda s: rules.loyalty_discounts(s.customers),
+        "apply_discounts": discounts,
+        "promotion_checks": lambda s: rules.promotion_checks(
+            s.orders, s.products, s.customers, s.promotions, s.promotion_usage),
+        "return_eligibility": lambda s: rules.return_eligibility(s.orders, s.products),
+        "refund_eligibility": lambda s: rules.refund_eligibility(s.orders, s.refunds),
+        "refund_batch": lambda s: rules.refund_batch(s.refund_requests, s.orders, s.refunds),
+        "warranty": lambda s: rules.warranty(s.orders),
+        "order_risk": risk,
+        "compliance_requirements": lambda s: rules.compliance_requirements(
+            s.orders, s.products, s.customer_flags).withColumn("requirements", F.col("requirements.type")),
+        "latest_assessments": assessments,
+        "customer_history": history,
+        "customer_totals": lambda s: rules.customer_totals(s.customers, s.orders),
+        "active_promotions": lambda s: rules.active_promotions(s.promotions),
+        "promotion_usage": lambda s: s.promotion_usage.groupBy("promotion_id", "customer_id").agg(
+            F.count("*").alias("uses")),
+        "payment_methods": lambda s: rules.payment_methods(s.customers),
+        "keyword_search": search,
+        "restock": lambda s: rules.restock(s.inventory, s.restock_schedule),
+        "net_stock": lambda s: rules.net_stock(s.inventory, s.reservations),
+        "wallet_ledger": lambda s: rules.wallet_ledger(s.payments, s.customers),
+        "verify_outcomes": verified,
+        "reachability": reach,
+        "shipping_status": lambda s: rules.shipping_status(s.orders, s.tracking),
+    }
+    return {name: (lambda t, f=job: f(shop(t))) for name, job in jobs_by_name.items()}
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     collected: dict[str, Query] = {}
-    for part in (dashboard_queries(), cluster_queries(), mining_queries()):
+    for part in (
+        dashboard_queries(), cluster_queries(), mining_queries(), operator_queries(), streaming_queries(),
+        shop_queries(),
+    ):
         collected.update(part)
     return {
         name: (lambda spark, sf_dir, f=function: tidy(f(load_tables(spark, sf_dir))))

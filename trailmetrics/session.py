@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that cache)
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,6 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new folder name under the shared folder."""
+    return f"{shared_dir(spark)}/trailmetrics/{label}-{uuid.uuid4().hex}"
+
+
+def location(df: DataFrame) -> str:
+    """Folder of a stored table."""
+    return df.inputFiles()[0].rsplit("/", 1)[0]
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -37,6 +46,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     many queries read: the lineage ends at files that survive a lost executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/trailmetrics/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
