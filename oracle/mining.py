@@ -216,8 +216,8 @@ WHERE list_max(list_transform(recent, lambda x: len(list_filter(recent, lambda y
     "pareto_front": query(f"SELECT {PATH_COLUMNS} FROM front", **SEARCH),
     "find_pareto_paths": query(f"SELECT {PATH_COLUMNS}, round(score, 4) AS score, pareto_rank FROM ranked", **SEARCH),
     "knee_points": query(f"SELECT {PATH_COLUMNS}, round(score, 4) AS score, pareto_rank FROM ranked WHERE pareto_rank = 0", **SEARCH),
-    "missing_step_warnings": query("SELECT task_cluster, kind, pos, param, warning FROM missing_steps", **warn(0.2, 0.2)),
-    "parameter_warnings": query("SELECT task_cluster, kind, pos, param, warning FROM diverging", **warn(0.2, 0.2)),
+    "missing_step_warnings": query("SELECT task_cluster, CAST(kind AS BIGINT) AS kind, pos, param, warning FROM missing_steps", **warn(0.2, 0.2)),
+    "parameter_warnings": query("SELECT task_cluster, CAST(kind AS BIGINT) AS kind, pos, param, warning FROM diverging", **warn(0.2, 0.2)),
     "failure_warnings": query("""
 SELECT task_cluster, array_to_string(list_transform(list_sort(list((kind, pos, param, warning)))[1:3], lambda w: w[4]), '>') AS failure_warnings
 FROM (SELECT * FROM missing_steps UNION ALL SELECT * FROM diverging) GROUP BY 1""", **warn(0.7, 0.4)),

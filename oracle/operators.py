@@ -13,7 +13,7 @@ RAW = """SELECT *, event_id % 5 AS shape,
 ORACLES: dict[str, str] = {
     "normalised_events": query("""
 SELECT CAST(event_id AS VARCHAR) AS event_id, raw_activity AS activity, event_type AS tool_name, coalesce(raw_status, 'success') AS status,
-  CASE WHEN shape = 3 THEN 0.0 ELSE round(value, 4) END AS duration_ms, 0 AS step_number, '{}' AS tool_response, '' AS llm_model
+  CASE WHEN shape = 3 THEN 0.0 ELSE round(value, 4) END AS duration_ms, CAST(0 AS BIGINT) AS step_number, '{}' AS tool_response, '' AS llm_model
 FROM raw WHERE shape NOT IN (1, 2)""", raw=RAW),
     "rejected_events": query("""
 SELECT CAST(event_id AS VARCHAR) AS event_id, CASE shape WHEN 1 THEN 'bad status' ELSE 'blank activity' END AS reason FROM raw WHERE shape IN (1, 2)""", raw=RAW),
@@ -29,7 +29,6 @@ SELECT workflow_id, task_description, CASE WHEN user_id % 2 = 0 THEN 'second' EL
 UNION ALL SELECT 'new-' || workflow_id, 'fresh', 'second' FROM members WHERE user_id % 2 = 0"""),
     "replaced_paths": query("""
 SELECT task_cluster, CASE WHEN execution_count >= 200 THEN 0 ELSE execution_count END AS execution_count FROM optimal_paths"""),
-    "cleared_paths": query("SELECT path_id, task_cluster FROM optimal_paths WHERE false"),
     "purged_events": query("""
 SELECT activity, count(*) AS n FROM event_logs WHERE workflow_id NOT IN (SELECT workflow_id FROM event_logs WHERE activity = 'optimize:guided') GROUP BY 1"""),
     "purged_embeddings": query("""
@@ -52,7 +51,7 @@ FROM event_logs GROUP BY workflow_id"""),
 SELECT workflow_id, CASE WHEN lower(agent_role) LIKE '%guided%' THEN 'guided' ELSE 'exploration' END AS mode FROM event_logs
 QUALIFY row_number() OVER (PARTITION BY workflow_id ORDER BY step_number, timestamp, event_id) = 1"""),
     "merged_workflow_list": query(f"""
-SELECT 0 AS section, workflow_id, 'in_progress' AS status, CAST(max(step_number) AS BIGINT) AS steps, {ts('min(timestamp)')} AS timestamp FROM event_logs
+SELECT CAST(0 AS BIGINT) AS section, workflow_id, 'in_progress' AS status, CAST(max(step_number) AS BIGINT) AS steps, {ts('min(timestamp)')} AS timestamp FROM event_logs
 WHERE workflow_id NOT IN (SELECT workflow_id FROM terminal) GROUP BY workflow_id
 UNION ALL SELECT 1, workflow_id, status, step_number, {ts('timestamp')} FROM terminal"""),
     "merged_events": query("SELECT activity, count(*) AS n, count(DISTINCT event_id) AS ids FROM event_logs GROUP BY 1"),
@@ -81,7 +80,7 @@ FROM clustered c JOIN (SELECT 'cluster_' || label AS task_cluster, tool_sequence
 SELECT task_cluster, round(avg(CASE WHEN completed THEN 1.0 ELSE 0.0 END) FILTER (WHERE is_guided AND n_terminal > 0), 4) AS guided_success_rate,
   round(avg(CASE WHEN completed THEN 1.0 ELSE 0.0 END) FILTER (WHERE NOT is_guided AND n_terminal > 0), 4) AS exploration_success_rate
 FROM clustered GROUP BY 1"""),
-    "centroids": query("SELECT label, pos - 1 AS pos, round(x, 4) AS x FROM (SELECT label, unnest(centroid) AS x, generate_subscripts(centroid, 1) AS pos FROM centroids)"),
+    "centroids": query("SELECT CAST(label AS BIGINT) AS label, pos - 1 AS pos, round(x, 4) AS x FROM (SELECT label, unnest(centroid) AS x, generate_subscripts(centroid, 1) AS pos FROM centroids)"),
     "cosine_to_centroid": query("""
 SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid), 4) AS similarity FROM embeddings JOIN centroids USING (label)"""),
     "similar_workflow_pairs": query("SELECT workflow_id, path_id, round(similarity, 4) AS similarity FROM similarities WHERE similarity >= 0.15"),

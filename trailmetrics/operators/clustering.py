@@ -379,7 +379,9 @@ def cluster_by_embedding(
     """
     present = embeddings.filter(F.col("embedding").isNotNull())
     items = present.select(F.col("workflow_id").alias("item"), "embedding")
-    assigned = cluster_vectors(items, round(1.0 - similarity_threshold, 12))
+    assigned = materialize(
+        cluster_vectors(items, round(1.0 - similarity_threshold, 12)), "vector-clusters"
+    )
     only_one = assigned.limit(2).count() == 1
     sizes = assigned.groupBy("cluster").agg(F.count("*").alias("size")).filter(
         F.lit(only_one) | (F.col("size") >= min_executions)
@@ -418,7 +420,9 @@ def subcluster_by_trace(
         "codes", F.coalesce("codes", F.expr("cast(array() as array<int>)"))
     )
     assigned = cluster_sequences(items, ned_threshold)
-    members = shapes.join(assigned, ["part", "item"]).select("part", "workflow_id", "cluster")
+    members = materialize(
+        shapes.join(assigned, ["part", "item"]).select("part", "workflow_id", "cluster"), "shape-members"
+    )
     sizes = members.groupBy("part", "cluster").agg(F.count("*").alias("size"))
     labels = _ranked(sizes, ["part"], "subcluster_", "subcluster")
     return members.join(labels, ["part", "cluster"]).select(

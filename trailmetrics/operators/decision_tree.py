@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from trailmetrics.functions.sequences import collapse_repeats, suffix_after
 from trailmetrics.functions.text import humanise
 from trailmetrics.operators.traces import common_prefix_length
+from trailmetrics.session import materialize
 
 MAX_UNIQUE = 5
 
@@ -130,9 +131,11 @@ def branch_rows(
     event_logs: DataFrame, members: DataFrame, key: str = "task_cluster"
 ) -> DataFrame:
     """One row per branch, with the cluster's prefix, branch tool and condition."""
-    reps = representatives(members, key)
-    split = branching(reps, key)
-    profiles = value_profiles(branch_responses(event_logs, members, split, key), key)
+    reps = materialize(representatives(members, key), "representatives")
+    split = materialize(branching(reps, key), "branching")
+    profiles = materialize(
+        value_profiles(branch_responses(event_logs, members, split, key), key), "value-profiles"
+    )
     conditions = condition_keys(discriminating_fields(profiles, key), key)
     values = (
         profiles.join(conditions, key).filter(F.col("field") == F.col("condition_key"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmetrics.functions.measures import is_terminal, success_value
-from trailmetrics.operators.ordering import step_block
+from trailmetrics.operators.ordering import hour_block, step_block
 from trailmetrics.sources.schemas import COMPLETE, GUIDED
 
 
@@ -59,13 +59,20 @@ def build_traces(event_logs: DataFrame, extra_keys: tuple[str, ...] = ()) -> Dat
     return parts.withColumn("total_steps", F.size("tool_sequence"))
 
 
-def sequences_by_time(calls: DataFrame) -> DataFrame:
-    """Tool sequence per workflow in timestamp order (the variants report uses it)."""
-    return calls.groupBy("workflow_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("timestamp", "step_number", "event_id", "tool_name"))),
-            lambda c: c["tool_name"],
-        ).alias("tool_seq")
+def ordered_sequences(calls: DataFrame, by_time: bool = False) -> DataFrame:
+    """Tool sequence per workflow, in step order or (the variants report) in time order.
+
+    Sorted inside blocks first, like ``build_traces``.
+    """
+    order = ["timestamp", "step_number"] if by_time else ["step_number", "timestamp"]
+    block = hour_block() if by_time else step_block()
+    sorted_blocks = calls.withColumn("block", block).groupBy("workflow_id", "block").agg(
+        F.array_sort(F.collect_list(F.struct(*order, "event_id", "tool_name")))["tool_name"].alias("tools")
+    )
+    return sorted_blocks.groupBy("workflow_id").agg(
+        F.flatten(
+            F.transform(F.array_sort(F.collect_list(F.struct("block", "tools"))), lambda b: b["tools"])
+        ).alias("tool_sequence")
     )
 
 

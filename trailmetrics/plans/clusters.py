@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from trailmetrics.operators.events import (
 )
 from trailmetrics.operators.graphs import graph_nodes, transitions
 from trailmetrics.operators.similarity import best_similarity, match_paths, nearest_description
-from trailmetrics.operators.traces import sequences_by_time
+from trailmetrics.operators.traces import ordered_sequences
 from trailmetrics.plans.dashboards import mode_statistics
 
 
@@ -114,35 +112,24 @@ def cluster_mode_stats(
     return mode_statistics(workflow_rollup(scoped_events(event_logs, matched)))
 
 
-def _sequences(calls: DataFrame) -> DataFrame:
-    return calls.groupBy("workflow_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("step_number", "timestamp", "event_id", "tool_name"))),
-            lambda c: c["tool_name"],
-        ).alias("tools")
-    )
-
-
 def average_conformance(
     event_logs: DataFrame, embeddings: DataFrame, paths: DataFrame,
     path_ids: list[str], threshold: float,
 ) -> DataFrame:
     """Mean position-wise conformance of the matched workflows to their best path.
 
-    The paths of one group are few and given by id, so they become literals and no
-    join of workflows with paths takes place.
+    The paths are those of one group, given by id; they become one literal array and
+    each distinct sequence is scored once, so no join of workflows with paths takes
+    place.
     """
     matched = matched_workflows(embeddings, paths, path_ids, threshold)
-    sequences = _sequences(tool_calls(scoped_events(event_logs, matched)))
+    sequences = ordered_sequences(tool_calls(scoped_events(event_logs, matched)))
     wanted = [r["tool_sequence"] for r in select_paths(paths, path_ids).select("tool_sequence").collect()]
-    scores = [
-        conformance_to_longest(F.col("tools"), F.array(*[F.lit(t) for t in seq]))
-        for seq in wanted if seq
-    ]
-    best = reduce(F.greatest, scores) if scores else F.lit(0.0)
+    known = F.array(*[F.array(*[F.lit(t) for t in seq]) for seq in wanted if seq])
+    best = F.array_max(F.transform(known, lambda p: conformance_to_longest(F.col("tool_sequence"), p)))
     return (
-        sequences.groupBy("tools").agg(F.count("*").alias("n"))
-        .withColumn("score", F.coalesce(best, F.lit(0.0)))
+        sequences.groupBy("tool_sequence").agg(F.count("*").alias("n"))
+        .withColumn("score", F.coalesce(best, F.lit(0.0)) if any(wanted) else F.lit(0.0))
         .agg(ratio(F.sum(F.col("score") * F.col("n")), F.sum("n")).alias("avg_conformance"))
     )
 
@@ -168,8 +155,8 @@ def group_distinct_paths(event_logs, embeddings, paths, path_ids, threshold) ->
     """Distinct tool sequences (in time order) of a group's workflows with counts."""
     matched = matched_workflows(embeddings, paths, path_ids, threshold)
     return (
-        sequences_by_time(tool_calls(scoped_events(event_logs, matched)))
-        .groupBy(F.col("tool_seq").alias("tool_sequence"))
+        ordered_sequences(tool_calls(scoped_events(event_logs, matched)), by_time=True)
+        .groupBy("tool_sequence")
         .agg(F.count("*").alias("workflow_count"))
         .orderBy(F.desc("workflow_count"), "tool_sequence")
     )

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from trailmetrics.functions import text
 from trailmetrics.functions.measures import change_percent, conformance_band
-from trailmetrics.functions.sequences import alignment, conformance_to_shortest
+from trailmetrics.functions.sequences import alignment
+from trailmetrics.operators.matching import best_paths
+from trailmetrics.operators.ordering import running_total
 from trailmetrics.operators.similarity import nearest_path
 
 # Default parameters.
@@ -169,39 +171,25 @@ def best_path_match(sequences: DataFrame, paths: DataFrame) -> DataFrame:
     """Best matching stored path of each sequence (``tool_sequence``, not empty).
 
     Score = equal positions over the shorter length; ties go to the path that comes
-    first (most executions, then name).  Each distinct sequence is scored once, and
-    the list of paths travels as one array, so no pairs are emitted.  The array
-    holds one row per task cluster; it is built by an aggregate and joined, and
-    Spark broadcasts it only when its size allows.
+    first (most executions, then name).  Each distinct sequence is scored once.
     """
-    listed = paths.select(
-        F.struct(
-            (-F.col("execution_count")).alias("o"), "task_cluster", "path_id", "tool_sequence",
-            "avg_duration_ms", "avg_steps", "success_rate", "execution_count",
-        ).alias("p")
-    ).agg(F.array_sort(F.collect_list("p")).alias("known")).withColumn("one", F.lit(1))
+    ordered = paths.select(
+        "task_cluster", "path_id", "tool_sequence", "avg_duration_ms", "avg_steps", "success_rate",
+        "execution_count", (-F.col("execution_count")).alias("o"), F.lit(1).alias("one"),
+    )
+    placed = running_total(ordered, [], ["o", "task_cluster"], "one", "at").drop("o", "one")
     scored = (
-        sequences.filter(F.size("tool_sequence") > 0)
-        .select("tool_sequence").distinct()
-        .withColumn("one", F.lit(1))
-        .join(listed, "one")
-        .withColumn(
-            "scores",
-            F.transform("known", lambda p: conformance_to_shortest(F.col("tool_sequence"), p["tool_sequence"])),
-        )
-        .withColumn("score", F.array_max("scores"))
-        .withColumn("best", F.get("known", (F.array_position("scores", F.col("score")) - 1).cast("int")))
-        .filter(F.col("best").isNotNull())
-        .select(
-            "tool_sequence", "score",
-            F.col("best.path_id").alias("path_id"),
-            F.col("best.task_cluster").alias("task_cluster"),
-            F.col("best.tool_sequence").alias("optimal_sequence"),
-            F.col("best.avg_duration_ms").alias("optimal_duration_ms"),
-            F.col("best.avg_steps").alias("optimal_steps"),
-            F.col("best.success_rate").alias("optimal_success_rate"),
-            F.col("best.execution_count").alias("optimal_executions"),
+        best_paths(sequences, placed.select("at", "tool_sequence"))
+        .join(
+            placed.select(
+                "at", "path_id", "task_cluster", F.col("tool_sequence").alias("optimal_sequence"),
+                F.col("avg_duration_ms").alias("optimal_duration_ms"), F.col("avg_steps").alias("optimal_steps"),
+                F.col("success_rate").alias("optimal_success_rate"),
+                F.col("execution_count").alias("optimal_executions"),
+            ),
+            "at",
         )
+        .drop("at")
     )
     return scored.withColumn("alignment", alignment(F.col("tool_sequence"), F.col("optimal_sequence")))
 

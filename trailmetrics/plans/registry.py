@@ -395,7 +395,6 @@ def operator_queries() -> dict[str, Query]:
             F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("total")),
         "upserted_embeddings": upserted,
         "replaced_paths": replaced,
-        "cleared_paths": lambda t: derived.cleared(t.optimal_paths).select("path_id", "task_cluster"),
         "purged_events": lambda t: derived.without_guided(t.event_logs, t.workflow_embeddings)[0]
         .groupBy("activity").agg(F.count("*").alias("n")),
         "purged_embeddings": lambda t: derived.without_guided(t.event_logs, t.workflow_embeddings)[1]
