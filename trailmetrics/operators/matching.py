@@ -89,7 +89,7 @@ def best_paths_by_blocks(
 
     def score(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         if some.empty or others.empty:
-            return pd.DataFrame({"tool_sequence": [], "at": [], "score": []})
+            return pd.DataFrame(columns=["tool_sequence", "at", "score"], dtype=object)
         others = others.sort_values("at")
         found, points = best_of(list(some["tool_sequence"]), list(others["tool_sequence"]))
         return pd.DataFrame({
