@@ -8,8 +8,9 @@ from oracle.base import query
 MODEL = {
     "model": """SELECT c.task_cluster, m.source, m.target, count(*) AS frequency FROM moves_by_time m JOIN clustered c USING (workflow_id)
 WHERE c.success GROUP BY ALL HAVING count(*) >= 10""",
-    "checked": """SELECT c.task_cluster, m.workflow_id, m.source, m.target, d.source IS NOT NULL AS allowed
-FROM moves_by_time m JOIN clustered c USING (workflow_id) LEFT JOIN model d ON d.task_cluster = c.task_cluster AND d.source = m.source AND d.target = m.target""",
+    "checked": """SELECT * FROM (SELECT c.task_cluster, m.workflow_id, m.source, m.target, d.source IS NOT NULL AS allowed
+FROM moves_by_time m JOIN clustered c USING (workflow_id) LEFT JOIN model d ON d.task_cluster = c.task_cluster AND d.source = m.source AND d.target = m.target)
+WHERE task_cluster IN (SELECT task_cluster FROM model)""",
 }
 
 # ---- path search ---------------------------------------------------------------------

@@ -133,6 +133,7 @@ def model_quality(
     fitness = mean over runs of (moves allowed by the model / moves);
     precision = sum over states of visits * observed allowed moves
                 / sum over states of visits * allowed moves  (escaping edges).
+    Clusters without a model have no row.
     """
     allowed = model.select(key, "source", "target", F.lit(True).alias("allowed"))
     checked = (
@@ -159,10 +160,7 @@ def model_quality(
         .agg((F.sum(F.col("visits") * F.col("used")) / F.sum(F.col("visits") * F.col("options")))
              .alias("precision"))
     )
-    return fitness.join(precision, key, "left").select(
-        key, F.when(F.col("precision").isNotNull(), F.col("fitness")).otherwise(0.0).alias("fitness"),
-        F.coalesce("precision", F.lit(0.0)).alias("precision"),
-    )
+    return fitness.join(precision, key)
 
 
 def model_deviations(
