@@ -92,6 +92,8 @@ def test_embedding_clusters(spark):
     assert sorted({r["cluster_label"] for r in two}) == ["cluster_0", "cluster_1"]
     assert cluster_by_embedding(vectors(spark, [[1.0, 0.0], None]), 0.9, 3).count() == 1
     assert cluster_by_embedding(vectors(spark, [None]), 0.9, 3).count() == 0
+    mixed = cluster_by_embedding(vectors(spark, [[1.0, 0.0]] * 2 + [[1.0]] * 2), 0.9, 1).collect()
+    assert len({r["cluster_label"] for r in mixed}) == 2
 
 
 def test_zero_vectors_stay_apart(spark):

@@ -157,11 +157,12 @@ def cluster_vectors(items: DataFrame, cut: float, block_rows: int = VECTOR_BLOCK
 
     ``items`` has ``item`` and a vector column ``embedding``.  The mean distance of
     two clusters is 1 minus the product of the means of their unit vectors, so a
-    cluster is one row: its size and the sum of its unit vectors.
+    cluster is one row: its size and the sum of its unit vectors.  Vectors of unequal
+    length are never similar, so each length is a part of its own.
     """
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
     unit = items.withColumn("_len", length).select(
-        "item",
+        "item", F.size("embedding").cast("string").alias("part"),
         F.transform(
             "embedding", lambda x: F.when(F.col("_len") > 0, x / F.col("_len")).otherwise(F.lit(0.0))
         ).alias("total"),
@@ -169,18 +170,18 @@ def cluster_vectors(items: DataFrame, cut: float, block_rows: int = VECTOR_BLOCK
         F.when(F.col("_len") > 0, F.sha2(F.concat_ws(",", F.col("embedding").cast("array<string>")), 256))
         .otherwise(F.col("item")).alias("copy"),
     )
-    first = unit.groupBy("copy").agg(
+    first = unit.groupBy("part", "copy").agg(
         F.min("item").alias("cluster"), F.first("total").alias("one"), F.count("*").alias("size")
     )
     state = materialize(
         first.select(
-            F.lit("").alias("part"), "cluster", F.col("size").cast("double").alias("size"),
+            "part", "cluster", F.col("size").cast("double").alias("size"),
             F.transform("one", lambda x: x * F.col("size")).alias("total"),
         ),
         "vector-state",
     )
     member = materialize(
-        unit.join(first.select("copy", "cluster"), "copy").select(F.lit("").alias("part"), "item", "cluster"),
+        unit.join(first.select("part", "copy", "cluster"), ["part", "copy"]).select("part", "item", "cluster"),
         "vector-members",
     )
     if state.count() <= block_rows:

@@ -82,18 +82,23 @@ def match_paths(
 
     ``keep`` = ``all`` matches, or per batch only the ``best_path`` of a workflow or
     the ``best_workflow`` of a path (callers then take the best over batches).
-    Both inputs have their id and ``embedding``; NULL embeddings match nothing.
+    Both inputs have their id and ``embedding``; NULL embeddings and vectors of another
+    length than the paths' match nothing.
     """
     left = workflows.filter(F.col("embedding").isNotNull()).select("workflow_id", "embedding")
     right = paths.filter(F.col("embedding").isNotNull()).select("path_id", "embedding")
     size = right.agg(
-        F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")
+        F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim"),
+        F.min(F.size("embedding")).alias("least"),
     ).first()
     if not size["n"]:
         return left.select(
             "workflow_id", F.lit(None).cast("string").alias("path_id"),
             F.lit(None).cast("double").alias("similarity"),
         ).filter(F.lit(False))
+    if size["least"] != size["dim"]:
+        raise ValueError("path vectors differ in length")
+    left = left.filter(F.size("embedding") == size["dim"])
     if size["n"] * size["dim"] <= MATRIX_LIMIT:
         return _match_against_matrix(left, right, threshold, keep)
     return _match_by_blocks(left, right, threshold, keep, size["n"])

@@ -18,9 +18,8 @@ from trailmetrics.functions.measures import is_terminal, success_value
 from trailmetrics.sources.ingest import parse_lines, validate
 from trailmetrics.sources.schemas import EVENT_LOG_DDL
 
-# How often a buffer is flushed and how many events it holds.
+# Fixed value: how often new events are written.
 FLUSH_SECONDS = 5
-FLUSH_EVENTS = 50
 DEFAULT_DELAY = "1 hour"
 
 
