@@ -24,7 +24,8 @@ from trailmetrics.operators.ordering import running_total
 from trailmetrics.session import materialize
 
 VECTOR_BLOCK = 2048
-SEQUENCE_BLOCK = 512
+SEQUENCE_BLOCK = 2048
+SLICE_ROWS = 128  # rows of a block whose distances are worked out together
 NEAREST_DDL = "part string, cluster string, partner string, d double"
 
 
@@ -220,19 +221,22 @@ def cluster_vectors(items: DataFrame, cut: float, block_rows: int = VECTOR_BLOCK
 # --- level 2: normalised edit distance of sequences --------------------------------
 
 
-def edit_distances(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Edit distance of every pair of two lists of code arrays, all pairs at once."""
-    len_a, len_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    wide_a, wide_b = int(len_a.max(initial=0)), int(len_b.max(initial=0))
-    left = np.full((len(a), wide_a), -1, dtype="int32")
-    right = np.full((len(b), wide_b), -2, dtype="int32")
-    for i, x in enumerate(a):
-        left[i, : len(x)] = x
-    for j, x in enumerate(b):
-        right[j, : len(x)] = x
-    row = np.broadcast_to(np.arange(wide_b + 1, dtype="int32")[:, None, None], (wide_b + 1, len(a), len(b))).copy()
-    columns = np.arange(len(b))
-    result = np.zeros((len(a), len(b)), dtype="int32")
+def _padded(codes: list[np.ndarray], width: int, filler: int) -> np.ndarray:
+    out = np.full((len(codes), width), filler, dtype="int32")
+    for i, x in enumerate(codes):
+        out[i, : len(x)] = x
+    return out
+
+
+def _edit_slice(a: list[np.ndarray], len_b: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Edit distances of a slice of sequences to all sequences of the other side."""
+    len_a = np.array([len(x) for x in a])
+    wide_a, wide_b = int(len_a.max(initial=0)), right.shape[1]
+    left = _padded(a, wide_a, -1)
+    start = np.arange(wide_b + 1, dtype="int32")[:, None, None]
+    row = np.broadcast_to(start, (wide_b + 1, len(a), len(len_b))).copy()
+    columns = np.arange(len(len_b))
+    result = np.zeros((len(a), len(len_b)), dtype="int32")
 
     def keep(done: int) -> None:
         for i in np.nonzero(len_a == done)[0]:
@@ -250,6 +254,22 @@ def edit_distances(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return result
 
 
+def edit_distances(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Edit distance of every pair of two lists of code arrays.
+
+    Slices of rows, longest sequences together, keep the working set small and let
+    short sequences stop early.
+    """
+    len_b = np.array([len(x) for x in b])
+    right = _padded(b, int(len_b.max(initial=0)), -2)
+    result = np.zeros((len(a), len(b)), dtype="int32")
+    by_length = np.argsort([len(x) for x in a], kind="stable")
+    for at in range(0, len(a), SLICE_ROWS):
+        rows = by_length[at: at + SLICE_ROWS]
+        result[rows] = _edit_slice([a[i] for i in rows], len_b, right)
+    return result
+
+
 def _sequence_distances(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
     a, b = [np.asarray(x) for x in left["codes"]], [np.asarray(x) for x in right["codes"]]
     total = np.add.outer([len(x) for x in a], [len(x) for x in b])
