@@ -56,7 +56,7 @@ FROM ledger l JOIN entries e ON e.payment_id = l.payment_id AND e.rn = l.rn + 1"
     "words": """SELECT q, unnest(string_split(q, ' ')) AS w FROM (SELECT unnest(['the tion fr', 'und der src3', 'les des src1']) AS q)""",
     "scores": """SELECT q AS query, doc_id AS article_id, title, CAST(sum(2 * CAST(contains(lower(title), w) AS INTEGER) + CAST(contains(lower(text), w) AS INTEGER)
   + CAST(contains(lang, w) AS INTEGER) + CAST(contains(source, w) AS INTEGER)) AS BIGINT) AS score
-FROM (SELECT *, substring(text, 1, 40) AS title FROM documents), words GROUP BY ALL""",
+FROM (SELECT *, source || ' ' || lang AS title FROM documents), words GROUP BY ALL""",
 }
 
 
@@ -100,7 +100,7 @@ FROM buys JOIN products USING (product_id)"""),
   CAST(high AS BIGINT) + CAST(flagged AS BIGINT) AS total_checks FROM valued"""),
     "latest_assessments": shop("SELECT order_id, order_id * 2 + 1 AS assessment_id, 'approve' AS decision FROM risk WHERE decision = 'review' UNION ALL SELECT order_id, order_id * 2, decision FROM risk WHERE decision <> 'review'"),
     "customer_history": shop("""SELECT customer_id, 'order' AS kind, order_id AS item_id, product AS subject, round(total, 4) AS amount, CAST(order_date AS VARCHAR) AS order_date FROM buys JOIN products USING (product_id)
-UNION ALL SELECT conv_id, 'ticket', turn, substring(text, 1, 30), NULL, NULL FROM conversations WHERE role = 'user'"""),
+UNION ALL SELECT conv_id, 'ticket', turn, text, NULL, NULL FROM conversations WHERE role = 'user'"""),
     "customer_totals": shop("""SELECT s.customer_id, s.name, s.loyalty_tier, count(b.order_id) AS n_orders, round(coalesce(CAST(sum(CAST(b.total AS DECIMAL(18,2))) AS DOUBLE), 0), 4) AS total_spent
 FROM shoppers s LEFT JOIN buys b USING (customer_id) GROUP BY ALL"""),
     "active_promotions": shop("SELECT promotion_id AS product_id, promotion_id, promo_type, round(discount_value, 4) AS discount_value FROM promos WHERE active"),

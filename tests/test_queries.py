@@ -111,8 +111,8 @@ def test_block_matching_equals_matrix(spark, keep):
             out[key] = max(out.get(key, (-9, "")), (round(s, 9), w + p))
         return out
 
-    one = similarity._match_against_matrix(left, right, 0.3, keep)
-    other = similarity._match_by_blocks(left, right, 0.3, keep, 12, block_rows=5)
+    one = similarity.match_against_matrix(left, right, 0.3, keep)
+    other = similarity.match_by_blocks(left, right, 0.3, keep, 12, block_rows=5)
     assert best(one) == best(other) and len(best(one)) > 5
 
 

@@ -49,26 +49,27 @@ def unit_rows(vectors: list) -> np.ndarray:
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
 
-def _hits(similarity: np.ndarray, threshold: float, keep: str) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs to emit: all within the threshold, or the best per row / column."""
+def _hits(
+    similarity: np.ndarray, threshold: float, keep: str
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, similarity) to emit: all within the threshold, or the best per row or
+    column.  Ties up to 9 digits go to the first; the value is the exact maximum."""
     if keep == "all":
-        return np.nonzero(similarity >= threshold)
+        row, col = np.nonzero(similarity >= threshold)
+        return row, col, similarity[row, col]
     axis = 1 if keep == "best_path" else 0
     best = np.round(similarity, 9).argmax(axis=axis)
-    other = np.arange(len(best))
-    row, col = (other, best) if axis == 1 else (best, other)
-    within = similarity[row, col] >= threshold
-    return row[within], col[within]
+    top = similarity.max(axis=axis)
+    within = np.nonzero(top >= threshold)[0]
+    row, col = (within, best[within]) if axis == 1 else (best[within], within)
+    return row, col, top[within]
 
 
 def _score(left: pd.DataFrame, names: np.ndarray, matrix: np.ndarray, threshold: float, keep: str):
     left = left.sort_values("workflow_id")
-    similarity = unit_rows(list(left["embedding"])) @ matrix.T
-    row, col = _hits(similarity, threshold, keep)
+    row, col, similarity = _hits(unit_rows(list(left["embedding"])) @ matrix.T, threshold, keep)
     return pd.DataFrame({
-        "workflow_id": left["workflow_id"].to_numpy()[row],
-        "path_id": names[col],
-        "similarity": similarity[row, col],
+        "workflow_id": left["workflow_id"].to_numpy()[row], "path_id": names[col], "similarity": similarity,
     })
 
 
@@ -80,10 +81,10 @@ def match_paths(
 ) -> DataFrame:
     """(workflow_id, path_id, similarity) with cosine >= threshold.
 
-    ``keep`` = ``all`` matches, or per batch only the ``best_path`` of a workflow or
-    the ``best_workflow`` of a path (callers then take the best over batches).
-    Both inputs have their id and ``embedding``; NULL embeddings and vectors of another
-    length than the paths' match nothing.
+    ``keep``: ``all`` matches, only the ``best_path`` of each workflow, or only the
+    ``best_workflow`` of each path (ties: smallest id).  Both inputs have their id and
+    ``embedding``; NULL embeddings and vectors of another length than the paths' match
+    nothing.
     """
     left = workflows.filter(F.col("embedding").isNotNull()).select("workflow_id", "embedding")
     right = paths.filter(F.col("embedding").isNotNull()).select("path_id", "embedding")
@@ -100,11 +101,25 @@ def match_paths(
         raise ValueError("path vectors differ in length")
     left = left.filter(F.size("embedding") == size["dim"])
     if size["n"] * size["dim"] <= MATRIX_LIMIT:
-        return _match_against_matrix(left, right, threshold, keep)
-    return _match_by_blocks(left, right, threshold, keep, size["n"])
+        matches = match_against_matrix(left, right, threshold, keep)
+        # A workflow is in one batch only, so its best path is final.
+        return matches if keep != "best_workflow" else _best(matches, "path_id", "workflow_id")
+    matches = match_by_blocks(left, right, threshold, keep, size["n"])
+    if keep == "all":
+        return matches
+    return _best(matches, *(("workflow_id", "path_id") if keep == "best_path" else ("path_id", "workflow_id")))
+
+
+def _best(matches: DataFrame, key: str, other: str) -> DataFrame:
+    order = F.struct(-F.round("similarity", 9), F.col(other))
+    return (
+        matches.groupBy(key)
+        .agg(F.min_by(other, order).alias(other), F.max("similarity").alias("similarity"))
+        .select("workflow_id", "path_id", "similarity")
+    )
 
 
-def _match_against_matrix(
+def match_against_matrix(
     left: DataFrame, right: DataFrame, threshold: float, keep: str
 ) -> DataFrame:
     rows = right.orderBy("path_id").collect()  # bounded by MATRIX_LIMIT
@@ -122,7 +137,7 @@ def _match_against_matrix(
     return left.mapInPandas(score, MATCH_DDL)
 
 
-def _match_by_blocks(
+def match_by_blocks(
     left: DataFrame, right: DataFrame, threshold: float, keep: str, n_right: int,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
@@ -140,7 +155,7 @@ def _match_by_blocks(
 
     def score(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         if some.empty or others.empty:
-            return pd.DataFrame({"workflow_id": [], "path_id": [], "similarity": []})
+            return pd.DataFrame(columns=["workflow_id", "path_id", "similarity"], dtype=object)
         others = others.sort_values("path_id")
         names = others["path_id"].to_numpy()
         return _score(some, names, unit_rows(list(others["embedding"])), threshold, keep)
@@ -150,17 +165,7 @@ def _match_by_blocks(
 
 def nearest_path(workflows: DataFrame, paths: DataFrame) -> DataFrame:
     """The most similar path of each workflow (ties: smallest path id)."""
-    return (
-        match_paths(workflows, paths, -2.0, keep="best_path")
-        .groupBy("workflow_id")
-        .agg(
-            F.min_by(
-                F.struct("path_id", "similarity"),
-                F.struct(-F.round("similarity", 9), F.col("path_id")),
-            ).alias("best")
-        )
-        .select("workflow_id", "best.path_id", "best.similarity")
-    )
+    return match_paths(workflows, paths, -2.0, keep="best_path")
 
 
 def nearest_description(
@@ -170,16 +175,7 @@ def nearest_description(
 
     Ties go to the smallest workflow id.  Paths without a match are not returned.
     """
-    matched = match_paths(workflows, paths, threshold, keep="best_workflow")
-    best = matched.groupBy("path_id").agg(
-        F.min_by("workflow_id", F.struct(-F.round("similarity", 9), F.col("workflow_id")))
-        .alias("workflow_id")
-    )
+    best = match_paths(workflows, paths, threshold, keep="best_workflow")
     return best.join(
         workflows.select("workflow_id", "task_description"), "workflow_id"
     ).select("path_id", "task_description")
-
-
-def best_similarity(matches: DataFrame) -> DataFrame:
-    """Highest similarity per workflow over the paths of a group."""
-    return matches.groupBy("workflow_id").agg(F.max("similarity").alias("similarity"))

@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 from trailmetrics.functions import text
 from trailmetrics.functions.measures import mode_label, ratio
 from trailmetrics.functions.sequences import conformance_to_longest
-from trailmetrics.operators.events import (
-    cost_map, mode_map, terminal_events, tool_calls, tool_stats, workflow_rollup,
-)
+from trailmetrics.operators.events import terminal_events, tool_calls, tool_stats, workflow_rollup
 from trailmetrics.operators.graphs import graph_nodes, transitions
-from trailmetrics.operators.similarity import best_similarity, match_paths, nearest_description
+from trailmetrics.operators.similarity import match_paths, nearest_description
 from trailmetrics.operators.traces import ordered_sequences
 from trailmetrics.plans.dashboards import mode_statistics
 
@@ -69,7 +67,8 @@ def matched_workflows(
     embeddings: DataFrame, paths: DataFrame, path_ids: list[str], threshold: float
 ) -> DataFrame:
     """Workflows similar to any of the paths with their highest similarity."""
-    return best_similarity(match_paths(embeddings, select_paths(paths, path_ids), threshold))
+    best = match_paths(embeddings, select_paths(paths, path_ids), threshold, keep="best_path")
+    return best.select("workflow_id", "similarity")
 
 
 def scoped_events(event_logs: DataFrame, matched: DataFrame) -> DataFrame:
@@ -83,7 +82,9 @@ def cluster_workflows(
 ) -> DataFrame:
     """Finished workflows matched by the paths, with mode and total cost."""
     matched = matched_workflows(embeddings, paths, path_ids, threshold)
-    scoped = scoped_events(event_logs, matched)
+    totals = workflow_rollup(scoped_events(event_logs, matched)).select(
+        "workflow_id", "is_guided", "total_cost_usd"
+    )
     return (
         matched.join(embeddings.select("workflow_id", "task_description"), "workflow_id")
         .join(
@@ -92,12 +93,11 @@ def cluster_workflows(
             ),
             "workflow_id",
         )
-        .join(mode_map(scoped), "workflow_id", "left")
-        .join(cost_map(scoped), "workflow_id", "left")
+        .join(totals, "workflow_id")
         .select(
             "workflow_id", "task_description", F.round("similarity", 4).alias("similarity"),
             "status", "duration_ms", "steps", "timestamp",
-            mode_label(F.coalesce("is_guided", F.lit(0)) == 1).alias("mode"),
+            mode_label(F.col("is_guided") == 1).alias("mode"),
             F.col("total_cost_usd").cast("double").alias("cost_usd"),
         )
         .orderBy(F.desc("timestamp"), "workflow_id")

@@ -47,9 +47,11 @@ def guidance(
     than the margin (only if both rates are known).
     """
     found = similar_paths(tasks, paths, min_executions, min_success_rate)
-    joined = tasks.join(found, "workflow_id", "left").join(paths.drop("embedding"), "path_id", "left")
+    has_vector = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
+    asked = tasks.select("workflow_id", has_vector.alias("has_vector"))
+    joined = asked.join(found, "workflow_id", "left").join(paths.drop("embedding"), "path_id", "left")
     reason = (
-        F.when(F.col("embedding").isNull() | (F.size("embedding") == 0), "embedding_failed")
+        F.when(~F.col("has_vector"), "embedding_failed")
         .when(F.col("path_id").isNull(), "no_matching_paths")
         .when(F.col("similarity") < threshold, "below_threshold")
         .when(F.col("guided_success_rate") < F.col("exploration_success_rate") - margin, "regression_detected")

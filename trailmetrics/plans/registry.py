@@ -530,12 +530,12 @@ def shop_queries() -> dict[str, Query]:
     def history(s: Shop) -> DataFrame:
         tickets = s.raw("conversations").filter(F.col("role") == "user").select(
             F.col("conv_id").alias("customer_id"), F.col("turn").alias("ticket_id"),
-            F.substring("text", 1, 30).alias("subject"))
+            F.col("text").alias("subject"))
         return rules.customer_history(s.orders, s.products, tickets)
 
     def search(s: Shop) -> DataFrame:
         articles = s.raw("documents").select(
-            F.col("doc_id").alias("article_id"), F.substring("text", 1, 40).alias("title"),
+            F.col("doc_id").alias("article_id"), F.concat_ws(" ", "source", "lang").alias("title"),
             F.array("lang", "source").alias("keywords"), F.col("text").alias("content"))
         return rules.keyword_search(articles, ["the tion fr", "und der src3", "les des src1"])
 
