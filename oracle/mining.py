@@ -192,12 +192,6 @@ SELECT task_cluster, source, target, frequency, round(success_rate, 4) AS succes
 SELECT task_cluster, count(*) AS total_traces, (SELECT count(DISTINCT n) FROM (SELECT e.task_cluster AS c, unnest([source, target]) AS n FROM edges e) x WHERE x.c = t.task_cluster) AS nodes
 FROM clustered t GROUP BY task_cluster"""),
     "process_model": query("SELECT task_cluster, source, target, frequency FROM model", **MODEL),
-    "model_quality": query("""
-SELECT f.task_cluster, round(f.fitness, 4) AS fitness, round(p.precision, 4) AS precision
-FROM (SELECT task_cluster, avg(fit) AS fitness FROM (SELECT task_cluster, workflow_id, avg(CASE WHEN allowed THEN 1.0 ELSE 0.0 END) AS fit FROM checked GROUP BY ALL) GROUP BY 1) f
-JOIN (SELECT o.task_cluster, sum(o.visits * o.used) / sum(o.visits * a.options) AS precision
-  FROM (SELECT task_cluster, source, count(*) AS visits, count(DISTINCT target) FILTER (WHERE allowed) AS used FROM checked GROUP BY ALL) o
-  JOIN (SELECT task_cluster, source, count(*) AS options FROM model GROUP BY ALL) a USING (task_cluster, source) GROUP BY 1) p USING (task_cluster)""", **MODEL),
     "conformance_deviations": query(DEVIATION_ROWS, **MODEL, deviations=DEVIATIONS),
     "redundant_steps": query(REDUNDANT, **FINDINGS),
     "retry_loops": query(RETRY, **FINDINGS),
@@ -248,3 +242,39 @@ FROM (SELECT sum(midrank) FILTER (WHERE is_guided = 1) - count(*) FILTER (WHERE
   FROM (SELECT *, count(*) OVER (PARTITION BY duration_ms) AS t,
       rank() OVER (ORDER BY duration_ms) + (count(*) OVER (PARTITION BY duration_ms) - 1) / 2 AS midrank FROM terminal))"""),
 }
+
+# ---- the whole run, results of whole clusters -------------------------------------------------
+# Different vectors of the test data are never similar, so a cluster is the set of
+# workflows with one vector, at least five of them.
+GROUPS = {
+    "vector_groups": """SELECT embedding, 'cluster_' || (row_number() OVER (ORDER BY count(*) DESC, min(workflow_id)) - 1) AS task_cluster
+FROM workflow_embeddings GROUP BY embedding HAVING count(*) >= 5""",
+    "grouped_runs": """SELECT g.task_cluster, t.* FROM traces t JOIN workflow_embeddings USING (workflow_id) JOIN vector_groups g USING (embedding)""",
+    "clustered": """SELECT * FROM grouped_runs WHERE task_cluster IN (SELECT task_cluster FROM grouped_runs WHERE success)""",
+}
+SUCCESSES = {**GROUPS, "clustered": "SELECT * FROM grouped_runs WHERE success"}
+FULL_MODEL = {**MODEL, "model": MODEL["model"].replace("HAVING count(*) >= 10", "")}
+DEFAULT_FINDINGS = {**FINDINGS, "slow": FINDINGS["slow"].replace("0.24", "0.40")}
+DEFAULT_SEARCH = {
+    **SEARCH,
+    "good": "SELECT * FROM edges WHERE success_rate >= 0.85",
+    "frequent": """SELECT task_cluster, seq FROM (SELECT task_cluster, tool_sequence AS seq, count(*) AS n FROM clustered WHERE len(tool_sequence) > 0 GROUP BY ALL)
+QUALIFY row_number() OVER (PARTITION BY task_cluster ORDER BY n DESC, seq) = 1""",
+    "supported": "SELECT m.* FROM metrics m JOIN sizes s USING (task_cluster) WHERE rate >= 0.85 AND n >= greatest(2, floor(n_traces * 0.10))",
+}
+ORACLES["run_analysis_group_graph"] = query("""
+SELECT task_cluster, source, target, frequency, round(success_rate, 4) AS success_rate, round(avg_duration_ms, 4) AS avg_duration_ms,
+  round(avg_cost_usd, 4) AS avg_cost_usd FROM edges""", **SUCCESSES)
+QUALITY = """
+SELECT f.task_cluster, round(f.fitness, 4) AS fitness, round(p.precision, 4) AS precision
+FROM (SELECT task_cluster, avg(fit) AS fitness FROM (SELECT task_cluster, workflow_id, avg(CASE WHEN allowed THEN 1.0 ELSE 0.0 END) AS fit FROM checked GROUP BY ALL) GROUP BY 1) f
+JOIN (SELECT o.task_cluster, sum(o.visits * o.used) / sum(o.visits * a.options) AS precision
+  FROM (SELECT task_cluster, source, count(*) AS visits, count(DISTINCT target) FILTER (WHERE allowed) AS used FROM checked GROUP BY ALL) o
+  JOIN (SELECT task_cluster, source, count(*) AS options FROM model GROUP BY ALL) a USING (task_cluster, source) GROUP BY 1) p USING (task_cluster)"""
+ORACLES["model_quality"] = query(QUALITY, **MODEL)
+ORACLES["run_analysis_group_quality"] = query(QUALITY, **GROUPS, **FULL_MODEL)
+ORACLES["run_analysis_group_patterns"] = query(
+    f"{REDUNDANT} UNION ALL {RETRY} UNION ALL {SLOW} UNION ALL {DEVIATION_ROWS}",
+    **GROUPS, **DEFAULT_FINDINGS, **FULL_MODEL, deviations=DEVIATIONS)
+ORACLES["run_analysis_group_pareto"] = query(
+    f"SELECT {PATH_COLUMNS}, round(score, 4) AS score, pareto_rank FROM ranked", **SUCCESSES, **DEFAULT_SEARCH)

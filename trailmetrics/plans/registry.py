@@ -445,10 +445,32 @@ def operator_queries() -> dict[str, Query]:
             t.workflow_embeddings.join(t.labels, "workflow_id").withColumn(
                 "cluster_label", F.concat(F.lit("cluster_"), "label"))),
         "subcluster_by_trace": lambda t: clustering.subcluster_by_trace(t.traces, "task_cluster"),
-        "run_analysis": lambda t: analysis.run_analysis(t.event_logs, t.workflow_embeddings).optimal_paths.select(
+    }
+
+
+def analysis_of(t: Tables) -> analysis.AnalysisResult:
+    """The analysis run with default settings, once per set of tables."""
+    if "analysis" not in t.results:
+        t.results["analysis"] = analysis.run_analysis(t.event_logs, t.workflow_embeddings)
+    return t.results["analysis"]
+
+
+def analysis_queries() -> dict[str, Query]:
+    """Results of the whole run; ``group`` ones are those of whole clusters."""
+    def group(df: DataFrame) -> DataFrame:
+        return df.filter(~F.col("task_key").contains("/")).withColumnRenamed("task_key", "task_cluster")
+
+    return {
+        "run_analysis": lambda t: analysis_of(t).optimal_paths.select(
             "task_cluster", "tool_sequence", "avg_duration_ms", "avg_steps", "success_rate", "execution_count",
             "failure_warnings", F.size("alternative_paths").alias("alternatives"),
             F.col("decision_tree.branch_tool").alias("branch_tool")),
+        "run_analysis_suggestions": lambda t: analysis_of(t).suggestions,
+        "run_analysis_warnings": lambda t: analysis_of(t).warnings,
+        "run_analysis_group_graph": lambda t: group(analysis_of(t).graph),
+        "run_analysis_group_quality": lambda t: group(analysis_of(t).quality),
+        "run_analysis_group_patterns": lambda t: evidence_text(group(analysis_of(t).patterns)),
+        "run_analysis_group_pareto": lambda t: group(analysis_of(t).pareto_paths),
     }
 
 
@@ -589,8 +611,8 @@ def shop_queries() -> dict[str, Query]:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     collected: dict[str, Query] = {}
     for part in (
-        dashboard_queries(), cluster_queries(), mining_queries(), operator_queries(), streaming_queries(),
-        shop_queries(),
+        dashboard_queries(), cluster_queries(), mining_queries(), operator_queries(), analysis_queries(),
+        streaming_queries(), shop_queries(),
     ):
         collected.update(part)
     return {

@@ -9,7 +9,7 @@ them with column pruning and filter pushdown.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,6 +31,7 @@ class Tables:
     labels: DataFrame  # workflow_id -> label of its embedding, used as a planted cluster
     spark: SparkSession
     sf_dir: str
+    results: dict = field(default_factory=dict)  # analysis runs shared by several queries
 
     @cached_property
     def traces(self) -> DataFrame:
