@@ -50,8 +50,7 @@ def test_edit_distances():
     assert got.tolist() == [[plain_edits(a, b) for b in seqs] for a in seqs]
 
 
-@pytest.mark.parametrize("block_rows", [1000, 9])
-@pytest.mark.parametrize("cut", [0.15, 0.45])
+@pytest.mark.parametrize("block_rows,cut", [(1000, 0.15), (1000, 0.45), (9, 0.3)])
 def test_vectors_match_plain_algorithm(spark, block_rows, cut):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(4, 5))
