@@ -13,6 +13,7 @@ from trailmetrics.functions.sequences import collapse_repeats, suffix_after
 from trailmetrics.functions.text import humanise
 from trailmetrics.operators.traces import common_prefix_length
 from trailmetrics.session import materialize
+from trailmetrics.sources.schemas import TOOL_CALL_PREFIX
 
 MAX_UNIQUE = 5
 
@@ -52,13 +53,12 @@ def branch_responses(
         branches.select(key, "branch_tool"), key
     )
     filled = event_logs.filter(
-        F.col("tool_name").isNotNull() & F.col("tool_response").isNotNull()
+        F.col("activity").startswith(TOOL_CALL_PREFIX) & F.col("tool_response").isNotNull()
         & ~F.trim("tool_response").isin("", "{}", "null")
-    )
+    ).withColumn("branch_tool", F.substr("activity", F.lit(len(TOOL_CALL_PREFIX) + 1)))
     place = F.struct("step_number", "timestamp", "event_id")
     return (
-        filled.join(wanted, "workflow_id")
-        .filter(F.col("activity") == F.concat(F.lit("tool_call:"), "branch_tool"))
+        filled.join(wanted, ["workflow_id", "branch_tool"])
         .groupBy("workflow_id", key, "subcluster")
         .agg(F.min_by("tool_response", place).alias("response"))
         .withColumn("response", F.from_json("response", "map<string,string>"))

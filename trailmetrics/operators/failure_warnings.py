@@ -66,12 +66,13 @@ def parameter_warnings(
 ) -> DataFrame:
     """Parameters whose dominant value differs between successes and failures.
 
-    Values are compared as JSON text.  Counts per value are formed before the top
+    Values are compared as JSON text, and only calls of path tools are parsed.  Counts per value are formed before the top
     value is picked, so no list of values is gathered.
     """
     values = (
         event_logs.filter(F.col("tool_name").isNotNull() & F.col("tool_parameters").isNotNull())
         .join(members.select("workflow_id", key, "success"), "workflow_id")
+        .join(_path_tools(optimal, key).select(key, "tool_name"), [key, "tool_name"], "left_semi")
         .select(
             key, "tool_name", "success",
             F.explode(F.from_json("tool_parameters", "map<string,string>")).alias("param", "value"),

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmetrics.functions import text
 from trailmetrics.functions.measures import (
     is_terminal, mode_label, percent_improvement, ratio, success_value,
 )
 from trailmetrics.operators.events import (
-    guided_ids, mode_map, terminal_events, terminal_with_mode, tool_calls, tool_stats,
+    guided_ids, terminal_events, terminal_with_mode, tool_calls, tool_stats,
     workflow_rollup,
 )
 from trailmetrics.operators.graphs import graph_nodes, transitions
@@ -376,6 +375,3 @@ def comparison_cards(event_logs: DataFrame) -> DataFrame:
         ))
     return stats.select(F.inline(F.array(*rows)))
 
-
-def describe_point(description):
-    return text.truncate(F.coalesce(description, F.lit("(no description)")), 60, "…")
