@@ -9,11 +9,14 @@ window, so no phrase is a prefix of another and a phrase says all about its wind
   ordered by position; all but the first are repeats as a whole.  Copies inside an input chunk
   are settled there, so a passage that every text has costs one row per chunk.
 * Suffixes of the dictionary: phrases that share a trigger but differ elsewhere may still share
-  some windows.  Only their first occurrences are opened: each of their windows (a suffix of
-  the phrase, cut at ``WIDTH`` bytes) is put in order with its equals, and again all but the
-  first are repeats.
-
-Equal windows have equal triggers, so the two steps see every repeat.  The order that puts
+  some windows.  Only their first occurrences are opened: their windows (suffixes of the
+  phrase, cut at ``WIDTH`` bytes) are put in order with their equals, and again all but the
+  first are repeats.  This goes by cells first: the ``CELL`` windows at the same distances from
+  the trigger have ``WIDTH - CELL + 1`` bytes in common, their core.  Equal cells are settled
+  as a whole, cells whose core nobody shares have no repeat, and only the first occurrences of
+  different cells with one core are opened to single windows.
+
+Equal windows have equal triggers at equal distances, so these steps see every repeat.  The order that puts
 equal suffixes side by side is that of two 64-bit fingerprints rather than of the bytes; only
 equality and position matter here.  Triggers, phrases and suffixes are dealt over tasks by
 fingerprint, nothing is gathered by document but its own list of repeats.
@@ -42,8 +45,11 @@ GRAM = 32
 CHUNK = 1 << 21
 LAST = (1 << 63) - 1  # order of rows without a doc_id
 
-# A place packs the text's tag (24 bits), an offset (32 bits) and a run length (7 bits).
-RUN_BITS, OFFSET_BITS, TAG_BITS = 7, 32, 24
+CELL = 8
+
+# A place is a run of windows: it packs the text's tag (17 bits), the offset of the first window
+# (32 bits), that window's distance from its trigger (7 bits) and the further windows (7 bits).
+RUN_BITS, AHEAD_BITS, OFFSET_BITS, TAG_BITS = 7, 7, 32, 17
 
 ROWS = "one bigint, two bigint, doc bigint, place bigint"
 _U = np.uint64
@@ -90,13 +96,15 @@ def tag_of(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) >> (64 - TAG_BITS)
 
 
-def packed(tag: np.ndarray, offset: np.ndarray, run: np.ndarray | int) -> np.ndarray:
-    return (tag << (OFFSET_BITS + RUN_BITS)) | (offset << RUN_BITS) | run
+def packed(tag: np.ndarray, offset: np.ndarray, ahead: np.ndarray | int, run: np.ndarray | int) -> np.ndarray:
+    return (((tag << OFFSET_BITS) | offset) << (AHEAD_BITS + RUN_BITS)) | (ahead << RUN_BITS) | run
 
 
-def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return (place >> (OFFSET_BITS + RUN_BITS), (place >> RUN_BITS) & ((1 << OFFSET_BITS) - 1),
-            place & ((1 << RUN_BITS) - 1))
+def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """tag, offset, ahead, run"""
+    field = lambda shift, bits: (place >> shift) & ((1 << bits) - 1)
+    return (place >> (OFFSET_BITS + AHEAD_BITS + RUN_BITS), field(AHEAD_BITS + RUN_BITS, OFFSET_BITS),
+            field(RUN_BITS, AHEAD_BITS), field(0, RUN_BITS))
 
 
 class Chunk:
@@ -111,46 +119,62 @@ class Chunk:
         self.offset: list[int] = []
         self.doc: list[int] = []
         self.tag: list[int] = []
-        self.wanted: list[np.ndarray | None] = []
+        self.places_in: list[np.ndarray | None] = []
         self.size = 0
 
-    def add(self, part: bytes, offset: int, doc: int, tag: int, wanted: np.ndarray | None) -> None:
+    def add(self, part: bytes, offset: int, doc: int, tag: int, places: np.ndarray | None) -> None:
         self.parts.append(part)
         self.first.append(self.size)
         self.offset.append(offset)
         self.doc.append(doc)
         self.tag.append(tag)
-        self.wanted.append(wanted)
+        self.places_in.append(places)
         self.size += len(part)
 
     def data(self) -> np.ndarray:
         return np.frombuffer(b"".join(self.parts), np.uint8)
 
-    def places(self, start: np.ndarray, run: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    def places(
+        self, start: np.ndarray, ahead: np.ndarray | int, run: np.ndarray | int
+    ) -> tuple[np.ndarray, np.ndarray]:
         """(doc, place) of runs of windows that start at these bytes of the row."""
         text = np.searchsorted(np.array(self.first), start, "right") - 1
         offset = start - np.array(self.first)[text] + np.array(self.offset, np.int64)[text]
-        return np.array(self.doc, np.int64)[text], packed(np.array(self.tag, np.int64)[text], offset, run)
+        return np.array(self.doc, np.int64)[text], packed(np.array(self.tag, np.int64)[text], offset, ahead, run)
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First window, last window and trigger (bytes of the row) of the given places.
+
+        Windows outside a slice of a long text are left to its other slices.
+        """
+        parts = []
+        ends = [*self.first[1:], self.size]
+        for first, end, before, tag, places in zip(self.first, ends, self.offset, self.tag, self.places_in):
+            tags, offset, ahead, run = unpacked(places)
+            start = (offset - before + first)[tags == tag]
+            ahead, run = ahead[tags == tag], run[tags == tag]
+            low, high = np.maximum(start, first), np.minimum(start + run, end - WIDTH)
+            parts.append(np.stack([low, high, start + ahead])[:, low <= high])
+        low, high, trigger = np.concatenate(parts, axis=1)
+        return low, high, trigger
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     """Texts with at least one window, long ones in slices that share ``WIDTH - 1`` bytes.
 
-    Batches are (doc, text) or (doc, text, places); of the places those of this very text
-    become its wanted window starts.
+    Batches are (doc, text) or (doc, text, places).
     """
     held = Chunk()
     for doc, text, places in (row for batch in batches for row in rows_of(batch)):
         if len(text) < WIDTH:
             continue
         tag = tag_of(text)
-        wanted = None if places is None else window_starts(places, tag)
         for start in range(0, len(text) - WIDTH + 1, CHUNK - WIDTH + 1):
             part = text[start : start + CHUNK]
             if held.size + len(part) > CHUNK:
                 yield held
                 held = Chunk()
-            held.add(part, start, doc, tag, wanted)
+            held.add(part, start, doc, tag, places)
     if held.size:
         yield held
 
@@ -169,8 +193,8 @@ def trigger_of_windows(grams: np.ndarray) -> np.ndarray:
     return (low - (least & low)).astype(np.int64)
 
 
-def phrases(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(trigger hash, phrase hash, first window, further windows) of the chunk's phrases."""
+def phrases(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(trigger hash, phrase hash, first window, its distance, further windows) of the chunk's phrases."""
     one, two = hashes()
     data = chunk.data()
     sums = one.sums(data)
@@ -189,7 +213,7 @@ def phrases(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     at = trigger[first]
     own = two.between(two.sums(data), first, first + further + WIDTH)
     own = mixed(own ^ ((at - first) << 8 | further).astype(np.uint64))
-    return grams[at].view(np.int64), own.view(np.int64), first, further
+    return grams[at].view(np.int64), own.view(np.int64), first, at - first, further
 
 
 def settled(one: np.ndarray, two: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
@@ -210,38 +234,52 @@ def rows_of(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, np.ndarray | No
         yield doc, text.as_py(), None if places is None else places[i].values.to_numpy()
 
 
-def window_starts(places: np.ndarray, tag: int) -> np.ndarray:
-    """Sorted starts of all windows of the places that have this tag."""
-    tags, offset, run = unpacked(places)
-    offset, run = offset[tags == tag], run[tags == tag]
-    ahead = np.cumsum(run + 1) - (run + 1)
-    starts = np.repeat(offset - ahead, run + 1)
-    return np.unique(starts + np.arange(len(starts)))
-
-
 def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The phrases of (doc, text)."""
     for chunk in chunks(batches):
-        trigger, own, first, further = phrases(chunk)
-        yield settled(trigger, own, *chunk.places(first, further))
+        trigger, own, first, ahead, further = phrases(chunk)
+        yield settled(trigger, own, *chunk.places(first, ahead, further))
+
+
+def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``counts`` its row number, repeated, and 0, 1, ... up to the count."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def open_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Core and content of the cells of opened phrases, from (doc, text, places)."""
+    one, two = hashes()
+    for chunk in chunks(batches):
+        low, high, trigger = chunk.runs()
+        if not len(low):
+            continue
+        nearest = (trigger - high) // CELL  # cells count away from the trigger
+        row, step = spread((trigger - low) // CELL - nearest + 1)
+        cell, at = nearest[row] + step, trigger[row]
+        first = np.maximum(low[row], at - CELL * cell - (CELL - 1))
+        last = np.minimum(high[row], at - CELL * cell)
+        sums, other = one.sums(data := chunk.data()), two.sums(data)
+        core = one.between(sums, at - CELL * cell, at - CELL * cell - (CELL - 1) + WIDTH)
+        content = two.between(other, first, last + WIDTH)
+        core = mixed(core ^ cell.astype(np.uint64))
+        content = mixed(content ^ ((at - first) << 8 | (last - first)).astype(np.uint64))
+        yield settled(core.view(np.int64), content.view(np.int64), *chunk.places(first, at - first, last - first))
 
 
 def open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprints of the windows of opened phrases, from (doc, text, places)."""
+    """Two fingerprints of each window of opened cells, from (doc, text, places)."""
     one, two = hashes()
     for chunk in chunks(batches):
-        data = chunk.data()
-        at = []
-        for first, end, offset, wanted in zip(
-            chunk.first, [*chunk.first[1:], chunk.size], chunk.offset, chunk.wanted
-        ):
-            starts = wanted - offset + first
-            at.append(starts[(starts >= first) & (starts + WIDTH <= end)])
-        start = np.concatenate(at)
-        if len(start):
-            end = start + WIDTH
-            yield settled(one.between(one.sums(data), start, end).view(np.int64),
-                          two.between(two.sums(data), start, end).view(np.int64), *chunk.places(start, 0))
+        low, high, _ = chunk.runs()
+        if not len(low):
+            continue
+        row, step = spread(high - low + 1)
+        start = low[row] + step
+        end = start + WIDTH
+        sums, other = one.sums(data := chunk.data()), two.sums(data)
+        yield settled(one.between(sums, start, end).view(np.int64),
+                      two.between(other, start, end).view(np.int64), *chunk.places(start, 0, 0))
 
 
 def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,13 +338,14 @@ def in_order(rows: DataFrame) -> DataFrame:
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Remove the repeats of each text: (doc_id, doc, text, places)."""
+    """Remove the repeats of each text: (doc, text, places)."""
     for batch in batches:
         columns: list[list] = [[] for _ in range(4)]
-        for text, places in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3)):
+        docs = [None if doc == LAST else doc for doc in batch.column(0).to_pylist()]
+        for text, places in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2)):
             spans, removed, kept = 0, 0, text
             if places.is_valid and len(text) >= WIDTH:
-                tag, offset, run = unpacked(places.values.to_numpy())
+                tag, offset, _, run = unpacked(places.values.to_numpy())
                 own = tag == tag_of(text)
                 edge = np.zeros(len(text) + 1, np.int64)
                 np.add.at(edge, offset[own], 1)
@@ -318,24 +357,31 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for column, value in zip(columns, (len(text), removed, spans, hashlib.sha256(kept).hexdigest())):
                 column.append(value)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())],
+            [pa.array(docs, pa.int64()), *(pa.array(c, pa.int64()) for c in columns[:3]),
+             pa.array(columns[3], pa.string())],
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def by_document(found: DataFrame, opened: bool) -> DataFrame:
+    return found.filter(F.col("open") == opened).groupBy("doc").agg(F.collect_list("place").alias("places"))
+
+
 def repeated_places(rows: DataFrame) -> DataFrame:
-    """(doc, place) of all repeats; a place stands for a run of window starts."""
-    first = in_order(map_batches(rows.select("doc", "text"), parse, ROWS))
-    opened = first.filter("open").groupBy("doc").agg(F.collect_list("place").alias("places"))
-    windows = map_batches(
-        rows.join(opened, "doc").select("doc", "text", "places"), open_windows, ROWS)
-    second = in_order(windows)
-    return first.filter("not open").select("doc", "place").union(second.filter("not open").select("doc", "place"))
+    """(doc, places) of all repeats, from (doc, text).
+
+    Every step joins the same two columns of the texts, so that they are shuffled once.
+    """
+    steps = [in_order(map_batches(rows, parse, ROWS))]
+    for work in (open_cells, open_windows):
+        opened = rows.join(by_document(steps[-1], True), "doc").select("doc", "text", "places")
+        steps.append(in_order(map_batches(opened, work, ROWS)))
+    every = steps[0].union(steps[1]).union(steps[2])
+    return by_document(every, False)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    rows = id_and_text(docs).withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
-    found = repeated_places(rows).groupBy("doc").agg(F.collect_list("place").alias("places"))
+    rows = id_and_text(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text")
     return map_batches(
-        rows.join(found, "doc", "left").select("doc_id", "doc", "text", "places"), cut,
+        rows.join(repeated_places(rows), "doc", "left").select("doc", "text", "places"), cut,
         "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
