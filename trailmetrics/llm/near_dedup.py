@@ -9,11 +9,13 @@
 4. Of its m shared pairs a class keeps the m - threshold + 1 rarest: two classes that
    agree on ``threshold`` pairs must meet in that prefix.  The long lists outside the
    prefixes are never merged; collisions there are counted by looking both signatures up.
-5. Classes that meet are compared: first with the smallest class of each list (a star, so
-   a large group of copies costs one comparison per member), then, where a list still
-   holds several components, its members outside the largest component against the
-   others, in blocks.
-6. Pairs with ``threshold`` collisions are confirmed on the full shingle sets.
+5. Classes that meet are compared: first with the most central class of each list, the one
+   whose pairs most classes have (a star, so a large group of copies costs one comparison
+   per member).  Where a list still holds several components, its members outside the
+   largest one are compared with each other, by longer signatures of ``LONG_COORDINATES``
+   one-byte values, and with the whole largest component, by their shingle sets.  Both work
+   on pairs of blocks, so no task holds a whole group and only near pairs leave the blocks.
+6. Pairs with enough collisions are confirmed on the full shingle sets.
 
 ``threshold`` is the largest count that a pair of exactly the wanted similarity misses
 with a chance below ``MISS``.
@@ -24,8 +26,9 @@ are returned unlinked; rows that repeat a doc_id are compared by their own texts
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +40,14 @@ from trailmetrics.llm.common import as_bytes, id_and_text, map_batches, whole_gr
 from trailmetrics.session import materialize
 
 COORDINATES = 64
+LONG_COORDINATES = 512  # of the one-byte signatures that narrow down block comparisons
 MISS = 1e-9
-BLOCK = 2048
+BLOCK = 512
 _VALUE_BITS = 57
 _SHIFT = np.uint64(64 - _VALUE_BITS)
 
 
+@functools.cache
 def match_threshold(percent: int, coordinates: int = COORDINATES) -> int:
     """Collisions that a pair of similarity ``percent`` reaches but for a chance of ``MISS``."""
     j, missed = percent / 100, 0.0
@@ -91,13 +96,19 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return np.unique(runs)
 
 
-def signature(hashes: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One (coordinate, value) pair per coordinate, packed into 64 bits."""
+def least_hashes(hashes: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The least value of the set under each hash function."""
     least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(hashes), 1024):
         part = hashes[None, start : start + 1024] * factors[:, None]
         part += offsets[:, None]
         np.minimum(least, part.min(axis=1), out=least)
+    return least
+
+
+def signature(hashes: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """One (coordinate, value) pair per coordinate, packed into 64 bits."""
+    least = least_hashes(hashes, factors, offsets)
     coordinate = np.arange(len(factors), dtype=np.uint64) << np.uint64(_VALUE_BITS)
     return (coordinate | (least >> _SHIFT)).view(np.int64)
 
@@ -134,9 +145,9 @@ def indexed_classes(classes: DataFrame, threshold: int) -> DataFrame:
     lists = postings.groupBy("pair").agg(F.count("*").alias("n")).filter("n > 1")
     shared = (
         postings.join(lists, "pair")
-        .groupBy("rep").agg(F.collect_list(F.struct("n", "pair")).alias("found"))
+        .groupBy("rep").agg(F.collect_list(F.struct("n", "pair")).alias("found"), F.sum("n").alias("central"))
         .filter(F.size("found") >= threshold)
-        .select("rep", F.transform(F.array_sort("found"), lambda x: x["pair"]).alias("shared"))
+        .select("rep", "central", F.transform(F.array_sort("found"), lambda x: x["pair"]).alias("shared"))
     )
     return shared.withColumn("prefix", F.slice("shared", 1, F.size("shared") - threshold + 1))
 
@@ -166,10 +177,11 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
 
 
 def star_pairs(index: DataFrame, threshold: int) -> DataFrame:
-    """Each class with the smallest class of every prefix list it is in."""
-    posted = index.select("rep", F.explode("prefix").alias("pair"))
-    centres = posted.groupBy("pair").agg(F.min("rep").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    pairs = posted.join(centres, "pair").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    """Each class with the most central class of every prefix list it is in."""
+    posted = index.select("rep", F.struct("central", -F.col("rep")).alias("weight"), F.explode("prefix").alias("pair"))
+    centres = posted.groupBy("pair").agg(F.max("weight").alias("most"), F.count("*").alias("n")).filter("n > 1")
+    pairs = posted.join(centres, "pair").select((-F.col("most.col2")).alias("a"), F.col("rep").alias("b")).filter(
+        "a <> b").distinct()
     return colliding(pairs, index, threshold)
 
 
@@ -182,75 +194,126 @@ def colliding(pairs: DataFrame, index: DataFrame, threshold: int) -> DataFrame:
     )
 
 
-def remaining_pairs(index: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of different components that meet in a list and collide often enough.
+def long_signatures(texts: DataFrame, width: int) -> DataFrame:
+    """(rep, long): one byte per coordinate; the first ``COORDINATES`` bytes serve as a first look."""
+    factors, offsets = hash_family(LONG_COORDINATES)
 
-    In each list only members outside its largest component meet the others, block by
-    block; a block pair is one small task that keeps matching pairs only.
-    """
-    member = (
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [
+                (least_hashes(shingle_hashes(text, width), factors, offsets) >> np.uint64(32)).astype(np.uint8).tobytes()
+                for text in as_bytes(batch.column(1))
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["rep", "long"])
+
+    return map_batches(texts.select("rep", "text"), work, "rep bigint, long binary")
+
+
+def block_pairs(one: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Rows of both sides (key, rep, ...) dealt to pairs of blocks of about ``BLOCK`` rows each."""
+    blocks = lambda rows, name: rows.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    sizes = blocks(one, "n_one").join(blocks(other, "n_two"), key)
+    block = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = one.join(sizes, key).withColumn("one", block("n_one")).withColumn("two", every("n_two"))
+    right = other.join(sizes, key).withColumn("two", block("n_two")).withColumn("one", every("n_one"))
+    names = [*one.columns, "one", "two"]
+    return left.select(*names, F.lit(True).alias("left")).union(right.select(*names, F.lit(False).alias("left")))
+
+
+def in_blocks(sides: DataFrame, key: str, match: Callable[[pa.Table], np.ndarray]) -> DataFrame:
+    """(a, b) that ``match`` finds in each pair of blocks."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data, bounds in whole_groups(batches, [key, "one", "two"]):
+            left = data.column("left").to_numpy(zero_copy_only=False)
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                if left[a:b].any() and not left[a:b].all():
+                    pairs = match(data.slice(a, b - a))
+                    if len(pairs):
+                        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    dealt = sides.repartition(key, "one", "two").sortWithinPartitions(key, "one", "two")
+    return map_batches(dealt, work, "a bigint, b bigint")
+
+
+def remaining_pairs(
+    index: DataFrame, texts: DataFrame, long: DataFrame, labels: DataFrame, width: int, percent: int
+) -> DataFrame:
+    """Pairs of different components that meet in a list and look near enough."""
+    component = materialize(
         index.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-        .withColumn("label", F.coalesce("label", "rep"))
-        .select("rep", "label", "shared", F.explode("prefix").alias("pair"))
-    )
-    sizes = member.groupBy("pair", "label").agg(F.count("*").alias("n"))
+        .select("rep", F.coalesce("label", "rep").alias("label"), "prefix"), "near-components")
+    member = component.select("rep", "label", F.explode("prefix").alias("pair"))
     mixed = (
-        sizes.groupBy("pair")
-        .agg(F.sum("n").alias("n"), F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("labels"))
-        .filter("labels > 1").select("pair", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        member.groupBy("pair", "label").agg(F.count("*").alias("n"))
+        .groupBy("pair").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("labels"))
+        .filter("labels > 1").select("pair", "main")
     )
-    open_members = member.join(mixed, "pair").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    sides = open_members.select(
-        "pair", "rep", "label", "shared", F.explode(F.flatten(F.array(
-            F.transform(every, lambda o: F.struct(F.col("block").alias("one"), o.alias("two"), F.lit(True).alias("left"))),
-            F.transform(every, lambda o: F.struct(o.alias("one"), F.col("block").alias("two"), F.lit(False).alias("left"))),
-        ))).alias("at"), "main",
-    ).select("pair", "at.one", "at.two", "at.left", "rep", "label", "shared", "main")
-    sides = sides.filter("not left or label <> main").drop("main")
+    outside = materialize(member.join(mixed, "pair").filter("label <> main"), "near-outside")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, bounds in whole_groups(batches, ["pair", "one", "two"]):
-            left = data.column("left").to_numpy(zero_copy_only=False)
-            rep, label = data.column("rep").to_numpy(), data.column("label").to_numpy()
-            grid = coordinate_grid(data.column("shared").combine_chunks(), left)
-            found = [
-                block_matches(grid[a:b], rep[a:b], label[a:b], left[a:b], threshold)
-                for a, b in zip(bounds[:-1], bounds[1:]) if left[a:b].any()
-            ]
-            if found:
-                pairs = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    # With each other, list by list.
+    several = outside.groupBy("pair").agg((F.max("label") > F.min("label")).alias("several")).filter("several")
+    listed = outside.join(several.select("pair"), "pair", "left_semi").select("pair", "rep", "label")
+    sides = block_pairs(listed, listed, "pair").join(long, "rep")
+
+    def by_signature(data: pa.Table) -> np.ndarray:
+        values = np.frombuffer(b"".join(data.column("long").to_pylist()), np.uint8).reshape(data.num_rows, -1)
+        return block_matches(values, data.column("rep").to_numpy(), data.column("label").to_numpy(),
+                             data.column("left").to_numpy(zero_copy_only=False), percent)
+
+    each_other = in_blocks(sides, "pair", by_signature)
 
-    by_block = sides.repartition("pair", "one", "two").sortWithinPartitions("pair", "one", "two")
-    return map_batches(by_block, work, "a bigint, b bigint").distinct()
+    # With the largest component of their lists, which is read once per block of outsiders.
+    towards = outside.select("main", "rep").distinct()
+    inside = component.select(F.col("label").alias("main"), "rep")
+    with_main = block_pairs(towards, inside, "main").join(texts, "rep")
 
+    def by_set(data: pa.Table) -> np.ndarray:
+        sets = [shingle_hashes(text, width) for text in as_bytes(data.column("text").combine_chunks())]
+        return set_matches(sets, data.column("rep").to_numpy(), data.column("left").to_numpy(zero_copy_only=False), percent)
 
-def coordinate_grid(shared: pa.ListArray, left: np.ndarray) -> np.ndarray:
-    """A row of signature pairs by coordinate; the two sides' gaps differ, so they never agree."""
-    flat, ends = shared.values.to_numpy(), shared.offsets.to_numpy()
-    flat = flat[ends[0] : ends[-1]]
-    grid = np.repeat(np.where(left, np.int64(-1), np.int64(-2))[:, None], 1 << (64 - _VALUE_BITS), axis=1)
-    coordinate = (flat.view(np.uint64) >> np.uint64(_VALUE_BITS)).astype(np.int64)
-    grid[np.repeat(np.arange(len(left)), np.diff(ends)), coordinate] = flat
-    return grid
+    return each_other.union(in_blocks(with_main, "main", by_set)).distinct()
+
+
+def set_matches(sets: list[np.ndarray], rep: np.ndarray, left: np.ndarray, percent: int) -> np.ndarray:
+    """(smaller, larger) rows of the two sides whose sets are similar enough."""
+    ones, others = np.flatnonzero(left), np.flatnonzero(~left)
+    sizes = np.array([len(s) for s in sets])
+    values = np.concatenate([sets[i] for i in others])
+    owner = np.repeat(np.arange(len(others)), sizes[others])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    found = []
+    for i in ones:
+        start, end = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
+        run = end - start
+        ahead = np.cumsum(run) - run
+        hits = np.repeat(start - ahead, run) + np.arange(int(run.sum()))
+        both = np.bincount(owner[hits], minlength=len(others))
+        near = np.flatnonzero(100 * both >= percent * (sizes[i] + sizes[others] - both))
+        found += [(min(rep[i], rep[others[j]]), max(rep[i], rep[others[j]])) for j in near]
+    return np.array(found, np.int64).reshape(-1, 2)
 
 
 def block_matches(
-    grid: np.ndarray, rep: np.ndarray, label: np.ndarray, left: np.ndarray, threshold: int
+    values: np.ndarray, rep: np.ndarray, label: np.ndarray, left: np.ndarray, percent: int
 ) -> np.ndarray:
-    """(smaller, larger) classes of different components with enough equal coordinates."""
+    """(smaller, larger) classes of different components whose signatures agree often enough."""
     ones, others = np.flatnonzero(left), np.flatnonzero(~left)
-    columns = np.ascontiguousarray(grid[others].T)
+    columns = np.ascontiguousarray(values[others, :COORDINATES].T)
+    least, least_long = match_threshold(percent, COORDINATES), match_threshold(percent, values.shape[1])
     found = []
     for start in range(0, len(ones), 256):
         rows = ones[start : start + 256]
         equal = np.zeros((len(rows), len(others)), np.uint8)
         for c, column in enumerate(columns):
-            equal += grid[rows, c][:, None] == column[None, :]
-        i, j = np.nonzero((equal >= threshold) & (label[rows][:, None] != label[others][None, :]))
-        found.append(np.sort(np.stack([rep[rows[i]], rep[others[j]]], axis=1), axis=1))
-    return np.concatenate(found)
+            equal += values[rows, c][:, None] == column[None, :]
+        i, j = np.nonzero((equal >= least) & (label[rows][:, None] != label[others][None, :]))
+        for at in range(0, len(i), 1 << 16):
+            one, other = rows[i[at : at + (1 << 16)]], others[j[at : at + (1 << 16)]]
+            near = (values[one] == values[other]).sum(axis=1) >= least_long
+            found.append(np.sort(np.stack([rep[one[near]], rep[other[near]]], axis=1), axis=1))
+    return np.concatenate(found) if found else np.empty((0, 2), np.int64)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -302,7 +365,8 @@ def near_duplicates(
         rows.withColumnRenamed("doc_id", "rep").join(index.select("rep"), "rep", "left_semi"), "near-texts")
     links = materialize(confirm(star_pairs(index, threshold), texts, width, percent), "near-links")
     labels = components(links)
-    rest = materialize(confirm(remaining_pairs(index, labels, threshold), texts, width, percent), "near-links")
+    long = materialize(long_signatures(texts, width), "near-long")
+    rest = materialize(confirm(remaining_pairs(index, texts, long, labels, width, percent), texts, width, percent), "near-links")
     if not rest.isEmpty():
         labels = components(links.union(rest))
     found = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(
