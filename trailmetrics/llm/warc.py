@@ -44,6 +44,7 @@ LEAST_REVISIT = 100
 ARCHIVE_BYTES = 32 << 20
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 200, 1 << 14, 1 << 15
 READ_BYTES = 1 << 20
+ARCHIVES_A_TASK = 16
 LEVEL = 3
 
 # Fixed values of the formats.
@@ -205,8 +206,11 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from the ``SAMPLE`` short payloads of least hash; empty if there are too few."""
     size = F.octet_length("html")
-    sample = pages.filter((size >= LEAST_REVISIT) & (size <= SAMPLE_BYTES)).orderBy(
-        F.xxhash64("page_id"), "page_id").limit(SAMPLE).select("html").collect()
+    usable = pages.filter((size >= LEAST_REVISIT) & (size <= SAMPLE_BYTES) & F.col("page_id").isNotNull())
+    # The ids first: a sorted limit sends its rows from every task to the driver.
+    ids = [row["page_id"] for row in usable.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE).collect()]
+    sample = usable.filter(F.col("page_id").isin(ids)).select("page_id", "html").dropDuplicates(["page_id"]).orderBy(
+        "page_id").collect() if ids else []
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [row["html"].encode() for row in sample]).as_bytes()
     except zstandard.ZstdError:  # too little to train on
@@ -287,8 +291,9 @@ def read_archives(paths: DataFrame) -> DataFrame:
                     if held:
                         yield rows(held, path)
 
-    spread = paths.repartition(F.xxhash64("path"))
-    return map_batches(spread, work, PARSED)
+    archives = paths.count()
+    tasks = max(min(archives, 2 * paths.sparkSession.sparkContext.defaultParallelism), archives // ARCHIVES_A_TASK, 1)
+    return map_batches(paths.repartition(tasks), work, PARSED)
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:
