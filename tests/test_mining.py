@@ -205,3 +205,17 @@ def test_suggestions(spark):
     assert "b → a" in by_type["reorder"][0]["message"]
     assert sorted(r["affected_tools"][0] for r in by_type["skip_step"]) == ["a", "x"]
     assert {r["priority"] for r in by_type["optimize_step"]} == {"medium"}
+
+
+def test_json_null_is_a_parameter_value(spark):
+    from pyspark.sql import functions as F
+
+    from tests.helpers import log, members, run
+    from trailmetrics.operators.failure_warnings import parameter_warnings
+
+    events = log(
+        spark, *[run(f"s{i}", "a", params={"a": {"p": None}}) for i in range(3)],
+        *[run(f"f{i}", "a", success=False, params={"a": {"p": "x"}}) for i in range(3)])
+    optimal = spark.createDataFrame([("c", ["a"])], "task_cluster string, tool_sequence array<string>")
+    found = parameter_warnings(events, members(spark, events).withColumn("task_cluster", F.lit("c")), optimal).collect()
+    assert len(found) == 1 and "null" in found[0]["warning"]

@@ -63,3 +63,18 @@ def test_step_numbers(spark):
         "ts", F.col("t").cast("timestamp_ntz"))
     got = sorted((r["source_id"], r["step_number"]) for r in number_steps(df).collect())
     assert [n for _, n in got] == [1, 2, 3, 4, 5]
+
+
+def test_neighbours_without_a_place_are_alike_in_both_plans(spark):
+    from pyspark.sql import functions as F
+
+    from trailmetrics.operators.ordering import step_block, with_next
+
+    rows = spark.createDataFrame(
+        [("w", None, "b"), ("w", 1, "c"), ("w", 5000, "d")], "workflow_id string, step_number int, tool string")
+    plans = [
+        sorted(map(tuple, with_next(rows, ["workflow_id"], step_block(), ["step_number"], ["tool"], split=split)
+               .select("tool", F.col("next.tool")).collect()), key=str)
+        for split in (False, True)
+    ]
+    assert plans[0] == plans[1] == [("b", "c"), ("c", "d"), ("d", None)]

@@ -95,14 +95,14 @@ def parameter_warnings(
         .filter(
             (F.col("s_n") / F.col("s_total") > success_share)
             & (F.col("f_n") / F.col("f_total") > failed_share)
-            & (F.col("s_value") != F.col("f_value"))
+            & ~F.col("s_value").eqNullSafe(F.col("f_value"))  # a JSON null is a value like others
         )
         .select(
             key, F.lit(1).alias("kind"), "pos", "param",
             F.format_string(
                 "at %s, successful runs used %s=%s (%d/%d runs) while failed runs used %s=%s",
-                F.col("tool_name"), F.col("param"), F.col("s_value"), F.col("s_n"),
-                F.col("s_total"), F.col("param"), F.col("f_value"),
+                F.col("tool_name"), F.col("param"), F.coalesce("s_value", F.lit("null")), F.col("s_n"),
+                F.col("s_total"), F.col("param"), F.coalesce("f_value", F.lit("null")),
             ).alias("warning"),
         )
     )

@@ -57,7 +57,8 @@ def with_next(
         split = has_long_keys(rows, keys)
     if not split:
         return rows.withColumn(direction, shift(packed).over(Window.partitionBy(*keys).orderBy(*order)))
-    blocked = rows.withColumn("_block", block)
+    # Rows without a place come first, in a block of their own.
+    blocked = rows.withColumn("_block", F.coalesce(block, F.lit(-1)))
     inside = Window.partitionBy(*keys, "_block").orderBy(*order)
     shifted = blocked.withColumn("_near", shift(packed).over(inside))
     edges = (

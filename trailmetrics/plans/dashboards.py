@@ -319,7 +319,7 @@ def trace_timeline(event_logs: DataFrame, min_bar_ms: float = 50.0) -> DataFrame
     order = ["step_number", "timestamp", "event_id"]
     bars = event_logs.filter(F.col("tool_name").isNotNull()).select(
         "workflow_id", *order, "tool_name", "status",
-        F.greatest("duration_ms", F.lit(min_bar_ms)).alias("bar_ms"), step_block().alias("block"),
+        F.greatest("duration_ms", F.lit(min_bar_ms)).alias("bar_ms"), F.coalesce(step_block(), F.lit(-1)).alias("block"),
     )
     inside = (
         Window.partitionBy("workflow_id", "block").orderBy(*order)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from trailmetrics.operators.similarity import centroid
 from trailmetrics.operators.traces import build_traces, most_frequent_sequence
-from trailmetrics.session import materialize
+from trailmetrics.session import materialize, ship_package
 from trailmetrics.sources.schemas import COMPLETE, EVENT_COLUMNS, FAIL
 
 
@@ -269,6 +269,7 @@ _LOADED: dict[tuple[str, str], Tables] = {}
 
 def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """Derive and store the core tables, once per application and directory."""
+    ship_package(spark)
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _LOADED:
         def read(name: str) -> DataFrame:

@@ -115,7 +115,7 @@ def workflow_states(events: DataFrame, delay: str = DEFAULT_DELAY, idle_ms: int
         if state.hasTimedOut:
             steps, first, started = state.get
             state.remove()
-            if steps >= 0:
+            if steps >= 0 and started:
                 yield row("abandoned", steps, first)
             return
         steps, first, started = state.get if state.exists else (0, None, False)
@@ -123,19 +123,21 @@ def workflow_states(events: DataFrame, delay: str = DEFAULT_DELAY, idle_ms: int
         newest = None
         for batch in batches:
             ended = ended or batch["ended"].any()
+            started = bool(started or batch["started"].any())
             steps = max(steps, int(batch["step_number"].max()))
             low, high = batch["at"].min(), batch["at"].max()
             first = low if first is None else min(pd.Timestamp(first), low)
             newest = high if newest is None else max(newest, high)
         was_closed = state.exists and state.get[0] < 0
-        state.update((-1 if ended else steps, first, True))
+        state.update((-1 if ended else steps, first, started))
         wake = max(int(newest.timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms
         state.setTimeoutTimestamp(wake)
-        if not was_closed:
+        if not was_closed and (started or ended):
             yield row("closed" if ended else "active", steps, first)
 
     slim = events.select(
-        "workflow_id", "step_number", event_time().alias("at"), is_terminal().alias("ended")
+        "workflow_id", "step_number", event_time().alias("at"), is_terminal().alias("ended"),
+        (F.col("activity") == "workflow:start").alias("started"),
     )
     return (
         slim.withWatermark("at", delay)
