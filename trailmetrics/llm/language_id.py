@@ -34,6 +34,7 @@ BUCKETS = 1 << 14
 LONGEST = 3
 PIECE = 1 << 18  # characters of a text that are hashed at once
 LEAST_BITS = 15
+ROWS_AT_ONCE = 64
 AMBIGUOUS = 0.1
 UNKNOWN = "und"
 
@@ -162,8 +163,8 @@ PREDICTIONS = "lang_pred string, score double, ambiguous boolean"
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
     names, scores, unsure = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
     asked = [i for i, t in enumerate(texts) if t is not None and model.languages and LETTER.search(t)]
-    for start in range(0, len(asked), 256):
-        part = asked[start : start + 256]
+    for start in range(0, len(asked), ROWS_AT_ONCE):
+        part = asked[start : start + ROWS_AT_ONCE]
         losses = model.losses(np.stack([ngram_counts(texts[i]) for i in part]))
         chance = np.exp(-8 * (losses - losses.min(axis=1, keepdims=True)))
         chance /= chance.sum(axis=1, keepdims=True)

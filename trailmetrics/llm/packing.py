@@ -35,7 +35,7 @@ ID_BYTES = 4
 END = END_MARK.to_bytes(ID_BYTES, "little")
 SHARD_TOKENS = 1 << 21
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048  # cost of a token, and of a pair of tokens of a document
-KNOWN_PIECES = 1 << 19
+KNOWN_PIECES = 1 << 17
 
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
