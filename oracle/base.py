@@ -61,12 +61,13 @@ FROM (
 )"""
 
 CTES["members"] = """
-SELECT r.workflow_id, r.user_id, v.label, v.embedding, r.t0 AS created_at,
+SELECT r.workflow_id, r.user_id, v.label, r.t0 AS created_at,
+  list_transform(v.embedding, lambda x, i: CAST(x + CAST(CASE WHEN i = v.label + 1 THEN 3 ELSE 0 END AS FLOAT) AS FLOAT)) AS embedding,
   CASE r.user_id % 4 WHEN 0 THEN 'Exchange ' WHEN 1 THEN 'Return ' WHEN 2 THEN 'Fulfil ' ELSE 'Ask ' END
-    || substring(d.text, 1, 60) AS task_description
-FROM runs r
-JOIN embeddings v ON v.vec_id = r.user_id % (SELECT count(*) FROM embeddings)
-JOIN documents d ON d.doc_id = r.user_id % (SELECT count(*) FROM documents)"""
+    || d.text AS task_description
+FROM (SELECT *, bucket * (SELECT max(user_id) + 1 FROM runs) + user_id AS number FROM runs) r
+JOIN embeddings v ON v.vec_id = r.number % (SELECT count(*) FROM embeddings)
+JOIN documents d ON d.doc_id = r.number % (SELECT count(*) FROM documents)"""
 
 CTES["workflow_embeddings"] = """
 SELECT workflow_id, task_description, embedding, 'driver-64d' AS model_version, created_at FROM members"""

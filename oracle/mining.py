@@ -244,12 +244,12 @@ FROM (SELECT sum(midrank) FILTER (WHERE is_guided = 1) - count(*) FILTER (WHERE
 }
 
 # ---- the whole run, results of whole clusters -------------------------------------------------
-# Different vectors of the test data are never similar, so a cluster is the set of
-# workflows with one vector, at least five of them.
+# The vectors of one label point the same way and those of different labels do not, so a
+# cluster is the set of workflows with one label, at least five of them.
 GROUPS = {
-    "vector_groups": """SELECT embedding, 'cluster_' || (row_number() OVER (ORDER BY count(*) DESC, min(workflow_id)) - 1) AS task_cluster
-FROM workflow_embeddings GROUP BY embedding HAVING count(*) >= 5""",
-    "grouped_runs": """SELECT g.task_cluster, t.* FROM traces t JOIN workflow_embeddings USING (workflow_id) JOIN vector_groups g USING (embedding)""",
+    "vector_groups": """SELECT label, 'cluster_' || (row_number() OVER (ORDER BY count(*) DESC, min(workflow_id)) - 1) AS task_cluster
+FROM members GROUP BY label HAVING count(*) >= 5""",
+    "grouped_runs": """SELECT g.task_cluster, t.* FROM traces t JOIN members USING (workflow_id) JOIN vector_groups g USING (label)""",
     "clustered": """SELECT * FROM grouped_runs WHERE task_cluster IN (SELECT task_cluster FROM grouped_runs WHERE success)""",
 }
 SUCCESSES = {**GROUPS, "clustered": "SELECT * FROM grouped_runs WHERE success"}

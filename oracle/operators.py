@@ -10,6 +10,11 @@ RAW = """SELECT *, event_id % 5 AS shape,
   CASE event_id % 5 WHEN 1 THEN 'nonsense' WHEN 4 THEN NULL ELSE 'success' END AS raw_status,
   CASE event_id % 5 WHEN 2 THEN '  ' ELSE 'tool_call:' || event_type END AS raw_activity FROM events"""
 
+# The clusters planted by the adapter: one per label.
+PLANTED = """
+SELECT min(workflow_id) AS first_workflow, count(*) AS workflows, min(task_description) AS first_description
+FROM members GROUP BY label HAVING count(*) >= 5"""
+
 ORACLES: dict[str, str] = {
     "normalised_events": query("""
 SELECT CAST(event_id AS VARCHAR) AS event_id, raw_activity AS activity, event_type AS tool_name, coalesce(raw_status, 'success') AS status,
@@ -132,9 +137,8 @@ FROM (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY task_clus
     CAST(sum(runs) OVER (PARTITION BY task_cluster) - runs AS BIGINT) AS alternative_runs FROM shapes WINDOW w AS (PARTITION BY task_cluster ORDER BY runs DESC, subcluster)) WHERE rn = 1""",
         counted="SELECT 'starts ' || tool_sequence[1] AS task_cluster, coalesce('then ' || tool_sequence[2], 'ends') AS subcluster, tool_sequence, count(*) AS n FROM traces WHERE len(tool_sequence) > 0 GROUP BY ALL",
         shapes="""SELECT task_cluster, subcluster, arg_min(tool_sequence, (-n, tool_sequence)) AS tool_sequence, CAST(sum(n) AS BIGINT) AS runs FROM counted GROUP BY ALL"""),
-    "cluster_by_embedding": query("""
-SELECT min(workflow_id) AS first_workflow, count(*) AS workflows, min(task_description) AS first_description
-FROM workflow_embeddings GROUP BY embedding HAVING count(*) >= 5"""),
+    "cluster_by_embedding": query(PLANTED),
+    "cluster_by_embedding_in_blocks": query(PLANTED),
     "cluster_names": query("""
 SELECT 'cluster_' || label AS cluster_label, arg_min(task_description, (length(task_description), task_description))[1:60] AS task_cluster FROM members GROUP BY 1"""),
     "streamed_timeline": query("""

@@ -99,6 +99,22 @@ def test_search_falls_back_to_frequent_sequence(spark):
     assert [r["tool_sequence"] for r in got] == [["a"]]
 
 
+def test_search_counts_a_covering_path_longer_than_every_run(spark):
+    events = log(spark, *[run(f"w{i}", "ab") for i in range(4)])
+    group = members(spark, events)
+
+    def chain(*nodes):
+        rows = [("c", a, b, 1.0) for a, b in zip(nodes, nodes[1:])]
+        return spark.createDataFrame(rows, "task_cluster string, source string, target string, success_rate double")
+
+    far = chain(graphs.START_NODE, "a", "b", "x", "y", graphs.END_NODE)
+    assert path_search.find_pareto_paths(far, group).collect() == []
+    near = far.union(chain("b", graphs.END_NODE))
+    assert [r["tool_sequence"] for r in path_search.find_pareto_paths(near, group).collect()] == [["a", "b"]]
+    open_end = chain(graphs.START_NODE, "a", "b", "x", "y")
+    assert [r["tool_sequence"] for r in path_search.find_pareto_paths(open_end, group).collect()] == [["a", "b"]]
+
+
 def points(spark, rows):
     data = [("c", list(n), d, c, 1.0, s, 5) for n, d, c, s in rows]
     return spark.createDataFrame(

@@ -78,6 +78,16 @@ def test_edit_distance_of_tools(spark):
     assert many(spark, [F.levenshtein(ab, abc), sequences.normalised_edit_distance(ab, abc), F.length(abc)]) == [1, 0.4, 3]
 
 
+def test_symbols_for_many_tools(spark):
+    book = F.transform(F.sequence(F.lit(1), F.lit(70_000)), lambda i: F.concat(F.lit("t"), i))
+
+    def code(*tools):
+        return sequences.as_symbols(F.array(*[F.lit(t) for t in tools]), book)
+
+    one, other = code("t1", "t6401", "t69999"), code("t1", "t8193", "t69999")
+    assert many(spark, [F.levenshtein(one, other), F.length(one), F.levenshtein(one, one)]) == [1, 3, 0]
+
+
 def test_cosine(spark):
     def sim(a, b):
         return vectors.cosine_similarity(F.lit(a).cast("array<double>"), F.lit(b).cast("array<double>"))
@@ -116,6 +126,18 @@ def test_block_matching_equals_matrix(spark, keep):
     assert best(one) == best(other) and len(best(one)) > 5
 
 
+@pytest.mark.parametrize("blocks", [False, True])
+def test_paths_of_mixed_length(spark, blocks):
+    left = vector_table(spark, [("w1", [1.0, 0.0]), ("w2", [1.0]), ("w3", [1.0, 0.0, 0.0]), ("w4", None)], "workflow_id")
+    right = vector_table(spark, [("p1", [2.0, 0.0]), ("p2", [3.0]), ("p3", None)], "path_id")
+    if blocks:
+        found = similarity.match_by_blocks(
+            left.filter("embedding is not null"), right.filter("embedding is not null"), 0.5, "all", 2, block_rows=1)
+    else:
+        found = similarity.match_paths(left, right, 0.5)
+    assert sorted((r[0], r[1]) for r in found.collect()) == [("w1", "p1"), ("w2", "p2")]
+
+
 def test_block_path_choice_equals_array(spark):
     rows = [(list(s),) for s in ("abc", "abd", "x", "ba", "cab")]
     seqs = spark.createDataFrame(rows, "tool_sequence array<string>")

@@ -72,17 +72,18 @@ def has_loop(window: Column, threshold: int) -> Column:
 
 
 def as_symbols(seq: Column, dictionary: Column) -> Column:
-    """Encode a sequence as a string, one private-use character per distinct tool.
+    """Encode a sequence as a string, one character per distinct tool.
 
     ``dictionary`` is an array of tool names; the position of a tool picks its
     character, so the built-in ``levenshtein`` measures edits of whole tools.
+    Characters start above the basic plane, which leaves room for a million tools.
     """
-    first_private = 0xE000
+    before_first = 0xFFFF
     return F.array_join(
         F.transform(
             seq,
             lambda t: F.decode(
-                F.unhex(F.hex(F.array_position(dictionary, t) + first_private - 1)), "UTF-16BE"
+                F.unhex(F.lpad(F.hex(F.array_position(dictionary, t) + before_first), 8, "0")), "UTF-32"
             ),
         ),
         "",

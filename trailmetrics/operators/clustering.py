@@ -391,7 +391,8 @@ def _ranked(sizes: DataFrame, keys: list[str], prefix: str, label: str) -> DataF
 
 
 def cluster_by_embedding(
-    embeddings: DataFrame, similarity_threshold: float = 0.60, min_executions: int = 3
+    embeddings: DataFrame, similarity_threshold: float = 0.60, min_executions: int = 3,
+    block_rows: int = VECTOR_BLOCK,
 ) -> DataFrame:
     """(workflow_id, task_description, cluster_label) of clusters with enough runs.
 
@@ -401,7 +402,7 @@ def cluster_by_embedding(
     present = embeddings.filter(F.col("embedding").isNotNull())
     items = present.select(F.col("workflow_id").alias("item"), "embedding")
     assigned = materialize(
-        cluster_vectors(items, round(1.0 - similarity_threshold, 12)), "vector-clusters"
+        cluster_vectors(items, round(1.0 - similarity_threshold, 12), block_rows), "vector-clusters"
     )
     only_one = assigned.limit(2).count() == 1
     sizes = assigned.groupBy("cluster").agg(F.count("*").alias("size")).filter(

@@ -9,6 +9,8 @@ the join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,9 +30,38 @@ def enumerate_paths(
     """Simple start-to-end paths with at most ``max_tools`` tools, as (key, tool_sequence).
 
     Level by level: each round extends the open paths of all clusters by one edge and
-    stores them.  A path longer than every run can match no run, so callers pass the
-    longest run length plus one and lose nothing.
+    stores them.
+    """
+    return _search(edges, key, lambda open_paths, complete, length: open_paths if length < max_tools else None)
+
+
+def paths_of_runs(edges: DataFrame, sizes: DataFrame, key: str = "task_cluster") -> DataFrame:
+    """The simple paths that decide a cluster's result, as (key, tool_sequence).
+
+    A path longer than every run of its cluster matches none, but it still counts as one
+    that covers the mean run.  So a cluster's search goes beyond its longest run only
+    while it has no path that is long enough, and ends with the first one.
     """
+    limits = materialize(
+        sizes.select(key, "max_length", covering_length(F.col("avg_length")).alias("needed")), "path-limits")
+    all_inside = limits.agg(F.min("max_length").alias("least")).first()["least"] or 0
+
+    def growing(open_paths: DataFrame, complete: DataFrame, length: int) -> DataFrame:
+        if length < all_inside:
+            return open_paths
+        limited = open_paths.join(limits, key)
+        covered = complete.join(limits, key).filter(F.size("tool_sequence") >= F.col("needed")).select(key).distinct()
+        inside = limited.filter(F.col("max_length") > length)
+        beyond = limited.filter(F.col("max_length") <= length).join(covered, key, "left_anti")
+        return inside.unionByName(beyond).select(*open_paths.columns)
+
+    return _search(edges, key, growing)
+
+
+def _search(
+    edges: DataFrame, key: str, growing: Callable[[DataFrame, DataFrame, int], DataFrame | None]
+) -> DataFrame:
+    """Breadth-first search; ``growing`` picks the open paths of a length that are extended."""
     steps = materialize(edges.select(key, "source", "target"), "path-edges")
     inner = steps.filter((F.col("source") != START_NODE) & (F.col("target") != END_NODE))
     closing = steps.filter(F.col("target") == END_NODE).select(key, F.col("source").alias("last"))
@@ -42,9 +73,12 @@ def enumerate_paths(
     )
     complete = open_paths.join(closing, [key, "last"], "left_semi").select(key, "tool_sequence")
     length = 1
-    while length < max_tools and not open_paths.isEmpty():
+    while not open_paths.isEmpty():
+        chosen = growing(open_paths, complete, length)
+        if chosen is None:
+            break
         grown = (
-            open_paths.join(inner.withColumnRenamed("source", "last"), [key, "last"])
+            chosen.join(inner.withColumnRenamed("source", "last"), [key, "last"])
             .filter(~F.array_contains("tool_sequence", F.col("target")))
             .select(
                 key, F.array_append("tool_sequence", F.col("target")).alias("tool_sequence"),
@@ -68,9 +102,14 @@ def group_sizes(traces: DataFrame, key: str = "task_cluster") -> DataFrame:
     )
 
 
+def covering_length(avg_length: Column) -> Column:
+    """Half the mean run, at least two tools."""
+    return F.greatest(F.lit(2), F.floor(avg_length * 0.5))
+
+
 def covering_paths(paths: DataFrame, sizes: DataFrame, key: str = "task_cluster") -> DataFrame:
     """Drop paths shorter than half the mean run (at least 2), unless none would remain."""
-    needed = F.greatest(F.lit(2), F.floor(F.col("avg_length") * 0.5))
+    needed = covering_length(F.col("avg_length"))
     judged = (
         paths.filter(F.size("tool_sequence") > 0)
         .join(sizes.select(key, "avg_length"), key)
@@ -216,8 +255,7 @@ def find_pareto_paths(
 ) -> DataFrame:
     """Search from edges and traces to the ranked Pareto front of every cluster."""
     sizes = group_sizes(traces, key)
-    longest = sizes.agg(F.max("max_length").alias("m")).first()["m"] or 0
-    found = enumerate_paths(keep_reliable_edges(edges, min_success_rate), longest + 1, key)
+    found = paths_of_runs(keep_reliable_edges(edges, min_success_rate), sizes, key)
     candidates = materialize(
         with_fallback(covering_paths(found, sizes, key), traces, key), "candidate-paths"
     )

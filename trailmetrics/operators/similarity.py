@@ -65,12 +65,29 @@ def _hits(
     return row, col, top[within]
 
 
-def _score(left: pd.DataFrame, names: np.ndarray, matrix: np.ndarray, threshold: float, keep: str):
+PathMatrices = dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def matrices(names: list[str], vectors: list) -> PathMatrices:
+    """Per vector length the path ids and their unit vectors; paths come sorted by id."""
+    length = np.array([len(v) for v in vectors])
+    ids = np.asarray(names, dtype=object)
+    return {
+        int(n): (ids[length == n], unit_rows([v for v in vectors if len(v) == n])) for n in np.unique(length)
+    }
+
+
+def _score(left: pd.DataFrame, known: PathMatrices, threshold: float, keep: str) -> Iterator[pd.DataFrame]:
+    """Matches of the workflows, one frame per vector length that both sides have."""
     left = left.sort_values("workflow_id")
-    row, col, similarity = _hits(unit_rows(list(left["embedding"])) @ matrix.T, threshold, keep)
-    return pd.DataFrame({
-        "workflow_id": left["workflow_id"].to_numpy()[row], "path_id": names[col], "similarity": similarity,
-    })
+    length = left["embedding"].map(len).to_numpy()
+    for n in np.intersect1d(length, list(known)):
+        names, matrix = known[int(n)]
+        rows = left[length == n]
+        row, col, similarity = _hits(unit_rows(list(rows["embedding"])) @ matrix.T, threshold, keep)
+        yield pd.DataFrame({
+            "workflow_id": rows["workflow_id"].to_numpy()[row], "path_id": names[col], "similarity": similarity,
+        })
 
 
 MATCH_DDL = "workflow_id string, path_id string, similarity double"
@@ -83,24 +100,18 @@ def match_paths(
 
     ``keep``: ``all`` matches, only the ``best_path`` of each workflow, or only the
     ``best_workflow`` of each path (ties: smallest id).  Both inputs have their id and
-    ``embedding``; NULL embeddings and vectors of another length than the paths' match
-    nothing.
+    ``embedding``.  NULL embeddings match nothing; a workflow meets the paths whose vectors
+    have its own vector's length.
     """
     left = workflows.filter(F.col("embedding").isNotNull()).select("workflow_id", "embedding")
     right = paths.filter(F.col("embedding").isNotNull()).select("path_id", "embedding")
-    size = right.agg(
-        F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim"),
-        F.min(F.size("embedding")).alias("least"),
-    ).first()
+    size = right.agg(F.count("*").alias("n"), F.sum(F.size("embedding")).alias("numbers")).first()
     if not size["n"]:
         return left.select(
             "workflow_id", F.lit(None).cast("string").alias("path_id"),
             F.lit(None).cast("double").alias("similarity"),
         ).filter(F.lit(False))
-    if size["least"] != size["dim"]:
-        raise ValueError("path vectors differ in length")
-    left = left.filter(F.size("embedding") == size["dim"])
-    if size["n"] * size["dim"] <= MATRIX_LIMIT:
+    if size["numbers"] <= MATRIX_LIMIT:
         matches = match_against_matrix(left, right, threshold, keep)
         # A workflow is in one batch only, so its best path is final.
         return matches if keep != "best_workflow" else _best(matches, "path_id", "workflow_id")
@@ -123,16 +134,12 @@ def match_against_matrix(
     left: DataFrame, right: DataFrame, threshold: float, keep: str
 ) -> DataFrame:
     rows = right.orderBy("path_id").collect()  # bounded by MATRIX_LIMIT
-    shared = left.sparkSession.sparkContext.broadcast((
-        np.asarray([r["path_id"] for r in rows], dtype=object),
-        unit_rows([r["embedding"] for r in rows]),
-    ))
+    shared = left.sparkSession.sparkContext.broadcast(
+        matrices([r["path_id"] for r in rows], [r["embedding"] for r in rows]))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, matrix = shared.value
         for batch in batches:
-            if len(batch):
-                yield _score(batch, names, matrix, threshold, keep)
+            yield from _score(batch, shared.value, threshold, keep)
 
     return left.mapInPandas(score, MATCH_DDL)
 
@@ -154,11 +161,11 @@ def match_by_blocks(
     b = right.withColumn("j", cut("path_id", right_blocks)).withColumn("i", all_blocks(left_blocks))
 
     def score(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        if some.empty or others.empty:
-            return pd.DataFrame(columns=["workflow_id", "path_id", "similarity"], dtype=object)
         others = others.sort_values("path_id")
-        names = others["path_id"].to_numpy()
-        return _score(some, names, unit_rows(list(others["embedding"])), threshold, keep)
+        found = list(_score(some, matrices(list(others["path_id"]), list(others["embedding"])), threshold, keep))
+        if not found:
+            return pd.DataFrame(columns=["workflow_id", "path_id", "similarity"], dtype=object)
+        return pd.concat(found)
 
     return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(score, MATCH_DDL)
 

@@ -363,8 +363,8 @@ def operator_queries() -> dict[str, Query]:
             "task_cluster", "tool_sequence", (F.col("runs") - rest).alias("primary_runs"),
             F.size("alternative_paths").alias("alternatives"), rest.alias("alternative_runs"))
 
-    def embedding_clusters(t: Tables) -> DataFrame:
-        return clustering.cluster_by_embedding(t.workflow_embeddings, 0.78, 5).groupBy("cluster_label").agg(
+    def embedding_clusters(t: Tables, **blocks: int) -> DataFrame:
+        return clustering.cluster_by_embedding(t.workflow_embeddings, 0.78, 5, **blocks).groupBy("cluster_label").agg(
             F.min("workflow_id").alias("first_workflow"), F.count("*").alias("workflows"),
             F.min("task_description").alias("first_description")).drop("cluster_label")
 
@@ -441,6 +441,7 @@ def operator_queries() -> dict[str, Query]:
             "tool_name", measures.dot_radius(F.col("total_cost_usd").cast("double") * 10000).alias("radius")),
         "primary_paths": primaries,
         "cluster_by_embedding": embedding_clusters,
+        "cluster_by_embedding_in_blocks": lambda t: embedding_clusters(t, block_rows=128),
         "cluster_names": lambda t: clustering.cluster_names(
             t.workflow_embeddings.join(t.labels, "workflow_id").withColumn(
                 "cluster_label", F.concat(F.lit("cluster_"), "label"))),

@@ -186,32 +186,45 @@ def derive_event_logs(events: DataFrame) -> DataFrame:
     return tool_rows.select(*EVENT_COLUMNS).unionByName(lifecycle_rows.select(*EVENT_COLUMNS))
 
 
+PULL = 3.0  # how far a run's vector is moved along its label's axis
+
+
 def derive_embeddings(event_logs: DataFrame, embeddings: DataFrame, documents: DataFrame) -> DataFrame:
-    """One embedding and one task description per workflow, picked by user id."""
+    """One embedding and one task description per workflow, dealt by the workflow's number.
+
+    Numbers (bucket, then user) are dense, so all vectors and all whole documents are used as
+    soon as there are as many workflows.  A vector is moved along the axis of its label, so
+    that the runs of one label form a cluster of unequal vectors.
+    """
     n_vectors = embeddings.count()
     n_documents = documents.count()
-    workflows = event_logs.filter(F.col("activity") == "workflow:start").select(
+    started = event_logs.filter(F.col("activity") == "workflow:start").select(
         "workflow_id", F.col("timestamp").alias("created_at"),
         F.substring_index("workflow_id", "-", 1).cast("bigint").alias("user_id"),
+        F.substring_index("workflow_id", "-", -1).cast("bigint").alias("bucket"),
     )
+    users = (started.agg(F.max("user_id").alias("last")).first()["last"] or 0) + 1
+    workflows = started.withColumn("number", F.col("bucket") * users + F.col("user_id"))
     kind = (
         F.when(F.col("user_id") % 4 == 0, "Exchange ")
         .when(F.col("user_id") % 4 == 1, "Return ")
         .when(F.col("user_id") % 4 == 2, "Fulfil ")
         .otherwise("Ask ")
     )
-    texts = documents.select(
-        F.col("doc_id").alias("doc_key"), F.substring("text", 1, 60).alias("head")
+    texts = documents.select(F.col("doc_id").alias("doc_key"), "text")
+    moved = F.transform(
+        "embedding",
+        lambda x, i: (x + F.when(i == F.col("label"), PULL).otherwise(0.0).cast("float")).cast("float"),
     )
-    vectors = embeddings.select(F.col("vec_id").alias("vec_key"), "embedding", "label")
+    vectors = embeddings.select(F.col("vec_id").alias("vec_key"), moved.alias("embedding"), "label")
     return (
-        workflows.withColumn("vec_key", F.col("user_id") % n_vectors)
-        .withColumn("doc_key", F.col("user_id") % n_documents)
+        workflows.withColumn("vec_key", F.col("number") % n_vectors)
+        .withColumn("doc_key", F.col("number") % n_documents)
         .join(vectors, "vec_key")
         .join(texts, "doc_key")
         .select(
             "workflow_id",
-            F.concat(kind, "head").alias("task_description"),
+            F.concat(kind, "text").alias("task_description"),
             "embedding",
             F.lit("driver-64d").alias("model_version"),
             "created_at",
