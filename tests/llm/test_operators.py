@@ -147,6 +147,17 @@ def test_url_verdicts(spark):
         (None, True, "b.com"), (2, True, "a.b.com")])
 
 
+def test_url_filter_of_deep_hosts(spark):
+    deep = ".".join("abcdefghijkl") + ".com"
+    entries = spark.createDataFrame([(deep, "x", True), (None, "x", True)], "pattern string, category string, listed boolean")
+    captures = spark.createDataFrame([(1, f"http://z.{deep}/"), (2, "http://l.com/")], "page_id bigint, url string")
+    day = F.to_timestamp(F.lit("2024-01-01"))
+    seen, listed = captures.withColumn("fetched_at", day), entries.withColumn("at", day)
+    assert {r["page_id"]: r["pattern"] for r in url_filter.verdicts(seen, listed).collect()} == {1: deep, 2: None}
+    none = url_filter.verdicts(seen, listed.filter("pattern is null")).collect()
+    assert sorted((r["page_id"], r["blocked"]) for r in none) == [(1, False), (2, False)]
+
+
 # --- 5 ---------------------------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ Entries say that a pattern is listed or unlisted from a time on.  Per pattern th
 validity intervals [from, until): an entry that lists opens one, the next entry of the pattern
 ends it, and of entries at one time an unlisting wins.  Patterns are host names; a pattern
 matches a capture whose host is the pattern or lies below it, so a capture is looked up under
-each of its host's suffixes (at most ``MOST_LABELS`` labels deep).
+each of its host's suffixes, as deep as the deepest listed pattern.
 
 Intervals and captures are joined by pattern and calendar month, with the exact times as a
 further condition, so neither a host with many captures nor a pattern with a long history
@@ -20,7 +20,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_LABELS = 8
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -28,10 +27,10 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, HOST, 1))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and the domains above it, down to one label."""
+def host_suffixes(host: Column, deepest: Column) -> Column:
+    """The domains above the host and the host itself, of one to ``deepest`` labels."""
     labels = F.split(host, r"\.")
-    depth = F.least(F.size(labels), F.lit(MOST_LABELS))
+    depth = F.least(F.size(labels), deepest)
     return F.transform(
         F.sequence(F.lit(1), depth),
         lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
@@ -66,10 +65,13 @@ def verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
         .withColumn("month", F.explode(F.sequence(month(F.col("valid_from")), month(F.col("to")))))
         .drop("last", "to")
     )
+    deepest = entries.agg(F.max(F.size(F.split("pattern", r"\."))).alias("deepest")).filter("deepest > 0")
     asked = (
         seen.filter("host <> '' and fetched_at is not null")
-        .withColumn("pattern", F.explode(host_suffixes(F.col("host"))))
+        .crossJoin(F.broadcast(deepest))  # one row, none without patterns
+        .withColumn("pattern", F.explode(host_suffixes(F.col("host"), F.col("deepest"))))
         .withColumn("month", month(F.col("fetched_at")))
+        .drop("deepest")
     )
     active = (F.col("fetched_at") >= F.col("valid_from")) & (
         F.col("valid_until").isNull() | (F.col("fetched_at") < F.col("valid_until")))
