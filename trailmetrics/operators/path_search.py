@@ -42,8 +42,7 @@ def paths_of_runs(edges: DataFrame, sizes: DataFrame, key: str = "task_cluster")
     that covers the mean run.  So a cluster's search goes beyond its longest run only
     while it has no path that is long enough, and ends with the first one.
     """
-    limits = materialize(
-        sizes.select(key, "max_length", covering_length(F.col("avg_length")).alias("needed")), "path-limits")
+    limits = sizes.select(key, "max_length", covering_length(F.col("avg_length")).alias("needed"))
     all_inside = limits.agg(F.min("max_length").alias("least")).first()["least"] or 0
 
     def growing(open_paths: DataFrame, complete: DataFrame, length: int) -> DataFrame:
@@ -254,7 +253,7 @@ def find_pareto_paths(
     support_share: float = 0.10,
 ) -> DataFrame:
     """Search from edges and traces to the ranked Pareto front of every cluster."""
-    sizes = group_sizes(traces, key)
+    sizes = materialize(group_sizes(traces, key), "group-sizes")
     found = paths_of_runs(keep_reliable_edges(edges, min_success_rate), sizes, key)
     candidates = materialize(
         with_fallback(covering_paths(found, sizes, key), traces, key), "candidate-paths"
