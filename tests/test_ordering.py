@@ -6,18 +6,19 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailmetrics.operators.anomalies import loop_steps
-from trailmetrics.operators.ordering import running_total, trailing_mean, with_borrowed_rows, with_next
+from trailmetrics.operators.ordering import (
+    running_total, step_block, trailing_mean, with_borrowed_rows, with_next,
+)
 from trailmetrics.sources.driver_tables import number_steps
 
 
-@pytest.mark.parametrize("split", [False, True])
 @pytest.mark.parametrize("direction", ["next", "previous"])
-def test_neighbours_over_block_edges(spark, split, direction):
+def test_neighbours_over_block_edges(spark, direction):
     rng = random.Random(5)
     steps = {"a": sorted(rng.sample(range(60), 25)), "b": [3], "c": [9, 10, 55]}
     rows = [(k, s, f"{k}{s}") for k, v in steps.items() for s in v]
     df = spark.createDataFrame(rows, "k string, s int, v string")
-    got = with_next(df, ["k"], F.floor(F.col("s") / 5), ["s"], ["v"], direction, split)
+    got = with_next(df, ["k"], F.floor(F.col("s") / 5), ["s"], ["v"], direction)
     at = {(r["k"], r["s"]): r[direction] and r[direction]["v"] for r in got.collect()}
     for k, v in steps.items():
         for i, s in enumerate(v):
@@ -65,16 +66,10 @@ def test_step_numbers(spark):
     assert [n for _, n in got] == [1, 2, 3, 4, 5]
 
 
-def test_neighbours_without_a_place_are_alike_in_both_plans(spark):
-    from pyspark.sql import functions as F
-
-    from trailmetrics.operators.ordering import step_block, with_next
-
+def test_neighbours_without_a_place_or_key(spark):
     rows = spark.createDataFrame(
-        [("w", None, "b"), ("w", 1, "c"), ("w", 5000, "d")], "workflow_id string, step_number int, tool string")
-    plans = [
-        sorted(map(tuple, with_next(rows, ["workflow_id"], step_block(), ["step_number"], ["tool"], split=split)
-               .select("tool", F.col("next.tool")).collect()), key=str)
-        for split in (False, True)
-    ]
-    assert plans[0] == plans[1] == [("b", "c"), ("c", "d"), ("d", None)]
+        [("w", None, "b"), ("w", 1, "c"), ("w", 5000, "d"), (None, 1, "x"), (None, 9000, "y"), ("v", -1, "p"), ("v", None, "o")],
+        "workflow_id string, step_number int, tool string")
+    got = with_next(rows, ["workflow_id"], step_block(), ["step_number"], ["tool"])
+    after = {r["tool"]: r["next"] and r["next"]["tool"] for r in got.collect()}
+    assert after == {"b": "c", "c": "d", "d": None, "x": "y", "y": None, "o": "p", "p": None}

@@ -35,12 +35,6 @@ def conformance_to_longest(a: Column, b: Column) -> Column:
     return positional_matches(a, b) / F.nullif(longest, F.lit(0))
 
 
-def conformance_to_shortest(a: Column, b: Column) -> Column:
-    """Matches over the shorter length; 0 when either is empty."""
-    shortest = F.least(F.size(a), F.size(b))
-    return F.coalesce(positional_matches(a, b) / F.nullif(shortest, F.lit(0)), F.lit(0.0))
-
-
 def alignment(seq: Column, optimal: Column) -> Column:
     """Per step: match, deviation, or extra beyond the optimal length."""
     return F.transform(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_WARNINGS = 3
@@ -113,11 +113,12 @@ def failure_warnings(
     success_share: float = 0.60, failed_share: float = 0.40,
 ) -> DataFrame:
     """Up to three warnings per cluster: missing steps first, then parameters, each in
-    path order.  The lists hold at most one entry per path tool and parameter name."""
+    path order.  Later ones are cut by rank, before the list is built."""
     found = missing_step_warnings(event_logs, members, optimal, key).unionByName(
         parameter_warnings(event_logs, members, optimal, key, success_share, failed_share)
     )
-    ordered = F.array_sort(F.collect_list(F.struct("kind", "pos", "param", "warning")))
-    return found.groupBy(key).agg(
-        F.transform(F.slice(ordered, 1, MAX_WARNINGS), lambda w: w["warning"]).alias("failure_warnings")
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("kind", "pos", "param", "warning"))
+    listed = F.array_sort(F.collect_list(F.struct("rank", "warning")))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= MAX_WARNINGS).groupBy(key).agg(
+        F.transform(listed, lambda w: w["warning"]).alias("failure_warnings")
     )

@@ -1,87 +1,62 @@
 """Best stored path for each tool sequence.
 
-Like similarity matching: the paths are few, so they become one broadcast array if
-their counted size allows, and blocks of bounded size otherwise.  Each batch of
-sequences emits only its best path.
+Distinct sequences and paths are cut into blocks of bounded size, and each pair of
+blocks is one task that emits only the best path of every sequence in it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CELL_LIMIT = 4_000_000  # tools in the broadcast array
+from trailmetrics.session import materialize
+
 BLOCK_ROWS = 1024
 BEST_DDL = "tool_sequence array<string>, at bigint, score double"
 
 
-def _encode(sequences: list, book: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences as rows of tool codes, padded with -1, and their lengths."""
-    length = np.array([len(s) for s in sequences])
-    codes = np.full((len(sequences), int(length.max(initial=0))), -1, dtype="int32")
+def _encode(sequences: list, book: dict[str, int], width: int, filler: int) -> np.ndarray:
+    """The first ``width`` tools of every sequence as codes, one row per position."""
+    codes = np.full((width, len(sequences)), filler, dtype="int32")
     for i, seq in enumerate(sequences):
-        codes[i, : len(seq)] = [book.setdefault(t, len(book)) for t in seq]
-    return codes, length
+        known = [book.setdefault(t, len(book)) for t in seq[:width]]
+        codes[: len(known), i] = known
+    return codes
 
 
-def best_of(sequences: list, paths: list) -> tuple[np.ndarray, np.ndarray]:
+def best_of(sequences: list, paths: list, over: str = "shortest") -> tuple[np.ndarray, np.ndarray]:
     """Index and score of the best path of each sequence; ties go to the first path.
 
-    Score = equal positions over the shorter length, 0 for an empty path.
+    Score = equal positions over the shorter (``over="longest"``: the longer) length, 0
+    where that length is 0.
     """
     book: dict[str, int] = {}
-    known, length = _encode(paths, book)
-    at, score = np.zeros(len(sequences), dtype="int64"), np.zeros(len(sequences))
-    for i, seq in enumerate(sequences):
-        codes = np.array([book.get(t, -2) for t in seq], dtype="int32")
-        n = min(len(codes), known.shape[1])
-        hits = (known[:, :n] == codes[None, :n]).sum(axis=1)
-        shorter = np.minimum(length, len(codes))
-        scores = np.divide(hits, shorter, out=np.zeros(len(paths)), where=shorter > 0)
-        at[i] = scores.argmax()
-        score[i] = scores[at[i]]
-    return at, score
-
-
-def best_paths(sequences: DataFrame, paths: DataFrame) -> DataFrame:
-    """(tool_sequence, at, score) for each distinct non-empty sequence.
+    long_a, long_b = np.array([len(s) for s in sequences]), np.array([len(p) for p in paths])
+    width = int(min(long_a.max(), long_b.max()))
+    a, b = _encode(sequences, book, width, -1), _encode(paths, book, width, -2)
+    hits = np.zeros((len(sequences), len(paths)), dtype="int32")
+    for some, other in zip(a, b):
+        hits += some[:, None] == other[None, :]
+    length = (np.minimum if over == "shortest" else np.maximum).outer(long_a, long_b)
+    scores = np.divide(hits, length, out=np.zeros(hits.shape), where=length > 0)
+    at = scores.argmax(axis=1)
+    return at, scores[np.arange(len(sequences)), at]
+
+
+def best_paths(
+    sequences: DataFrame, paths: DataFrame, over: str = "shortest", block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """(tool_sequence, at, score) for each distinct non-empty sequence; no path, no row.
 
     ``paths`` has ``at`` (its place in the order that settles ties) and
-    ``tool_sequence``.
+    ``tool_sequence``; ``over`` is the length that scores are taken over.
     """
-    distinct = sequences.filter(F.size("tool_sequence") > 0).select("tool_sequence").distinct()
-    size = paths.agg(F.count("*").alias("n"), F.sum(F.size("tool_sequence")).alias("cells")).first()
-    if not size["n"]:
-        return distinct.select(
-            "tool_sequence", F.lit(0).cast("bigint").alias("at"), F.lit(0.0).alias("score")
-        ).filter(F.lit(False))
-    if size["cells"] <= CELL_LIMIT:
-        rows = paths.orderBy("at").collect()  # bounded by CELL_LIMIT
-        shared = paths.sparkSession.sparkContext.broadcast(
-            ([r["at"] for r in rows], [r["tool_sequence"] for r in rows])
-        )
-
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            places, known = shared.value
-            for batch in batches:
-                found, points = best_of(list(batch["tool_sequence"]), known)
-                yield pd.DataFrame({
-                    "tool_sequence": batch["tool_sequence"], "at": np.asarray(places)[found], "score": points,
-                })
-
-        return distinct.mapInPandas(score, BEST_DDL)
-    return best_paths_by_blocks(distinct, paths, size["n"])
-
-
-def best_paths_by_blocks(
-    distinct: DataFrame, paths: DataFrame, n_paths: int, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
+    distinct = materialize(
+        sequences.filter(F.size("tool_sequence") > 0).select("tool_sequence").distinct(), "distinct-sequences")
     left_blocks = -(-distinct.count() // block_rows) or 1
-    right_blocks = -(-n_paths // block_rows)
+    right_blocks = -(-paths.count() // block_rows) or 1
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a = distinct.withColumn("i", F.pmod(F.xxhash64("tool_sequence"), F.lit(left_blocks)).cast("int"))
     b = paths.select("at", "tool_sequence").withColumn(
@@ -91,7 +66,7 @@ def best_paths_by_blocks(
         if some.empty or others.empty:
             return pd.DataFrame(columns=["tool_sequence", "at", "score"], dtype=object)
         others = others.sort_values("at")
-        found, points = best_of(list(some["tool_sequence"]), list(others["tool_sequence"]))
+        found, points = best_of(list(some["tool_sequence"]), list(others["tool_sequence"]), over)
         return pd.DataFrame({
             "tool_sequence": some["tool_sequence"], "at": others["at"].to_numpy()[found], "score": points,
         })

@@ -1,8 +1,8 @@
 """Neighbour, rank and rolling operators that do not put one key in one task.
 
 A plain window sends every row of a key to one task.  Here a key is cut into
-blocks (step ranges, hours or range partitions) where some key is long; windows run
-inside a block, and only a few small rows per block travel to join the blocks up.
+blocks (step ranges, hours or range partitions); windows run inside a block, and only
+a few small rows per block travel to join the blocks up.
 """
 
 from __future__ import annotations
@@ -24,54 +24,33 @@ def hour_block(column: str = "timestamp") -> Column:
     return F.unix_date(F.to_date(column)) * 24 + F.hour(column)
 
 
-_LONG: dict[tuple, bool] = {}
-
-
-def has_long_keys(rows: DataFrame, keys: list[str]) -> bool:
-    """Whether some key has more than ``STEP_BLOCK`` rows.
-
-    One pass over the key columns with map-side counts; remembered per plan.  The
-    answer only picks a plan, results do not depend on it.
-    """
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    name = (rows.sparkSession.sparkContext.applicationId, counts.semanticHash())
-    if name not in _LONG:
-        _LONG[name] = (counts.agg(F.max("n").alias("n")).first()["n"] or 0) > STEP_BLOCK
-    return _LONG[name]
-
-
 def with_next(
-    rows: DataFrame, keys: list[str], block: Column, order: list[str], fields: list[str],
-    direction: str = "next", split: bool | None = None,
+    rows: DataFrame, keys: list[str], block: Column, order: list[str], fields: list[str], direction: str = "next",
 ) -> DataFrame:
     """Add a struct column ``next`` (or ``previous``) with the neighbour's fields.
 
-    With short keys only (``split`` false, counted if not given) a plain window does.
-    Otherwise windows run inside blocks, and at a block edge the neighbour is the first
+    Windows run inside blocks of a key, and at a block edge the neighbour is the first
     (last) row of the nearest non-empty block of the same key; the edge table holds one
-    row per block.
+    row per inner block edge, so keys of one block add nothing to it.  Rows without a
+    block come first, rows without a key are a key of their own.
     """
     packed = F.struct(*fields)
     shift, edge_of = (F.lead, F.min_by) if direction == "next" else (F.lag, F.max_by)
-    if split is None:
-        split = has_long_keys(rows, keys)
-    if not split:
-        return rows.withColumn(direction, shift(packed).over(Window.partitionBy(*keys).orderBy(*order)))
-    # Rows without a place come first, in a block of their own.
-    blocked = rows.withColumn("_block", F.coalesce(block, F.lit(-1)))
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
-    shifted = blocked.withColumn("_near", shift(packed).over(inside))
+    blocked = rows.withColumn("_block", block)
+    parts = [*keys, "_block"]
+    shifted = blocked.withColumn("_near", shift(packed).over(Window.partitionBy(*parts).orderBy(*order)))
     edges = (
-        blocked.groupBy(*keys, "_block")
+        blocked.groupBy(*parts)
         .agg(edge_of(packed, F.struct(*order)).alias("_edge"))
         .withColumn("_far", shift("_edge").over(Window.partitionBy(*keys).orderBy("_block")))
         .filter(F.col("_far").isNotNull())
-        .select(*keys, "_block", "_far")
+        .select(*[F.col(c).alias(f"_at_{c}") for c in parts], "_far")
     )
+    same = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in parts]
     return (
-        shifted.join(edges, [*keys, "_block"], "left")
+        shifted.join(edges, same, "left")
         .withColumn(direction, F.coalesce("_near", "_far"))
-        .drop("_near", "_far", "_block")
+        .drop("_near", "_far", "_block", *[f"_at_{c}" for c in parts])
     )
 
 

@@ -23,22 +23,25 @@ def mode_significance(event_logs: DataFrame, value: str = "duration_ms") -> Data
         F.count(F.when(F.col("is_guided") == 0, 1)).alias("e"),
     )
     ranked = running_total(counts, [], ["v"], "e", "below")
-    g, e, v = F.col("g").cast("double"), F.col("e").cast("double"), F.col("v")
+    g, e = F.col("g").cast("double"), F.col("e").cast("double")
     t = g + e
     totals = ranked.agg(
         F.sum(g * (F.col("below") + 0.5 * e)).alias("u"),
         F.sum(g).alias("n1"), F.sum(e).alias("n2"),
         F.sum(t * t * t - t).alias("ties"),
-        (F.sum(g * v) / F.sum(g)).alias("m1"), (F.sum(e * v) / F.sum(e)).alias("m2"),
-        F.sum(g * v * v).alias("q1"), F.sum(e * v * v).alias("q2"),
     )
+    guided, other = F.when(F.col("is_guided") == 1, F.col("v")), F.when(F.col("is_guided") == 0, F.col("v"))
+    moments = runs.agg(
+        F.avg(guided).alias("m1"), F.avg(other).alias("m2"),
+        F.coalesce(F.var_samp(guided), F.lit(0.0)).alias("s1"),
+        F.coalesce(F.var_samp(other), F.lit(0.0)).alias("s2"),
+    )
+    one = F.lit(1).alias("one")  # both sides are one row
+    totals = totals.select("*", one).join(F.broadcast(moments.select("*", one)), "one")
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2
     sigma = F.sqrt(n1 * n2 / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
-    spread = F.sqrt(
-        (F.col("q1") - n1 * F.col("m1") * F.col("m1") + F.col("q2") - n2 * F.col("m2") * F.col("m2"))
-        / (n - 2)
-    )
+    spread = F.sqrt(((n1 - 1) * F.col("s1") + (n2 - 1) * F.col("s2")) / (n - 2))
     return totals.select(
         n1.cast("bigint").alias("n_guided"), n2.cast("bigint").alias("n_exploration"),
         F.col("u").alias("mann_whitney_u"),

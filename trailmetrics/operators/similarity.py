@@ -1,10 +1,8 @@
 """Centroids and similarity matching between workflow and path vectors.
 
-The path side is small in practice (one row per task cluster).  Its size is
-counted first: up to ``MATRIX_LIMIT`` numbers it becomes one broadcast matrix and
-each batch of workflow vectors is multiplied with it, so no pair of rows is ever
-emitted unless it matches.  Beyond that both sides are cut into bounded blocks and
-block pairs are multiplied in separate tasks, which gives the same matches.
+Workflow and path vectors are cut into blocks of bounded size, and each pair of
+blocks is multiplied in a task of its own, so no pair of rows is ever emitted unless
+it matches.  The path side is small in practice (one row per task cluster, one block).
 """
 
 from __future__ import annotations
@@ -16,7 +14,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MATRIX_LIMIT = 8_000_000  # numbers in the broadcast matrix (64 MB)
 BLOCK_ROWS = 2048
 
 
@@ -87,69 +84,27 @@ def _score(left: pd.DataFrame, known: PathMatrices, threshold: float, keep: str)
         row, col, similarity = _hits(unit_rows(list(rows["embedding"])) @ matrix.T, threshold, keep)
         yield pd.DataFrame({
             "workflow_id": rows["workflow_id"].to_numpy()[row], "path_id": names[col], "similarity": similarity,
+            "rounded": np.round(similarity, 9),
         })
 
 
-MATCH_DDL = "workflow_id string, path_id string, similarity double"
+MATCH_DDL = "workflow_id string, path_id string, similarity double, rounded double"
 
 
 def match_paths(
-    workflows: DataFrame, paths: DataFrame, threshold: float, keep: str = "all"
+    workflows: DataFrame, paths: DataFrame, threshold: float, keep: str = "all", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """(workflow_id, path_id, similarity) with cosine >= threshold.
 
     ``keep``: ``all`` matches, only the ``best_path`` of each workflow, or only the
-    ``best_workflow`` of each path (ties: smallest id).  Both inputs have their id and
-    ``embedding``.  NULL embeddings match nothing; a workflow meets the paths whose vectors
-    have its own vector's length.
+    ``best_workflow`` of each path (ties up to 9 digits: smallest id).  Both inputs have
+    their id and ``embedding``.  NULL embeddings match nothing; a workflow meets the paths
+    whose vectors have its own vector's length.
     """
     left = workflows.filter(F.col("embedding").isNotNull()).select("workflow_id", "embedding")
     right = paths.filter(F.col("embedding").isNotNull()).select("path_id", "embedding")
-    size = right.agg(F.count("*").alias("n"), F.sum(F.size("embedding")).alias("numbers")).first()
-    if not size["n"]:
-        return left.select(
-            "workflow_id", F.lit(None).cast("string").alias("path_id"),
-            F.lit(None).cast("double").alias("similarity"),
-        ).filter(F.lit(False))
-    if size["numbers"] <= MATRIX_LIMIT:
-        matches = match_against_matrix(left, right, threshold, keep)
-        # A workflow is in one batch only, so its best path is final.
-        return matches if keep != "best_workflow" else _best(matches, "path_id", "workflow_id")
-    matches = match_by_blocks(left, right, threshold, keep, size["n"])
-    if keep == "all":
-        return matches
-    return _best(matches, *(("workflow_id", "path_id") if keep == "best_path" else ("path_id", "workflow_id")))
-
-
-def _best(matches: DataFrame, key: str, other: str) -> DataFrame:
-    order = F.struct(-F.round("similarity", 9), F.col(other))
-    return (
-        matches.groupBy(key)
-        .agg(F.min_by(other, order).alias(other), F.max("similarity").alias("similarity"))
-        .select("workflow_id", "path_id", "similarity")
-    )
-
-
-def match_against_matrix(
-    left: DataFrame, right: DataFrame, threshold: float, keep: str
-) -> DataFrame:
-    rows = right.orderBy("path_id").collect()  # bounded by MATRIX_LIMIT
-    shared = left.sparkSession.sparkContext.broadcast(
-        matrices([r["path_id"] for r in rows], [r["embedding"] for r in rows]))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield from _score(batch, shared.value, threshold, keep)
-
-    return left.mapInPandas(score, MATCH_DDL)
-
-
-def match_by_blocks(
-    left: DataFrame, right: DataFrame, threshold: float, keep: str, n_right: int,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
     left_blocks = -(-left.count() // block_rows) or 1
-    right_blocks = -(-n_right // block_rows)
+    right_blocks = -(-right.count() // block_rows) or 1
 
     def cut(name: str, n: int):
         return F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
@@ -164,10 +119,22 @@ def match_by_blocks(
         others = others.sort_values("path_id")
         found = list(_score(some, matrices(list(others["path_id"]), list(others["embedding"])), threshold, keep))
         if not found:
-            return pd.DataFrame(columns=["workflow_id", "path_id", "similarity"], dtype=object)
+            return pd.DataFrame(columns=["workflow_id", "path_id", "similarity", "rounded"], dtype=object)
         return pd.concat(found)
 
-    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(score, MATCH_DDL)
+    matches = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(score, MATCH_DDL)
+    if keep == "all":
+        return matches.drop("rounded")
+    return _best(matches, *(("workflow_id", "path_id") if keep == "best_path" else ("path_id", "workflow_id")))
+
+
+def _best(matches: DataFrame, key: str, other: str) -> DataFrame:
+    order = F.struct(-F.col("rounded"), F.col(other))
+    return (
+        matches.groupBy(key)
+        .agg(F.min_by(other, order).alias(other), F.max("similarity").alias("similarity"))
+        .select("workflow_id", "path_id", "similarity")
+    )
 
 
 def nearest_path(workflows: DataFrame, paths: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from trailmetrics.functions import text
 from trailmetrics.functions.measures import mode_label, ratio
-from trailmetrics.functions.sequences import conformance_to_longest
 from trailmetrics.operators.events import terminal_events, tool_calls, tool_stats, workflow_rollup
 from trailmetrics.operators.graphs import graph_nodes, transitions
+from trailmetrics.operators.matching import best_paths
 from trailmetrics.operators.similarity import match_paths, nearest_description
 from trailmetrics.operators.traces import ordered_sequences
 from trailmetrics.plans.dashboards import mode_statistics
@@ -58,13 +58,18 @@ def group_path_ids(paths: DataFrame, group: str) -> DataFrame:
     return paths.filter(text.in_group(F.col("task_cluster"), group)).select("path_id")
 
 
-def select_paths(paths: DataFrame, path_ids: list[str]) -> DataFrame:
+PathIds = list[str] | DataFrame  # ids given one by one, or a table with the column path_id
+
+
+def select_paths(paths: DataFrame, path_ids: PathIds) -> DataFrame:
     """The given paths; an empty list selects nothing."""
+    if isinstance(path_ids, DataFrame):
+        return paths.join(path_ids.select("path_id"), "path_id", "left_semi").select(*paths.columns)
     return paths.filter(F.col("path_id").isin(path_ids)) if path_ids else paths.filter(F.lit(False))
 
 
 def matched_workflows(
-    embeddings: DataFrame, paths: DataFrame, path_ids: list[str], threshold: float
+    embeddings: DataFrame, paths: DataFrame, path_ids: PathIds, threshold: float
 ) -> DataFrame:
     """Workflows similar to any of the paths with their highest similarity."""
     best = match_paths(embeddings, select_paths(paths, path_ids), threshold, keep="best_path")
@@ -78,7 +83,7 @@ def scoped_events(event_logs: DataFrame, matched: DataFrame) -> DataFrame:
 
 def cluster_workflows(
     event_logs: DataFrame, embeddings: DataFrame, paths: DataFrame,
-    path_ids: list[str], threshold: float,
+    path_ids: PathIds, threshold: float,
 ) -> DataFrame:
     """Finished workflows matched by the paths, with mode and total cost."""
     matched = matched_workflows(embeddings, paths, path_ids, threshold)
@@ -106,7 +111,7 @@ def cluster_workflows(
 
 def cluster_mode_stats(
     event_logs: DataFrame, embeddings: DataFrame, paths: DataFrame,
-    path_ids: list[str], threshold: float,
+    path_ids: PathIds, threshold: float,
 ) -> DataFrame:
     matched = matched_workflows(embeddings, paths, path_ids, threshold)
     return mode_statistics(workflow_rollup(scoped_events(event_logs, matched)))
@@ -114,24 +119,21 @@ def cluster_mode_stats(
 
 def average_conformance(
     event_logs: DataFrame, embeddings: DataFrame, paths: DataFrame,
-    path_ids: list[str], threshold: float,
+    path_ids: PathIds, threshold: float,
 ) -> DataFrame:
     """Mean position-wise conformance of the matched workflows to their best path.
 
-    The paths are those of one group, given by id; they become one literal array and
-    each distinct sequence is scored once, so no join of workflows with paths takes
-    place.
+    Each distinct sequence is scored once, over the longer length; an empty sequence and a
+    group without paths score 0.
     """
     matched = matched_workflows(embeddings, paths, path_ids, threshold)
     sequences = ordered_sequences(tool_calls(scoped_events(event_logs, matched)))
-    wanted = [r["tool_sequence"] for r in select_paths(paths, path_ids).select("tool_sequence").collect()]
-    known = F.array(*[F.array(*[F.lit(t) for t in seq]) for seq in wanted if seq])
-    best = F.array_max(F.transform(known, lambda p: conformance_to_longest(F.col("tool_sequence"), p)))
-    return (
-        sequences.groupBy("tool_sequence").agg(F.count("*").alias("n"))
-        .withColumn("score", F.coalesce(best, F.lit(0.0)) if any(wanted) else F.lit(0.0))
-        .agg(ratio(F.sum(F.col("score") * F.col("n")), F.sum("n")).alias("avg_conformance"))
-    )
+    wanted = select_paths(paths, path_ids).select(F.xxhash64("path_id").alias("at"), "tool_sequence")
+    weighted = sequences.groupBy("tool_sequence").agg(F.count("*").alias("n"))
+    best = best_paths(weighted, wanted, over="longest").select("tool_sequence", "score")
+    score = F.coalesce("score", F.lit(0.0))
+    return weighted.join(best, "tool_sequence", "left").agg(
+        ratio(F.sum(score * F.col("n")), F.sum("n")).alias("avg_conformance"))
 
 
 def cluster_graph_nodes(event_logs, embeddings, paths, path_ids, threshold) -> DataFrame:

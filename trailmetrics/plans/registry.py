@@ -54,9 +54,9 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def group_ids(t: Tables) -> list[str]:
+def group_ids(t: Tables) -> DataFrame:
     """Path ids of the example group; one row per stored variant of the group."""
-    return [r["path_id"] for r in clusters.group_path_ids(t.optimal_paths, GROUP).collect()]
+    return clusters.group_path_ids(t.optimal_paths, GROUP)
 
 
 def first_workflow(t: Tables) -> str:
