@@ -172,7 +172,7 @@ LEFT JOIN last_calls l ON l.workflow_id = m.workflow_id AND l.tool_name = m.targ
 GROUP BY ALL"""
 
 # Names that are worth computing once.
-STORED = {"event_logs", "traces", "members", "optimal_paths", "similarities"}
+STORED = {"event_logs", "traces", "members", "optimal_paths", "similarities", "subclustered", "leveled", "ranked"}
 
 
 def needed(text: str, extra: dict[str, str]) -> list[str]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from oracle.base import query
+import re
+
+from oracle.base import CTES, query
 
 # ---- process model over successful runs, by time -----------------------------------
 MODEL = {
@@ -69,9 +71,9 @@ REDUNDANT = """SELECT task_cluster, 'redundant_step' AS pattern_type,
 RETRY = """SELECT task_cluster, 'retry_loop' AS pattern_type, 'Tool ''' || tool_name || ''' retried after failure in workflow ' || workflow_id AS description,
   tool_name, 'high' AS severity, 'failure_step=' || step_number || ',retry_step=' || next_step || ',workflow_id=' || workflow_id AS evidence FROM retried"""
 SLOW = """SELECT task_cluster, 'bottleneck' AS pattern_type,
-  'Tool ''' || tool_name || ''' avg ' || printf('%.0f', ms) || 'ms (' || printf('%.0f', ms / total * 100) || '% of total ' || printf('%.0f', total) || 'ms)' AS description,
+  'Tool ''' || tool_name || ''' avg ' || printf('%.0f', round(ms, 6)) || 'ms (' || printf('%.0f', round(ms / total * 100, 6)) || '% of total ' || printf('%.0f', round(total, 6)) || 'ms)' AS description,
   tool_name, 'high' AS severity,
-  'avg_duration_ms=' || round(ms, 1) || ',avg_total_ms=' || round(total, 1) || ',pct_of_total=' || round(ms / total, 3) AS evidence FROM slow"""
+  'avg_duration_ms=' || round(ms + 1e-9, 1) || ',avg_total_ms=' || round(total + 1e-9, 1) || ',pct_of_total=' || round(ms / total + 1e-9, 3) AS evidence FROM slow"""
 DEVIATIONS = """SELECT task_cluster, workflow_id, count(*) FILTER (WHERE target <> '__END__') AS missing, count(*) FILTER (WHERE target = '__END__') AS remaining
 FROM checked WHERE NOT allowed GROUP BY ALL"""
 DEVIATION_ROWS = """SELECT task_cluster, 'conformance_deviation' AS pattern_type,
@@ -222,13 +224,13 @@ SELECT task_cluster, l AS left_sub, r AS right_sub, field FROM pairs QUALIFY row
     "decision_tree_by_second_tool": query(TREE_ROWS, **tree(BY_SECOND)),
     "pattern_suggestions": query(
         pattern_rows(REDUNDANT, "skip_step", "high", "0.0") + " UNION ALL " + pattern_rows(RETRY, "fix_reliability", "high", "0.0")
-        + " UNION ALL " + pattern_rows(SLOW.replace("SELECT task_cluster,", "SELECT ms, task_cluster,", 1), "optimize_step", "medium", "round(ms, 1)")
+        + " UNION ALL " + pattern_rows(SLOW.replace("SELECT task_cluster,", "SELECT ms, task_cluster,", 1), "optimize_step", "medium", "round(ms + 1e-9, 1)")
         + " UNION ALL " + pattern_rows(DEVIATION_ROWS, "remove_step", "medium", "0.0"), **SUGGEST, deviations=DEVIATIONS),
     "reorder_suggestions": query(REORDER_ROWS, **SUGGEST),
     "skip_suggestions": query(SKIP_ROWS.format("extra_all"), **SUGGEST),
     "generate_suggestions": query(
         pattern_rows(REDUNDANT, "skip_step", "high", "0.0") + " UNION ALL " + pattern_rows(RETRY, "fix_reliability", "high", "0.0")
-        + " UNION ALL " + pattern_rows(SLOW.replace("SELECT task_cluster,", "SELECT ms, task_cluster,", 1), "optimize_step", "medium", "round(ms, 1)")
+        + " UNION ALL " + pattern_rows(SLOW.replace("SELECT task_cluster,", "SELECT ms, task_cluster,", 1), "optimize_step", "medium", "round(ms + 1e-9, 1)")
         + " UNION ALL " + REORDER_ROWS + " UNION ALL " + SKIP_ROWS.format("extra"), **SUGGEST),
     "mode_significance": query("""
 SELECT CAST(n1 AS BIGINT) AS n_guided, CAST(n2 AS BIGINT) AS n_exploration, round(u, 4) AS mann_whitney_u,
@@ -278,3 +280,133 @@ ORACLES["run_analysis_group_patterns"] = query(
     **GROUPS, **DEFAULT_FINDINGS, **FULL_MODEL, deviations=DEVIATIONS)
 ORACLES["run_analysis_group_pareto"] = query(
     f"SELECT {PATH_COLUMNS}, round(score, 4) AS score, pareto_rank FROM ranked", **SUCCESSES, **DEFAULT_SEARCH)
+
+
+# ---- sub-clusters: closest pairs merge round by round until the closest are too far --------------
+def subclusters(source: str, cut: float = 0.55) -> dict[str, str]:
+    """(task_cluster, workflow_id, subcluster) of the runs in ``source``.
+
+    ``rounds`` holds per round the clusters of the shapes (``pair`` false) and the weighted
+    sums of distances between clusters; pairs that are each other's nearest merge.
+    """
+    return {
+        "shapes": f"""SELECT task_cluster AS part, array_to_string(tool_sequence, chr(1)) AS item, CAST(count(*) AS DOUBLE) AS weight,
+  any_value(array_to_string(list_transform(tool_sequence, lambda t: t[1:1]), '')) AS coded FROM {source} GROUP BY ALL""",
+        "rounds": f"""SELECT 0 AS round, false AS pair, part, item AS a, item AS b, 0.0::DOUBLE AS s, weight AS na, weight AS nb FROM shapes
+UNION ALL
+SELECT 0, true, x.part, x.item, y.item, x.weight * y.weight
+  * coalesce(2.0 * levenshtein(x.coded, y.coded) / nullif(length(x.coded) + length(y.coded), 0), 0), x.weight, y.weight
+FROM shapes x JOIN shapes y ON x.part = y.part AND x.item <> y.item
+UNION ALL
+(WITH near AS (
+  SELECT part, a, first(b ORDER BY round(s / (na * nb), 12), b) AS b, any_value(na) AS na FROM rounds
+  WHERE pair AND round(s / (na * nb), 12) <= {cut} GROUP BY part, a),
+meet AS (SELECT x.part, x.a AS keep, x.b AS gone, x.na + y.na AS size FROM near x
+  JOIN near y ON x.part = y.part AND x.b = y.a AND y.b = x.a WHERE x.a < x.b),
+place AS (SELECT part, keep AS old, keep AS new, size FROM meet UNION ALL SELECT part, gone, keep, size FROM meet)
+SELECT any_value(r.round) + 1, r.pair, r.part, CASE WHEN r.pair THEN coalesce(p.new, r.a) ELSE r.a END AS a2,
+  coalesce(q.new, r.b) AS b2, sum(r.s), any_value(coalesce(p.size, r.na)), any_value(coalesce(q.size, r.nb))
+FROM rounds r LEFT JOIN place p ON p.part = r.part AND p.old = r.a LEFT JOIN place q ON q.part = r.part AND q.old = r.b
+WHERE EXISTS (SELECT 1 FROM meet) AND (NOT r.pair OR coalesce(p.new, r.a) <> coalesce(q.new, r.b))
+GROUP BY r.pair, r.part, a2, b2)""",
+        "subclustered": f"""SELECT part AS task_cluster, workflow_id,
+  'subcluster_' || (dense_rank() OVER (PARTITION BY part ORDER BY size DESC, cluster) - 1) AS subcluster
+FROM (SELECT m.part, m.b AS cluster, c.workflow_id, count(*) OVER (PARTITION BY m.part, m.b) AS size
+  FROM (SELECT * FROM rounds WHERE NOT pair AND round = (SELECT max(round) FROM rounds)) m
+  JOIN {source} c ON c.task_cluster = m.part AND array_to_string(c.tool_sequence, chr(1)) = m.a)""",
+    }
+
+
+ORACLES["subcluster_by_trace"] = query("SELECT * FROM subclustered", **subclusters("clustered"))
+
+# ---- the whole run, clusters and sub-clusters ------------------------------------------------------
+LEVELS = {
+    **GROUPS, **subclusters("grouped_runs"),
+    "leveled": """SELECT * FROM grouped_runs UNION ALL
+SELECT s.task_cluster || '/' || s.subcluster, r.* EXCLUDE (task_cluster) FROM grouped_runs r JOIN subclustered s USING (workflow_id)""",
+    "clustered": "SELECT * FROM leveled WHERE task_cluster IN (SELECT task_cluster FROM leveled WHERE success)",
+}
+LEVEL_SUCCESSES = {**LEVELS, "clustered": "SELECT * FROM leveled WHERE success"}
+# The path search sees successful runs only, the rest of the run sees all of them.
+LEVEL_BEST = {
+    **LEVELS,
+    **{name: re.sub(r"\bclustered\b", "succeeded", text) for name, text in {**DEFAULT_SEARCH, "edges": CTES["edges"]}.items()},
+    "succeeded": "SELECT * FROM leveled WHERE success",
+    "best": "SELECT task_cluster, seq AS tool_sequence, ms AS avg_duration_ms FROM ranked WHERE pareto_rank = 0",
+}
+DEFAULT_WARN = {
+    **warn(0.7, 0.4),
+    "diverging": WARN["diverging"] + " AND g.n / g.total > 0.6 AND b.n / b.total > 0.4",
+}
+del DEFAULT_WARN["best"]
+DEFAULT_SUGGEST = {k: v for k, v in SUGGEST.items() if k in ("reordered", "extra")}
+WARNING_LIST = """SELECT task_cluster, array_to_string(list_transform(list_sort(list((kind, pos, param, warning)))[1:3], lambda w: w[4]), '>') AS failure_warnings
+FROM (SELECT * FROM missing_steps UNION ALL SELECT * FROM diverging) GROUP BY 1"""
+
+
+def by_key(body: str) -> str:
+    return f"SELECT * RENAME (task_cluster AS task_key) FROM ({body})"
+
+
+ORACLES["run_analysis_graph"] = query(by_key("""SELECT task_cluster, source, target, frequency, round(success_rate, 4) AS success_rate,
+  round(avg_duration_ms, 4) AS avg_duration_ms, round(avg_cost_usd, 4) AS avg_cost_usd FROM edges"""), **LEVEL_SUCCESSES)
+ORACLES["run_analysis_quality"] = query(by_key(QUALITY), **LEVELS, **FULL_MODEL)
+ORACLES["run_analysis_patterns"] = query(
+    by_key(f"{REDUNDANT} UNION ALL {RETRY} UNION ALL {SLOW} UNION ALL {DEVIATION_ROWS}"),
+    **LEVELS, **DEFAULT_FINDINGS, **FULL_MODEL, deviations=DEVIATIONS)
+ORACLES["run_analysis_pareto"] = query(
+    by_key(f"SELECT {PATH_COLUMNS}, round(score, 4) AS score, pareto_rank FROM ranked"), **LEVEL_SUCCESSES, **DEFAULT_SEARCH)
+ORACLES["run_analysis_warnings"] = query(by_key(WARNING_LIST), **LEVEL_BEST, **DEFAULT_WARN)
+ORACLES["run_analysis_suggestions"] = query(
+    by_key(
+        pattern_rows(REDUNDANT, "skip_step", "high", "0.0") + " UNION ALL " + pattern_rows(RETRY, "fix_reliability", "high", "0.0")
+        + " UNION ALL " + pattern_rows(SLOW.replace("SELECT task_cluster,", "SELECT ms, task_cluster,", 1), "optimize_step", "medium", "round(ms + 1e-9, 1)")
+        + " UNION ALL " + pattern_rows(DEVIATION_ROWS, "remove_step", "medium", "0.0")
+        + " UNION ALL " + REORDER_ROWS + " UNION ALL " + SKIP_ROWS.format("extra")),
+    **LEVEL_BEST, **DEFAULT_FINDINGS, **FULL_MODEL, **DEFAULT_SUGGEST, deviations=DEVIATIONS)
+
+# New paths: the path of a cluster's largest sub-cluster leads, the others are its alternatives.
+PATH_ROWS = {
+    **LEVEL_BEST, **DEFAULT_WARN,
+    "clustered": "SELECT * FROM grouped_runs",
+    "sub_sizes": "SELECT task_cluster, subcluster, count(*) AS runs FROM subclustered GROUP BY ALL",
+    "listed": """SELECT z.task_cluster, z.subcluster, z.runs, b.seq, b.ms, b.steps, b.rate,
+  row_number() OVER (PARTITION BY z.task_cluster ORDER BY z.runs DESC, z.subcluster) - 1 AS place
+FROM sub_sizes z JOIN ranked b ON b.task_cluster = z.task_cluster || '/' || z.subcluster WHERE b.pareto_rank = 0""",
+    "best": "SELECT task_cluster, seq AS tool_sequence FROM listed WHERE place = 0",
+    "named": """SELECT g.task_cluster, substring(arg_min(m.task_description, (length(m.task_description), m.task_description)), 1, 60) AS name
+FROM members m JOIN vector_groups g USING (label) GROUP BY 1""",
+    "winners": "SELECT name, max(task_cluster) AS task_cluster FROM named JOIN best USING (task_cluster) GROUP BY name",
+    "warned": WARNING_LIST,
+    "rates": """SELECT task_cluster, count(*) AS execution_count,
+  avg(CASE WHEN completed THEN 1.0 ELSE 0.0 END) FILTER (WHERE is_guided AND n_terminal > 0) AS guided,
+  avg(CASE WHEN completed THEN 1.0 ELSE 0.0 END) FILTER (WHERE NOT is_guided AND n_terminal > 0) AS exploration
+FROM grouped_runs GROUP BY 1""",
+    **tree("SELECT s.task_cluster, s.subcluster, s.workflow_id, r.tool_sequence, r.success FROM subclustered s JOIN grouped_runs r USING (workflow_id)"),
+    "branched": "SELECT task_cluster, any_value(branch_tool) AS branch_tool FROM suffixes WHERE rate > 0 OR n >= 5 GROUP BY 1",
+}
+ORACLES["run_analysis"] = query("""
+SELECT w.name AS task_cluster, array_to_string(l.seq, '>') AS tool_sequence, round(l.ms, 4) AS avg_duration_ms, round(l.steps, 4) AS avg_steps,
+  round(l.rate, 4) AS success_rate, r.execution_count, round(r.guided, 4) AS guided_success_rate, round(r.exploration, 4) AS exploration_success_rate,
+  coalesce(f.failure_warnings, '') AS failure_warnings,
+  (SELECT count(*) FROM listed o WHERE o.task_cluster = l.task_cluster AND o.place > 0) AS alternatives, b.branch_tool
+FROM winners w JOIN listed l ON l.task_cluster = w.task_cluster AND l.place = 0 JOIN rates r ON r.task_cluster = w.task_cluster
+LEFT JOIN warned f ON f.task_cluster = w.task_cluster LEFT JOIN branched b ON b.task_cluster = w.task_cluster""", **PATH_ROWS)
+ORACLES["run_analysis_alternatives"] = query("""
+SELECT w.name AS task_cluster, l.place - 1 AS pos, array_to_string(l.seq, '>') AS tool_sequence, l.runs AS execution_count,
+  round(l.rate, 4) AS success_rate, round(l.steps, 4) AS avg_steps FROM winners w JOIN listed l USING (task_cluster) WHERE l.place > 0""", **PATH_ROWS)
+ORACLES["run_analysis_centroids"] = query("""
+SELECT w.name AS task_cluster, v.pos - 1 AS pos, round(avg(CAST(v.x AS DOUBLE)), 4) AS x
+FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM members) v
+JOIN vector_groups g USING (label) JOIN winners w USING (task_cluster) GROUP BY w.name, v.pos""", **PATH_ROWS)
+
+# The tree as one row per branch, in the order the tree lists them.
+TREE_STRUCTS = f"""
+SELECT t.task_cluster, t.branch_tool, t.condition_key, t.path, t.execution_count, t.success_rate, t.condition_value, t.label,
+  row_number() OVER (PARTITION BY t.task_cluster ORDER BY t.execution_count DESC, t.subcluster) - 1 AS pos,
+  array_to_string(list_filter(list_transform(range(1, len(p.prefix) + 1), lambda i: CASE WHEN i = 1 OR p.prefix[i] <> p.prefix[i - 1] THEN p.prefix[i] END),
+    lambda x: x IS NOT NULL), '>') AS common_prefix,
+  'Based on ' || upper(t.branch_tool[1:1]) || substring(replace(t.branch_tool, '_', ' '), 2) || ' result?' AS condition_question
+FROM ({TREE_ROWS}) t JOIN splits p ON p.task_cluster = t.task_cluster"""
+ORACLES["decision_trees_by_band"] = query(TREE_STRUCTS, **tree(BY_BAND))
+ORACLES["decision_trees_by_second_tool"] = query(TREE_STRUCTS, **tree(BY_SECOND))

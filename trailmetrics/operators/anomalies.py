@@ -105,15 +105,17 @@ def bottleneck_tools(
     )
     share = F.col("avg_ms") / F.col("avg_total")
     slow = per_tool.join(totals, key).withColumn("share", share).filter(share >= threshold)
+    # Rounding to 6 digits first takes off the noise that the order of a sum leaves.
+    avg_ms, avg_total, part = [F.round(c, 6) for c in ("avg_ms", "avg_total", "share")]
     text = F.format_string(
         "Tool '%s' avg %.0fms (%.0f%% of total %.0fms)",
-        F.col("tool_name"), F.col("avg_ms"), F.col("share") * 100, F.col("avg_total"),
+        F.col("tool_name"), F.bround(avg_ms, 0), F.bround(F.round(F.col("share") * 100, 6), 0), F.bround(avg_total, 0),
     )
     return _report(
         slow, key, "bottleneck", "high", text, F.col("tool_name"),
         {
-            "avg_duration_ms": F.round("avg_ms", 1), "pct_of_total": F.round("share", 3),
-            "avg_total_ms": F.round("avg_total", 1),
+            "avg_duration_ms": F.round(avg_ms, 1), "pct_of_total": F.round(part, 3),
+            "avg_total_ms": F.round(avg_total, 1),
         },
     )
 

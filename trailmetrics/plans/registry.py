@@ -179,6 +179,12 @@ def by_second_tool(t: Tables) -> DataFrame:
         .alias("subcluster"))
 
 
+def tree_rows(trees: DataFrame) -> DataFrame:
+    """One row per branch of each tree, with its place in the tree."""
+    return trees.select("task_cluster", "decision_tree.*").select(
+        "*", F.posexplode("branches").alias("pos", "branch")).drop("branches").select("*", "branch.*").drop("branch")
+
+
 def mining_queries() -> dict[str, Query]:
     def dfg(t: Tables) -> DataFrame:
         return graphs.directly_follows_graph(t.event_logs, t.traces.select("workflow_id", "task_cluster", "success"))
@@ -249,6 +255,9 @@ def mining_queries() -> dict[str, Query]:
         "discriminating_fields": fields,
         "decision_tree_by_band": lambda t: decision_tree.branch_rows(t.event_logs, by_first_band(t)),
         "decision_tree_by_second_tool": lambda t: decision_tree.branch_rows(t.event_logs, by_second_tool(t)),
+        "decision_trees_by_band": lambda t: tree_rows(decision_tree.decision_trees(t.event_logs, by_first_band(t))),
+        "decision_trees_by_second_tool": lambda t: tree_rows(
+            decision_tree.decision_trees(t.event_logs, by_second_tool(t))),
         "pattern_suggestions": lambda t: suggestions.from_patterns(patterns(t, True)),
         "reorder_suggestions": lambda t: suggestions.reorderings(t.traces, optimal_by_cluster(t)),
         "skip_suggestions": lambda t: suggestions.skippable_steps(
@@ -464,10 +473,19 @@ def analysis_queries() -> dict[str, Query]:
     return {
         "run_analysis": lambda t: analysis_of(t).optimal_paths.select(
             "task_cluster", "tool_sequence", "avg_duration_ms", "avg_steps", "success_rate", "execution_count",
-            "failure_warnings", F.size("alternative_paths").alias("alternatives"),
+            "guided_success_rate", "exploration_success_rate", "failure_warnings",
+            F.size("alternative_paths").alias("alternatives"),
             F.col("decision_tree.branch_tool").alias("branch_tool")),
+        "run_analysis_alternatives": lambda t: analysis_of(t).optimal_paths.select(
+            "task_cluster", F.posexplode("alternative_paths").alias("pos", "path")).select("task_cluster", "pos", "path.*"),
+        "run_analysis_centroids": lambda t: analysis_of(t).optimal_paths.select(
+            "task_cluster", F.posexplode("embedding").alias("pos", "x")),
         "run_analysis_suggestions": lambda t: analysis_of(t).suggestions,
         "run_analysis_warnings": lambda t: analysis_of(t).warnings,
+        "run_analysis_graph": lambda t: analysis_of(t).graph,
+        "run_analysis_quality": lambda t: analysis_of(t).quality,
+        "run_analysis_patterns": lambda t: evidence_text(analysis_of(t).patterns),
+        "run_analysis_pareto": lambda t: analysis_of(t).pareto_paths,
         "run_analysis_group_graph": lambda t: group(analysis_of(t).graph),
         "run_analysis_group_quality": lambda t: group(analysis_of(t).quality),
         "run_analysis_group_patterns": lambda t: evidence_text(group(analysis_of(t).patterns)),
