@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trailmetrics.operators.events import tool_calls
 from trailmetrics.operators.ordering import hour_block, step_block, with_next
+from trailmetrics.session import materialize
 
 START_NODE = "__START__"
 END_NODE = "__END__"
@@ -135,12 +136,14 @@ def model_quality(
                 / sum over states of visits * allowed moves  (escaping edges).
     Clusters without a model have no row.
     """
+    model = materialize(model, "model")
     allowed = model.select(key, "source", "target", F.lit(True).alias("allowed"))
-    checked = (
+    checked = materialize(
         moves(event_logs, by_time=True)
         .join(members.select("workflow_id", key), "workflow_id")
         .join(allowed, [key, "source", "target"], "left")
-        .withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+        .withColumn("allowed", F.coalesce("allowed", F.lit(False))),
+        "checked-moves",
     )
     fitness = (
         checked.groupBy(key, "workflow_id")
@@ -168,6 +171,7 @@ def model_deviations(
 ) -> DataFrame:
     """Runs that leave the model: number of moves missing from it, and whether the
     run's last tool is no end of the model (``remaining``)."""
+    model = materialize(model, "model")
     modelled = model.select(key).distinct()
     left_out = (
         moves(event_logs, by_time=True)
