@@ -147,6 +147,22 @@ def test_url_verdicts(spark):
         (None, True, "b.com"), (2, True, "a.b.com")])
 
 
+def test_url_lists_do_not_end_each_other(spark):
+    entries = spark.createDataFrame([
+        ("b.com", "malware", True, "2024-01-01"), ("B.com", "ads", True, "2024-01-10"), ("b.com", "ads", False, "2024-02-01"),
+        ("c.com", "malware", True, "2024-01-01"), ("c.com", "ads", False, "2024-01-01"),
+        ("d.com", None, True, "2024-01-01"), ("d.com", "ads", True, "2024-01-05"), ("d.com", "ads", False, "2024-01-08"),
+    ], "pattern string, category string, listed boolean, at string").withColumn("at", F.to_timestamp("at"))
+    captures = spark.createDataFrame([
+        (1, "http://b.com/", "2024-01-05"), (2, "http://b.com/", "2024-01-15"), (3, "http://x.b.com/", "2024-03-01"),
+        (4, "http://c.com/", "2024-01-02"), (5, "http://d.com/", "2024-01-06"), (6, "http://d.com/", "2024-01-08"),
+    ], "page_id bigint, url string, at string").withColumn("fetched_at", F.to_timestamp("at"))
+    rows = url_filter.verdicts(captures, entries).withColumn("valid_from", F.date_format("valid_from", "MM-dd")).collect()
+    assert sorted((r["page_id"], r["blocked"], r["category"], r["valid_from"]) for r in rows) == [
+        (1, True, "malware", "01-01"), (2, True, "ads", "01-10"), (3, True, "malware", "01-01"),
+        (4, True, "malware", "01-01"), (5, True, "ads", "01-05"), (6, True, None, "01-01")]
+
+
 def test_url_filter_of_deep_hosts(spark):
     deep = ".".join("abcdefghijkl") + ".com"
     entries = spark.createDataFrame([(deep, "x", True), (None, "x", True)], "pattern string, category string, listed boolean")

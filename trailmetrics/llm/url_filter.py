@@ -1,14 +1,16 @@
 """URL filters over time: dated list entries joined as of each capture.
 
-Entries say that a pattern is listed or unlisted from a time on.  Per pattern they become
-validity intervals [from, until): an entry that lists opens one, the next entry of the pattern
-ends it, and of entries at one time an unlisting wins.  Patterns are host names; a pattern
+Entries say that a list (category) lists or unlists a pattern from a time on.  Per pattern and
+list they become validity intervals [from, until): an entry that lists opens one, the next entry
+of that list for the pattern ends it, and of its entries at one time an unlisting wins.  Lists do
+not touch each other's entries.  Patterns are host names; a pattern
 matches a capture whose host is the pattern or lies below it, so a capture is looked up under
 each of its host's suffixes, as deep as the deepest listed pattern.
 
 Intervals and captures are joined by pattern and calendar month, with the exact times as a
 further condition, so neither a host with many captures nor a pattern with a long history
-meets as a whole.  The longest active pattern gives the verdict.
+meets as a whole.  The longest active pattern gives the verdict; where several lists have it
+active, the first category by name is reported, an unnamed one last.
 
 Captures without a URL, host or fetch time, and entries without pattern or time, match nothing.
 Host names are compared in lower case, without port and user.  Rows that repeat a page_id are
@@ -39,10 +41,10 @@ def host_suffixes(host: Column, deepest: Column) -> Column:
 def validity_intervals(entries: DataFrame) -> DataFrame:
     """(pattern, category, valid_from, valid_until) from (pattern, category, listed, at)."""
     usable = entries.filter("pattern is not null and at is not null")
-    # One entry per pattern and time: unlisting wins, then the first category.
-    settled = usable.groupBy(F.lower("pattern").alias("pattern"), "at").agg(
-        F.min(F.coalesce("listed", F.lit(True))).alias("listed"), F.min("category").alias("category"))
-    history = Window.partitionBy("pattern").orderBy("at")
+    # One entry per pattern, list and time: unlisting wins.
+    settled = usable.groupBy(F.lower("pattern").alias("pattern"), "category", "at").agg(
+        F.min(F.coalesce("listed", F.lit(True))).alias("listed"))
+    history = Window.partitionBy("pattern", "category").orderBy("at")
     return settled.withColumn("valid_until", F.lead("at").over(history)).filter("listed").select(
         "pattern", "category", F.col("at").alias("valid_from"), "valid_until")
 
@@ -78,9 +80,10 @@ def verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
     hits = (
         asked.join(intervals, ["pattern", "month"]).filter(active)
         .select("row", "page_id", "host", F.struct(
-            F.length("pattern").alias("depth"), "pattern", "category", "valid_from").alias("hit"))
+            (-F.length("pattern")).alias("order"), F.isnull("category").alias("unnamed"), "category", "pattern",
+            "valid_from").alias("hit"))
     )
     nothing = F.lit(None).cast(hits.schema["hit"].dataType)
     every = seen.select("row", "page_id", "host", nothing.alias("hit")).union(hits)
-    return every.groupBy("row", "page_id", "host").agg(F.max("hit").alias("hit")).select(
+    return every.groupBy("row", "page_id", "host").agg(F.min("hit").alias("hit")).select(
         "page_id", "host", F.col("hit").isNotNull().alias("blocked"), "hit.pattern", "hit.category", "hit.valid_from")
