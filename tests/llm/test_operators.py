@@ -411,6 +411,24 @@ def test_pipeline(spark, docs):
     assert corpus_pipeline.STAGES[-1][1](spark, rows, "").count() > 0
 
 
+def test_pipeline_keeps_unlabelled_documents(spark, docs):
+    import corpus_pipeline
+
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language(spark, unlabelled, "").collect()
+    assert {r["doc_id"] for r in kept} == {1, 2, 3, 7, 8, 9, 10, 11, 13, 14, 15, None}
+    assert {r["lang"] for r in kept} == {None}
+    und = docs.withColumn("lang", F.when(F.col("doc_id") < 9, F.lit("und")).otherwise(F.col("lang")))
+    assert {1, 2, 3, 7, 8} <= {r["doc_id"] for r in corpus_pipeline.language(spark, und, "").collect()}
+
+
+def test_letters_are_the_same_in_spark(spark):
+    texts = [(i, chr(i)) for i in [*range(0x250), 0x2160, 0x3007, 0x3042, 0x4E00, 0x0661, 0x2460, 0x1F600]]
+    frame = spark.createDataFrame([*texts, (-1, None), (-2, "")], "i int, text string")
+    found = {r["i"]: r["has"] for r in frame.select("i", language_id.has_letter(F.col("text")).alias("has")).collect()}
+    assert found == {i: bool(language_id.LETTER.search(t)) for i, t in texts} | {-1: False, -2: False}
+
+
 def test_oracles_on_the_smallest_tables(spark):
     from tests.compare import compare, connect
     from trailmetrics.llm.oracles import all_oracles

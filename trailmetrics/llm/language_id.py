@@ -39,6 +39,7 @@ AMBIGUOUS = 0.1
 UNKNOWN = "und"
 
 LETTER = re.compile(r"[^\W\d_]")
+LETTERS = r"[\p{L}\p{Nl}\p{No}]"  # LETTER in Java's terms
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], dtype=np.uint64)
 
 
@@ -47,6 +48,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def has_letter(text: Column) -> Column:
+    """Whether a text can be predicted at all, whatever the model; false for null."""
+    return F.coalesce(text.cast("string").rlike(LETTERS), F.lit(False))
+
+
 def _buckets(codes: np.ndarray) -> np.ndarray:
     """Buckets of all 1-, 2- and 3-grams of a row of code points."""
     parts = []
