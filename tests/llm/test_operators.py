@@ -96,6 +96,19 @@ def test_near_duplicates_of_awkward_rows(docs):
     assert all(r["kept"] for r in rows if r["doc_id"] is None)
 
 
+def test_near_texts_of_a_repeated_id(spark):
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{w}{i * 37 % 101}" for i in range(120)) for w in "ab")
+    rows = [(5, a), (5, b), (2, a + " end"), (9, b + " end"), (5, a)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    found = near_dedup.labelled_rows(frame, 5, 80).select("doc_id", "component_id", "kept").collect()
+    assert Counter(map(tuple, found)) == Counter([
+        (5, 2, False), (5, 2, False), (5, 5, True), (2, 2, True), (9, 5, False)])
+    kept = corpus_pipeline.near(spark, frame, "").collect()
+    assert sorted(map(tuple, kept)) == [(2, a + " end"), (5, b)]
+
+
 def found_size(rows, doc_id):
     return next(r["n_shingles"] for r in rows if r["doc_id"] == doc_id)
 

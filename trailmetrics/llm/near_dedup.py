@@ -2,8 +2,8 @@
 
 1. Every document gets its set of distinct word shingles and a signature: the least
    hash of the set under each of ``coordinates`` hash functions.
-2. Documents with equal sets are one class, represented by the smallest doc_id.
-3. Representatives are posted under each (coordinate, value) pair.  Pairs that only one
+2. Documents with equal sets are one class, with a number of its own (``rep``).
+3. Classes are posted under each (coordinate, value) pair.  Pairs that only one
    class has cannot collide and are skipped; a class with fewer than ``threshold``
    shared pairs cannot reach the threshold and is skipped as well.
 4. Of its m shared pairs a class keeps the m - threshold + 1 rarest: two classes that
@@ -113,7 +113,7 @@ def signature(hashes: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> n
     return (coordinate | (least >> _SHIFT)).view(np.int64)
 
 
-SIGNATURES = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, pairs array<bigint>"
+SIGNATURES = "doc_id bigint, text_hash bigint, n_shingles bigint, set_a bigint, set_b bigint, pairs array<bigint>"
 
 
 def signatures(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
@@ -129,9 +129,9 @@ def signatures(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
                 pairs.append(signature(hashes, factors, offsets) if len(hashes) else None)
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(counts, pa.int64()), pa.array(halves[:, 0].copy()),
+                batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(halves[:, 0].copy()),
                 pa.array(halves[:, 1].copy()), pa.array(pairs, pa.list_(pa.int64())),
-            ], names=["doc_id", "n_shingles", "set_a", "set_b", "pairs"])
+            ], names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "pairs"])
 
     return map_batches(docs, work, SIGNATURES)
 
@@ -347,33 +347,53 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = COORDINATES
-) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept, per row."""
+def text_hash(text: Column) -> Column:
+    """Tells the texts of rows that repeat a doc_id apart."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def labelled_rows(docs: DataFrame, width: int, percent: int, coordinates: int = COORDINATES) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and kept, per row."""
     threshold = match_threshold(percent, coordinates)
-    rows = id_and_text(docs)
+    rows = id_and_text(docs).withColumn("text_hash", text_hash(F.col("text")))
     signed = materialize(signatures(rows, width, coordinates), "near-signatures")
     usable = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    sets = ["set_a", "set_b"]
-    represented = usable.join(
-        classes.withColumnRenamed("rep", "doc_id"), [*sets, "doc_id"], "left_semi"
-    ).select(F.col("doc_id").alias("rep"), "pairs").dropDuplicates(["rep"])
+    sets, row = ["set_a", "set_b"], ["doc_id", "text_hash"]
+    # A class is known by its number; a doc_id that repeats with other texts can come first in several.
+    classes = materialize(
+        usable.groupBy(*sets).agg(F.min(F.struct(*row)).alias("first"))
+        .select(F.monotonically_increasing_id().alias("rep"), *sets, "first.*"), "near-classes")
+    represented = usable.join(classes, [*sets, *row]).select("rep", "pairs").dropDuplicates(["rep"])
     index = materialize(indexed_classes(represented, threshold), "near-index")
-    texts = materialize(
-        rows.withColumnRenamed("doc_id", "rep").join(index.select("rep"), "rep", "left_semi"), "near-texts")
+    indexed = classes.join(index.select("rep"), "rep", "left_semi")
+    texts = materialize(rows.join(indexed.select("rep", *row), row).select("rep", "text"), "near-texts")
     links = materialize(confirm(star_pairs(index, threshold), texts, width, percent), "near-links")
     labels = components(links)
     long = materialize(long_signatures(texts, width), "near-long")
     rest = materialize(confirm(remaining_pairs(index, texts, long, labels, width, percent), texts, width, percent), "near-links")
     if not rest.isEmpty():
         labels = components(links.union(rest))
-    found = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(
-        *sets, F.coalesce("label", "rep").alias("component_id"))
-    narrow = signed.select("doc_id", "n_shingles", *sets)
+    grouped = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
+    least = grouped.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    found = grouped.join(least, "label", "left").select(*sets, F.coalesce("component_id", "doc_id").alias("component_id"))
+    narrow = signed.select(*row, "n_shingles", *sets)
     alone = (F.col("n_shingles") == 0) | F.col("component_id").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     return narrow.join(found, sets, "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"),
+        *row, "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def near_duplicates(
+    docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = COORDINATES
+) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept, per row."""
+    return labelled_rows(docs, width, percent, coordinates).drop("text_hash")
+
+
+def keepers(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    extra = labelled_rows(docs, width, percent).filter(~F.col("kept")).select(
+        F.col("doc_id").alias("extra_id"), F.col("text_hash").alias("extra_hash")).distinct()
+    same = (docs["doc_id"].cast("bigint") == F.col("extra_id")) & (text_hash(docs["text"]) == F.col("extra_hash"))
+    return docs.join(extra, same, "left_anti").select(*docs.columns)
