@@ -147,6 +147,23 @@ SELECT docs.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0):
 FROM docs LEFT JOIN kept ON kept.doc_id = docs.doc_id"""
 
 
+FILL_IN_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS s FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2,
+             ('0x' || s[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(u)::BIGINT AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a,
+             greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+                  WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS f FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || f || '<M>' || m
+              ELSE '<S>' || f || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p"""
+
+
 def all_oracles() -> dict[str, str]:
     return {
         "op1_license_scans": license_scans(),
@@ -156,4 +173,5 @@ def all_oracles() -> dict[str, str]:
         "op6_warc": WARC,
         "op7_source_mixing": source_mixing(),
         "op8_substring_dedup": SUBSTRING_DEDUP,
+        "op11_fill_in_middle": FILL_IN_MIDDLE,
     }

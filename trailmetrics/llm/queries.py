@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmetrics.llm import (
-    exact_dedup, language_id, license_scan, mixing, near_dedup, packing, substring_dedup, url_filter, warc, winnowing,
+    exact_dedup, fill_in_middle, language_id, license_scan, mixing, near_dedup, packing, substring_dedup, url_filter, warc, winnowing,
 )
 from trailmetrics.llm.common import table
 
@@ -94,6 +94,10 @@ def winnowed_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_documents(table(spark, sf_dir, "documents"))
 
 
+def fill_in_middles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"), outputs=False).drop("output")
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_license_scans": license_scans,
@@ -106,4 +110,5 @@ def all_queries() -> dict[str, Query]:
         "op8_substring_dedup": repeated_substrings,
         "op9_packing": sequence_packing,
         "op10_fingerprints": winnowed_fingerprints,
+        "op11_fill_in_middle": fill_in_middles,
     }
