@@ -164,6 +164,41 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
 FROM p"""
 
 
+# The checksum goes byte by byte over its table of 256 entries; words are compared with one
+# letter masked (replacements) or left out (deletions).
+SPELLING_VARIANTS = r"""
+WITH RECURSIVE crc AS (
+    SELECT list(v ORDER BY i) AS crc FROM (
+        SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+        FROM range(256) r(i))),
+runs AS (SELECT doc_id, run, count(*) AS k FROM (
+             SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+         WHERE length(run) >= 6 GROUP BY ALL),
+drawn AS (SELECT run, k, xor(list_reduce([4294967295] || flatten([CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT]
+              ELSE [195, unicode(c) - 64] END for c in string_split(doc_id || ':' || run, '')]),
+              lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) AS h
+          FROM runs, crc),
+words AS (SELECT word, sum(k)::BIGINT AS n FROM (
+              SELECT CASE WHEN h % 199 = 0 THEN run[:(h % length(run))::INT] || run[(h % length(run))::INT + 2:] ELSE run END AS word, k
+              FROM drawn)
+          WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+place AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+cut AS (SELECT DISTINCT word, n, word[:i - 1] || word[i + 1:] AS less FROM place),
+mask AS (SELECT word, n, i, word[:i - 1] || '*' || word[i + 1:] AS masked FROM place),
+near AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM mask a JOIN mask b ON a.masked = b.masked AND a.word <> b.word
+         UNION ALL SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.less = b.word
+         UNION ALL SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.less = b.word),
+best AS (SELECT word, n, count(*) AS n_near, max(other_n) AS top, arg_min(other, (-other_n, other)) AS other FROM near GROUP BY word, n),
+forms AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * words.n THEN other END AS form,
+                 CASE WHEN top >= 5 * words.n THEN top END AS form_n
+          FROM words LEFT JOIN best ON best.word = words.word),
+walk(word, last) AS (SELECT word, word FROM forms UNION ALL
+                     SELECT w.word, f.form FROM walk w JOIN forms f ON f.word = w.last WHERE f.form IS NOT NULL),
+ends AS (SELECT w.word, w.last AS root FROM walk w JOIN forms f ON f.word = w.last AND f.form IS NULL)
+SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN ends ON ends.word = forms.word"""
+
+
 def all_oracles() -> dict[str, str]:
     return {
         "op1_license_scans": license_scans(),
@@ -174,4 +209,5 @@ def all_oracles() -> dict[str, str]:
         "op7_source_mixing": source_mixing(),
         "op8_substring_dedup": SUBSTRING_DEDUP,
         "op11_fill_in_middle": FILL_IN_MIDDLE,
+        "op12_spelling_variants": SPELLING_VARIANTS,
     }

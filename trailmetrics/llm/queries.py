@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmetrics.llm import (
-    exact_dedup, fill_in_middle, language_id, license_scan, mixing, near_dedup, packing, substring_dedup, url_filter, warc, winnowing,
+    exact_dedup, fill_in_middle, language_id, license_scan, mixing, near_dedup, packing, spelling_variants,
+    substring_dedup, url_filter, warc, winnowing,
 )
 from trailmetrics.llm.common import table
 
@@ -98,6 +99,10 @@ def fill_in_middles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"), outputs=False).drop("output")
 
 
+def spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_license_scans": license_scans,
@@ -111,4 +116,5 @@ def all_queries() -> dict[str, Query]:
         "op9_packing": sequence_packing,
         "op10_fingerprints": winnowed_fingerprints,
         "op11_fill_in_middle": fill_in_middles,
+        "op12_spelling_variants": spelling_groups,
     }
