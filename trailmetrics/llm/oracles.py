@@ -199,6 +199,20 @@ ends AS (SELECT w.word, w.last AS root FROM walk w JOIN forms f ON f.word = w.la
 SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN ends ON ends.word = forms.word"""
 
 
+EMBEDDING_NEAR_DEDUP = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+           WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+         WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(vec_id, other) AS (SELECT vec_id, vec_id FROM embeddings
+                         UNION SELECT r.vec_id, l.b FROM reach r JOIN link l ON l.a = r.other),
+component AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+degree AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM component LEFT JOIN degree USING (vec_id)"""
+
+
 def all_oracles() -> dict[str, str]:
     return {
         "op1_license_scans": license_scans(),
@@ -210,4 +224,5 @@ def all_oracles() -> dict[str, str]:
         "op8_substring_dedup": SUBSTRING_DEDUP,
         "op11_fill_in_middle": FILL_IN_MIDDLE,
         "op12_spelling_variants": SPELLING_VARIANTS,
+        "op13_embedding_near_dedup": EMBEDDING_NEAR_DEDUP,
     }

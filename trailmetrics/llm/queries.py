@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trailmetrics.llm import (
     exact_dedup, fill_in_middle, language_id, license_scan, mixing, near_dedup, packing, spelling_variants,
-    substring_dedup, url_filter, warc, winnowing,
+    spherical_caps, substring_dedup, url_filter, warc, winnowing,
 )
 from trailmetrics.llm.common import table
 
@@ -103,6 +103,10 @@ def spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spherical_caps.vector_components(table(spark, sf_dir, "embeddings"))
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_license_scans": license_scans,
@@ -117,4 +121,5 @@ def all_queries() -> dict[str, Query]:
         "op10_fingerprints": winnowed_fingerprints,
         "op11_fill_in_middle": fill_in_middles,
         "op12_spelling_variants": spelling_groups,
+        "op13_embedding_near_dedup": embedding_near_dedup,
     }
