@@ -50,6 +50,26 @@ FROM front WINDOW w AS (PARTITION BY task_cluster)""",
 PATH_COLUMNS = """task_cluster, array_to_string(seq, '>') AS tool_sequence, round(ms, 4) AS avg_duration_ms, round(usd, 4) AS avg_cost_usd,
   round(steps, 4) AS avg_steps, round(rate, 4) AS success_rate, n AS execution_count"""
 
+# With many tools the graph has too many paths: those that some run contains are enough,
+# because every cluster has a covering one among them.
+MANY_TOOLS = {
+    **SEARCH,
+    "event_logs": CTES["event_logs"].replace("tool_name, props AS", "'tool ' || (k % 31) AS tool_name, props AS", 1),
+    "held": """SELECT c.task_cluster, c.workflow_id, c.tool_sequence AS run, [e.target] AS seq, list_position(c.tool_sequence, e.target) AS at_tool
+FROM clustered c JOIN good e ON e.task_cluster = c.task_cluster AND e.source = '__START__' AND list_contains(c.tool_sequence, e.target)
+UNION ALL
+SELECT h.task_cluster, h.workflow_id, h.run, list_append(h.seq, e.target), h.at_tool + list_position(h.run[h.at_tool + 1:], e.target)
+FROM held h JOIN good e ON e.task_cluster = h.task_cluster AND e.source = h.seq[-1]
+WHERE NOT list_contains(h.seq, e.target) AND list_contains(h.run[h.at_tool + 1:], e.target)""",
+    "covering": """SELECT DISTINCT h.task_cluster, h.seq FROM held h JOIN sizes s USING (task_cluster)
+JOIN good e ON e.task_cluster = h.task_cluster AND e.source = h.seq[-1] AND e.target = '__END__'
+WHERE len(h.seq) >= greatest(2, floor(s.avg_length * 0.5))""",
+    "frequent": """SELECT 'none' AS task_cluster, ['none'] AS seq""",
+    "tried": """SELECT p.task_cluster, p.seq, t.total_duration_ms, t.total_cost_usd, t.total_steps, t.success, t.tool_sequence = p.seq AS same
+FROM covering p JOIN held h ON h.task_cluster = p.task_cluster AND h.seq = p.seq JOIN clustered t ON t.workflow_id = h.workflow_id
+WHERE len(p.seq) >= 0.5 * len(t.tool_sequence)""",
+}
+
 # ---- anomalies -------------------------------------------------------------------------
 FINDINGS = {
     "repeats": """SELECT task_cluster, tool_name, min((workflow_id, n)) AS r FROM (
@@ -212,6 +232,8 @@ WHERE list_max(list_transform(recent, lambda x: len(list_filter(recent, lambda y
     "supported_paths": query(f"SELECT {PATH_COLUMNS} FROM supported", **SEARCH),
     "pareto_front": query(f"SELECT {PATH_COLUMNS} FROM front", **SEARCH),
     "find_pareto_paths": query(f"SELECT {PATH_COLUMNS}, round(score, 4) AS score, pareto_rank FROM ranked", **SEARCH),
+    "find_pareto_paths_many_tools": query(
+        f"SELECT {PATH_COLUMNS}, round(score, 4) AS score, pareto_rank FROM ranked", **MANY_TOOLS),
     "knee_points": query(f"SELECT {PATH_COLUMNS}, round(score, 4) AS score, pareto_rank FROM ranked WHERE pareto_rank = 0", **SEARCH),
     "missing_step_warnings": query("SELECT task_cluster, CAST(kind AS BIGINT) AS kind, pos, param, warning FROM missing_steps", **warn(0.2, 0.2)),
     "parameter_warnings": query("SELECT task_cluster, CAST(kind AS BIGINT) AS kind, pos, param, warning FROM diverging", **warn(0.2, 0.2)),

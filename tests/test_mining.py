@@ -1,5 +1,6 @@
 """Traces, graphs, anomalies, path search, warnings, trees and suggestions on small logs."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,72 @@ def test_pareto_and_knee(spark):
     assert names(path_search.knee_points(path_search.scored_front(front))) == ["c"]
 
 
+def test_pareto_front_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 12, (400, 3)) / 10.0
+    rows = [("c" if i % 3 else "d", [str(i)], *v) for i, v in enumerate(values.tolist())]
+    frame = spark.createDataFrame(
+        rows, "task_cluster string, tool_sequence array<string>, avg_duration_ms double, avg_cost_usd double, success_rate double")
+    want = sorted(
+        a[1][0] for a in rows if not any(
+            b[0] == a[0] and b[2] <= a[2] and b[3] <= a[3] and b[4] >= a[4] and b[2:] != a[2:] for b in rows))
+    for block_rows in (16, 1000):
+        found = path_search.pareto_front(frame, block_rows=block_rows)
+        assert sorted(r["tool_sequence"][0] for r in found.collect()) == want
+
+
+def test_pareto_front_of_many_points(spark):
+    points = spark.range(100_000).select(
+        F.lit("c").alias("task_cluster"), F.array(F.col("id").cast("string")).alias("tool_sequence"),
+        (F.pmod(F.xxhash64("id"), F.lit(9973)) + 1.0).alias("avg_duration_ms"),
+        (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(9967)) + 1.0).alias("avg_cost_usd"),
+        (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(101)) / 100.0).alias("success_rate"))
+    values = points.toPandas()
+    cost = np.stack([values["avg_duration_ms"], values["avg_cost_usd"], -values["success_rate"]], axis=1)
+    front = np.empty((0, 3))
+    for point in cost[np.lexsort(cost.T[::-1])]:
+        if not ((front <= point).all(axis=1) & (front < point).any(axis=1)).any():
+            front = np.concatenate([front, point[None, :]])
+    assert path_search.pareto_front(points).count() == len(front)
+
+
+def test_search_agrees_with_enumeration(spark):
+    rng = np.random.default_rng(9)
+    tools = "abcdefg"
+    runs = [run(f"w{i}", "".join(rng.choice(list(tools), rng.integers(1, 8))), success=bool(rng.random() < 0.8), ms=float(rng.integers(50, 900)))
+            for i in range(120)]
+    events = log(spark, *runs)
+    group = members(spark, events)
+    edges = graphs.directly_follows_graph(events, group).filter("frequency > 2").cache()
+    sizes = path_search.group_sizes(group)
+    for share in (0.0, 0.05):
+        every = path_search.covering_paths(path_search.enumerate_paths(path_search.keep_reliable_edges(edges, 0.6), 20), sizes)
+        metrics = path_search.path_metrics(variants(group, "task_cluster"), path_search.with_fallback(every, group))
+        supported = path_search.supported_paths(metrics, sizes, 0.6, share=share)
+        want = path_search.scored_front(path_search.pareto_front(supported)).collect()
+        got = path_search.find_pareto_paths(edges, group, min_success_rate=0.6, support_share=share).collect()
+        assert sorted(map(str, got)) == sorted(map(str, want)) and want
+
+
+def test_long_paths_of_a_graph():
+    start, end = graphs.START_NODE, graphs.END_NODE
+    dense = {start: list("abcdefghijklmnopqrstuvwxyz"), **{a: [*(b for b in "abcdefghijklmnopqrstuvwxyz" if b != a), end]
+                                                            for a in "abcdefghijklmnopqrstuvwxyz"}}
+    assert path_search.has_long_path(dense, 26) == (True, True)
+    line = {start: ["a"], "a": ["b", end], "b": ["a", "c"], "c": ["d"]}
+    assert path_search.has_long_path(line, 1) == (True, True) and path_search.has_long_path(line, 2) == (True, False)
+    assert path_search.has_long_path({start: ["a", end], "a": ["b"], "b": ["a"]}, 2) == (False, False)
+    assert path_search.has_long_path({start: [end]}, 1) == (False, False)
+
+
+def test_path_metrics_of_paths_that_repeat_a_tool(spark):
+    events = log(spark, run("w1", "aba"), run("w2", "abca"), run("w3", "abxyzwva"))
+    paths = spark.createDataFrame([("c", list(p)) for p in ("aa", "aba", "abca", "aab")], "task_cluster string, tool_sequence array<string>")
+    got = {"".join(r["tool_sequence"]): r["execution_count"]
+           for r in path_search.path_metrics(variants(members(spark, events), "task_cluster"), paths).collect()}
+    assert got == {"aa": 2, "aba": 1, "abca": 1, "aab": 0}
+
+
 def test_path_metrics_rules(spark):
     events = log(spark, run("w1", "abc"), run("w2", "axbxcxyz"), run("w3", "axb", success=False))
     paths = spark.createDataFrame([("c", list(p)) for p in ("abc", "ab", "zz")], "task_cluster string, tool_sequence array<string>")

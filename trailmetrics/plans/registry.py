@@ -213,6 +213,15 @@ def mining_queries() -> dict[str, Query]:
     def pareto(t: Tables) -> DataFrame:
         return path_search.find_pareto_paths(dfg(t), t.traces, min_success_rate=0.5, support_share=0.005)
 
+    def pareto_of_many_tools(t: Tables) -> DataFrame:
+        """Every call's tool named by its parameter: 31 tools, and hardly two runs alike."""
+        k = F.get_json_object("tool_parameters", "$.k").cast("int")
+        logs = t.event_logs.withColumn(
+            "tool_name", F.when(F.col("tool_name").isNotNull(), F.concat(F.lit("tool "), k % 31)))
+        runs = materialize(build_traces(logs).join(t.traces.select("workflow_id", "task_cluster"), "workflow_id"), "traces")
+        edges = graphs.directly_follows_graph(logs, runs.select("workflow_id", "task_cluster", "success"))
+        return path_search.find_pareto_paths(edges, runs, min_success_rate=0.5, support_share=0.005)
+
     def fields(t: Tables) -> DataFrame:
         members = by_first_band(t)
         split = decision_tree.branching(decision_tree.representatives(members))
@@ -245,6 +254,7 @@ def mining_queries() -> dict[str, Query]:
         "supported_paths": supported,
         "pareto_front": lambda t: path_search.pareto_front(supported(t)),
         "find_pareto_paths": pareto,
+        "find_pareto_paths_many_tools": pareto_of_many_tools,
         "knee_points": lambda t: path_search.knee_points(pareto(t)),
         "missing_step_warnings": lambda t: failure_warnings.missing_step_warnings(
             t.event_logs, t.traces, optimal_by_cluster(t), in_success=0.2, missing_in_failed=0.2),
