@@ -94,10 +94,32 @@ SLOW = """SELECT task_cluster, 'bottleneck' AS pattern_type,
   'Tool ''' || tool_name || ''' avg ' || printf('%.0f', round(ms, 6)) || 'ms (' || printf('%.0f', round(ms / total * 100, 6)) || '% of total ' || printf('%.0f', round(total, 6)) || 'ms)' AS description,
   tool_name, 'high' AS severity,
   'avg_duration_ms=' || round(ms + 1e-9, 1) || ',avg_total_ms=' || round(total + 1e-9, 1) || ',pct_of_total=' || round(ms / total + 1e-9, 3) AS evidence FROM slow"""
-DEVIATIONS = """SELECT task_cluster, workflow_id, count(*) FILTER (WHERE target <> '__END__') AS missing, count(*) FILTER (WHERE target = '__END__') AS remaining
-FROM checked WHERE NOT allowed GROUP BY ALL"""
+# Alignments by dynamic programming over (place in the run, node of the model); 100001 is a
+# move of the model alone, 100000 one of the run alone, so ties go to fewer missing moves.
+ALIGNED = {
+    "runs_in_time": """SELECT c.task_cluster, e.workflow_id, list(e.tool_name ORDER BY e.timestamp, e.step_number, e.event_id) AS seq
+FROM event_logs e JOIN clustered c USING (workflow_id) WHERE e.tool_name IS NOT NULL AND c.task_cluster IN (SELECT task_cluster FROM model) GROUP BY ALL""",
+    "hops": """SELECT task_cluster, source, target, 0 AS skipped FROM model
+UNION
+SELECT h.task_cluster, h.source, m.target, h.skipped + 1 FROM hops h JOIN model m ON m.task_cluster = h.task_cluster AND m.source = h.target WHERE h.skipped < 6""",
+    "gaps": """SELECT task_cluster, source, target, min(skipped) AS skipped FROM hops GROUP BY ALL""",
+    "replay": """SELECT DISTINCT task_cluster, seq, 0 AS at_tool, '__START__' AS node, 0::BIGINT AS v FROM runs_in_time
+UNION ALL
+SELECT task_cluster, seq, at_tool, o.node, min(o.v) FROM (
+  SELECT r.task_cluster, r.seq, r.at_tool + 1 AS at_tool, unnest(CASE WHEN g.skipped IS NULL THEN [{'node': r.node, 'v': r.v + 100000}]
+    ELSE [{'node': r.node, 'v': r.v + 100000}, {'node': g.target, 'v': r.v + 100001 * g.skipped}] END) AS o
+  FROM replay r LEFT JOIN gaps g ON g.task_cluster = r.task_cluster AND g.source = r.node AND g.target = r.seq[r.at_tool + 1]
+  WHERE r.at_tool < len(r.seq)) GROUP BY ALL""",
+    "aligned": """SELECT r.task_cluster, r.seq, min(r.v + 100001 * g.skipped) AS v, (any_value(s.skipped) + len(r.seq))::BIGINT AS worst
+FROM replay r JOIN gaps g ON g.task_cluster = r.task_cluster AND g.source = r.node AND g.target = '__END__'
+JOIN gaps s ON s.task_cluster = r.task_cluster AND s.source = '__START__' AND s.target = '__END__'
+WHERE r.at_tool = len(r.seq) GROUP BY r.task_cluster, r.seq""",
+}
+MODEL = {**MODEL, **ALIGNED}
+DEVIATIONS = """SELECT t.task_cluster, t.workflow_id, a.v % 100000 AS missing, a.v // 100000 - a.v % 100000 AS remaining
+FROM runs_in_time t JOIN aligned a ON a.task_cluster = t.task_cluster AND a.seq = t.seq WHERE a.v > 0"""
 DEVIATION_ROWS = """SELECT task_cluster, 'conformance_deviation' AS pattern_type,
-  'Trace deviates from optimal model: ' || missing || ' missing moves, ' || remaining || ' open ends' AS description,
+  'Trace deviates from optimal model: ' || missing || ' missing moves, ' || remaining || ' left-over moves' AS description,
   CAST(NULL AS VARCHAR) AS tool_name, 'medium' AS severity, 'missing=' || missing || ',remaining=' || remaining || ',workflow_id=' || workflow_id AS evidence FROM deviations"""
 
 # ---- failure warnings: optimal path = most frequent sequence of the cluster --------------
@@ -291,11 +313,16 @@ SELECT task_cluster, source, target, frequency, round(success_rate, 4) AS succes
   round(avg_cost_usd, 4) AS avg_cost_usd FROM edges""", **SUCCESSES)
 QUALITY = """
 SELECT f.task_cluster, round(f.fitness, 4) AS fitness, round(p.precision, 4) AS precision
-FROM (SELECT task_cluster, avg(fit) AS fitness FROM (SELECT task_cluster, workflow_id, avg(CASE WHEN allowed THEN 1.0 ELSE 0.0 END) AS fit FROM checked GROUP BY ALL) GROUP BY 1) f
+FROM (SELECT t.task_cluster, avg(1 - (a.v // 100000) / a.worst) AS fitness FROM runs_in_time t JOIN aligned a ON a.task_cluster = t.task_cluster AND a.seq = t.seq GROUP BY 1) f
 JOIN (SELECT o.task_cluster, sum(o.visits * o.used) / sum(o.visits * a.options) AS precision
   FROM (SELECT task_cluster, source, count(*) AS visits, count(DISTINCT target) FILTER (WHERE allowed) AS used FROM checked GROUP BY ALL) o
   JOIN (SELECT task_cluster, source, count(*) AS options FROM model GROUP BY ALL) a USING (task_cluster, source) GROUP BY 1) p USING (task_cluster)"""
 ORACLES["model_quality"] = query(QUALITY, **MODEL)
+ORACLES["run_alignments"] = query("""
+SELECT a.task_cluster, array_to_string(a.seq, '>') AS tool_sequence, count(*) AS n, a.v // 100000 AS cost, a.v % 100000 AS missing, any_value(a.worst) AS worst
+FROM aligned a JOIN runs_in_time t ON t.task_cluster = a.task_cluster AND t.seq = a.seq GROUP BY a.task_cluster, a.seq, a.v""",
+    **{**FULL_MODEL, "whole": FULL_MODEL["model"],
+       "model": "SELECT * FROM whole QUALIFY 6 * frequency >= sum(frequency) OVER (PARTITION BY task_cluster, source)"})
 ORACLES["run_analysis_group_quality"] = query(QUALITY, **GROUPS, **FULL_MODEL)
 ORACLES["run_analysis_group_patterns"] = query(
     f"{REDUNDANT} UNION ALL {RETRY} UNION ALL {SLOW} UNION ALL {DEVIATION_ROWS}",

@@ -1,5 +1,7 @@
 """Traces, graphs, anomalies, path search, warnings, trees and suggestions on small logs."""
 
+import heapq
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -46,14 +48,54 @@ def test_model_and_conformance(spark):
     assert {(r["source"], r["target"]) for r in model.collect()} == {
         ("__START__", "a"), ("a", "b"), ("b", "c"), ("c", "__END__")}
     quality = first(graphs.model_quality(events, group, model))
-    assert quality["fitness"] == pytest.approx((1 + 2 / 4 + 2 / 3) / 3)
+    assert quality["fitness"] == pytest.approx((1 + (1 - 2 / 6) + (1 - 1 / 5)) / 3)
     assert quality["precision"] == pytest.approx(1.0)
     left = {r["workflow_id"]: (r["missing"], r["remaining"]) for r in graphs.model_deviations(events, group, model).collect()}
-    assert left == {"bad": (2, 0), "cut": (0, 1)}
+    assert left == {"bad": (1, 1), "cut": (1, 0)}
     failed = log(spark, run("f", "ab", success=False))
     assert graphs.process_model(failed, members(spark, failed)).count() == 0
 
 
+def best_alignment(seq, edges):
+    """(cost, missing) by searching the product of run and model, cheapest first."""
+    heap, done = [(0, 0, 0, graphs.START_NODE)], set()
+    while heap:
+        cost, missing, at, node = heapq.heappop(heap)
+        if node == graphs.END_NODE:
+            return cost, missing
+        if (at, node) in done:
+            continue
+        done.add((at, node))
+        if at < len(seq):
+            heapq.heappush(heap, (cost + 1, missing, at + 1, node))
+        for source, target in edges:
+            if source == node:
+                if target == graphs.END_NODE:
+                    if at == len(seq):
+                        heapq.heappush(heap, (cost, missing, at, target))
+                else:
+                    heapq.heappush(heap, (cost + 1, missing + 1, at, target))
+                    if at < len(seq) and seq[at] == target:
+                        heapq.heappush(heap, (cost, missing, at + 1, target))
+    return None
+
+
+def test_alignments_agree_with_a_search_of_the_product(spark):
+    rng = np.random.default_rng(3)
+    tools = list("abcdef")
+    for trial in range(3):
+        edges = [(graphs.START_NODE, "a"), ("a", "b"), ("b", graphs.END_NODE)] + [
+            (s, t) for s in tools for t in [*tools, graphs.END_NODE] if rng.random() < 0.12 * (trial + 1)]
+        model = spark.createDataFrame([("c", s, t) for s, t in set(edges)], "task_cluster string, source string, target string")
+        runs = {tuple(rng.choice(tools, rng.integers(1, 12)).tolist()) for _ in range(80)}
+        variants_ = spark.createDataFrame([("c", list(r)) for r in runs] + [("no model", ["a"])], "task_cluster string, tool_sequence array<string>")
+        rows = graphs.alignments(variants_, model).collect()
+        assert len(rows) == len(runs)
+        for r in rows:
+            assert (r["cost"], r["missing"]) == best_alignment(r["tool_sequence"], edges)
+            assert r["worst"] == len(r["tool_sequence"]) + best_alignment([], edges)[0]
+
+
 def kinds(df):
     return [(r["tool_name"], r["evidence"]) for r in df.collect()]
 

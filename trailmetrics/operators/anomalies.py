@@ -124,7 +124,7 @@ def conformance_deviations(
     event_logs: DataFrame, members: DataFrame, model: DataFrame, key: str = "task_cluster"
 ) -> DataFrame:
     text = F.format_string(
-        "Trace deviates from optimal model: %d missing moves, %d open ends",
+        "Trace deviates from optimal model: %d missing moves, %d left-over moves",
         F.col("missing"), F.col("remaining"),
     )
     return _report(

@@ -1,20 +1,24 @@
 """Transition graphs, directly-follows graphs and conformance to a model.
 
-All of them work on rows (one move per row), never on whole sequences, so their
-cost does not depend on how the rows are spread over workflows.
+Graphs and models are counted from rows (one move per row), so their cost does not depend on
+how the rows are spread over workflows.  Conformance aligns distinct sequences with a model.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmetrics.operators.events import tool_calls
 from trailmetrics.operators.ordering import hour_block, step_block, with_next
+from trailmetrics.operators.traces import ordered_sequences
 from trailmetrics.session import materialize
 
 START_NODE = "__START__"
 END_NODE = "__END__"
+SALTS = 8  # shares of a key that may hold a third of all rows
 
 
 def transitions(event_logs: DataFrame) -> DataFrame:
@@ -126,36 +130,105 @@ def process_model(
     )
 
 
+def runs_by_time(event_logs: DataFrame, members: DataFrame, key: str = "task_cluster") -> DataFrame:
+    """(key, workflow_id, tool_sequence) of all runs with a tool, in time order."""
+    calls = event_logs.filter(F.col("tool_name").isNotNull()).select(
+        "workflow_id", "tool_name", "timestamp", "step_number", "event_id")
+    return ordered_sequences(calls, by_time=True).join(members.select("workflow_id", key), "workflow_id")
+
+
+def model_distances(model: DataFrame, key: str = "task_cluster") -> DataFrame:
+    """(key, source, target, skipped): fewest tools that the model needs between two nodes.
+
+    Works on models, at most one row per pair of tools, not on runs.
+    """
+    def shortest(name: tuple, edges: pd.DataFrame) -> pd.DataFrame:
+        nodes = sorted({*edges["source"], *edges["target"]})
+        place = {n: i for i, n in enumerate(nodes)}
+        steps = np.full((len(nodes), len(nodes)), np.inf)
+        steps[edges["source"].map(place), edges["target"].map(place)] = 1
+        for middle in range(len(nodes)):
+            steps = np.minimum(steps, steps[:, middle, None] + steps[None, middle, :])
+        i, j = np.nonzero(np.isfinite(steps))
+        return pd.DataFrame({
+            key: name[0], "source": [nodes[k] for k in i], "target": [nodes[k] for k in j],
+            "skipped": steps[i, j].astype("int64") - 1})
+
+    return model.select(key, "source", "target").groupBy(key).applyInPandas(
+        shortest, f"{key} string, source string, target string, skipped bigint")
+
+
+def alignments(variants: DataFrame, model: DataFrame, key: str = "task_cluster") -> DataFrame:
+    """Optimal alignment of every distinct sequence with its cluster's model.
+
+    Adds ``cost`` (least number of moves on one side only), ``missing`` (those of the model;
+    the fewest at that cost) and ``worst`` (cost without any common move).  Clusters without
+    a model have no row, nor have those whose model (thinned out) does not lead to its end.
+
+    Between two common moves the model takes a shortest path and the run's tools are left
+    over, so the best alignment is a shortest path over the run's tools that remembers one
+    state per tool.  It is one fold along the sequence; the distances it asks for, one per
+    pair of tools in the sequence, come in by a join.
+    """
+    distances = materialize(model_distances(model, key), "model-distances")
+    tasks = int(variants.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows, but much work on each
+    numbered = materialize(
+        variants.repartition(tasks).withColumn("variant", F.monotonically_increasing_id()), "variants")
+    pairs = numbered.select(
+        key, "variant", F.explode(F.expr(f"array_union(array('{START_NODE}'), tool_sequence)")).alias("source"), "tool_sequence",
+    ).select(key, "variant", "source", F.explode(F.expr(f"array_union(tool_sequence, array('{END_NODE}'))")).alias("target"),
+             F.pmod(F.xxhash64("variant"), F.lit(SALTS)).cast("int").alias("salt"))
+    spread = distances.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    asked = pairs.join(spread, [key, "source", "target", "salt"]).groupBy("variant").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.struct("source", "target"), "skipped"))).alias("skipped"))
+    # states: tool, cost and missing of the best alignment that ends with a common move on it, less its place
+    best = """
+        array_min(filter(transform(states, s -> named_struct(
+            'cost', s.cost + skipped[named_struct('source', s.tool, 'target', {to})] + {at},
+            'missing', s.missing + skipped[named_struct('source', s.tool, 'target', {to})])), c -> c.cost is not null))"""
+    step = best.replace("states", "acc.states").format(to="tool", at="acc.at")
+    fold = f"""
+        aggregate(tool_sequence,
+            named_struct('at', 0L, 'states', array(named_struct('tool', '{START_NODE}', 'cost', 0L, 'missing', 0L))),
+            (acc, tool) -> named_struct('at', acc.at + 1, 'states',
+                transform(array({step}), found -> if(found is null, acc.states, if(
+                    exists(acc.states, s -> s.tool = tool
+                        and (s.cost < found.cost - acc.at - 1 or s.cost = found.cost - acc.at - 1 and s.missing <= found.missing)),
+                    acc.states,
+                    concat(filter(acc.states, s -> s.tool <> tool), array(named_struct(
+                        'tool', tool, 'cost', found.cost - acc.at - 1, 'missing', found.missing))))))[0])).states"""
+    total = best.format(to=f"'{END_NODE}'", at="size(tool_sequence)")
+    shortest = F.expr(f"skipped[named_struct('source', '{START_NODE}', 'target', '{END_NODE}')]")
+    return (
+        numbered.join(asked, "variant").withColumn("worst", F.size("tool_sequence") + shortest).filter("worst is not null")
+        .withColumn("states", F.expr(fold)).withColumn("found", F.expr(total))
+        .select(*variants.columns, "found.*", "worst")
+    )
+
+
 def model_quality(
     event_logs: DataFrame, members: DataFrame, model: DataFrame, key: str = "task_cluster"
 ) -> DataFrame:
     """Fitness and precision of all runs against the model, per cluster.
 
-    fitness = mean over runs of (moves allowed by the model / moves);
+    fitness = mean over runs of (1 - cost of the optimal alignment / its worst cost);
     precision = sum over states of visits * observed allowed moves
                 / sum over states of visits * allowed moves  (escaping edges).
     Clusters without a model have no row.
     """
     model = materialize(model, "model")
+    variants = materialize(
+        runs_by_time(event_logs, members, key).groupBy(key, "tool_sequence").agg(F.count("*").alias("n")), "time-variants")
+    fitness = alignments(variants, model, key).groupBy(key).agg(
+        (F.sum(F.col("n") * (1 - F.col("cost") / F.col("worst"))) / F.sum("n")).alias("fitness"))
+    moved = F.arrays_zip(
+        F.concat(F.array(F.lit(START_NODE)), "tool_sequence").alias("source"),
+        F.concat("tool_sequence", F.array(F.lit(END_NODE))).alias("target"))
+    taken = variants.select(key, "n", F.explode(moved).alias("move")).groupBy(key, "move.source", "move.target").agg(
+        F.sum("n").alias("n"))
     allowed = model.select(key, "source", "target", F.lit(True).alias("allowed"))
-    checked = materialize(
-        moves(event_logs, by_time=True)
-        .join(members.select("workflow_id", key), "workflow_id")
-        .join(allowed, [key, "source", "target"], "left")
-        .withColumn("allowed", F.coalesce("allowed", F.lit(False))),
-        "checked-moves",
-    )
-    fitness = (
-        checked.groupBy(key, "workflow_id")
-        .agg((F.sum(F.when(F.col("allowed"), F.col("n")).otherwise(0)) / F.sum("n")).alias("fit"))
-        .groupBy(key)
-        .agg(F.avg("fit").alias("fitness"))
-    )
-    observed = (
-        checked.groupBy(key, "source", "target", "allowed").agg(F.sum("n").alias("n"))
-        .groupBy(key, "source")
-        .agg(F.sum("n").alias("visits"), F.count(F.when(F.col("allowed"), 1)).alias("used"))
-    )
+    observed = taken.join(allowed, [key, "source", "target"], "left").groupBy(key, "source").agg(
+        F.sum("n").alias("visits"), F.count("allowed").alias("used"))
     outgoing = model.groupBy(key, "source").agg(F.count("*").alias("options"))
     precision = (
         observed.join(outgoing, [key, "source"])
@@ -169,21 +242,15 @@ def model_quality(
 def model_deviations(
     event_logs: DataFrame, members: DataFrame, model: DataFrame, key: str = "task_cluster"
 ) -> DataFrame:
-    """Runs that leave the model: number of moves missing from it, and whether the
-    run's last tool is no end of the model (``remaining``)."""
-    model = materialize(model, "model")
-    modelled = model.select(key).distinct()
-    left_out = (
-        moves(event_logs, by_time=True)
-        .join(members.select("workflow_id", key), "workflow_id")
-        .join(modelled, key, "left_semi")
-        .join(model.select(key, "source", "target"), [key, "source", "target"], "left_anti")
-    )
-    at_end = F.col("target") == END_NODE
-    return left_out.groupBy(key, "workflow_id").agg(
-        F.sum(F.when(at_end, 0).otherwise(F.col("n"))).alias("missing"),
-        F.sum(F.when(at_end, F.col("n")).otherwise(0)).alias("remaining"),
-    )
+    """Runs that leave the model: moves of the model that they miss and own tools left over
+    (``remaining``) in their optimal alignment."""
+    runs = materialize(runs_by_time(event_logs, members, key), "time-runs")
+    found = alignments(runs.select(key, "tool_sequence").distinct(), materialize(model, "model"), key).filter("cost > 0")
+    spread = found.select(
+        key, "tool_sequence", "missing", (F.col("cost") - F.col("missing")).alias("remaining"),
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = runs.withColumn("salt", F.pmod(F.xxhash64("workflow_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(spread, [key, "tool_sequence", "salt"]).select(key, "workflow_id", "missing", "remaining")
 
 
 def optimal_edges(paths: DataFrame) -> DataFrame:

@@ -192,6 +192,14 @@ def mining_queries() -> dict[str, Query]:
     def model(t: Tables) -> DataFrame:
         return graphs.process_model(t.event_logs, t.traces, min_frequency=10)
 
+    def run_alignments(t: Tables) -> DataFrame:
+        """Every distinct run against the moves that are a sixth of their source's or more."""
+        full = graphs.process_model(t.event_logs, t.traces)
+        left = full.groupBy("task_cluster", "source").agg(F.sum("frequency").alias("visits"))
+        common = full.join(left, ["task_cluster", "source"]).filter("6 * frequency >= visits")
+        runs = graphs.runs_by_time(t.event_logs, t.traces).groupBy("task_cluster", "tool_sequence").agg(F.count("*").alias("n"))
+        return graphs.alignments(runs, materialize(common, "model"))
+
     def patterns(t: Tables, with_model: bool) -> DataFrame:
         return anomalies.detect_patterns(
             t.event_logs, t.traces, model(t) if with_model else None, bottleneck_share=0.24)
@@ -237,6 +245,7 @@ def mining_queries() -> dict[str, Query]:
             .groupBy("task_cluster").agg(F.countDistinct("node").alias("nodes")), "task_cluster"),
         "process_model": model,
         "model_quality": lambda t: graphs.model_quality(t.event_logs, t.traces, model(t)),
+        "run_alignments": run_alignments,
         "conformance_deviations": lambda t: evidence_text(
             anomalies.conformance_deviations(t.event_logs, t.traces, model(t))),
         "redundant_steps": lambda t: evidence_text(anomalies.redundant_steps(t.event_logs, t.traces)),
