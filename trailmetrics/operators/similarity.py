@@ -1,8 +1,8 @@
 """Centroids and similarity matching between workflow and path vectors.
 
-Workflow and path vectors are cut into blocks of bounded size, and each pair of
-blocks is multiplied in a task of its own, so no pair of rows is ever emitted unless
-it matches.  The path side is small in practice (one row per task cluster, one block).
+Workflow and path vectors are cut into blocks of about ``BLOCK_ROWS`` by their angles to a
+few pivots.  A pair of blocks whose angles exclude a match is never built; every other pair is
+multiplied in a task of its own, so no pair of rows is ever emitted unless it matches.
 """
 
 from __future__ import annotations
@@ -14,7 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailmetrics.session import materialize, ship_package
+
 BLOCK_ROWS = 2048
+PIVOTS = 6
+PIVOT_SAMPLE = 256
 
 
 def centroid(vectors: DataFrame, *keys: str, column: str = "embedding") -> DataFrame:
@@ -88,9 +92,114 @@ def _score(left: pd.DataFrame, known: PathMatrices, threshold: float, keep: str)
         })
 
 
+# --- blocks by pivots ---------------------------------------------------------------------
+
+Pivots = dict[int, np.ndarray]
+
+
+def choose_pivots(vectors: DataFrame, n: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> Pivots:
+    """Per vector length up to ``n`` unit vectors far apart from each other.
+
+    They come from ``sample`` rows (a fixed bound, smallest hash first); any choice gives the
+    same matches, a good one excludes more pairs of blocks.
+    """
+    seen = vectors.select("embedding", F.xxhash64("embedding").alias("h")).orderBy("h").limit(sample).collect()
+    found: Pivots = {}
+    for length in {len(r["embedding"]) for r in seen} - {0}:
+        points = unit_rows([r["embedding"] for r in seen if len(r["embedding"]) == length])
+        chosen = [0]
+        while len(chosen) < min(n, len(points)):
+            chosen.append(int((points @ points[chosen].T).max(axis=1).argmin()))
+        found[length] = points[chosen]
+    return found
+
+
+def angles(vectors: list, pivots: Pivots) -> np.ndarray:
+    """Angle of every vector to every pivot of its length; NaN where there is none."""
+    length = np.array([len(v) for v in vectors])
+    found = np.full((len(vectors), PIVOTS), np.nan)
+    for n, points in pivots.items():
+        rows = np.flatnonzero(length == n)
+        if len(rows):
+            cosine = unit_rows([vectors[i] for i in rows]) @ points.T
+            found[rows, : len(points)] = np.arccos(np.clip(cosine, -1, 1))
+    return found
+
+
+def pivot_blocks(rows: DataFrame, id_column: str, pivots: Pivots, block_rows: int) -> DataFrame:
+    """Stored rows with ``length``, angles ``a0``, ``a1``, ... and a ``block`` of about ``block_rows``.
+
+    Rows are range-sorted by length, nearest pivot and angle to it, so that a block is a thin
+    ring around one pivot.
+    """
+    ship_package(rows.sparkSession)
+    names = [f"a{i}" for i in range(PIVOTS)]
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = angles(list(batch["embedding"]), pivots)
+            known = np.where(np.isnan(found), np.inf, found)
+            batch["length"] = batch["embedding"].map(len).astype("int32")
+            batch["nearest"] = known.argmin(axis=1).astype("int32")
+            batch["angle"] = known.min(axis=1)
+            for i, name in enumerate(names):
+                batch[name] = found[:, i]
+            yield batch
+
+    placed = rows.mapInPandas(place, ", ".join([
+        f"{id_column} string", f"embedding {dict(rows.dtypes)['embedding']}", "length int", "nearest int", "angle double",
+        *[f"{name} double" for name in names]]))
+    blocks = -(-rows.count() // block_rows) or 1
+    ordered = placed.repartitionByRange(blocks, "length", "nearest", "angle", id_column)
+    return materialize(ordered.withColumn("block", F.spark_partition_id()).drop("nearest", "angle"), "pivot-blocks")
+
+
+def block_bounds(blocked: DataFrame) -> DataFrame:
+    """Least and largest angle to every pivot per block and vector length."""
+    known = [F.nanvl(f"a{i}", F.lit(None)) for i in range(PIVOTS)]
+    return blocked.groupBy("block", "length").agg(
+        *[F.min(c).alias(f"low{i}") for i, c in enumerate(known)], *[F.max(c).alias(f"high{i}") for i, c in enumerate(known)])
+
+
+def possible_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(i, j) of the blocks that may hold a match.
+
+    Angles obey the triangle inequality, so two vectors whose angles to one pivot differ by
+    more than the threshold's angle are no match.  Blocks meet by bands of their angle to the
+    first pivot; every pivot may exclude the pair.
+    """
+    most = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
+    band = max(most, 0.01)
+
+    def banded(bounds: DataFrame, side: str, margin: float) -> DataFrame:
+        low, high = F.coalesce("low0", F.lit(0.0)), F.coalesce("high0", F.lit(float(np.pi)))
+        bands = F.sequence(F.floor((low - margin) / band), F.floor((high + margin) / band))
+        renamed = [F.col(c).alias(f"{side}_{c}") for c in bounds.columns if c not in {"block", "length"}]
+        return bounds.select(F.col("block").alias(side), "length", *renamed, F.explode(bands).alias("band"))
+
+    apart = F.lit(False)
+    for i in range(PIVOTS):
+        apart = apart | F.coalesce(
+            (F.col(f"i_low{i}") - F.col(f"j_high{i}") > most) | (F.col(f"j_low{i}") - F.col(f"i_high{i}") > most), F.lit(False))
+    return banded(block_bounds(left), "i", 0.0).join(banded(block_bounds(right), "j", most), ["length", "band"]).filter(
+        ~apart).select("i", "j").distinct()
+
+
 MATCH_DDL = "workflow_id string, path_id string, similarity double, rounded double"
 
 
+def _blocked_sides(
+    workflows: DataFrame, paths: DataFrame, threshold: float, block_rows: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both sides in blocks, and the pairs of blocks to compare."""
+    left = workflows.filter(F.col("embedding").isNotNull()).select("workflow_id", "embedding")
+    right = paths.filter(F.col("embedding").isNotNull()).select("path_id", "embedding")
+    pivots = choose_pivots(right)
+    ones = pivot_blocks(left, "workflow_id", pivots, block_rows)
+    others = pivot_blocks(right, "path_id", pivots, block_rows)
+    return ones, others, materialize(possible_pairs(ones, others, threshold), "block-pairs")
+
+
 def match_paths(
     workflows: DataFrame, paths: DataFrame, threshold: float, keep: str = "all", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -99,21 +208,12 @@ def match_paths(
     ``keep``: ``all`` matches, only the ``best_path`` of each workflow, or only the
     ``best_workflow`` of each path (ties up to 9 digits: smallest id).  Both inputs have
     their id and ``embedding``.  NULL embeddings match nothing; a workflow meets the paths
-    whose vectors have its own vector's length.
+    whose vectors have its own vector's length.  A block travels to the blocks that its
+    angles do not exclude.
     """
-    left = workflows.filter(F.col("embedding").isNotNull()).select("workflow_id", "embedding")
-    right = paths.filter(F.col("embedding").isNotNull()).select("path_id", "embedding")
-    left_blocks = -(-left.count() // block_rows) or 1
-    right_blocks = -(-right.count() // block_rows) or 1
-
-    def cut(name: str, n: int):
-        return F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
-
-    def all_blocks(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    a = left.withColumn("i", cut("workflow_id", left_blocks)).withColumn("j", all_blocks(right_blocks))
-    b = right.withColumn("j", cut("path_id", right_blocks)).withColumn("i", all_blocks(left_blocks))
+    ones, others, pairs = _blocked_sides(workflows, paths, threshold, block_rows)
+    a = ones.select("workflow_id", "embedding", F.col("block").alias("i")).join(pairs, "i")
+    b = others.select("path_id", "embedding", F.col("block").alias("j")).join(pairs, "j")
 
     def score(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         others = others.sort_values("path_id")
@@ -128,6 +228,17 @@ def match_paths(
     return _best(matches, *(("workflow_id", "path_id") if keep == "best_path" else ("path_id", "workflow_id")))
 
 
+def block_report(workflows: DataFrame, paths: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row: blocks of both sides, pairs of blocks compared, and pairs that their angles exclude."""
+    ones, others, pairs = _blocked_sides(workflows, paths, threshold, block_rows)
+    blocks = lambda df, name: df.agg(F.countDistinct("block").alias(name))
+    counted = [blocks(ones, "left_blocks"), blocks(others, "right_blocks"), pairs.agg(F.count("*").alias("compared"))]
+    one = counted[0].withColumn("k", F.lit(0))
+    for other in counted[1:]:
+        one = one.join(other.withColumn("k", F.lit(0)), "k")
+    return one.drop("k").withColumn("skipped", F.col("left_blocks") * F.col("right_blocks") - F.col("compared"))
+
+
 def _best(matches: DataFrame, key: str, other: str) -> DataFrame:
     order = F.struct(-F.col("rounded"), F.col(other))
     return (

@@ -362,6 +362,9 @@ def operator_queries() -> dict[str, Query]:
         ).select("workflow_id", F.levenshtein("a", "b").alias("edits"),
                  sequences.normalised_edit_distance(F.col("a"), F.col("b")).alias("ned"))
 
+    def other_runs(t: Tables) -> DataFrame:
+        return t.workflow_embeddings.select(F.col("workflow_id").alias("path_id"), "embedding")
+
     def labels(t: Tables) -> DataFrame:
         name = F.concat(F.col("tool_name"), F.lit("_of_"), F.col("agent_name"))
         return t.event_logs.filter(F.col("tool_name").isNotNull()).select(
@@ -450,6 +453,9 @@ def operator_queries() -> dict[str, Query]:
                 "vec_id", F.col("embedding").alias("a"), F.col("centroid").alias("b"))
         ).select("vec_id", "similarity"),
         "similar_workflow_pairs": lambda t: similarity.match_paths(t.workflow_embeddings, t.optimal_paths, THRESHOLD),
+        "similar_run_pairs": lambda t: similarity.match_paths(
+            t.workflow_embeddings, other_runs(t), 0.95, block_rows=256).filter("workflow_id < path_id"),
+        "similar_run_blocks": lambda t: similarity.block_report(t.workflow_embeddings, other_runs(t), 0.95, block_rows=256),
         "edit_distance_to_path": edit_to_path,
         "common_prefixes": prefixes,
         "collapsed_sequences": lambda t: t.traces.select(
