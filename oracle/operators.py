@@ -97,6 +97,10 @@ WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS
 SELECT c.workflow_id, levenshtein(coded, best) AS edits, round(CASE WHEN length(coded) + length(best) = 0 THEN 0 ELSE 2.0 * levenshtein(coded, best) / (length(coded) + length(best)) END, 4) AS ned
 FROM (SELECT workflow_id, task_cluster, array_to_string(list_transform(tool_sequence, lambda t: t[1:1]), '') AS coded FROM clustered) c
 JOIN (SELECT 'cluster_' || label AS task_cluster, array_to_string(list_transform(tool_sequence, lambda t: t[1:1]), '') AS best FROM common_sequences) USING (task_cluster)"""),
+    "near_sequences": query("""
+SELECT array_to_string(a.seq, '>') AS a, array_to_string(b.seq, '>') AS b, levenshtein(a.coded, b.coded) AS edits
+FROM coded a JOIN coded b ON a.seq < b.seq WHERE levenshtein(a.coded, b.coded) <= 1""",
+        coded="SELECT DISTINCT tool_sequence AS seq, array_to_string(list_transform(tool_sequence, lambda t: t[1:1]), '') AS coded FROM traces"),
     "common_prefixes": query("""
 SELECT task_cluster, n AS n_seq, coalesce((SELECT min(pos) - 1 FROM positions p WHERE p.task_cluster = s.task_cluster AND NOT same), shortest) AS prefix_length
 FROM (SELECT 'starts ' || tool_sequence[1] AS task_cluster, count(*) AS n, min(len(tool_sequence)) AS shortest FROM traces WHERE len(tool_sequence) > 0 GROUP BY 1) s""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import event, log, run
 from trailmetrics.functions import measures, sequences, text, vectors
-from trailmetrics.operators import matching, reports, rules, similarity
+from trailmetrics.operators import edit_distance, matching, reports, rules, similarity
 from trailmetrics.operators.significance import mode_significance
 from trailmetrics.plans import clusters, dashboards, guidance
 
@@ -155,6 +155,34 @@ def test_best_paths_against_brute_force(spark, block_rows, over):
     assert matching.best_paths(seqs, paths.limit(0), over, block_rows).count() == 0
 
 
+def plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("limit", [0, 1, 2, 3])
+def test_near_sequences_against_all_pairs(spark, limit):
+    rng = np.random.default_rng(limit)
+    words = {"".join(rng.choice(list("abcdé"), rng.integers(0, 9))) for _ in range(150)} | {"", "a", "aa", "aaaaaaaaaaaa", "aaaaaaaaaaab"}
+    frame = spark.createDataFrame([(list(w),) for w in words] * 2, "tool_sequence array<string>")
+    found = edit_distance.near_sequences(frame, limit).collect()
+    got = {("".join(r["a"]), "".join(r["b"])): r["edits"] for r in found}
+    assert len(got) == len(found)
+    assert got == {(a, b): plain_edits(a, b) for a in words for b in words if a < b and plain_edits(a, b) <= limit}
+
+
+def test_distances_to_paths(spark):
+    runs = [(i, c, list(w)) for i, (c, w) in enumerate([("x", "abc"), ("x", ""), ("x", "abd"), ("y", "zz"), ("x", "abc"), ("none", "a")])]
+    frame = spark.createDataFrame(runs, "workflow_id bigint, task_cluster string, tool_sequence array<string>")
+    paths = spark.createDataFrame([("x", list("abd")), ("y", [])], "task_cluster string, tool_sequence array<string>")
+    got = {r["workflow_id"]: (r["edits"], r["ned"]) for r in edit_distance.distances_to_paths(frame, paths).collect()}
+    assert got == {0: (1, 2 / 6), 1: (3, 2.0), 2: (0, 0.0), 3: (2, 2.0), 4: (1, 2 / 6)}
+
+
 # --- dashboards -------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from trailmetrics.session import materialize, ship_package
 BLOCK_ROWS = 2048
 PIVOTS = 6
 PIVOT_SAMPLE = 256
+SALTS = 8  # shares of a ring that may hold a third of all rows
 
 
 def centroid(vectors: DataFrame, *keys: str, column: str = "embedding") -> DataFrame:
@@ -114,44 +116,49 @@ def choose_pivots(vectors: DataFrame, n: int = PIVOTS, sample: int = PIVOT_SAMPL
     return found
 
 
-def angles(vectors: list, pivots: Pivots) -> np.ndarray:
-    """Angle of every vector to every pivot of its length; NaN where there is none."""
-    length = np.array([len(v) for v in vectors])
+def angles(vectors: pa.ListArray, pivots: Pivots) -> tuple[np.ndarray, np.ndarray]:
+    """Length of every vector, and its angle to every pivot of that length (NaN where there is none)."""
+    start, values = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False)
+    length = np.diff(start)
     found = np.full((len(vectors), PIVOTS), np.nan)
     for n, points in pivots.items():
         rows = np.flatnonzero(length == n)
         if len(rows):
-            cosine = unit_rows([vectors[i] for i in rows]) @ points.T
+            matrix = values[start[rows][:, None] + np.arange(n)].astype("float64")
+            size = np.linalg.norm(matrix, axis=1, keepdims=True)
+            cosine = np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0) @ points.T
             found[rows, : len(points)] = np.arccos(np.clip(cosine, -1, 1))
-    return found
+    return length, found
 
 
 def pivot_blocks(rows: DataFrame, id_column: str, pivots: Pivots, block_rows: int) -> DataFrame:
-    """Stored rows with ``length``, angles ``a0``, ``a1``, ... and a ``block`` of about ``block_rows``.
+    """Rows with ``length``, angles ``a0``, ``a1``, ... and a ``block`` of about ``block_rows``.
 
-    Rows are range-sorted by length, nearest pivot and angle to it, so that a block is a thin
-    ring around one pivot.
+    A block is a ring around the nearest pivot, or a share of one where a ring holds many
+    rows; the more rows, the thinner the rings.  Placed rows are stored.
     """
     ship_package(rows.sparkSession)
     names = [f"a{i}" for i in range(PIVOTS)]
+    rings = -(-rows.count() // (block_rows * PIVOTS)) or 1
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = angles(list(batch["embedding"]), pivots)
+            length, found = angles(batch.column("embedding"), pivots)
             known = np.where(np.isnan(found), np.inf, found)
-            batch["length"] = batch["embedding"].map(len).astype("int32")
-            batch["nearest"] = known.argmin(axis=1).astype("int32")
-            batch["angle"] = known.min(axis=1)
-            for i, name in enumerate(names):
-                batch[name] = found[:, i]
-            yield batch
-
-    placed = rows.mapInPandas(place, ", ".join([
-        f"{id_column} string", f"embedding {dict(rows.dtypes)['embedding']}", "length int", "nearest int", "angle double",
-        *[f"{name} double" for name in names]]))
-    blocks = -(-rows.count() // block_rows) or 1
-    ordered = placed.repartitionByRange(blocks, "length", "nearest", "angle", id_column)
-    return materialize(ordered.withColumn("block", F.spark_partition_id()).drop("nearest", "angle"), "pivot-blocks")
+            near = np.minimum(known.min(axis=1, initial=np.pi), np.pi)
+            cell = known.argmin(axis=1) * rings + np.minimum((near * (rings / np.pi)).astype("int64"), rings - 1)
+            columns = [batch.column(0), batch.column("embedding"), pa.array(length.astype("int32")), pa.array(cell.astype("int64"))]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, *[pa.array(found[:, i]) for i in range(PIVOTS)]], names=[id_column, "embedding", "length", "cell", *names])
+
+    placed = materialize(rows.mapInArrow(place, ", ".join([
+        f"{id_column} string", f"embedding {dict(rows.dtypes)['embedding']}", "length int", "cell bigint",
+        *[f"{name} double" for name in names]])), "pivot-blocks")
+    shares = placed.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("shares"))
+    salted = placed.withColumn("salt", F.pmod(F.xxhash64(id_column, F.lit(1)), F.lit(SALTS)).cast("int"))
+    spread = shares.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    share = F.pmod(F.xxhash64(id_column), F.col("shares"))
+    return salted.join(spread, ["cell", "salt"]).withColumn("block", F.xxhash64("cell", share)).drop("cell", "shares", "salt")
 
 
 def block_bounds(blocked: DataFrame) -> DataFrame:

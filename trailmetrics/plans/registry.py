@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from trailmetrics.functions import measures, sequences, text
 from trailmetrics.functions.measures import money
 from trailmetrics.operators import (
-    anomalies, clustering, decision_tree, failure_warnings, graphs, path_search, reports, rules,
+    anomalies, clustering, decision_tree, edit_distance, failure_warnings, graphs, path_search, reports, rules,
     significance, similarity, suggestions,
 )
 from trailmetrics.operators.events import cost_map, terminal_events, tool_calls, tool_stats
@@ -353,14 +353,9 @@ def operator_queries() -> dict[str, Query]:
         return both.groupBy("activity").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
 
     def edit_to_path(t: Tables) -> DataFrame:
-        names = t.event_logs.filter(F.col("tool_name").isNotNull()).agg(
-            F.array_sort(F.collect_set("tool_name")).alias("names")).first()["names"]
-        book = F.array(*[F.lit(n) for n in names])
-        best = optimal_by_cluster(t).select("task_cluster", sequences.as_symbols(F.col("tool_sequence"), book).alias("b"))
-        return t.traces.join(best, "task_cluster").withColumn(
-            "a", sequences.as_symbols(F.col("tool_sequence"), book)
-        ).select("workflow_id", F.levenshtein("a", "b").alias("edits"),
-                 sequences.normalised_edit_distance(F.col("a"), F.col("b")).alias("ned"))
+        return edit_distance.distances_to_paths(
+            t.traces.select("workflow_id", "task_cluster", "tool_sequence"), optimal_by_cluster(t)
+        ).select("workflow_id", "edits", "ned")
 
     def other_runs(t: Tables) -> DataFrame:
         return t.workflow_embeddings.select(F.col("workflow_id").alias("path_id"), "embedding")
@@ -457,6 +452,7 @@ def operator_queries() -> dict[str, Query]:
             t.workflow_embeddings, other_runs(t), 0.95, block_rows=256).filter("workflow_id < path_id"),
         "similar_run_blocks": lambda t: similarity.block_report(t.workflow_embeddings, other_runs(t), 0.95, block_rows=256),
         "edit_distance_to_path": edit_to_path,
+        "near_sequences": lambda t: edit_distance.near_sequences(t.traces, 1),
         "common_prefixes": prefixes,
         "collapsed_sequences": lambda t: t.traces.select(
             "workflow_id", sequences.collapse_repeats(F.col("tool_sequence")).alias("collapsed")),
