@@ -316,6 +316,24 @@ def test_repeats_of_awkward_rows(docs):
     assert late and late[0]["n_removed"] == late[0]["n_bytes"]  # rows without id come last
 
 
+@pytest.mark.parametrize("kind", ["no ids", "repeated ids"])
+def test_repeats_of_rows_without_own_ids(spark, kind):
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdefgh "))
+    shared = ["".join(rng.choice(letters, 150)) for _ in range(20)]
+    texts = ["".join(rng.choice(letters, rng.integers(170, 430))) for _ in range(1500)]
+    for i in range(0, 1500, 10):
+        texts[i] += shared[i % 20]
+    texts += ["".join(rng.choice(letters, 200)) for _ in range(2)] * 2 + ["x", "", "x" * 99]
+    ids = [None if kind == "no ids" else int(i) for i in rng.integers(0, 40, len(texts))]
+    frame = spark.createDataFrame(list(zip(ids, texts)), "doc_id bigint, text string").repartition(5)
+    order = {(r["doc_id"], r["text"]): (r["doc"], r["sub"]) for r in substring_dedup.identified(frame).collect()}
+    assert len(set(order.values())) == len(order)
+    want = brute_repeats([(number, key[1]) for key, number in order.items()])
+    rows = [(i, *want[order[i, t]]) for i, t in zip(ids, texts)]
+    assert sorted(map(str, rows)) == sorted(str(tuple(r)) for r in substring_dedup.without_repeats(frame).collect())
+
+
 # --- 9 ---------------------------------------------------------------------------
 
 

@@ -22,8 +22,10 @@ equality and position matter here.  Triggers, phrases and suffixes are dealt ove
 fingerprint, nothing is gathered by document but its own list of repeats.
 
 Null texts are empty; texts below ``WIDTH`` bytes have no repeats.  Rows without a doc_id come
-last.  Rows that repeat a doc_id with another text stand in the order of their texts' hash;
-rows that repeat both count as one document and get the same result.
+last, in the order of their texts' hashes.  Rows that repeat a doc_id with another text stand in
+the order of their texts' hash; rows that repeat both count as one document and get the same
+result.  A document is known by two numbers: its doc_id and 0, or, where a doc_id repeats or is
+missing, hashes of the text with 64 or 126 bits.
 """
 
 from __future__ import annotations
@@ -34,24 +36,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmetrics.llm.common import id_and_text, map_batches
+from trailmetrics.session import materialize
 
 WIDTH = 100
 GRAM = 32
 CHUNK = 1 << 21
-LAST = (1 << 63) - 1  # order of rows without a doc_id
+LAST = 1 << 62  # order of rows without a doc_id: above it
 
 CELL = 8
 
-# A place is a run of windows: it packs the text's tag (17 bits), the offset of the first window
-# (32 bits), that window's distance from its trigger (7 bits) and the further windows (7 bits).
-RUN_BITS, AHEAD_BITS, OFFSET_BITS, TAG_BITS = 7, 7, 32, 17
+# A place is a run of windows: it packs the offset of the first window (32 bits), that window's
+# distance from its trigger (7 bits) and the further windows (7 bits).
+RUN_BITS, AHEAD_BITS, OFFSET_BITS = 7, 7, 32
 
-ROWS = "one bigint, two bigint, doc bigint, place bigint"
+ROWS = "one bigint, two bigint, doc bigint, sub bigint, place bigint"
+DOCUMENT = ["doc", "sub"]
 _U = np.uint64
 
 
@@ -92,19 +95,14 @@ def hashes() -> tuple[RollingHash, RollingHash]:
     return RollingHash(101, CHUNK + WIDTH), RollingHash(202, CHUNK + WIDTH)
 
 
-def tag_of(text: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(text) >> (64 - TAG_BITS)
+def packed(offset: np.ndarray, ahead: np.ndarray | int, run: np.ndarray | int) -> np.ndarray:
+    return (offset << (AHEAD_BITS + RUN_BITS)) | (ahead << RUN_BITS) | run
 
 
-def packed(tag: np.ndarray, offset: np.ndarray, ahead: np.ndarray | int, run: np.ndarray | int) -> np.ndarray:
-    return (((tag << OFFSET_BITS) | offset) << (AHEAD_BITS + RUN_BITS)) | (ahead << RUN_BITS) | run
-
-
-def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """tag, offset, ahead, run"""
+def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """offset, ahead, run"""
     field = lambda shift, bits: (place >> shift) & ((1 << bits) - 1)
-    return (place >> (OFFSET_BITS + AHEAD_BITS + RUN_BITS), field(AHEAD_BITS + RUN_BITS, OFFSET_BITS),
-            field(RUN_BITS, AHEAD_BITS), field(0, RUN_BITS))
+    return field(AHEAD_BITS + RUN_BITS, OFFSET_BITS), field(RUN_BITS, AHEAD_BITS), field(0, RUN_BITS)
 
 
 class Chunk:
@@ -118,16 +116,16 @@ class Chunk:
         self.first: list[int] = []
         self.offset: list[int] = []
         self.doc: list[int] = []
-        self.tag: list[int] = []
+        self.sub: list[int] = []
         self.places_in: list[np.ndarray | None] = []
         self.size = 0
 
-    def add(self, part: bytes, offset: int, doc: int, tag: int, places: np.ndarray | None) -> None:
+    def add(self, part: bytes, offset: int, doc: int, sub: int, places: np.ndarray | None) -> None:
         self.parts.append(part)
         self.first.append(self.size)
         self.offset.append(offset)
         self.doc.append(doc)
-        self.tag.append(tag)
+        self.sub.append(sub)
         self.places_in.append(places)
         self.size += len(part)
 
@@ -136,11 +134,11 @@ class Chunk:
 
     def places(
         self, start: np.ndarray, ahead: np.ndarray | int, run: np.ndarray | int
-    ) -> tuple[np.ndarray, np.ndarray]:
-        """(doc, place) of runs of windows that start at these bytes of the row."""
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(doc, sub, place) of runs of windows that start at these bytes of the row."""
         text = np.searchsorted(np.array(self.first), start, "right") - 1
         offset = start - np.array(self.first)[text] + np.array(self.offset, np.int64)[text]
-        return np.array(self.doc, np.int64)[text], packed(np.array(self.tag, np.int64)[text], offset, ahead, run)
+        return np.array(self.doc, np.int64)[text], np.array(self.sub, np.int64)[text], packed(offset, ahead, run)
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First window, last window and trigger (bytes of the row) of the given places.
@@ -149,10 +147,9 @@ class Chunk:
         """
         parts = []
         ends = [*self.first[1:], self.size]
-        for first, end, before, tag, places in zip(self.first, ends, self.offset, self.tag, self.places_in):
-            tags, offset, ahead, run = unpacked(places)
-            start = (offset - before + first)[tags == tag]
-            ahead, run = ahead[tags == tag], run[tags == tag]
+        for first, end, before, places in zip(self.first, ends, self.offset, self.places_in):
+            offset, ahead, run = unpacked(places)
+            start = offset - before + first
             low, high = np.maximum(start, first), np.minimum(start + run, end - WIDTH)
             parts.append(np.stack([low, high, start + ahead])[:, low <= high])
         low, high, trigger = np.concatenate(parts, axis=1)
@@ -162,19 +159,18 @@ class Chunk:
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     """Texts with at least one window, long ones in slices that share ``WIDTH - 1`` bytes.
 
-    Batches are (doc, text) or (doc, text, places).
+    Batches are (doc, sub, text) or (doc, sub, text, places).
     """
     held = Chunk()
-    for doc, text, places in (row for batch in batches for row in rows_of(batch)):
+    for doc, sub, text, places in (row for batch in batches for row in rows_of(batch)):
         if len(text) < WIDTH:
             continue
-        tag = tag_of(text)
         for start in range(0, len(text) - WIDTH + 1, CHUNK - WIDTH + 1):
             part = text[start : start + CHUNK]
             if held.size + len(part) > CHUNK:
                 yield held
                 held = Chunk()
-            held.add(part, start, doc, tag, places)
+            held.add(part, start, doc, sub, places)
     if held.size:
         yield held
 
@@ -216,26 +212,32 @@ def phrases(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return grams[at].view(np.int64), own.view(np.int64), first, at - first, further
 
 
-def settled(one: np.ndarray, two: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """First occurrences with their fingerprints; further ones, without, are known repeats."""
-    order = np.lexsort((place, doc, two, one))
-    one, two, doc, place = one[order], two[order], doc[order], place[order]
-    repeat = np.zeros(len(one), bool)
+def settled(one: np.ndarray, two: np.ndarray, doc: np.ndarray, sub: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """First occurrences with their fingerprints; further ones, without, are known repeats.
+
+    A row that repeats another in all respects comes from a repeated input row and goes.
+    """
+    order = np.lexsort((place, sub, doc, two, one))
+    one, two, doc, sub, place = (c[order] for c in (one, two, doc, sub, place))
+    repeat, same = np.zeros(len(one), bool), np.zeros(len(one), bool)
     repeat[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+    same[1:] = repeat[1:] & (doc[1:] == doc[:-1]) & (sub[1:] == sub[:-1]) & (place[1:] == place[:-1])
+    if same.any():
+        one, two, doc, sub, place, repeat = (c[~same] for c in (one, two, doc, sub, place, repeat))
     return pa.RecordBatch.from_arrays(
-        [pa.array(one, mask=repeat), pa.array(two, mask=repeat), pa.array(doc), pa.array(place)],
-        names=["one", "two", "doc", "place"])
+        [pa.array(one, mask=repeat), pa.array(two, mask=repeat), pa.array(doc), pa.array(sub), pa.array(place)],
+        names=["one", "two", "doc", "sub", "place"])
 
 
-def rows_of(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, np.ndarray | None]]:
-    docs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
-    places = batch.column(2) if batch.num_columns > 2 else None
-    for i, (doc, text) in enumerate(zip(docs, texts)):
-        yield doc, text.as_py(), None if places is None else places[i].values.to_numpy()
+def rows_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, np.ndarray | None]]:
+    docs, subs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())
+    places = batch.column(3) if batch.num_columns > 3 else None
+    for i, (doc, sub, text) in enumerate(zip(docs, subs, texts)):
+        yield doc, sub, text.as_py(), None if places is None else places[i].values.to_numpy()
 
 
 def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The phrases of (doc, text)."""
+    """The phrases of (doc, sub, text)."""
     for chunk in chunks(batches):
         trigger, own, first, ahead, further = phrases(chunk)
         yield settled(trigger, own, *chunk.places(first, ahead, further))
@@ -248,7 +250,7 @@ def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def open_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Core and content of the cells of opened phrases, from (doc, text, places)."""
+    """Core and content of the cells of opened phrases, from (doc, sub, text, places)."""
     one, two = hashes()
     for chunk in chunks(batches):
         low, high, trigger = chunk.runs()
@@ -268,7 +270,7 @@ def open_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two fingerprints of each window of opened cells, from (doc, text, places)."""
+    """Two fingerprints of each window of opened cells, from (doc, sub, text, places)."""
     one, two = hashes()
     for chunk in chunks(batches):
         low, high, _ = chunk.runs()
@@ -287,19 +289,29 @@ def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     All but the first of equal rows are repeats (``open`` false).  First rows whose first
     fingerprint also comes with another second one are to be opened (``open`` true).  Only
-    the last row and one undecided first row pass from batch to batch.
+    the last row and one undecided first row pass from batch to batch.  Rows that repeat the
+    one before in all respects come from repeated input rows and go.
     """
-    before: tuple[int, int] | None = None
+    before: tuple[int, ...] | None = None
     kinds, waiting = 0, None  # of the first fingerprint at the end of the last batch
     for batch in batches:
         known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
         loose = batch.filter(pa.array(~known))
         if loose.num_rows:
-            yield result(loose.column(2).to_numpy(), loose.column(3).to_numpy(), np.zeros(loose.num_rows, bool))
+            yield result(*(loose.column(i).to_numpy() for i in (2, 3, 4)), np.zeros(loose.num_rows, bool))
         rows = batch.filter(pa.array(known))
         if not rows.num_rows:
             continue
-        one, two, doc, place = (rows.column(i).to_numpy() for i in range(4))
+        fields = [rows.column(i).to_numpy() for i in range(5)]
+        again = np.ones(rows.num_rows, bool)
+        again[0] = before == tuple(int(f[0]) for f in fields)
+        for f in fields:
+            again[1:] &= f[1:] == f[:-1]
+        if again.any():
+            fields = [f[~again] for f in fields]
+            if not len(fields[0]):
+                continue
+        one, two, doc, sub, place = fields
         new_one, new_two = np.ones(len(one), bool), np.ones(len(one), bool)
         new_one[1:] = one[1:] != one[:-1]
         new_two[1:] = new_one[1:] | (two[1:] != two[:-1])
@@ -313,43 +325,42 @@ def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts[0] += kinds  # the group that goes on from the last batch
         opened = new_two & (counts[group] > 1)
         told = ~new_two | opened
-        yield result(doc[told], place[told], opened[told])
+        yield result(doc[told], sub[told], place[told], opened[told])
         if waiting is not None and counts[0] > 1:
-            yield result(np.array([waiting[0]]), np.array([waiting[1]]), np.ones(1, bool))
+            yield result(*(np.array([w]) for w in waiting), np.ones(1, bool))
             waiting = None
         kinds = int(counts[group[-1]])
         if kinds > 1:
             waiting = None
         elif group[-1] != 0:
             at = np.flatnonzero(group == group[-1])[0]
-            waiting = (int(doc[at]), int(place[at]))
-        before = (int(one[-1]), int(two[-1]))
+            waiting = (int(doc[at]), int(sub[at]), int(place[at]))
+        before = tuple(int(f[-1]) for f in fields)
 
 
-def result(doc: np.ndarray, place: np.ndarray, opened: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place), pa.array(opened)], names=["doc", "place", "open"])
+def result(doc: np.ndarray, sub: np.ndarray, place: np.ndarray, opened: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc), pa.array(sub), pa.array(place), pa.array(opened)], names=["doc", "sub", "place", "open"])
 
 
 def in_order(rows: DataFrame) -> DataFrame:
     """Rows dealt by fingerprint (settled ones anywhere), sorted by fingerprints and position."""
-    dealt = F.coalesce(F.col("one"), F.xxhash64("doc", "place"))
-    sorted_rows = rows.repartition(dealt).sortWithinPartitions("one", "two", "doc", "place")
-    return map_batches(sorted_rows, repeats, "doc bigint, place bigint, open boolean")
+    dealt = F.coalesce(F.col("one"), F.xxhash64("doc", "sub", "place"))
+    sorted_rows = rows.repartition(dealt).sortWithinPartitions("one", "two", "doc", "sub", "place")
+    return map_batches(sorted_rows, repeats, "doc bigint, sub bigint, place bigint, open boolean")
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Remove the repeats of each text: (doc, text, places)."""
+    """Remove the repeats of each text: (doc_id, text, places)."""
     for batch in batches:
         columns: list[list] = [[] for _ in range(4)]
-        docs = [None if doc == LAST else doc for doc in batch.column(0).to_pylist()]
         for text, places in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2)):
             spans, removed, kept = 0, 0, text
             if places.is_valid and len(text) >= WIDTH:
-                tag, offset, _, run = unpacked(places.values.to_numpy())
-                own = tag == tag_of(text)
+                offset, _, run = unpacked(places.values.to_numpy())
                 edge = np.zeros(len(text) + 1, np.int64)
-                np.add.at(edge, offset[own], 1)
-                np.add.at(edge, offset[own] + run[own] + WIDTH, -1)
+                np.add.at(edge, offset, 1)
+                np.add.at(edge, offset + run + WIDTH, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 removed = int(gone.sum())
                 spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
@@ -357,23 +368,37 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for column, value in zip(columns, (len(text), removed, spans, hashlib.sha256(kept).hexdigest())):
                 column.append(value)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(docs, pa.int64()), *(pa.array(c, pa.int64()) for c in columns[:3]),
+            [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]),
              pa.array(columns[3], pa.string())],
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def by_document(found: DataFrame, opened: bool) -> DataFrame:
-    return found.filter(F.col("open") == opened).groupBy("doc").agg(F.collect_list("place").alias("places"))
+    return found.filter(F.col("open") == opened).groupBy(*DOCUMENT).agg(F.collect_list("place").alias("places"))
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the two numbers of the document; ids that repeat are joined in."""
+    rows = id_and_text(docs)
+    repeated = materialize(
+        rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+        .select("doc_id", F.lit(True).alias("again")), "repeated-ids")
+    missing = F.col("doc_id").isNull()
+    text_hash = F.xxhash64("text")
+    return rows.join(repeated, "doc_id", "left").select(
+        "doc_id",
+        F.when(missing, F.lit(LAST) + F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(LAST))).otherwise(F.col("doc_id")).alias("doc"),
+        F.when(missing | F.col("again"), text_hash).otherwise(F.lit(0).cast("bigint")).alias("sub"), "text")
 
 
 def repeated_places(rows: DataFrame) -> DataFrame:
-    """(doc, places) of all repeats, from (doc, text).
+    """(doc, sub, places) of all repeats, from (doc, sub, text).
 
-    Every step joins the same two columns of the texts, so that they are shuffled once.
+    Every step joins the same columns of the texts, so that they are shuffled once.
     """
     steps = [in_order(map_batches(rows, parse, ROWS))]
     for work in (open_cells, open_windows):
-        opened = rows.join(by_document(steps[-1], True), "doc").select("doc", "text", "places")
+        opened = rows.join(by_document(steps[-1], True), DOCUMENT).select(*DOCUMENT, "text", "places")
         steps.append(in_order(map_batches(opened, work, ROWS)))
     every = steps[0].union(steps[1]).union(steps[2])
     return by_document(every, False)
@@ -381,7 +406,8 @@ def repeated_places(rows: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    rows = id_and_text(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text")
+    rows = identified(docs)
+    places = repeated_places(rows.select(*DOCUMENT, "text"))
     return map_batches(
-        rows.join(repeated_places(rows), "doc", "left").select("doc", "text", "places"), cut,
+        rows.join(places, DOCUMENT, "left").select("doc_id", "text", "places"), cut,
         "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
