@@ -327,8 +327,9 @@ def test_repeats_of_rows_without_own_ids(spark, kind):
     texts += ["".join(rng.choice(letters, 200)) for _ in range(2)] * 2 + ["x", "", "x" * 99]
     ids = [None if kind == "no ids" else int(i) for i in rng.integers(0, 40, len(texts))]
     frame = spark.createDataFrame(list(zip(ids, texts)), "doc_id bigint, text string").repartition(5)
-    order = {(r["doc_id"], r["text"]): (r["doc"], r["sub"]) for r in substring_dedup.identified(frame).collect()}
-    assert len(set(order.values())) == len(order)
+    order = {(None if r["sub"] % 2 else r["doc"], r["text"]): (r["doc"], r["sub"])
+             for r in substring_dedup.identified(frame).collect()}
+    assert len(set(order.values())) == len(order) == len(set(zip(ids, texts)))
     want = brute_repeats([(number, key[1]) for key, number in order.items()])
     rows = [(i, *want[order[i, t]]) for i, t in zip(ids, texts)]
     assert sorted(map(str, rows)) == sorted(str(tuple(r)) for r in substring_dedup.without_repeats(frame).collect())

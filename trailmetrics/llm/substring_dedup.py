@@ -25,7 +25,7 @@ Null texts are empty; texts below ``WIDTH`` bytes have no repeats.  Rows without
 last, in the order of their texts' hashes.  Rows that repeat a doc_id with another text stand in
 the order of their texts' hash; rows that repeat both count as one document and get the same
 result.  A document is known by two numbers: its doc_id and 0, or, where a doc_id repeats or is
-missing, hashes of the text with 64 or 126 bits.
+missing, hashes of the text with 63 or 125 bits.
 """
 
 from __future__ import annotations
@@ -351,10 +351,11 @@ def in_order(rows: DataFrame) -> DataFrame:
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Remove the repeats of each text: (doc_id, text, places)."""
+    """Remove the repeats of each text: (doc, sub, text, places)."""
     for batch in batches:
         columns: list[list] = [[] for _ in range(4)]
-        for text, places in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2)):
+        ids = [None if sub & 1 else doc for doc, sub in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        for text, places in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3)):
             spans, removed, kept = 0, 0, text
             if places.is_valid and len(text) >= WIDTH:
                 offset, _, run = unpacked(places.values.to_numpy())
@@ -368,7 +369,7 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for column, value in zip(columns, (len(text), removed, spans, hashlib.sha256(kept).hexdigest())):
                 column.append(value)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]),
+            [pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in columns[:3]),
              pa.array(columns[3], pa.string())],
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -378,17 +379,17 @@ def by_document(found: DataFrame, opened: bool) -> DataFrame:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and the two numbers of the document; ids that repeat are joined in."""
+    """The two numbers of the document, and its text; only rows without a doc_id have an odd ``sub``."""
     rows = id_and_text(docs)
     repeated = materialize(
         rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
         .select("doc_id", F.lit(True).alias("again")), "repeated-ids")
     missing = F.col("doc_id").isNull()
     text_hash = F.xxhash64("text")
+    sub = F.when(missing, text_hash.bitwiseOR(F.lit(1))).when(F.col("again"), text_hash.bitwiseAND(F.lit(-2)))
     return rows.join(repeated, "doc_id", "left").select(
-        "doc_id",
         F.when(missing, F.lit(LAST) + F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(LAST))).otherwise(F.col("doc_id")).alias("doc"),
-        F.when(missing | F.col("again"), text_hash).otherwise(F.lit(0).cast("bigint")).alias("sub"), "text")
+        F.coalesce(sub, F.lit(0).cast("bigint")).alias("sub"), "text")
 
 
 def repeated_places(rows: DataFrame) -> DataFrame:
@@ -407,7 +408,6 @@ def repeated_places(rows: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     rows = identified(docs)
-    places = repeated_places(rows.select(*DOCUMENT, "text"))
     return map_batches(
-        rows.join(places, DOCUMENT, "left").select("doc_id", "text", "places"), cut,
+        rows.join(repeated_places(rows), DOCUMENT, "left").select(*DOCUMENT, "text", "places"), cut,
         "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
