@@ -386,9 +386,10 @@ def identified(docs: DataFrame) -> DataFrame:
         .select("doc_id", F.lit(True).alias("again")), "repeated-ids")
     missing = F.col("doc_id").isNull()
     text_hash = F.xxhash64("text")
+    # The numbers are never null and known not to be, so that all joins share one shuffle of the texts.
     sub = F.when(missing, text_hash.bitwiseOR(F.lit(1))).when(F.col("again"), text_hash.bitwiseAND(F.lit(-2)))
     return rows.join(repeated, "doc_id", "left").select(
-        F.when(missing, F.lit(LAST) + F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(LAST))).otherwise(F.col("doc_id")).alias("doc"),
+        F.coalesce("doc_id", F.lit(LAST) + F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(LAST)), F.lit(LAST)).alias("doc"),
         F.coalesce(sub, F.lit(0).cast("bigint")).alias("sub"), "text")
 
 
