@@ -35,7 +35,7 @@ UNION ALL SELECT 'new-' || workflow_id, 'fresh', 'second' FROM members WHERE use
     "replaced_paths": query("""
 SELECT task_cluster, CASE WHEN execution_count >= 200 THEN 0 ELSE execution_count END AS execution_count FROM optimal_paths"""),
     "purged_events": query("""
-SELECT activity, count(*) AS n FROM event_logs WHERE workflow_id NOT IN (SELECT workflow_id FROM event_logs WHERE activity = 'optimize:guided') GROUP BY 1"""),
+SELECT event_id, workflow_id, activity FROM event_logs WHERE workflow_id NOT IN (SELECT workflow_id FROM event_logs WHERE activity = 'optimize:guided')"""),
     "purged_embeddings": query("""
 SELECT workflow_id FROM workflow_embeddings WHERE workflow_id NOT IN (SELECT workflow_id FROM event_logs WHERE activity = 'optimize:guided')"""),
     "event_log_frame": query(f"""
@@ -59,10 +59,10 @@ QUALIFY row_number() OVER (PARTITION BY workflow_id ORDER BY step_number, timest
 SELECT CAST(0 AS BIGINT) AS section, workflow_id, 'in_progress' AS status, CAST(max(step_number) AS BIGINT) AS steps, {ts('min(timestamp)')} AS timestamp FROM event_logs
 WHERE workflow_id NOT IN (SELECT workflow_id FROM terminal) GROUP BY workflow_id
 UNION ALL SELECT 1, workflow_id, status, step_number, {ts('timestamp')} FROM terminal"""),
-    "merged_events": query("SELECT activity, count(*) AS n, count(DISTINCT event_id) AS ids FROM event_logs GROUP BY 1"),
+    "merged_events": query("SELECT event_id, workflow_id, activity, CAST(step_number AS BIGINT) AS step_number FROM event_logs"),
     "parent_links": query("""
-SELECT p.activity AS parent_activity, count(*) AS steps FROM event_logs e LEFT JOIN event_logs p ON p.event_id = e.parent_event_id
-WHERE e.parent_event_id IS NOT NULL GROUP BY 1"""),
+SELECT e.event_id, e.parent_event_id, p.activity AS parent_activity FROM event_logs e LEFT JOIN event_logs p ON p.event_id = e.parent_event_id
+WHERE e.parent_event_id IS NOT NULL"""),
     "round_summary": query("""
 SELECT CAST(round AS VARCHAR) AS round, mode, count(*) AS runs, count(*) FILTER (WHERE status = 'success') AS successes, round(avg(step_number), 4) AS avg_steps,
   round(avg(duration_ms), 4) AS avg_duration_ms, CAST(sum(tokens) AS BIGINT) AS tokens
@@ -133,6 +133,7 @@ FROM (SELECT event_id, replace(tool_name || '_of_' || agent_name, '_', ' ') AS p
 SELECT workflow_id, CASE WHEN duration_ms < 1000 THEN CAST(floor(duration_ms + 0.5) AS BIGINT) || 'ms' ELSE format('{:.1f}', duration_ms / 1000 + 1e-9) || 's' END AS duration,
   CASE WHEN c.total_cost_usd < 0.01 THEN '$' || format('{:.4f}', c.total_cost_usd + 1e-9) ELSE '$' || format('{:.2f}', c.total_cost_usd + 1e-9) END AS cost,
   strftime(timestamp, '%d %b, %H:%M') AS at, format('{:,}', CAST(floor(duration_ms) AS BIGINT)) AS whole_ms,
+  format('{:.1f}', (duration_ms / 10000 + 1e-9) * 100) || '%' AS share,
   CASE WHEN duration_ms < 500 THEN 'fast' WHEN duration_ms < 2000 THEN 'medium' ELSE 'slow' END AS band,
   CASE WHEN duration_ms = 0 THEN '-' ELSE CASE WHEN (duration_ms - 1000) / duration_ms * 100 > 0 THEN '↓' ELSE '↑' END || CAST(round(abs((duration_ms - 1000) / nullif(duration_ms, 0) * 100) + 1e-9) AS BIGINT) || '%' END AS delta,
   CASE WHEN duration_ms - 1000 = 0 THEN 'neutral' WHEN duration_ms - 1000 > 0 THEN 'good' ELSE 'bad' END AS verdict
@@ -153,9 +154,9 @@ SELECT 'cluster_' || label AS cluster_label, arg_min(task_description, (length(t
 SELECT CAST(CAST(timestamp AS DATE) AS VARCHAR) AS day, count(*) AS workflows, round(avg(duration_ms), 4) AS avg_duration_ms,
   round(avg(CASE WHEN status = 'success' THEN 1.0 ELSE 0.0 END), 4) AS success_rate
 FROM event_logs WHERE activity IN ('workflow:complete', 'workflow:fail') GROUP BY 1"""),
-    "streamed_append": query("SELECT activity, count(*) AS n FROM event_logs GROUP BY 1"),
+    "streamed_append": query(f"SELECT event_id, workflow_id, {ts('timestamp')} AS timestamp, activity, status, CAST(step_number AS BIGINT) AS step_number FROM event_logs"),
     "streamed_tail": query("SELECT event_id, activity FROM event_logs WHERE workflow_id = (SELECT min(workflow_id) FROM event_logs)"),
-    "streamed_deduplicated": query("SELECT activity, count(*) AS n FROM event_logs GROUP BY 1"),
+    "streamed_deduplicated": query(f"SELECT event_id, workflow_id, {ts('timestamp')} AS timestamp, activity, status, CAST(step_number AS BIGINT) AS step_number FROM event_logs"),
     "streamed_completions": query("""
 SELECT w.workflow_id, w.task_description, t.status FROM terminal t JOIN workflow_embeddings w USING (workflow_id)"""),
     "streamed_active": query("""

@@ -99,8 +99,9 @@ FROM buys JOIN products USING (product_id)"""),
     "compliance_requirements": shop("""SELECT order_id, CASE WHEN high AND flagged THEN 'high_value_review>flagged_customer_review' WHEN high THEN 'high_value_review' WHEN flagged THEN 'flagged_customer_review' ELSE '' END AS requirements,
   CAST(high AS BIGINT) + CAST(flagged AS BIGINT) AS total_checks FROM valued"""),
     "latest_assessments": shop("SELECT order_id, order_id * 2 + 1 AS assessment_id, 'approve' AS decision FROM risk WHERE decision = 'review' UNION ALL SELECT order_id, order_id * 2, decision FROM risk WHERE decision <> 'review'"),
-    "customer_history": shop("""SELECT customer_id, 'order' AS kind, order_id AS item_id, product AS subject, round(total, 4) AS amount, CAST(order_date AS VARCHAR) AS order_date FROM buys JOIN products USING (product_id)
-UNION ALL SELECT conv_id, 'ticket', turn, text, NULL, NULL FROM conversations WHERE role = 'user'"""),
+    "customer_history": shop("""SELECT *, row_number() OVER (PARTITION BY customer_id, kind ORDER BY order_date DESC, item_id) AS position FROM (
+SELECT customer_id, 'order' AS kind, order_id AS item_id, product AS subject, round(total, 4) AS amount, CAST(order_date AS VARCHAR) AS order_date FROM buys JOIN products USING (product_id)
+UNION ALL SELECT conv_id, 'ticket', turn, text, NULL, NULL FROM conversations)"""),
     "customer_totals": shop("""SELECT s.customer_id, s.name, s.loyalty_tier, count(b.order_id) AS n_orders, round(coalesce(CAST(sum(CAST(b.total AS DECIMAL(18,2))) AS DOUBLE), 0), 4) AS total_spent
 FROM shoppers s LEFT JOIN buys b USING (customer_id) GROUP BY ALL"""),
     "active_promotions": shop("SELECT promotion_id AS product_id, promotion_id, promo_type, round(discount_value, 4) AS discount_value FROM promos WHERE active"),

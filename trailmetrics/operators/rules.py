@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmetrics.functions.measures import money
+from trailmetrics.operators.ordering import running_total
 
 # Fixed values of the rules.
 TIER_DISCOUNT_PCT = {"standard": 0.0, "gold": 5.0, "vip": 10.0}
@@ -273,7 +274,8 @@ def compliance_requirements(orders: DataFrame, products: DataFrame, flags: DataF
 
 
 def customer_history(orders: DataFrame, products: DataFrame, tickets: DataFrame) -> DataFrame:
-    """Orders and tickets of every customer as rows, newest order first in ``position``.
+    """Orders and tickets of every customer as rows, numbered by ``position`` within their kind:
+    newest order first, tickets by id.
 
     Tickets: customer_id, ticket_id, subject.
     """
@@ -283,7 +285,9 @@ def customer_history(orders: DataFrame, products: DataFrame, tickets: DataFrame)
     asked = tickets.select(
         "customer_id", F.lit("ticket").alias("kind"), F.col("ticket_id").alias("item_id"), "subject",
         F.lit(None).cast("double").alias("amount"), F.lit(None).cast("date").alias("order_date"))
-    return bought.unionByName(asked)
+    both = bought.unionByName(asked).withColumn("newest", -F.unix_date("order_date")).withColumn("one", F.lit(1).cast("long"))
+    ahead = running_total(both, ["customer_id", "kind"], ["newest", "item_id"], "one", "position")
+    return ahead.withColumn("position", F.col("position") + 1).drop("newest", "one")
 
 
 def customer_totals(customers: DataFrame, orders: DataFrame) -> DataFrame:

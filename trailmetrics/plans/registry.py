@@ -349,8 +349,7 @@ def operator_queries() -> dict[str, Query]:
     def live_and_stored(t: Tables) -> DataFrame:
         late = t.event_logs.filter(F.col("timestamp") >= F.lit("2024-01-20").cast("timestamp_ntz"))
         early = t.event_logs.filter(F.col("timestamp") < F.lit("2024-01-25").cast("timestamp_ntz"))
-        both = reports.merged_events(early, late.unionByName(late))
-        return both.groupBy("activity").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+        return reports.merged_events(early, late.unionByName(late)).select("event_id", "workflow_id", "activity", "step_number")
 
     def edit_to_path(t: Tables) -> DataFrame:
         return edit_distance.distances_to_paths(
@@ -374,7 +373,7 @@ def operator_queries() -> dict[str, Query]:
             F.when(ms < 1000, text.format_duration(ms)).otherwise(text.format_duration(ms + 1e-6)).alias("duration"),
             text.format_cost(cost).alias("cost"), text.format_timestamp(F.col("timestamp")).alias("at"),
             text.format_count(F.floor(ms).cast("double")).alias("whole_ms"),
-            measures.latency_band(ms).alias("band"), measures.delta_label(ms, F.lit(1000.0)).alias("delta"),
+            text.format_percent(ms / 10000 + 1e-9).alias("share"), measures.latency_band(ms).alias("band"), measures.delta_label(ms, F.lit(1000.0)).alias("delta"),
             measures.verdict(ms - 1000, True).alias("verdict"))
 
     def primaries(t: Tables) -> DataFrame:
@@ -422,7 +421,7 @@ def operator_queries() -> dict[str, Query]:
         "upserted_embeddings": upserted,
         "replaced_paths": replaced,
         "purged_events": lambda t: derived.without_guided(t.event_logs, t.workflow_embeddings)[0]
-        .groupBy("activity").agg(F.count("*").alias("n")),
+        .select("event_id", "workflow_id", "activity"),
         "purged_embeddings": lambda t: derived.without_guided(t.event_logs, t.workflow_embeddings)[1]
         .select("workflow_id"),
         "event_log_frame": lambda t: ingest.event_log_frame(t.event_logs),
@@ -434,8 +433,8 @@ def operator_queries() -> dict[str, Query]:
         "mode_by_role": lambda t: reports.mode_by_role(t.event_logs),
         "merged_workflow_list": merged_list,
         "merged_events": live_and_stored,
-        "parent_links": lambda t: ingest.steps_with_parent(t.event_logs).groupBy("parent_activity").agg(
-            F.count("*").alias("steps")),
+        "parent_links": lambda t: ingest.steps_with_parent(t.event_logs).select(
+            "event_id", "parent_event_id", "parent_activity"),
         "round_summary": lambda t: reports.round_summary(t.event_logs, F.to_date("timestamp").cast("string")),
         "drawn_edges": lambda t: reports.drawn_edges(t.event_logs, t.optimal_paths),
         "optimal_edges": lambda t: graphs.optimal_edges(t.optimal_paths),
@@ -540,14 +539,14 @@ def streaming_queries() -> dict[str, Query]:
         latest = jobs.current_states(rows, ["workflow_id"])
         return latest.filter(F.col("state") == "active").select("workflow_id", "steps")
 
-    def by_activity(df: DataFrame) -> DataFrame:
-        return df.groupBy("activity").agg(F.count("*").alias("n"))
+    def rows(df: DataFrame) -> DataFrame:
+        return df.select("event_id", "workflow_id", "timestamp", "activity", "status", "step_number")
 
     return {
-        "streamed_append": lambda t: by_activity(finished(t, stream(t))),
+        "streamed_append": lambda t: rows(finished(t, stream(t))),
         "streamed_tail": lambda t: finished(t, jobs.live_tail(stream(t), first_workflow(t))).select(
             "event_id", "activity"),
-        "streamed_deduplicated": lambda t: by_activity(
+        "streamed_deduplicated": lambda t: rows(
             finished(t, jobs.without_duplicates(stream(t).union(stream(t)), wide))),
         "streamed_active": active,
         "streamed_timeline": timeline,
@@ -590,7 +589,7 @@ def shop_queries() -> dict[str, Query]:
         return rules.latest_assessments(first.unionByName(overridden))
 
     def history(s: Shop) -> DataFrame:
-        tickets = s.raw("conversations").filter(F.col("role") == "user").select(
+        tickets = s.raw("conversations").select(
             F.col("conv_id").alias("customer_id"), F.col("turn").alias("ticket_id"),
             F.col("text").alias("subject"))
         return rules.customer_history(s.orders, s.products, tickets)
