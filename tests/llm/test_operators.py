@@ -1,5 +1,6 @@
 import hashlib
 import io
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -443,6 +444,121 @@ def test_pipeline(spark, docs):
     assert corpus_pipeline.STAGES[-1][1](spark, rows, "").count() > 0
 
 
+CLASHING = ["score", "lang_pred", "ambiguous", "_content", "_keep_id", "keep_id", "n_keep", "row", "extra_id",
+            "extra_hash", "text_hash", "text_sha256", "carried", "a.b", "c`d", "c1"]
+
+
+def test_pipeline_columns_of_any_name(spark, docs):
+    import corpus_pipeline
+
+    rows = docs.drop(*CLASHING).select("*", *[F.lit(name).alias(name) for name in CLASHING])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, rows, "")
+        assert rows.columns == [c for c in docs.columns if c not in CLASHING] + CLASHING
+        assert {tuple(r)[-len(CLASHING):] for r in rows.collect()} == {tuple(CLASHING)}
+
+
+def test_one_row_of_each_text_stays(spark):
+    texts = [(5, "same", 1), (5, "same", 2), (5, "same", 2), (4, "same", 0), (None, "other", 3), (None, "other", 4),
+             (None, "mixed", 5), (2, "mixed", 6), (5, "own", 7), (8, None, 8), (9, "", 9)]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string, n int").repartition(3)
+    found = sorted((tuple(r) for r in exact_dedup.keepers(frame).collect()), key=str)
+    again = sorted((tuple(r) for r in exact_dedup.keepers(frame.repartition(2)).collect()), key=str)
+    assert found == again and set(found) <= set(texts)
+    assert Counter((r[0], r[1]) for r in found) == Counter(
+        [(5, "same"), (None, "other"), (2, "mixed"), (5, "own"), (9, "")])
+
+
+def python_pipeline(rows, tokenizer):
+    """The texts that are packed, by the rules of the five stages, as (doc_id, text) with repeats."""
+    lettered = [r for r in rows if r[1] and language_id.LETTER.search(r[1])]
+    last = {}
+    for r in lettered:
+        if r[1] not in last or r[0] > last[r[1]][0]:
+            last[r[1]] = r
+    kept = sorted(last.values())
+    sets = [shingle_set(t, 5) for _, t, _ in kept]
+    root = list(range(len(kept)))
+    for i in range(len(kept)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if x == old else x for x in root]
+    kept = [r for i, r in enumerate(kept) if root[i] == i]
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    by_source = defaultdict(list)
+    for r in kept:
+        by_source[r[2]].append(r)
+    names = sorted(by_source, key=lambda s: (s is None, s or ""))
+    size = {s: sum(len(words(t)) for _, t, _ in by_source[s]) for s in names}
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    target, left, open_ = {}, 1.5 * sum(size.values()), set(names)
+    while open_:
+        full = {s for s in open_ if left * weight[s] / sum(weight[o] for o in open_) >= 2 * size[s]}
+        if not full:
+            target |= {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+            break
+        target |= {s: 2 * size[s] for s in full}
+        left, open_ = left - sum(2 * size[s] for s in full), open_ - full
+    taken = []
+    for s in names:
+        due = 0
+        for _ in range(2):
+            for doc_id, text, _ in sorted(by_source[s], key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()):
+                n, room = len(words(text)), int(target[s] + 1e-6) - due
+                if room >= n > 0:
+                    taken.append((doc_id, text))
+                elif n and room > 0:
+                    ends = [m.end() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+                    taken.append((doc_id, text[: ends[room - 1]]))
+                due += n
+    return [(doc_id, [*tokenizer.encode(text, add_special_tokens=False).ids, 2]) for doc_id, text in taken]
+
+
+def shingle_set(text, width):
+    found = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return {tuple(found[i : i + width]) for i in range(max(len(found) - width, 0) + 1)} if found else set()
+
+
+def test_run_against_plain_python(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    base = [" ".join(f"{chr(97 + k % 26)}w{(i * 31 + k * 17) % (50 + k)}" for i in range(40 + 9 * k)) for k in range(24)]
+    rows = [(i + 1, t, ("a", "b", None, "c")[i % 4]) for i, t in enumerate(base)]
+    rows += [(40 + i, t, "b") for i, t in enumerate(base[:5])]  # exact copies
+    rows += [(60 + i, base[8 + i] + " changed end", "a") for i in range(5)]  # near copies
+    rows += [(80, None, "a"), (81, "12 34", "b"), (82, "", None), (83, " ".join(f"long{i}" for i in range(5000)), "c")]
+    frame = spark.createDataFrame([(*r, "en", len(r[1] or "")) for r in rows],
+                                  "doc_id bigint, text string, source string, lang string, n_chars bigint")
+    frame.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    expected = python_pipeline(rows, Tokenizer.from_file(queries.tokenizer_path()))
+    assert len(expected) > len(base)  # some texts are read twice
+    wanted = defaultdict(Counter)
+    for doc_id, ids in expected:
+        wanted[doc_id, len(ids)][tuple(ids)] += 1
+    found = defaultdict(list)
+    for p in pieces:
+        found[p["doc_id"], p["doc_tokens"]].append(p)
+    assert set(found) == set(wanted)
+    for key, texts in wanted.items():
+        assert len(texts) == 1  # the readings of one length are the same text
+        (ids, times), = texts.items()
+        covered = Counter()
+        for p in found[key]:
+            part = ids[p["start"] : p["start"] + p["length"]]
+            assert p["ids_crc32"] == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in part))
+            covered.update(range(p["start"], p["start"] + p["length"]))
+        assert covered == Counter({i: times for i in range(len(ids))})
+    ends = defaultdict(int)
+    for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])):
+        assert p["offset"] == ends[p["sequence_id"]]
+        ends[p["sequence_id"]] += p["length"]
+    assert max(ends.values()) <= 4096
+
+
 def test_pipeline_keeps_unlabelled_documents(spark, docs):
     import corpus_pipeline
 

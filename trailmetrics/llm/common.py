@@ -27,6 +27,11 @@ def id_and_text(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     )
 
 
+def quoted(name: str) -> str:
+    """A column's name as it is, also with dots or backticks in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def map_batches(
     rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:

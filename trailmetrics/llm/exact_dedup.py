@@ -10,7 +10,9 @@ compares complete texts; two different texts with one digest end the job rather
 merged.  The rows then take class size and keeper from their digest's class.
 
 Null texts count as empty; rows without a doc_id are counted as copies and never kept
-before a row that has one; a class without any doc_id keeps its rows (keep_id null).
+before a row that has one; a class without any doc_id has no keep_id.  ``exact_duplicates``
+marks every row that repeats the kept doc_id and text; ``keepers`` leaves one row a class,
+of such rows the one whose columns, as JSON, have the smallest SHA-256.
 """
 
 from __future__ import annotations
@@ -23,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmetrics.llm.common import as_bytes, id_and_text, map_batches
-from trailmetrics.session import ship_package
+from trailmetrics.llm.common import as_bytes, id_and_text, map_batches, quoted
+from trailmetrics.session import materialize, ship_package
 
 BUCKET_BYTES = 32 << 20
 CHUNK_BYTES = 16 << 20
 HASH_BITS = 60  # of the digest, as a whole number
 STEP_BITS = 3
 
-RECORDS = "code bigint, text string, top_id bigint, n bigint"
+RECORDS = "code bigint, text string, top_id bigint, n_top bigint, n bigint"
 
 
 class ContentTable:
@@ -42,16 +44,20 @@ class ContentTable:
         self.codes: list[int] = []
         self.texts: list[bytes] = []
         self.top_ids: list[int | None] = []
+        self.top_counts: list[int] = []  # rows with the top id
         self.counts: list[int] = []
         self.bytes = 0
 
-    def add(self, code: int, text: bytes, top_id: int | None, n: int) -> None:
+    def add(self, code: int, text: bytes, top_id: int | None, n_top: int, n: int) -> None:
         mask = len(self._slots) - 1
         at = code & mask
         while (entry := self._slots[at]) >= 0:
             if self.codes[entry] == code and self.texts[entry] == text:
-                if top_id is not None and (self.top_ids[entry] is None or top_id > self.top_ids[entry]):
-                    self.top_ids[entry] = top_id
+                held = self.top_ids[entry]
+                if top_id == held:
+                    self.top_counts[entry] += n_top
+                elif top_id is not None and (held is None or top_id > held):
+                    self.top_ids[entry], self.top_counts[entry] = top_id, n_top
                 self.counts[entry] += n
                 return
             at = (at + 1) & mask
@@ -59,6 +65,7 @@ class ContentTable:
         self.codes.append(code)
         self.texts.append(text)
         self.top_ids.append(top_id)
+        self.top_counts.append(n_top)
         self.counts.append(n)
         self.bytes += len(text)
         if 2 * len(self.codes) > len(self._slots):
@@ -76,8 +83,8 @@ class ContentTable:
     def batch(self) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([
             pa.array(self.codes, pa.int64()), pa.array(self.texts, pa.binary()).cast(pa.string()),
-            pa.array(self.top_ids, pa.int64()), pa.array(self.counts, pa.int64()),
-        ], names=["code", "text", "top_id", "n"])
+            pa.array(self.top_ids, pa.int64()), pa.array(self.top_counts, pa.int64()), pa.array(self.counts, pa.int64()),
+        ], names=["code", "text", "top_id", "n_top", "n"])
 
 
 def digest_code(digest: Column) -> Column:
@@ -89,11 +96,11 @@ def merge_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge copies that are in the same chunk of about ``CHUNK_BYTES`` distinct text."""
     held = ContentTable()
     for batch in batches:
-        for code, text, top_id, n in zip(
+        for code, text, top_id, n_top, n in zip(
             batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(),
-            batch.column(3).to_pylist(),
+            batch.column(3).to_pylist(), batch.column(4).to_pylist(),
         ):
-            held.add(code, text, top_id, n)
+            held.add(code, text, top_id, n_top, n)
             if held.bytes >= CHUNK_BYTES:
                 yield held.batch()
                 held = ContentTable()
@@ -145,25 +152,26 @@ def classes_in_bucket(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator
     """One row per distinct text of a bucket."""
     table = ContentTable()
     for batch in batches:
-        for code, text, top_id, n in zip(
+        for code, text, top_id, n_top, n in zip(
             batch.column("code").to_pylist(), as_bytes(batch.column("text")),
-            batch.column("top_id").to_pylist(), batch.column("n").to_pylist(),
+            batch.column("top_id").to_pylist(), batch.column("n_top").to_pylist(), batch.column("n").to_pylist(),
         ):
-            table.add(code, text, top_id, n)
+            table.add(code, text, top_id, n_top, n)
     digests = [hashlib.sha256(text).hexdigest() for text in table.texts]
     if len(set(digests)) < len(digests):
         raise ValueError("two different texts have the same SHA-256 digest")
     yield pa.RecordBatch.from_arrays([
-        pa.array(digests, pa.string()), pa.array(table.top_ids, pa.int64()), pa.array(table.counts, pa.int64()),
-    ], names=["text_sha256", "keep_id", "group_size"])
+        pa.array(digests, pa.string()), pa.array(table.top_ids, pa.int64()),
+        pa.array(table.top_counts, pa.int64()), pa.array(table.counts, pa.int64()),
+    ], names=["text_sha256", "keep_id", "n_keep", "group_size"])
 
 
 def content_classes(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(text_sha256, keep_id, group_size), one row per distinct text."""
+    """(text_sha256, keep_id, n_keep: rows with that id, group_size), one row per distinct text."""
     rows = id_and_text(docs)
     coded = rows.select(
         digest_code(F.sha2("text", 256)).alias("code"), "text", F.col("doc_id").alias("top_id"),
-        F.lit(1).cast("bigint").alias("n"))
+        F.lit(1).cast("bigint").alias("n_top"), F.lit(1).cast("bigint").alias("n"))
     sizes = coded.select("code", F.octet_length("text").cast("bigint").alias("bytes")).groupBy("code").agg(
         F.max("bytes").alias("bytes"))
     cuts = bucket_cuts(sizes, bucket_bytes)
@@ -172,7 +180,7 @@ def content_classes(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFr
     bucketed = merged.withColumn("bits", bits).withColumn("prefix", prefix)
     ship_package(docs.sparkSession)
     return bucketed.groupBy("bits", "prefix").applyInArrow(
-        classes_in_bucket, "text_sha256 string, keep_id bigint, group_size bigint")
+        classes_in_bucket, "text_sha256 string, keep_id bigint, n_keep bigint, group_size bigint")
 
 
 def exact_duplicates(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -188,9 +196,19 @@ def exact_duplicates(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataF
 
 
 def keepers(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    found = content_classes(docs).select(F.col("text_sha256").alias("_sha256"), F.col("keep_id").alias("_keep_id"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    hashed = docs.withColumn("_content", F.sha2(text, 256))
-    same = (F.col("_content") == F.col("_sha256")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_keep_id"))
-    return hashed.join(found, same, "left_semi").drop("_content")
+    """One row of ``docs`` per distinct text, with all its columns whatever their names.
+
+    Few texts have several rows with the kept doc_id (or none with one); only those rows go
+    through a further grouping, which merges them before they move.  The classes, without texts, are a
+    written table.
+    """
+    found = materialize(
+        content_classes(docs).select("text_sha256", F.col("keep_id").alias("doc_id"), "n_keep"), "exact-classes")
+    rows = docs.select(
+        F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("text_sha256"),
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.struct(*map(quoted, docs.columns)).alias("row"))
+    same = (rows["text_sha256"] == found["text_sha256"]) & rows["doc_id"].eqNullSafe(found["doc_id"])
+    tops = rows.join(found, same).select(rows["text_sha256"], "row", "n_keep")
+    first = tops.filter("n_keep > 1").groupBy("text_sha256").agg(
+        F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row"))
+    return tops.filter("n_keep = 1").select("row").union(first.select("row")).select("row.*")

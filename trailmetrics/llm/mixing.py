@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmetrics.llm.common import quoted
+
 Schedule = list[tuple[float, float]]
 
 #: Weight schedules given to the sources in turn: (progress, weight) knots; integrals 3, 1, 2.
@@ -90,12 +92,13 @@ def assignments(
     """
     schedules = schedules or SCHEDULES
     source = F.col("source").cast("string")
+    ties = ["tie"] if carry else []  # rows that repeat an id keep their order in reruns
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.concat(F.lit("s"), source), F.lit(NO_SOURCE)).alias("key"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit(""))).alias("order"),
-        *([F.struct(*carry).alias("carried")] if carry else []),
+        *([F.struct(*map(quoted, carry)).alias("carried"), F.xxhash64("text").alias("tie")] if carry else []),
     ).withColumn("block", F.substring("order", 1, ORDER_DIGITS))
     blocks = rows.groupBy("key", "block").agg(F.sum("size").alias("words"))
     sources = blocks.groupBy("key").agg(F.sum("words").alias("source_size"))
@@ -104,7 +107,8 @@ def assignments(
     offsets = blocks.select(
         "key", "block", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("ahead")
     ).join(goals, "key")
-    inside = Window.partitionBy("key", "block").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("key", "block").orderBy("order", "size", *ties).rowsBetween(
+        Window.unboundedPreceding, -1)
     placed = (
         rows.withColumn("near", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(offsets, ["key", "block"])
@@ -152,5 +156,5 @@ def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
         "size", "carried", F.explode("passes").alias("read"))
     whole = F.col("read.words") >= F.col("size")
     text = F.when(whole, F.col("carried.text")).otherwise(first_words(F.col("carried.text"), F.col("read.words")))
-    keep = [text.alias(c) if c == "text" else F.col(f"carried.`{c}`").alias(c) for c in columns]
+    keep = [text.alias(c) if c == "text" else F.col(f"carried.{quoted(c)}").alias(c) for c in columns]
     return read.orderBy("read.position", "carried.doc_id").select(*keep)

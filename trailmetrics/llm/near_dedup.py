@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmetrics.llm.common import as_bytes, id_and_text, map_batches, whole_groups
+from trailmetrics.llm.common import as_bytes, id_and_text, map_batches, quoted, whole_groups
 from trailmetrics.session import materialize
 
 COORDINATES = 64
@@ -392,8 +392,8 @@ def near_duplicates(
 
 
 def keepers(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    extra = labelled_rows(docs, width, percent).filter(~F.col("kept")).select(
-        F.col("doc_id").alias("extra_id"), F.col("text_hash").alias("extra_hash")).distinct()
-    same = (docs["doc_id"].cast("bigint") == F.col("extra_id")) & (text_hash(docs["text"]) == F.col("extra_hash"))
-    return docs.join(extra, same, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that are kept, with all their columns whatever their names."""
+    extra = labelled_rows(docs, width, percent).filter(~F.col("kept")).select("doc_id", "text_hash").distinct()
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"),
+                       F.struct(*map(quoted, docs.columns)).alias("row"))
+    return rows.join(extra, ["doc_id", "text_hash"], "left_anti").select("row.*")
