@@ -121,6 +121,12 @@ SELECT t.workflow_id, t.status, round(t.duration_ms, 4) AS duration_ms, CAST(t.s
   CASE WHEN EXISTS (SELECT 1 FROM event_logs g WHERE g.workflow_id = t.workflow_id AND g.activity = 'optimize:guided') THEN 'guided' ELSE 'exploration' END AS mode
 FROM terminal t LEFT JOIN workflow_embeddings w USING (workflow_id)
 ORDER BY t.timestamp DESC, t.workflow_id LIMIT 50 OFFSET 10"""),
+    "list_workflows_far": query(f"""
+SELECT t.workflow_id, t.status, round(t.duration_ms, 4) AS duration_ms, CAST(t.step_number AS BIGINT) AS steps,
+  {ts('t.timestamp')} AS timestamp, w.task_description,
+  CASE WHEN EXISTS (SELECT 1 FROM event_logs g WHERE g.workflow_id = t.workflow_id AND g.activity = 'optimize:guided') THEN 'guided' ELSE 'exploration' END AS mode
+FROM terminal t LEFT JOIN workflow_embeddings w USING (workflow_id)
+ORDER BY t.timestamp DESC, t.workflow_id LIMIT 40 OFFSET 300"""),
     "list_workflows_total": query("SELECT count(*) AS total FROM terminal"),
     "list_optimal_paths": query(f"""
 SELECT task_cluster, array_to_string(tool_sequence, '>') AS tool_sequence, round(avg_duration_ms, 4) AS avg_duration_ms,
@@ -217,6 +223,11 @@ SELECT name, coalesce(max(execution_count) FILTER (WHERE name = task_cluster), C
   count(*) AS members, round(sum(avg_duration_ms * execution_count) / sum(execution_count), 4) AS avg_duration_ms,
   round(sum(success_rate * execution_count) / sum(execution_count), 4) AS success_rate
 FROM (SELECT *, regexp_replace(task_cluster, '\s*\(subcluster_\d+\)$', '') AS name FROM optimal_paths) GROUP BY name"""),
+    "task_clusters_grouped_page": query(r"""
+SELECT name, coalesce(max(execution_count) FILTER (WHERE name = task_cluster), CAST(sum(execution_count) AS BIGINT)) AS total_workflows,
+  count(*) AS members, round(sum(avg_duration_ms * execution_count) / sum(execution_count), 4) AS avg_duration_ms,
+  round(sum(success_rate * execution_count) / sum(execution_count), 4) AS success_rate
+FROM (SELECT *, regexp_replace(task_cluster, '\s*\(subcluster_\d+\)$', '') AS name FROM optimal_paths) GROUP BY name ORDER BY total_workflows DESC, name LIMIT 3 OFFSET 2"""),
     "cluster_detail": workflows_of(ONE),
     "cluster_mode_stats": query(mode_stats(f"(SELECT * FROM terminal {IN_MATCHED})"), matched=ONE),
     "cluster_conformance": conformance_of(ONE, "path_id = 'path-3'"),

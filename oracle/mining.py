@@ -434,13 +434,18 @@ FROM grouped_runs GROUP BY 1""",
     **tree("SELECT s.task_cluster, s.subcluster, s.workflow_id, r.tool_sequence, r.success FROM subclustered s JOIN grouped_runs r USING (workflow_id)"),
     "branched": "SELECT task_cluster, any_value(branch_tool) AS branch_tool FROM suffixes WHERE rate > 0 OR n >= 5 GROUP BY 1",
 }
-ORACLES["run_analysis"] = query("""
+NEW_PATHS = """
 SELECT w.name AS task_cluster, array_to_string(l.seq, '>') AS tool_sequence, round(l.ms, 4) AS avg_duration_ms, round(l.steps, 4) AS avg_steps,
   round(l.rate, 4) AS success_rate, r.execution_count, round(r.guided, 4) AS guided_success_rate, round(r.exploration, 4) AS exploration_success_rate,
   coalesce(f.failure_warnings, '') AS failure_warnings,
   (SELECT count(*) FROM listed o WHERE o.task_cluster = l.task_cluster AND o.place > 0) AS alternatives, b.branch_tool
 FROM winners w JOIN listed l ON l.task_cluster = w.task_cluster AND l.place = 0 JOIN rates r ON r.task_cluster = w.task_cluster
-LEFT JOIN warned f ON f.task_cluster = w.task_cluster LEFT JOIN branched b ON b.task_cluster = w.task_cluster""", **PATH_ROWS)
+LEFT JOIN warned f ON f.task_cluster = w.task_cluster LEFT JOIN branched b ON b.task_cluster = w.task_cluster"""
+ORACLES["run_analysis"] = query(NEW_PATHS, **PATH_ROWS)
+ORACLES["run_analysis_stored"] = query("""
+SELECT task_cluster, array_to_string(tool_sequence, '>') AS tool_sequence, execution_count, CAST(2 AS BIGINT) AS version FROM optimal_paths
+WHERE task_cluster NOT IN (SELECT task_cluster FROM fresh)
+UNION ALL SELECT task_cluster, tool_sequence, execution_count, 2 FROM fresh""", **PATH_ROWS, fresh=NEW_PATHS)
 ORACLES["run_analysis_alternatives"] = query("""
 SELECT w.name AS task_cluster, l.place - 1 AS pos, array_to_string(l.seq, '>') AS tool_sequence, l.runs AS execution_count,
   round(l.rate, 4) AS success_rate, round(l.steps, 4) AS avg_steps FROM winners w JOIN listed l USING (task_cluster) WHERE l.place > 0""", **PATH_ROWS)

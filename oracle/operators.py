@@ -34,6 +34,17 @@ SELECT workflow_id, task_description, CASE WHEN user_id % 2 = 0 THEN 'second' EL
 UNION ALL SELECT 'new-' || workflow_id, 'fresh', 'second' FROM members WHERE user_id % 2 = 0"""),
     "replaced_paths": query("""
 SELECT task_cluster, CASE WHEN execution_count >= 200 THEN 0 ELSE execution_count END AS execution_count FROM optimal_paths"""),
+    "stored_paths_replaced": query("""
+SELECT task_cluster, CASE WHEN execution_count >= 200 THEN 0 ELSE execution_count END AS execution_count, CAST(2 AS BIGINT) AS version FROM optimal_paths"""),
+    "stored_paths_versions": query("""
+SELECT CAST(1 AS BIGINT) AS version, task_cluster, execution_count FROM optimal_paths
+UNION ALL SELECT 3, task_cluster, 0 FROM optimal_paths WHERE execution_count >= 200"""),
+    "stored_paths_after_failure": query("SELECT task_cluster, execution_count, CAST(1 AS BIGINT) AS version FROM optimal_paths"),
+    "appended_events": query(f"SELECT event_id, workflow_id, {ts('timestamp')} AS timestamp, activity, status, CAST(step_number AS BIGINT) AS step_number FROM event_logs"),
+    "reanalysed_after_stream": query("""
+SELECT raw_activity AS activity, coalesce(raw_status, 'success') AS status, count(*) AS n,
+  round(CAST(sum(CASE WHEN shape = 3 THEN 0 ELSE value END) AS DOUBLE), 4) AS total_ms
+FROM raw WHERE shape NOT IN (1, 2) GROUP BY ALL""", raw=RAW),
     "purged_events": query("""
 SELECT event_id, workflow_id, activity FROM event_logs WHERE workflow_id NOT IN (SELECT workflow_id FROM event_logs WHERE activity = 'optimize:guided')"""),
     "purged_embeddings": query("""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import event, log, run
-from trailmetrics.sources import derived, ingest
+from trailmetrics.sources import derived, ingest, snapshots
 from trailmetrics.streaming import jobs
 
 ID = "550e8400-e29b-41d4-a716-4466554400{:02d}"
@@ -107,6 +107,54 @@ def test_replace_clear_and_store(spark, tmp_path):
     assert spark.read.schema("task_cluster string, n int").parquet(path).count() == 0
 
 
+def test_snapshot_versions(spark, tmp_path):
+    path = str(tmp_path / "paths")
+    ddl = "task_cluster string, n int"
+    old = spark.createDataFrame([("a", 1), ("b", 2)], ddl)
+    new = spark.createDataFrame([("b", 9), ("c", 3)], ddl)
+    rows = lambda version=None: {tuple(r) for r in snapshots.read(spark, path, version).collect()}
+    with pytest.raises(ValueError):
+        snapshots.read(spark, path)
+    assert snapshots.update(spark, path, lambda now: old, "one") == 1
+    assert snapshots.update(spark, path, lambda now: derived.replace_paths(now, new), "two") == 2
+    assert snapshots.update(spark, path, lambda now: old.limit(0), "two") == 2  # that batch is there
+    assert rows() == {("a", 1), ("b", 9), ("c", 3)} and rows(1) == {("a", 1), ("b", 2)}
+    with pytest.raises(Exception, match="broken"):
+        snapshots.update(spark, path, lambda now: now.withColumn("n", F.raise_error(F.lit("broken")).cast("int")))
+    assert len(rows()) == 3 and len(list((tmp_path / "paths" / "data").iterdir())) == 2  # no half-written files
+    assert snapshots.update(spark, path, derived.cleared) == 3 and rows() == set()
+    assert snapshots.expire(spark, path, keep=1) == 2 and len(list((tmp_path / "paths" / "data").iterdir())) == 1
+    assert snapshots.update(spark, path, lambda now: old, "one") == 1  # batches outlive their files
+
+
+def test_snapshot_writers_at_once(spark, tmp_path):
+    path = str(tmp_path / "paths")
+    row = lambda n: spark.createDataFrame([(n,)], "n int")
+    snapshots.update(spark, path, lambda now: row(0))
+    seen = []
+
+    def slow(now):
+        """Another writer is quicker while this one works, but only the first time."""
+        if not seen:
+            snapshots.update(spark, path, lambda other: other.union(row(1)))
+        seen.append(now.count())
+        return now.union(row(2))
+
+    assert snapshots.update(spark, path, slow) == 3 and seen == [1, 2]
+    assert sorted(r["n"] for r in snapshots.read(spark, path).collect()) == [0, 1, 2]
+
+
+@pytest.mark.parametrize("offset, limit", [(0, 3), (95, 10), (40, 25), (99, 1), (100, 5), (500, 5)])
+def test_far_pages(spark, offset, limit):
+    from trailmetrics.operators.paging import page
+
+    rows = [(i * 37 % 100, i % 4) for i in range(100)]
+    frame = spark.createDataFrame(rows, "k int, g int").repartition(5)
+    found = [tuple(r) for r in page(frame, [F.desc("g"), F.col("k")], offset, limit).collect()]
+    assert found == sorted(rows, key=lambda r: (-r[1], r[0]))[offset : offset + limit]
+    assert page(frame.limit(0), [F.col("k")], offset, limit).collect() == []
+
+
 def test_purge_takes_ids_first(spark):
     events = log(spark, run("g", "a", mode="guided"), run("e", "a", mode="exploration"))
     vectors = spark.createDataFrame([("g",), ("e",)], "workflow_id string")

@@ -21,6 +21,8 @@ from trailmetrics.operators.similarity import centroid
 from trailmetrics.operators.suggestions import generate_suggestions
 from trailmetrics.operators.traces import build_traces
 from trailmetrics.session import materialize
+from trailmetrics.sources import snapshots
+from trailmetrics.sources.derived import cleared, replace_paths
 
 
 @dataclass(frozen=True)
@@ -133,6 +135,20 @@ def run_analysis(
     )
 
 
+def store_result(result: AnalysisResult, path: str, batch: str, clear: bool = False) -> int:
+    """Put the run's paths into the stored table of optimal paths and return its version.
+
+    Paths of the same name are replaced, or all are (``clear``); a run that is stored again
+    under its batch name changes nothing, and readers see the old table until all is written.
+    """
+    def change(current: DataFrame | None) -> DataFrame:
+        if current is None:
+            return result.optimal_paths
+        return replace_paths(cleared(current) if clear else current, result.optimal_paths)
+
+    return snapshots.update(result.optimal_paths.sparkSession, path, change, batch)
+
+
 def primary_and_alternatives(members: DataFrame, best: DataFrame) -> DataFrame:
     """Per cluster the path of its largest sub-cluster; the other paths as a list."""
     sizes = members.groupBy("cluster_label", "task_cluster", "subcluster").agg(F.count("*").alias("runs"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trailmetrics.functions import text
 from trailmetrics.functions.measures import mode_label, ratio
+from trailmetrics.operators import paging
 from trailmetrics.operators.events import terminal_events, tool_calls, tool_stats, workflow_rollup
 from trailmetrics.operators.graphs import graph_nodes, transitions
 from trailmetrics.operators.matching import best_paths
@@ -54,6 +55,12 @@ def task_clusters_grouped(paths: DataFrame) -> DataFrame:
     )
 
 
+def task_clusters_grouped_page(paths: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """One page of the groups, largest first; a far page sorts only the ranges that hold it."""
+    order = [F.desc("total_workflows"), F.col("name")]
+    return paging.page(task_clusters_grouped(paths), order, offset, limit)
+
+
 def group_path_ids(paths: DataFrame, group: str) -> DataFrame:
     return paths.filter(text.in_group(F.col("task_cluster"), group)).select("path_id")
 

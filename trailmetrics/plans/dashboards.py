@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmetrics.functions.measures import (
     is_terminal, mode_label, percent_improvement, ratio, success_value,
 )
+from trailmetrics.operators import paging
 from trailmetrics.operators.events import (
     guided_ids, terminal_events, terminal_with_mode, tool_calls, tool_stats,
     workflow_rollup,
@@ -64,13 +65,30 @@ def list_workflows(
     """
     if not 1 <= limit <= 500 or offset < 0:
         raise ValueError("limit must be 1..500 and offset must not be negative")
-    page = (
-        terminal_events(event_logs)
-        .select("workflow_id", "status", "duration_ms", F.col("step_number").alias("steps"), "timestamp")
-        .orderBy(F.desc("timestamp"), "workflow_id")
-        .offset(offset)
-        .limit(limit)
-    )
+    page = finished(event_logs).orderBy(*newest()).offset(offset).limit(limit)
+    return described_page(event_logs, embeddings, page)
+
+
+def list_workflows_far(
+    event_logs: DataFrame, embeddings: DataFrame, limit: int = 50, offset: int = 0
+) -> DataFrame:
+    """The same page where the offset is large: only the ranges that hold it are sorted."""
+    if not 1 <= limit <= 500:
+        raise ValueError("limit must be 1..500")
+    return described_page(event_logs, embeddings, paging.page(finished(event_logs), newest(), offset, limit))
+
+
+def newest() -> list[Column]:
+    return [F.desc("timestamp"), F.col("workflow_id")]
+
+
+def finished(event_logs: DataFrame) -> DataFrame:
+    return terminal_events(event_logs).select(
+        "workflow_id", "status", "duration_ms", F.col("step_number").alias("steps"), "timestamp")
+
+
+def described_page(event_logs: DataFrame, embeddings: DataFrame, page: DataFrame) -> DataFrame:
+    """Task description and mode of the few workflows of a page."""
     ids = page.select("workflow_id")
     flags = guided_ids(event_logs.join(ids, "workflow_id", "left_semi")).withColumn("g", F.lit(True))
     described = embeddings.join(ids, "workflow_id", "left_semi").select("workflow_id", "task_description")
@@ -79,7 +97,7 @@ def list_workflows(
         .join(flags, "workflow_id", "left")
         .withColumn("mode", mode_label(F.col("g").isNotNull()))
         .drop("g")
-        .orderBy(F.desc("timestamp"), "workflow_id")
+        .orderBy(*newest())
     )
 
 

@@ -24,7 +24,7 @@ from trailmetrics.operators.traces import (
 )
 from trailmetrics.plans import analysis, clusters, dashboards, guidance
 from trailmetrics.session import fresh_path, location, materialize
-from trailmetrics.sources import derived, ingest
+from trailmetrics.sources import derived, ingest, snapshots
 from trailmetrics.sources.driver_tables import Tables, load_tables
 from trailmetrics.sources.schemas import EVENT_COLUMNS
 from trailmetrics.sources.shop_tables import Shop
@@ -109,6 +109,7 @@ def dashboard_queries() -> dict[str, Query]:
     ).select("event_id", "workflow_id", "timestamp", "activity", "tool_name", "status",
              "duration_ms", "step_number", "task_description")
     out["list_workflows"] = lambda t: dashboards.list_workflows(t.event_logs, t.workflow_embeddings, 50, 10)
+    out["list_workflows_far"] = lambda t: dashboards.list_workflows_far(t.event_logs, t.workflow_embeddings, 40, 300)
     out["list_workflows_total"] = lambda t: dashboards.terminal_events(t.event_logs).agg(
         F.count("*").alias("total"))
     out["list_optimal_paths"] = lambda t: dashboards.list_optimal_paths(t.optimal_paths)
@@ -122,6 +123,7 @@ def cluster_queries() -> dict[str, Query]:
     out: dict[str, Query] = {
         "task_clusters": lambda t: clusters.task_clusters(t.optimal_paths, t.workflow_embeddings, THRESHOLD),
         "task_clusters_grouped": lambda t: clusters.task_clusters_grouped(t.optimal_paths),
+        "task_clusters_grouped_page": lambda t: clusters.task_clusters_grouped_page(t.optimal_paths, 3, 2),
         "group_overview": lambda t: clusters.group_overview(t.optimal_paths, GROUP),
         "group_best_variants": lambda t: clusters.best_variants(t.optimal_paths),
         "fetch_group_path_ids": lambda t: clusters.group_path_ids(t.optimal_paths, GROUP),
@@ -329,6 +331,66 @@ def operator_queries() -> dict[str, Query]:
             "execution_count", F.lit(0).cast("bigint"))
         return derived.replace_paths(t.optimal_paths, new).select("task_cluster", "execution_count")
 
+    def emptied(t: Tables) -> DataFrame:
+        return t.optimal_paths.filter(F.col("execution_count") >= 200).withColumn(
+            "execution_count", F.lit(0).cast("bigint"))
+
+    def stored(t: Tables, *changes: tuple[str, Callable[[DataFrame], DataFrame]]) -> str:
+        """The paths as version 1 of a table, then a version per (batch, change)."""
+        path = fresh_path(t.spark, "stored-paths")
+        snapshots.update(t.spark, path, lambda _: t.optimal_paths, "load")
+        for batch, change in changes:
+            snapshots.update(t.spark, path, change, batch)
+        return path
+
+    def stored_replaced(t: Tables) -> DataFrame:
+        """A round's rows, the same batch again, and the batch again with other rows."""
+        new = emptied(t)
+        other = new.withColumn("execution_count", F.lit(-1).cast("bigint"))
+        path = stored(t, *[("round", lambda now, rows=rows: derived.replace_paths(now, rows)) for rows in (new, new, other)])
+        last = snapshots.versions(t.spark, path).agg(F.max("version").alias("version"))
+        return snapshots.read(t.spark, path).select("task_cluster", "execution_count").join(last)
+
+    def stored_versions(t: Tables) -> DataFrame:
+        """Every version of a table that is loaded, cleared and filled again."""
+        path = stored(t, ("clear", derived.cleared), ("fill", lambda now: derived.replace_paths(now, emptied(t))))
+        every = [snapshots.read(t.spark, path, v).select(F.lit(v).alias("version"), "task_cluster", "execution_count")
+                 for v in (1, 2, 3)]
+        return every[0].union(every[1]).union(every[2])
+
+    def stored_after_failure(t: Tables) -> DataFrame:
+        """An update that breaks while it writes leaves the table as it was."""
+        path = stored(t)
+        broken = F.raise_error(F.concat(F.lit("broken row "), "task_cluster")).cast("bigint")
+        try:
+            snapshots.update(t.spark, path, lambda now: now.withColumn("execution_count", broken), "round")
+        except Exception as error:
+            if "broken row" not in str(error):
+                raise
+        last = snapshots.versions(t.spark, path).agg(F.max("version").alias("version"))
+        return snapshots.read(t.spark, path).select("task_cluster", "execution_count").join(last)
+
+    def appended(t: Tables) -> DataFrame:
+        """The first event alone, then all others, then an empty batch."""
+        path, first = fresh_path(t.spark, "appended"), F.col("event_id") == first_event(t)
+        for part in (t.event_logs.filter(first), t.event_logs.filter(~first), t.event_logs.filter(F.lit(False))):
+            ingest.append_events(part, path)
+        return ingest.read_events(t.spark, path).select(
+            "event_id", "workflow_id", "timestamp", "activity", "status", "step_number")
+
+    def first_event(t: Tables) -> str:
+        return t.event_logs.agg(F.min("event_id")).first()[0]
+
+    def reanalysed(t: Tables) -> DataFrame:
+        """JSON lines are taken in as a stream, then the whole log is analysed."""
+        path = fresh_path(t.spark, "waiting")
+        raw_events(t).select(F.to_json(F.struct("*")).alias("value")).write.text(f"{path}/lines")
+        lines = t.spark.readStream.schema("value string").text(f"{path}/lines")
+        return jobs.ingest_then(
+            lines, f"{path}/events", f"{path}/refused", f"{path}/checkpoint",
+            lambda log: log.groupBy("activity", "status").agg(
+                F.count("*").alias("n"), F.sum("duration_ms").alias("total_ms")), strict_ids=False)
+
     def outcomes(t: Tables) -> DataFrame:
         k = F.col("k")
         answer = F.when(k < 10, F.concat(F.lit('{"error":"bad '), k, F.lit('"}'))).when(
@@ -419,6 +481,11 @@ def operator_queries() -> dict[str, Query]:
             "vec_id", F.size("embedding").alias("dimensions"),
             F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("total")),
         "upserted_embeddings": upserted,
+        "stored_paths_replaced": stored_replaced,
+        "stored_paths_versions": stored_versions,
+        "stored_paths_after_failure": stored_after_failure,
+        "appended_events": appended,
+        "reanalysed_after_stream": reanalysed,
         "replaced_paths": replaced,
         "purged_events": lambda t: derived.without_guided(t.event_logs, t.workflow_embeddings)[0]
         .select("event_id", "workflow_id", "activity"),
@@ -490,7 +557,17 @@ def analysis_queries() -> dict[str, Query]:
     def group(df: DataFrame) -> DataFrame:
         return df.filter(~F.col("task_key").contains("/")).withColumnRenamed("task_key", "task_cluster")
 
+    def stored(t: Tables) -> DataFrame:
+        """The run's paths in the stored table; storing the same run again changes nothing."""
+        path = fresh_path(t.spark, "stored-paths")
+        snapshots.update(t.spark, path, lambda _: t.optimal_paths, "load")
+        for _ in range(2):
+            analysis.store_result(analysis_of(t), path, "run-1")
+        last = snapshots.versions(t.spark, path).agg(F.max("version").alias("version"))
+        return snapshots.read(t.spark, path).select("task_cluster", "tool_sequence", "execution_count").join(last)
+
     return {
+        "run_analysis_stored": stored,
         "run_analysis": lambda t: analysis_of(t).optimal_paths.select(
             "task_cluster", "tool_sequence", "avg_duration_ms", "avg_steps", "success_rate", "execution_count",
             "guided_success_rate", "exploration_success_rate", "failure_warnings",
