@@ -425,6 +425,19 @@ def test_equal_texts_have_equal_fingerprints(docs):
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows)
 
 
+@pytest.mark.parametrize("name, in_parts", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_ids_of_other_vocabularies(name, in_parts):
+    import os
+
+    from tokenizers import Tokenizer
+
+    path = os.path.join(os.path.dirname(queries.tokenizer_path()), name)
+    ours, theirs = packing.PieceTokenizer(path), Tokenizer.from_file(path)
+    assert ours._in_parts == in_parts
+    for text in ["Hello World again", "", "  two  blanks\n\tand it's", "été où ß Σ 日本語 I\u0307", "a1b22 --- !?", "x" * 3000]:
+        assert np.frombuffer(ours.ids(text), np.uint32).tolist() == theirs.encode(text, add_special_tokens=False).ids
+
+
 # --- pipeline ----------------------------------------------------------------------
 
 

@@ -11,12 +11,14 @@ no sequence has room for a piece it is cut: the roomiest sequence takes what fit
 rest goes on.  All opened sequences end up full, so no padding is needed at all.
 
 Null texts are empty: the end mark alone.  Rows that repeat are packed as rows of their own
-(``row`` tells them apart); a null doc_id stays null.
+(``row`` tells them apart); a null doc_id stays null.  A vocabulary whose rules are not ``RULES``
+is asked for whole texts, which is slower.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 from array import array
@@ -54,6 +56,17 @@ PLAIN = re.compile(f"[{LETTERS}\\n\\t -~]*")
 CUTS = re.compile(f"[{LETTERS}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^{LETTERS}0-9\\s]+")
 
 
+#: The normaliser and pre-tokeniser that these rules stand for, as a file states them.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+
 def byte_letters() -> dict[int, str]:
     """Letters that stand for bytes in a byte-level vocabulary: printable ones for themselves."""
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -79,8 +92,9 @@ class KnownPieces(dict):
 class PieceTokenizer:
     """Token ids of texts as little-endian 32-bit numbers.
 
-    The vocabulary's rules never join signs across white space, so a text's ids are those of
+    Under ``RULES`` signs are never joined across white space, so a text's ids are those of
     its parts one after another, and parts with other letters go through the whole tokenizer.
+    With a vocabulary of other rules whole texts go through it.
     """
 
     def __init__(self, path: str) -> None:
@@ -89,13 +103,20 @@ class PieceTokenizer:
         self._tokenizer = Tokenizer.from_file(path)
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._pieces = KnownPieces(self._tokenizer.model)
+        stated = json.loads(self._tokenizer.to_str())
+        self._in_parts = all(stated.get(name) == rule for name, rule in RULES.items())
 
     def ids(self, text: str) -> bytes:
+        if not self._in_parts:
+            return self._whole(text)
         if PLAIN.fullmatch(text) and not any(s in text for s in self._special):
             return b"".join(map(self._pieces.__getitem__, CUTS.findall(text.lower())))
         words = text.replace("\n", " ").replace("\t", " ").split(" ")
         if len(words) > 1:
             return b"".join(map(self.ids, words))
+        return self._whole(text)
+
+    def _whole(self, text: str) -> bytes:
         return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
