@@ -127,3 +127,10 @@ FROM wishes w JOIN buys b USING (order_id) LEFT JOIN buys s ON s.order_id = w.sw
   CASE WHEN delivery_status = 'shipped' THEN carrier END AS carrier, CASE WHEN delivery_status = 'shipped' THEN CAST(estimated_delivery AS VARCHAR) END AS estimated_delivery
 FROM buys LEFT JOIN tracked USING (order_id)"""),
 }
+
+#: A third of all charges in one wallet that can pay them all, the others as they are.
+ORACLES["wallet_ledger_one_wallet"] = query("""
+SELECT payment_id, transaction_id, CASE WHEN paid THEN 'completed' ELSE 'failed' END AS status, round(balance / 100, 4) AS balance FROM ledger
+UNION ALL SELECT -1, transaction_id, 'completed',
+  round(CAST(100000000000 - sum(cents) OVER (ORDER BY created, transaction_id) AS DOUBLE) / 100, 4) FROM charges WHERE transaction_id % 3 = 0""",
+    **{**SHOP, "entries": SHOP["entries"] + " WHERE transaction_id % 3 <> 0"})

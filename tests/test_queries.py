@@ -1,5 +1,6 @@
 """Known answers of dashboards, cluster queries, guidance and rules."""
 
+import random
 from datetime import date, datetime
 
 import numpy as np
@@ -320,6 +321,24 @@ def test_wallet_charges(spark):
     assert got == {1: (ok, 40.0), 2: (no, 40.0), 3: (ok, 0.0), 4: (ok, 10.0), 5: (ok, 0.0), 6: (no, -5.0), 7: (ok, 15.0), 8: (ok, 0.0)}
 
 
+def test_wallets_against_a_ledger_in_order(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 1, 1, 2, 3]), date(2024, 1, 1 + rng.randrange(20)), t, rng.choice([None, -7.25, 3.1, 12.0, 40.55]))
+            for t in range(600)]
+    opening = {1: 50.0, 2: 1e6, 3: -3.0, 4: 8.0}
+    left, wanted = {w: round(100 * b) for w, b in opening.items()}, {}
+    for wallet, _, t, amount in sorted(rows, key=lambda r: (r[1], r[2])):
+        due = round(100 * (amount or 0))
+        paid = due <= 0 or left[wallet] >= due
+        left[wallet] -= due if paid else 0
+        wanted[t] = ("completed" if paid else "failed", left[wallet] / 100)
+    payments = spark.createDataFrame(rows, "payment_id bigint, created date, transaction_id bigint, amount double")
+    wallets = spark.createDataFrame(list(opening.items()), "customer_id bigint, balance double")
+    got = rules.wallet_ledger(payments.repartition(4), wallets).collect()
+    assert len(got) == len(rows) and {r["transaction_id"]: (r["status"], r["balance"]) for r in got} == wanted
+    assert rules.wallet_ledger(payments.limit(0), wallets).collect() == []
+
+
 def test_search_scores(spark):
     rows = [("k1", "Refund policy", ["refund", "money"], "how to refund"), ("k2", "Shipping", ["refunds"], "no"), ("k3", "Other", [], "x")]
     articles = spark.createDataFrame(rows, "article_id string, title string, keywords array<string>, content string")

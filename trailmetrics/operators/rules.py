@@ -331,34 +331,50 @@ def wallet_ledger(payments: DataFrame, wallets: DataFrame) -> DataFrame:
     """Outcome of every charge, in order (created, transaction_id) per wallet.
 
     A charge fails if the balance is too small and then changes nothing; a negative
-    amount is a refund.  Whether a charge passes depends on all charges before it, so
-    a wallet is one ordered pass; rows stream through it in batches and only the
-    current balance is kept, so a busy wallet needs no memory.
+    amount is a refund, a missing one moves nothing.  As long as nothing fails the balance is a
+    running total, which is taken over ranges of a wallet's charges in several tasks.  Only from
+    a wallet's first failure on does a charge depend on the outcome of those before it: these
+    rows stream in order through one task that keeps the current balance.
     """
-    entries = payments.join(
-        wallets.select(F.col("customer_id").alias("payment_id"), F.col("balance").alias("opening")), "payment_id"
-    ).select("payment_id", "created", "transaction_id", F.round("amount", 2).alias("amount"), F.round("opening", 2).alias("opening"))
-    ordered = entries.repartition("payment_id").sortWithinPartitions("payment_id", "created", "transaction_id")
+    order = ["created", "transaction_id"]
+    cents = lambda name: F.coalesce(F.round(F.round(name, 2) * 100).cast("bigint"), F.lit(0))
+    openings = wallets.select(F.col("customer_id").alias("payment_id"), cents("balance").alias("opening"))
+    dues = payments.select("payment_id", *order, cents("amount").alias("due"))
+    placed = (
+        running_total(dues, ["payment_id"], order, "due", "ahead")
+        .join(openings, "payment_id")
+        .select("payment_id", *order, "due", (F.col("opening") - F.col("ahead")).alias("held"))
+    )
+    failures = placed.filter("due > 0 and held < due").groupBy("payment_id").agg(
+        F.min(F.struct(*order, "held")).alias("first"))
+    known = placed.join(failures, "payment_id", "left").withColumn(
+        "safe", F.col("first").isNull() | (F.struct(*order) < F.struct("first.created", "first.transaction_id")))
+    settled = known.filter("safe").select(
+        "payment_id", "transaction_id", F.lit("completed").alias("status"),
+        ((F.col("held") - F.col("due")) / 100).alias("balance"))
+    doubtful = (
+        known.filter(~F.col("safe")).select("payment_id", *order, "due", F.col("first.held").alias("held"))
+        .repartition("payment_id").sortWithinPartitions("payment_id", *order)
+    )
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wallet, cents = None, 0
+        wallet, left = None, 0
         for batch in batches:
-            status, left = [], []
-            rows = zip(batch["payment_id"], batch["amount"], batch["opening"])
-            for payment_id, amount, opening in rows:
+            status, balance = [], []
+            for payment_id, due, held in zip(batch["payment_id"], batch["due"], batch["held"]):
                 if payment_id != wallet:
-                    wallet, cents = payment_id, round(opening * 100)
-                due = round(amount * 100)
-                paid = due <= 0 or cents >= due
-                cents -= due if paid else 0
+                    wallet, left = payment_id, held
+                paid = due <= 0 or left >= due
+                left -= due if paid else 0
                 status.append("completed" if paid else "failed")
-                left.append(cents / 100)
+                balance.append(left / 100)
             yield pd.DataFrame({
                 "payment_id": batch["payment_id"], "transaction_id": batch["transaction_id"],
-                "status": status, "balance": left,
+                "status": status, "balance": balance,
             })
 
-    return ordered.mapInPandas(settle, "payment_id bigint, transaction_id bigint, status string, balance double")
+    return settled.union(doubtful.mapInPandas(
+        settle, "payment_id bigint, transaction_id bigint, status string, balance double"))
 
 
 def reachability(requests: DataFrame, customers: DataFrame) -> DataFrame:

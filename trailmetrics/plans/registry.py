@@ -649,6 +649,13 @@ def shop_queries() -> dict[str, Query]:
         right = money(F.col("subtotal") * (1 - F.col("discount_pct") / 100) - F.col("promotion_discount") + F.col("shipping_cost"))
         return rules.reconcile_totals(rows.withColumn("total", right + F.when(oid % 10 == 0, 0.5).otherwise(0.0)))
 
+    def one_wallet(s: Shop) -> DataFrame:
+        """A wallet that holds a third of all charges, beside the others."""
+        payer = F.when(F.col("order_id") % 3 == 0, F.lit(-1)).otherwise(F.col("payment_id")).cast("bigint")
+        rich = s.customers.limit(1).select(F.lit(-1).cast("bigint").alias("customer_id"), F.lit(1e9).alias("balance"))
+        return rules.wallet_ledger(
+            s.payments.withColumn("payment_id", payer), s.customers.select("customer_id", "balance").union(rich))
+
     def discounts(s: Shop) -> DataFrame:
         key = F.col("o_orderkey")
         asks = s.raw("orders").select(key, F.explode(F.array(F.lit(0), F.lit(1))).alias("s")).select(
@@ -716,6 +723,7 @@ def shop_queries() -> dict[str, Query]:
         "keyword_search": search,
         "restock": lambda s: rules.restock(s.inventory, s.restock_schedule),
         "net_stock": lambda s: rules.net_stock(s.inventory, s.reservations),
+        "wallet_ledger_one_wallet": one_wallet,
         "wallet_ledger": lambda s: rules.wallet_ledger(s.payments, s.customers),
         "verify_outcomes": verified,
         "reachability": reach,
