@@ -177,6 +177,29 @@ def test_url_lists_do_not_end_each_other(spark):
         (4, True, "malware", "01-01"), (5, True, "ads", "01-05"), (6, True, None, "01-01")]
 
 
+def test_url_hosts_and_far_captures(spark):
+    entries = spark.createDataFrame([
+        ("[2001:DB8::1]", "x", True), ("b.com.", "x", True), ("com", "tld", True), ("1]", "x", True)],
+        "pattern string, category string, listed boolean").withColumn("at", F.to_timestamp(F.lit("2024-01-01")))
+    captures = spark.createDataFrame([
+        (1, "http://[2001:db8::1]/", "2024-01-05"), (2, "http://u@[2001:db8::1]:80/x", "9999-12-31"),
+        (3, "http://a.B.com./", "2024-02-05"), (4, "https://b.com.:443", "2030-02-05"), (5, "http://c.com", "1999-01-01"),
+        (6, "http://[::ffff:1.1.1.1]/", "2024-01-05"), (7, "http://c.com..", "2024-01-05")],
+        "page_id bigint, url string, at string").withColumn("fetched_at", F.to_timestamp("at"))
+    rows = {r["page_id"]: (r["host"], r["pattern"]) for r in url_filter.verdicts(captures, entries).collect()}
+    address = "[2001:db8::1]"
+    assert rows == {1: (address, address), 2: (address, address), 3: ("a.b.com", "b.com"), 4: ("b.com", "b.com"),
+                    5: ("c.com", None), 6: ("[::ffff:1.1.1.1]", None), 7: ("c.com", "com")}
+    assert url_filter.verdicts(captures.limit(0), entries).collect() == []
+    assert {r["pattern"] for r in url_filter.verdicts(captures, entries.limit(0)).collect()} == {None}
+
+
+def test_example_entries_put_names_on_two_lists(spark):
+    entries = queries.example_entries(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    lists = entries.groupBy("pattern").agg(F.countDistinct("category").alias("n")).groupBy("n").count().collect()
+    assert {r["n"] for r in lists} >= {2}
+
+
 def test_url_filter_of_deep_hosts(spark):
     deep = ".".join("abcdefghijkl") + ".com"
     entries = spark.createDataFrame([(deep, "x", True), (None, "x", True)], "pattern string, category string, listed boolean")

@@ -65,12 +65,12 @@ parts AS (SELECT *, string_split(host, '.') AS l FROM host WHERE host <> ''),
 names AS (SELECT host AS pattern FROM parts
           UNION SELECT array_to_string(l[greatest(len(l) - 2, 1):], '.') FROM parts),
 num AS (SELECT pattern, ('0x' || substr(md5(pattern), 1, 4))::INT AS k FROM names),
-entry AS (SELECT pattern, 'list ' || (k % 4) AS category, k, unnest([0, 60, 120]) AS ahead FROM num WHERE k % 3 = 0),
-valid AS (SELECT pattern, category, DATE '2024-01-01' + (k % 200 + ahead)::INT AS since,
-                 CASE WHEN ahead = 0 THEN DATE '2024-01-01' + (k % 200 + 60)::INT END AS until
-          FROM entry WHERE ahead = 0 OR ahead = 120 AND k % 2 = 0),
+listed AS (SELECT pattern, k, DATE '2024-01-01' + (k % 200)::INT AS first FROM num WHERE k % 3 = 0),
+valid AS (SELECT pattern, 'list ' || (k % 4) AS category, first AS since, first + 60 AS until FROM listed
+          UNION ALL SELECT pattern, 'list ' || (k % 4), first + 120, NULL FROM listed WHERE k % 2 = 0
+          UNION ALL SELECT pattern, 'list ' || ((k + 1) % 4), first + 30, first + 90 FROM listed WHERE k % 6 = 0),
 hit AS (SELECT page_id, pattern, category, since, row_number() OVER (
-            PARTITION BY page_id ORDER BY length(pattern) DESC) AS n
+            PARTITION BY page_id ORDER BY length(pattern) DESC, category, since) AS n
         FROM parts JOIN valid ON (host = pattern OR ends_with(host, '.' || pattern))
             AND seen >= since AND (until IS NULL OR seen < until))
 SELECT page_id, host, pattern IS NOT NULL AS blocked, pattern, category, strftime(since, '%Y-%m-%d') AS valid_from

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmetrics.llm import (
@@ -46,22 +46,28 @@ def example_captures(pages: DataFrame) -> DataFrame:
 
 
 def example_entries(pages: DataFrame) -> DataFrame:
-    """List entries for some of the pages' hosts and domains, worked out from the names' MD5."""
+    """List entries for some of the pages' hosts and domains, worked out from the names' MD5.
+
+    Every second of these names is on another list as well, for a time that overlaps.
+    """
     host = url_filter.host_of(F.col("url"))
     names = pages.select(F.explode(F.array(host, F.substring_index(host, ".", -3))).alias("pattern")).filter(
         "pattern <> ''").distinct()
     number = F.conv(F.substring(F.md5("pattern"), 1, 4), 16, 10).cast("int")
     first = F.col("number") % 200
+    def moment(days: int, listed: Column, list_number: Column) -> Column:
+        return F.struct((first + days).cast("bigint").alias("day"), listed.alias("listed"),
+                        F.concat(F.lit("list "), list_number % 4).alias("category"))
+
+    yes, no, own, other = F.lit(True), F.lit(False), F.col("number"), F.col("number") + 1
     moments = F.array(
-        F.struct(first.alias("day"), F.lit(True).alias("listed")),
-        F.struct((first + 60).alias("day"), F.lit(False).alias("listed")),
-        F.struct((first + 120).alias("day"), (F.col("number") % 2 == 0).alias("listed")),
-    )
+        moment(0, yes, own), moment(60, no, own), moment(120, own % 2 == 0, own),
+        moment(30, own % 2 == 0, other), moment(90, no, other))
     return (
         names.withColumn("number", number).filter("number % 3 = 0")
         .withColumn("moment", F.explode(moments))
-        .select("pattern", F.concat(F.lit("list "), F.col("number") % 4).alias("category"), "moment.listed",
-                F.timestamp_seconds(F.lit(1704067200) + F.col("moment.day").cast("bigint") * 86400).alias("at"))
+        .select("pattern", "moment.category", "moment.listed",
+                F.timestamp_seconds(F.lit(1704067200) + F.col("moment.day") * 86400).alias("at"))
     )
 
 

@@ -9,11 +9,12 @@ each of its host's suffixes, as deep as the deepest listed pattern.
 
 Intervals and captures are joined by pattern and calendar month, with the exact times as a
 further condition, so neither a host with many captures nor a pattern with a long history
-meets as a whole.  The longest active pattern gives the verdict; where several lists have it
+meets as a whole.  An interval stands under those of its months that have captures.  The longest active pattern gives the verdict; where several lists have it
 active, the first category by name is reported, an unnamed one last.
 
 Captures without a URL, host or fetch time, and entries without pattern or time, match nothing.
-Host names are compared in lower case, without port and user.  Rows that repeat a page_id are
+Host names are compared in lower case, without port, user and final dots; IPv6 addresses in
+their brackets.  Rows that repeat a page_id are
 joined and reported one by one.
 """
 
@@ -22,16 +23,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:\[]+)"
+
+
+def plain_name(name: Column) -> Column:
+    """A host name in lower case, without the dots that may end it."""
+    return F.rtrim(F.lower(name), F.lit("."))
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, HOST, 1))
+    return plain_name(F.regexp_extract(url, HOST, 1))
 
 
 def host_suffixes(host: Column, deepest: Column) -> Column:
-    """The domains above the host and the host itself, of one to ``deepest`` labels."""
-    labels = F.split(host, r"\.")
+    """The domains above the host and the host itself, of one to ``deepest`` labels.
+
+    An address in brackets is looked up as a whole.
+    """
+    labels = F.when(host.startswith("["), F.array(host)).otherwise(F.split(host, r"\."))
     depth = F.least(F.size(labels), deepest)
     return F.transform(
         F.sequence(F.lit(1), depth),
@@ -42,7 +51,7 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     """(pattern, category, valid_from, valid_until) from (pattern, category, listed, at)."""
     usable = entries.filter("pattern is not null and at is not null")
     # One entry per pattern, list and time: unlisting wins.
-    settled = usable.groupBy(F.lower("pattern").alias("pattern"), "category", "at").agg(
+    settled = usable.groupBy(plain_name(F.col("pattern")).alias("pattern"), "category", "at").agg(
         F.min(F.coalesce("listed", F.lit(True))).alias("listed"))
     history = Window.partitionBy("pattern", "category").orderBy("at")
     return settled.withColumn("valid_until", F.lead("at").over(history)).filter("listed").select(
@@ -58,21 +67,21 @@ def verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
     seen = captures.select(
         F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("bigint").alias("page_id"),
         host_of(F.col("url")).alias("host"), F.col("fetched_at").cast("timestamp").alias("fetched_at"))
-    last = captures.agg(F.max(F.col("fetched_at").cast("timestamp")).alias("last"))
+    dated = seen.filter("host <> '' and fetched_at is not null").withColumn("month", month(F.col("fetched_at")))
+    # One row; as long as there are calendar months with captures, however many captures there are.
+    months = dated.agg(F.collect_set("month").alias("months"))
+    ends = F.coalesce(month(F.col("valid_until")), F.lit((1 << 31) - 1))
     intervals = (
         validity_intervals(entries)
-        .crossJoin(F.broadcast(last))  # one row
-        .withColumn("to", F.least("valid_until", "last"))
-        .filter(F.col("valid_from") <= F.col("to"))
-        .withColumn("month", F.explode(F.sequence(month(F.col("valid_from")), month(F.col("to")))))
-        .drop("last", "to")
+        .crossJoin(F.broadcast(months))
+        .withColumn("from", month(F.col("valid_from"))).withColumn("to", ends)
+        .withColumn("month", F.explode(F.filter("months", lambda m: m.between(F.col("from"), F.col("to")))))
+        .drop("months", "from", "to")
     )
     deepest = entries.agg(F.max(F.size(F.split("pattern", r"\."))).alias("deepest")).filter("deepest > 0")
     asked = (
-        seen.filter("host <> '' and fetched_at is not null")
-        .crossJoin(F.broadcast(deepest))  # one row, none without patterns
+        dated.crossJoin(F.broadcast(deepest))  # one row, none without patterns
         .withColumn("pattern", F.explode(host_suffixes(F.col("host"), F.col("deepest"))))
-        .withColumn("month", month(F.col("fetched_at")))
         .drop("deepest")
     )
     active = (F.col("fetched_at") >= F.col("valid_from")) & (
