@@ -46,6 +46,19 @@ def test_license_scan(spark, docs):
     assert found["labels"] == "mit-text" and found["base_labels"] == "" and 0.9 < found["score"] < 1
 
 
+def test_license_text_with_words_put_in(spark):
+    header = ("This program is free software; you can redistribute it and/or modify it under the terms of {}the GNU General "
+              "Public License as published by the Free Software Foundation.")
+    texts = [(1, header.format("")), (2, header.format("version 2 of ")), (3, "intro " * 50 + header.format("version two of ")),
+             (4, header.format("one two three four five six seven eight nine ten ")),
+             (5, "this wor\u212a is licensed under a creative commons attribution"),
+             (6, "under the terms of the shop you can modify it and redistribute the free software " * 40)]
+    rows = license_scan.scan(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    labels = {r["doc_id"]: r["labels"] for r in rows}
+    assert labels[1] == labels[2] == labels[3] == "gpl,gpl-text" and labels[4] == "gpl" and labels[6] == ""
+    assert {r["doc_id"]: (r["n_words"], r["score"]) for r in rows}[5] == (9, 0.75)  # the Kelvin sign is no k
+
+
 # --- 2 ---------------------------------------------------------------------------
 
 

@@ -7,7 +7,9 @@ position": a template that stands at word s of a document collects its votes on
 
 A phrase is found on a diagonal that has all its votes.  A text template allows inserted,
 missing and changed words: neighbouring diagonals (at most ``DRIFT`` apart) are merged into
-one span, and the span is verified by the share of the template's 2-grams that it covers.
+one span, and so are diagonals that follow one of ``STRONG`` votes within a bound that grows with
+the template (a part in ``LONG_DRIFT`` of its length).  The span is verified by the share of the
+template's 2-grams that it covers.
 
 Null texts count as empty: no words, no label, score 0.  Every input row gives one result
 row, also rows that repeat.  The template table is a fixed list, so its broadcast is bounded.
@@ -15,6 +17,8 @@ row, also rows that repeat.  The template table is a fixed list, so its broadcas
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +60,8 @@ TEXTS = [
 
 GRAM = 2
 DRIFT = 2
+LONG_DRIFT = 6
+STRONG = 3
 COVERED = 0.7
 LONGEST_TEMPLATE = 62  # votes of a diagonal are bits of a number
 
@@ -87,7 +93,8 @@ def template_grams(spark: SparkSession, known: list[Template]) -> DataFrame:
 
 def rolling_grams(docs: DataFrame) -> DataFrame:
     """One row per 2-gram (and per empty text): row, doc_id, n_words, place, w0, w1; the last w1 is null."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0)
+    text = F.translate("text", ascii_uppercase, ascii_lowercase)  # other letters stay as they are
+    words = F.regexp_extract_all(text, F.lit(WORD), 0)
     return (
         id_and_text(docs)
         .select(F.monotonically_increasing_id().alias("row"), "doc_id", words.alias("words"))
@@ -120,7 +127,10 @@ def spans(voted: DataFrame) -> DataFrame:
     """Merge neighbouring diagonals of text templates and verify all spans (``covered``: 0 to 1)."""
     along = Window.partitionBy("row", "template").orderBy("diagonal")
     gap = F.col("diagonal") - F.lag("diagonal").over(along)
-    starts = ((F.col("kind") != "text") | gap.isNull() | (gap > DRIFT)).cast("int")
+    strong = F.when(F.bit_count("mask") >= STRONG, F.col("diagonal"))
+    before = F.last(strong, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    merged = (gap <= DRIFT) | (F.col("diagonal") - before <= F.floor(F.col("grams") / LONG_DRIFT))
+    starts = ((F.col("kind") != "text") | ~F.coalesce(merged, F.lit(False))).cast("int")
     return (
         voted.withColumn("new", F.coalesce(starts, F.lit(1)))
         .withColumn("span", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))

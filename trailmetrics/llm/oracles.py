@@ -26,8 +26,11 @@ g AS (SELECT doc_id, i - 1 AS pos, w[i] AS w0, w[i + 1] AS w1
       FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM docs)),
 d AS (SELECT doc_id, template, label, kind, grams, pos - place AS diagonal, list(DISTINCT place) AS places
       FROM g JOIN t ON w0 = t0 AND w1 = t1 GROUP BY ALL),
-n AS (SELECT *, CASE WHEN kind = 'text' AND diagonal - lag(diagonal) OVER (
-          PARTITION BY doc_id, template ORDER BY diagonal) <= {license_scan.DRIFT} THEN 0 ELSE 1 END AS fresh FROM d),
+n AS (SELECT *, CASE WHEN kind = 'text' AND (
+          diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {license_scan.DRIFT}
+          OR diagonal - last_value(CASE WHEN len(places) >= {license_scan.STRONG} THEN diagonal END IGNORE NULLS) OVER (
+              PARTITION BY doc_id, template ORDER BY diagonal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+            <= grams // {license_scan.LONG_DRIFT}) THEN 0 ELSE 1 END AS fresh FROM d),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM n),
 c AS (SELECT doc_id, label, kind, min(diagonal) AS start,
              len(list_distinct(flatten(list(places)))) / max(grams) AS covered
