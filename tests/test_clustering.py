@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from trailmetrics.operators import clustering
 from trailmetrics.operators.clustering import (
     cluster_by_embedding, cluster_names, cluster_sequences, cluster_vectors, edit_distances,
     subcluster_by_trace,
@@ -119,3 +120,48 @@ def test_names(spark):
     rows = [("c0", "a longer text"), ("c0", "short"), ("c1", None), ("c1", "  ")]
     got = cluster_names(spark.createDataFrame(rows, "cluster_label string, task_description string")).collect()
     assert {r["cluster_label"]: r["task_cluster"] for r in got} == {"c0": "short", "c1": "Unknown Cluster"}
+
+
+def recorded(monkeypatch):
+    """(label, rows) of every table that clustering stores, in order."""
+    seen, store = [], clustering.materialize
+
+    def keep(df, label):
+        table = store(df, label)
+        seen.append((label, table.count()))
+        return table
+
+    monkeypatch.setattr(clustering, "materialize", keep)
+    return seen
+
+
+def test_sequence_rows_are_measured_once_and_shrink(spark, monkeypatch):
+    """Two families and one stray: the stray leaves, merged rows are added up, nothing is measured again."""
+    seqs = [[1] * 8 + [2] * i for i in range(1, 9)] + [[3] * 8 + [4] * i for i in range(1, 9)] + [[9, 8, 7]]
+    rows = [("p", f"{i:03d}", 1, s) for i, s in enumerate(seqs)]
+    df = spark.createDataFrame(rows, "part string, item string, weight bigint, codes array<int>")
+    seen = recorded(monkeypatch)
+    got = cluster_sequences(df, 0.4, block_rows=3).collect()
+    ned = [[2 * plain_edits(a, b) / (len(a) + len(b)) for b in seqs] for a in seqs]
+    assert grouped((r["item"], r["cluster"]) for r in got) == plain_average_linkage(ned, 0.4)
+    sizes = [n for label, n in seen if label == "sequence-rows"]
+    assert sizes[0] == len(seqs) and all(a > b for a, b in zip(sizes, sizes[1:])) and sizes[1] < len(seqs) - 1
+    assert [label for label, _ in seen].count("sequence-state") == 1
+
+
+def test_copies_of_vectors_follow_once(spark, monkeypatch):
+    """Rounds store distinct vectors only, and those without a neighbour leave."""
+    rng = np.random.default_rng(7)
+    points = [(c + rng.normal(scale=0.3, size=4)).tolist() for c in np.eye(4)[:2] * 3 for _ in range(6)]
+    points.append([0.0, 0.0, 0.0, -1.0])
+    unit = np.array(points) / np.linalg.norm(points, axis=1, keepdims=True)
+    copies = 20
+    items = spark.createDataFrame(
+        [(f"{i * copies + c:04d}", p) for i, p in enumerate(points) for c in range(copies)], "item string, embedding array<double>")
+    seen = recorded(monkeypatch)
+    got = cluster_vectors(items, 0.2, 2).collect()
+    want = plain_average_linkage(np.maximum(0, 1 - unit @ unit.T), 0.2)
+    assert grouped((r["item"], r["cluster"]) for r in got) == [[i * copies + c for i in g for c in range(copies)] for g in want]
+    assert max(n for label, n in seen if label != "vector-nearest") == len(points)
+    states = [n for label, n in seen if label == "vector-state"]
+    assert states[1] < len(points) - 1
