@@ -101,9 +101,13 @@ FROM clustered GROUP BY 1"""),
 SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid), 4) AS similarity FROM embeddings JOIN centroids USING (label)"""),
     "similar_workflow_pairs": query("SELECT workflow_id, path_id, round(similarity, 4) AS similarity FROM similarities WHERE similarity >= 0.15"),
     "similar_run_pairs": query("""
-SELECT a.workflow_id, b.workflow_id AS path_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS similarity
-FROM members a JOIN members b ON a.workflow_id < b.workflow_id
-WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.95"""),
+SELECT 'member' AS relation, m.workflow_id, c.class AS path_id, CAST(NULL AS DOUBLE) AS similarity
+FROM members m JOIN vector_classes c USING (embedding)
+UNION ALL
+SELECT 'link', a.class, b.class, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4)
+FROM vector_classes a JOIN vector_classes b ON a.class < b.class
+WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.95""",
+        vector_classes="SELECT embedding, min(workflow_id) AS class FROM members GROUP BY embedding"),
     "edit_distance_to_path": query("""
 SELECT c.workflow_id, levenshtein(coded, best) AS edits, round(CASE WHEN length(coded) + length(best) = 0 THEN 0 ELSE 2.0 * levenshtein(coded, best) / (length(coded) + length(best)) END, 4) AS ned
 FROM (SELECT workflow_id, task_cluster, array_to_string(list_transform(tool_sequence, lambda t: t[1:1]), '') AS coded FROM clustered) c
