@@ -220,3 +220,20 @@ def test_duplicates_are_skipped(spark, tmp_path):
     stream = jobs.without_duplicates(jobs.event_stream(spark, source, 1))
     jobs.append_to(stream, out, str(tmp_path / "check"), once=True).awaitTermination()
     assert spark.read.parquet(out).count() == len(rows)
+
+
+def test_workflows_share_states(spark, tmp_path, monkeypatch):
+    """All workflows in one state: each keeps its own steps, end and timer."""
+    from datetime import datetime
+
+    monkeypatch.setattr(jobs, "STATE_BUCKETS", 1)
+    later = datetime(2024, 1, 5)
+    got = states(
+        spark, tmp_path,
+        run("a", "xy", end=False) + run("b", "x", end=False) + run("c", "xyz", end=False),
+        run("b", "x")[-1:] + [event("a", 7, "tool_call:x"), event("d", 4, "tool_call:x")],
+        [event("b", 3, "tool_call:x"), event("z", 0, "workflow:start", timestamp=later)],
+        [event("z", 1, "tool_call:x", timestamp=later), event("c", 9, "tool_call:x", timestamp=later)],
+    )
+    assert got["b"][0] == "closed" and got["a"] == ("abandoned", 7) and got["z"] == ("active", 1) and "d" not in got
+    assert got["c"] in {("abandoned", 3), ("active", 9)}

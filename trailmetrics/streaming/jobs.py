@@ -92,7 +92,8 @@ def completions_with_task(events: DataFrame, embeddings: DataFrame) -> DataFrame
     )
 
 
-STATE_DDL = "steps int, first_seen timestamp, started boolean"
+STATE_BUCKETS = 2048  # workflows share a state by hash, so a batch costs one call per bucket, not per workflow
+STATE_DDL = "ids array<string>, steps array<bigint>, first array<bigint>, started array<boolean>, wake array<bigint>"
 ACTIVE_DDL = "workflow_id string, state string, steps int, first_seen timestamp"
 
 
@@ -101,47 +102,65 @@ def workflow_states(events: DataFrame, delay: str = DEFAULT_DELAY, idle_ms: int
     ``closed`` at the terminal event (the state is dropped), ``abandoned`` after
     ``idle_ms`` of event time without an end.
 
-    Events reach a state in batches, and only three values are kept per workflow.
+    Events reach a state in batches, and four values are kept per workflow; a bucket's timer is
+    the earliest of its workflows.
     A closed workflow keeps a mark until the idle time has passed, so events that
     arrive after the end do not open it again.
     """
+    fields = ["workflow_id", "steps", "first", "started", "wake"]
 
     def update(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        def row(kind: str, steps, first) -> pd.DataFrame:
-            return pd.DataFrame({"workflow_id": [key[0]], "state": [kind], "steps": [steps], "first_seen": [first]})
-
-        if state.hasTimedOut:
-            steps, first, started = state.get
+        def rows(kind, found: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({
+                "workflow_id": found.index, "state": kind, "steps": found["steps"].to_numpy("int32"),
+                "first_seen": pd.to_datetime(found["first"].to_numpy("int64"), unit="us")})
+
+        watermark = state.getCurrentWatermarkMs()
+        values = state.get if state.exists else [[]] * len(fields)
+        known = pd.DataFrame(dict(zip(fields, values))).astype(
+            {"steps": "int64", "first": "int64", "started": "bool", "wake": "int64"}).set_index("workflow_id")
+        parts = [] if state.hasTimedOut else [
+            batch.assign(at=batch["at"].astype("datetime64[us]").astype("int64")).groupby("workflow_id").agg(
+                steps=("step_number", "max"), first=("at", "min"), newest=("at", "max"), started=("started", "any"),
+                ended=("ended", "any"))
+            for batch in batches if len(batch)]
+        quiet = known
+        if parts:
+            new = pd.concat(parts).groupby(level=0).agg(
+                {"steps": "max", "first": "min", "newest": "max", "started": "any", "ended": "any"})
+            old = known.reindex(new.index)
+            was_closed = (old["steps"] < 0).to_numpy()
+            ended = new["ended"].to_numpy("bool") | was_closed
+            new["steps"] = new["steps"].clip(lower=0).astype("int64").where(~(old["steps"] > new["steps"]), old["steps"]).astype("int64")
+            new["first"] = new["first"].where(~(old["first"] < new["first"]), known["first"].reindex(new.index, fill_value=0))
+            new["started"] = new["started"].astype("bool") | known["started"].reindex(new.index, fill_value=False)
+            new["wake"] = (new["newest"] // 1000).clip(lower=watermark) + idle_ms
+            shown = ~was_closed & (new["started"].to_numpy("bool") | ended)
+            yield rows(pd.Series(ended[shown]).map({True: "closed", False: "active"}).to_numpy(object), new[shown])
+            new["steps"] = new["steps"].where(~ended, -1)
+            quiet = known[~known.index.isin(new.index)]
+        late = (quiet["wake"] < watermark).to_numpy()
+        lost = quiet[late]
+        yield rows("abandoned", lost[(lost["steps"] >= 0) & lost["started"]])
+        kept = quiet[~late]
+        if parts:
+            kept = pd.concat([kept, new[kept.columns]])
+        if kept.empty:
             state.remove()
-            if steps >= 0 and started:
-                yield row("abandoned", steps, first)
             return
-        steps, first, started = state.get if state.exists else (0, None, False)
-        ended = steps < 0
-        newest = None
-        for batch in batches:
-            ended = ended or batch["ended"].any()
-            started = bool(started or batch["started"].any())
-            steps = max(steps, int(batch["step_number"].max()))
-            low, high = batch["at"].min(), batch["at"].max()
-            first = low if first is None else min(pd.Timestamp(first), low)
-            newest = high if newest is None else max(newest, high)
-        was_closed = state.exists and state.get[0] < 0
-        state.update((-1 if ended else steps, first, started))
-        wake = max(int(newest.timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms
-        state.setTimeoutTimestamp(wake)
-        if not was_closed and (started or ended):
-            yield row("closed" if ended else "active", steps, first)
+        state.update((kept.index.tolist(), *[kept[name].tolist() for name in fields[1:]]))
+        state.setTimeoutTimestamp(max(int(kept["wake"].min()), watermark + 1))
 
     slim = events.select(
         "workflow_id", "step_number", event_time().alias("at"), is_terminal().alias("ended"),
         (F.col("activity") == "workflow:start").alias("started"),
+        F.pmod(F.xxhash64("workflow_id"), F.lit(STATE_BUCKETS)).cast("int").alias("bucket"),
     )
     return (
         slim.withWatermark("at", delay)
-        .groupBy("workflow_id")
+        .groupBy("bucket")
         .applyInPandasWithState(update, ACTIVE_DDL, STATE_DDL, "update", GroupStateTimeout.EventTimeTimeout)
     )
 
