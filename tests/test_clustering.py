@@ -165,3 +165,15 @@ def test_copies_of_vectors_follow_once(spark, monkeypatch):
     assert max(n for label, n in seen if label != "vector-nearest") == len(points)
     states = [n for label, n in seen if label == "vector-state"]
     assert states[1] < len(points) - 1
+
+
+def test_separate_groups_of_vectors_need_no_rounds(spark, monkeypatch):
+    """More vectors than a block holds, but no component of the links within the cut has more than one."""
+    rng = np.random.default_rng(5)
+    points = [(c + rng.normal(scale=0.3, size=4)).tolist() for c in np.eye(4) * 3 for _ in range(6)]
+    unit = np.array(points) / np.linalg.norm(points, axis=1, keepdims=True)
+    items = spark.createDataFrame([(f"{i:03d}", p) for i, p in enumerate(points)], "item string, embedding array<double>")
+    seen = recorded(monkeypatch)
+    got = cluster_vectors(items, 0.1, 7).collect()
+    assert grouped((r["item"], r["cluster"]) for r in got) == plain_average_linkage(np.maximum(0, 1 - unit @ unit.T), 0.1)
+    assert "vector-nearest" not in [label for label, _ in seen]

@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmetrics.llm.common import as_bytes, id_and_text, map_batches, quoted, whole_groups
+from trailmetrics.operators.components import components
 from trailmetrics.session import materialize
 
 COORDINATES = 64
@@ -316,37 +317,6 @@ def block_matches(
     return np.concatenate(found) if found else np.empty((0, 2), np.int64)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that each node of some edge can reach.
-
-    Every node points to its smallest neighbour, pointers are followed to their roots,
-    and edges between roots go into the next round.  Each round is a written table.
-    """
-    edges = materialize(edges.filter("a <> b").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-edges")
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    labels = nodes.withColumn("label", F.col("node"))
-    while not edges.isEmpty():
-        pointers = materialize(edges.groupBy("b").agg(F.min("a").alias("a")), "near-pointers")
-        while True:
-            ahead = pointers.select(F.col("b").alias("a"), F.col("a").alias("next"))
-            moved = pointers.join(ahead, "a", "left")
-            pointers = materialize(moved.select("b", F.coalesce("next", "a").alias("a"),
-                                                F.col("next").isNotNull().alias("moved")), "near-pointers")
-            still = not pointers.filter("moved").isEmpty()
-            pointers = pointers.drop("moved")
-            if not still:
-                break
-        to = lambda name: pointers.select(F.col("b").alias(name), F.col("a").alias(f"{name}_root"))
-        labels = materialize(labels.join(to("label"), "label", "left").select(
-            "node", F.coalesce("label_root", "label").alias("label")), "near-labels")
-        rooted = edges.join(to("a"), "a", "left").join(to("b"), "b", "left").select(
-            F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).filter("a <> b")
-        edges = materialize(rooted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
-                            "near-edges")
-    return labels
-
-
 def text_hash(text: Column) -> Column:
     """Tells the texts of rows that repeat a doc_id apart."""
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
