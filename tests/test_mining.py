@@ -344,3 +344,27 @@ def test_json_null_is_a_parameter_value(spark):
     optimal = spark.createDataFrame([("c", ["a"])], "task_cluster string, tool_sequence array<string>")
     found = parameter_warnings(events, members(spark, events).withColumn("task_cluster", F.lit("c")), optimal).collect()
     assert len(found) == 1 and "null" in found[0]["warning"]
+
+
+def test_distances_of_many_models_come_in_one_call_per_batch(spark):
+    edges = [(f"m{i:03d}", s, t) for i in range(200) for s, t in [("a", "b"), ("b", "c"), ("c", "a"), ("c", f"x{i % 3}")][: 2 + i % 3]]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = graphs.model_distances(spark.createDataFrame(edges, "task_cluster string, source string, target string"))
+        got = sorted(map(tuple, found.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for i in range(200):
+        onward = {}
+        for m, s, t in edges:
+            if m == f"m{i:03d}":
+                onward.setdefault(s, []).append(t)
+        for start in onward:
+            reach, ends, steps = {}, [start], 0
+            while ends:
+                steps, ends = steps + 1, [t for e in ends for t in onward.get(e, []) if t not in reach]
+                reach.update({t: steps - 1 for t in ends})
+            want += [(f"m{i:03d}", start, t, n) for t, n in reach.items()]
+    assert got == sorted(want)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
