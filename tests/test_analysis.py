@@ -1,6 +1,8 @@
 """The whole analysis run on small logs."""
 
 from tests.helpers import log, run
+from trailmetrics.operators import graphs
+from trailmetrics.plans import analysis
 from trailmetrics.plans.analysis import Settings, run_analysis
 
 REFUND = ["check_ticket", "get_order", "check_refund_eligibility", "process_refund", "send_message", "close_ticket"]
@@ -36,3 +38,22 @@ def test_nothing_to_analyse(spark):
         log(spark, *[run(f"w{i}", "ab", success=False) for i in range(3)]),
         spark.createDataFrame([(f"w{i}", "t", [1.0]) for i in range(3)], DDL), Settings(min_executions=1))
     assert failed.optimal_paths.count() == 0 and failed.graph.count() == 0 and failed.patterns.count() == 0
+
+
+def test_runs_are_aligned_once_and_texts_stay_out_of_stored_members(spark, monkeypatch):
+    stored = {}
+    for module in (analysis, graphs):
+        def keep(df, label, write=module.materialize):
+            stored.setdefault(label, []).append(df.columns)
+            return write(df, label)
+        monkeypatch.setattr(module, "materialize", keep)
+    runs = [run(f"w{i}", "abc") for i in range(5)] + [run("x", "acb", success=False)]
+    vectors = spark.createDataFrame([(w, f"Task {w}", [1.0, 0.0]) for w in ["w0", "w1", "w2", "w3", "w4", "x"]], DDL)
+    result = run_analysis(log(spark, *runs), vectors, Settings(min_executions=3))
+    assert len(stored["model-distances"]) == 1  # quality and patterns share the alignments
+    assert all("task_description" not in c for label in ("cluster-members", "task-traces") for c in stored[label])
+    texts = {r["workflow_id"]: r["task_description"] for r in result.members.collect()}
+    assert texts == {w: f"Task {w}" for w in ["w0", "w1", "w2", "w3", "w4", "x"]}
+    assert {(r["workflow_id"], r["task_description"]) for r in result.traces.collect()} == set(texts.items())
+    assert [r["evidence"]["workflow_id"] for r in result.patterns.filter(
+        "pattern_type = 'conformance_deviation' and task_key = 'cluster_0'").collect()] == ["x"]
