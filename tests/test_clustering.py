@@ -177,3 +177,16 @@ def test_separate_groups_of_vectors_need_no_rounds(spark, monkeypatch):
     got = cluster_vectors(items, 0.1, 7).collect()
     assert grouped((r["item"], r["cluster"]) for r in got) == plain_average_linkage(np.maximum(0, 1 - unit @ unit.T), 0.1)
     assert "vector-nearest" not in [label for label, _ in seen]
+
+
+def test_sequences_around_one_need_few_rounds(spark, monkeypatch):
+    """All variants are nearest to one sequence, which merged with one of them in each round."""
+    base = list(range(1, 9))
+    seqs = [base] + [base[:i % 8] + [100 + i] + base[i % 8 + 1:] for i in range(23)]
+    rows = [("p", f"{i:03d}", 1, s) for i, s in enumerate(seqs)]
+    df = spark.createDataFrame(rows, "part string, item string, weight bigint, codes array<int>")
+    seen = recorded(monkeypatch)
+    got = cluster_sequences(df, 0.3, block_rows=12).collect()
+    ned = [[2 * plain_edits(a, b) / (len(a) + len(b)) for b in seqs] for a in seqs]
+    assert grouped((r["item"], r["cluster"]) for r in got) == plain_average_linkage(ned, 0.3)
+    assert [label for label, _ in seen].count("sequence-rows") <= 6
