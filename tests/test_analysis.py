@@ -1,9 +1,14 @@
 """The whole analysis run on small logs."""
 
+from threading import Barrier
+
+import pytest
+
 from tests.helpers import log, run
 from trailmetrics.operators import graphs
 from trailmetrics.plans import analysis
 from trailmetrics.plans.analysis import Settings, run_analysis
+from trailmetrics.session import together
 
 REFUND = ["check_ticket", "get_order", "check_refund_eligibility", "process_refund", "send_message", "close_ticket"]
 DDL = "workflow_id string, task_description string, embedding array<double>"
@@ -57,3 +62,15 @@ def test_runs_are_aligned_once_and_texts_stay_out_of_stored_members(spark, monke
     assert {(r["workflow_id"], r["task_description"]) for r in result.traces.collect()} == set(texts.items())
     assert [r["evidence"]["workflow_id"] for r in result.patterns.filter(
         "pattern_type = 'conformance_deviation' and task_key = 'cluster_0'").collect()] == ["x"]
+
+
+def test_steps_that_do_not_need_each_other_run_at_once(spark):
+    both = Barrier(2, timeout=30)  # breaks if one step waits for the end of the other
+
+    def rows(n):
+        both.wait()
+        return spark.range(n).count()
+
+    assert together(lambda: rows(3), lambda: rows(4)) == [3, 4]
+    with pytest.raises(ValueError):
+        together(lambda: spark.range(2).count(), lambda: int("no number"))
