@@ -181,8 +181,8 @@ def test_separate_groups_of_vectors_need_no_rounds(spark, monkeypatch):
 
 def test_sequences_around_one_need_few_rounds(spark, monkeypatch):
     """All variants are nearest to one sequence, which merged with one of them in each round."""
-    base = list(range(1, 9))
-    seqs = [base] + [base[:i % 8] + [100 + i] + base[i % 8 + 1:] for i in range(23)]
+    base = list(range(1, 25))
+    seqs = [base] + [base[:i] + [100 + i] + base[i + 1:] for i in range(23)]
     rows = [("p", f"{i:03d}", 1, s) for i, s in enumerate(seqs)]
     df = spark.createDataFrame(rows, "part string, item string, weight bigint, codes array<int>")
     seen = recorded(monkeypatch)
