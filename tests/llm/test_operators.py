@@ -626,6 +626,18 @@ def test_letters_are_the_same_in_spark(spark):
     assert found == {i: bool(language_id.LETTER.search(t)) for i, t in texts} | {-1: False, -2: False}
 
 
+def test_letters_of_every_script_stay(spark, docs):
+    """All that LETTER finds, also letters that Java's tables are too old for (U+1E4D0, U+10570, U+31350)."""
+    import corpus_pipeline
+
+    letters = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and language_id.LETTER.search(chr(i))]
+    frame = spark.createDataFrame([(c,) for c in letters], "text string").repartition(4)
+    assert frame.filter(language_id.has_letter(F.col("text"))).count() == len(letters)
+    newer = docs.withColumn("text", F.when(F.col("doc_id") == 1, "\U0001E4D0 \U0001E4D1").when(
+        F.col("doc_id") == 2, "\U00010570").when(F.col("doc_id") == 7, "12 \U00031350").otherwise(F.col("text")))
+    assert {1, 2, 7} <= {r["doc_id"] for r in corpus_pipeline.language(spark, newer, "").collect()}
+
+
 def test_oracles_on_the_smallest_tables(spark):
     from tests.compare import compare, connect
     from trailmetrics.llm.oracles import all_oracles
