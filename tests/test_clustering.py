@@ -190,3 +190,12 @@ def test_sequences_around_one_need_few_rounds(spark, monkeypatch):
     ned = [[2 * plain_edits(a, b) / (len(a) + len(b)) for b in seqs] for a in seqs]
     assert grouped((r["item"], r["cluster"]) for r in got) == plain_average_linkage(ned, 0.3)
     assert [label for label, _ in seen].count("sequence-rows") <= 6
+
+
+def test_copies_of_vectors_are_known_by_their_numbers(spark):
+    """No vector becomes text; zero vectors and those without a number stay alone, signs of zero do not part copies."""
+    rows = [("a", [1.0, 0.0]), ("b", [1.0, -0.0]), ("c", [1.0, 0.0]), ("d", [0.0, 0.0]), ("e", [0.0, 0.0]), ("f", [0.0, 1.0])]
+    items = spark.createDataFrame(rows, "item string, embedding array<float>")
+    found = cluster_vectors(items, 0.5)
+    assert {r["item"]: r["cluster"] for r in found.collect()} == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "e", "f": "f"}
+    assert "sha2" not in found._jdf.queryExecution().optimizedPlan().toString()
