@@ -51,6 +51,15 @@ def test_edit_distances():
     assert got.tolist() == [[plain_edits(a, b) for b in seqs] for a in seqs]
 
 
+def test_edit_distances_of_long_sequences_and_many_codes():
+    rng = random.Random(4)
+    seqs = [[rng.randrange(-3, 900) for _ in range(n)] for n in (0, 1, 7, 40, 260, 300)]
+    seqs += [seqs[-1][:-2] + [5, 6, 7], []]
+    got = edit_distances([np.array(s, dtype="int32") for s in seqs], [np.array(s, dtype="int32") for s in seqs[::-1]])
+    assert got.tolist() == [[plain_edits(a, b) for b in seqs[::-1]] for a in seqs]
+    assert edit_distances([], []).shape == (0, 0)
+
+
 @pytest.mark.parametrize("block_rows,cut", [(1000, 0.15), (1000, 0.45), (9, 0.3)])
 def test_vectors_match_plain_algorithm(spark, block_rows, cut):
     rng = np.random.default_rng(3)
@@ -192,6 +201,27 @@ def test_sequences_around_one_need_few_rounds(spark, monkeypatch):
     assert [label for label, _ in seen].count("sequence-rows") <= 6
 
 
+def test_distances_of_sequences_are_not_stored(spark, monkeypatch):
+    """What the rounds store grows with the sequences, not with their pairs; small tasks give the same clusters."""
+    rng = random.Random(5)
+    seqs = [list(s) for s in {tuple(rng.randrange(4) for _ in range(rng.randrange(2, 9))) for _ in range(60)}]
+    rows = [("p", f"{i:03d}", 1 + i % 3, s) for i, s in enumerate(seqs)]
+    df = spark.createDataFrame(rows, "part string, item string, weight bigint, codes array<int>")
+    want = cluster_sequences(df, 0.5).collect()  # in one block
+    monkeypatch.setattr(clustering, "CELLS", 256)
+    monkeypatch.setattr(clustering, "PAIRS", 256)
+    stored, store = [], clustering.materialize
+
+    def keep(frame, label):
+        stored.append((label, frame.schema.simpleString()))
+        return store(frame, label)
+
+    monkeypatch.setattr(clustering, "materialize", keep)
+    got = cluster_sequences(df, 0.5, block_rows=7).collect()
+    assert grouped((r["item"], r["cluster"]) for r in got) == grouped((r["item"], r["cluster"]) for r in want)
+    assert "sequence-rows" in dict(stored) and not any("binary" in kinds for _, kinds in stored)
+
+
 def test_copies_of_vectors_are_known_by_their_numbers(spark):
     """No vector becomes text; zero vectors and those without a number stay alone, signs of zero do not part copies."""
     rows = [("a", [1.0, 0.0]), ("b", [1.0, -0.0]), ("c", [1.0, 0.0]), ("d", [0.0, 0.0]), ("e", [0.0, 0.0]), ("f", [0.0, 1.0])]
