@@ -74,3 +74,23 @@ def test_steps_that_do_not_need_each_other_run_at_once(spark):
     assert together(lambda: rows(3), lambda: rows(4)) == [3, 4]
     with pytest.raises(ValueError):
         together(lambda: spark.range(2).count(), lambda: int("no number"))
+
+
+def test_no_stored_table_holds_texts(spark, monkeypatch):
+    """Descriptions may be whole documents: the run names its clusters without storing them again."""
+    from trailmetrics.operators import clustering
+
+    stored = {}
+    for module in (analysis, graphs, clustering):
+        def keep(df, label, write=module.materialize):
+            stored[label] = df.columns
+            return write(df, label)
+
+        monkeypatch.setattr(module, "materialize", keep)
+    events = log(spark, *[run(f"w{i}", "abc") for i in range(6)])
+    vectors = spark.createDataFrame([(f"w{i}", f"{'Task ' * 20}{i}", [1.0, 0.0]) for i in range(6)], DDL)
+    result = run_analysis(events, vectors, Settings(min_executions=3))
+    assert [r["task_cluster"] for r in result.optimal_paths.collect()] == [("Task " * 20)[:60]]
+    assert "clustered" in stored and not [label for label, columns in stored.items() if "task_description" in columns]
+    assert {(r["workflow_id"], r["task_description"]) for r in result.members.collect()} == {
+        (f"w{i}", f"{'Task ' * 20}{i}") for i in range(6)}

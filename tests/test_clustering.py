@@ -131,6 +131,18 @@ def test_names(spark):
     assert {r["cluster_label"]: r["task_cluster"] for r in got} == {"c0": "short", "c1": "Unknown Cluster"}
 
 
+def test_names_of_members_without_texts(spark):
+    """The smallest of the shortest texts, whatever comes after its sixtieth character."""
+    texts = [("a", "c0", "x" * 59 + "zb" + "q" * 40), ("b", "c0", "x" * 59 + "yc" + "q" * 40), ("c", "c0", "w" * 200),
+             ("d", "c1", " "), ("e", "c2", None), ("f", "c2", "ok")]
+    rows = spark.createDataFrame(texts, "workflow_id string, cluster_label string, task_description string")
+    want = {"c0": "x" * 59 + "y", "c1": "Unknown Cluster", "c2": "ok"}
+    short = clustering.short_descriptions(rows.drop("cluster_label"))
+    assert not {"task_description"} & set(short.columns)
+    for found in (cluster_names(rows), cluster_names(rows.drop("task_description"), short=short)):
+        assert {r["cluster_label"]: r["task_cluster"] for r in found.collect()} == want
+
+
 def recorded(monkeypatch):
     """(label, rows) of every table that clustering stores, in order."""
     seen, store = [], clustering.materialize
