@@ -73,3 +73,18 @@ def test_neighbours_without_a_place_or_key(spark):
     got = with_next(rows, ["workflow_id"], step_block(), ["step_number"], ["tool"])
     after = {r["tool"]: r["next"] and r["next"]["tool"] for r in got.collect()}
     assert after == {"b": "c", "c": "d", "d": None, "x": "y", "y": None, "o": "p", "p": None}
+
+
+@pytest.mark.parametrize("direction", ["next", "previous"])
+def test_neighbours_without_keys_or_blocks_and_without_a_join(spark, direction):
+    """Null keys and blocks are keys and blocks of their own; rows are dealt to their blocks once."""
+    rows = [(None, None, 1), (None, 0, 2), (None, 3, 7), ("a", None, 1), ("a", 2, 5), ("a", 2, 6), ("b", 4, 9)]
+    df = spark.createDataFrame(rows, "k string, b int, s int").repartition(3)
+    found = with_next(df, ["k"], F.col("b"), ["s"], ["s"], direction)
+    assert found.columns == ["k", "b", "s", direction]
+    pairs = {(None, 1): 2, (None, 2): 7, ("a", 1): 5, ("a", 5): 6}
+    if direction == "previous":
+        pairs = {(k, later): s for (k, s), later in pairs.items()}
+    assert {(r["k"], r["s"]): r[direction] and r[direction]["s"] for r in found.collect()} == {
+        (k, s): pairs.get((k, s)) for k, _, s in rows}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
